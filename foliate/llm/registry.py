@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from foliate.llm import token_counts
+from foliate.llm import near_dedup, quality_rules, token_counts
 
-QUERIES = {"op5_token_counts": token_counts.op5_token_counts}
+QUERIES = {
+    "op3_superminhash": near_dedup.op3_superminhash,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+}
 ORACLE_SQL: dict[str, str] = {}
