@@ -1,16 +1,63 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; its output is written
+and read again before the next. All but the last keep the columns of ``documents``.
+Decisions are keyed by doc_id: the first stage drops rows that have none, and of rows
+that repeat a doc_id the near-duplicate stage keeps one. Null texts are empty texts;
+empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliate.llm import decontaminate, near_dedup, packing, quality_rules, secrets
+from foliate.llm.common import read, store
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose quality score reaches the threshold."""
+    docs = docs.where(F.col("doc_id").isNotNull())
+    model = quality_rules.learn(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.with_scores(docs, model, out="_score").where(F.col("_score") >= quality_rules.THRESHOLD).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each near-duplicate group: shingles of five words, similarity 0.8."""
+    kept = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+
 
-STAGES: list = []
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a window of words with a benchmark item."""
+    rows = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return docs.join(rows.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the text and sets n_chars anew."""
+    out = secrets.redact(docs)
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places every byte of the kept documents in training sequences."""
+    return packing.best_fit(docs, F.octet_length("text"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("packing", best_fit_packing),
+]
+#: SQL cannot express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliate.llm.common import read, store
-
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)

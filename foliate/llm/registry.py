@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from foliate.llm import near_dedup, quality_rules, token_counts
+from foliate.llm import decontaminate, near_dedup, packing, quality_rules, secrets, token_counts
 
 QUERIES = {
+    "op1_winnowing": decontaminate.op1_winnowing,
+    "op2_best_fit": packing.op2_best_fit,
     "op3_superminhash": near_dedup.op3_superminhash,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_secret_links": secrets.op10_secret_links,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_winnowing": decontaminate.ORACLE_SQL}
