@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from foliate.llm import decontaminate, near_dedup, packing, quality_rules, secrets, suffix_dedup, token_counts
+from foliate.llm import decontaminate, imatch, language_id, near_dedup, packing, quality_rules, secrets, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_winnowing": decontaminate.op1_winnowing,
     "op2_best_fit": packing.op2_best_fit,
     "op3_superminhash": near_dedup.op3_superminhash,
+    "op4_bigru_language": language_id.op4_bigru_language,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_bucket_refinement": suffix_dedup.op6_bucket_refinement,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_imatch": imatch.op8_imatch,
     "op10_secret_links": secrets.op10_secret_links,
 }
 ORACLE_SQL: dict[str, str] = {"op1_winnowing": decontaminate.ORACLE_SQL}
