@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliate.llm import decontaminate, imatch, language_id, near_dedup, packing, quality_rules, secrets, suffix_dedup, token_counts
+from foliate.llm import decontaminate, html_main, imatch, language_id, near_dedup, packing, quality_rules, secrets, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_winnowing": decontaminate.op1_winnowing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bucket_refinement": suffix_dedup.op6_bucket_refinement,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_imatch": imatch.op8_imatch,
+    "op9_site_style_tree": html_main.op9_site_style_tree,
     "op10_secret_links": secrets.op10_secret_links,
 }
 ORACLE_SQL: dict[str, str] = {"op1_winnowing": decontaminate.ORACLE_SQL}
