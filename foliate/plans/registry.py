@@ -6,5 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, **tables: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Register a function of tables as query ``name``; ``tables`` maps its parameters to table names."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(**{p: spark.read.parquet(f"{sf_dir}/{t}.parquet") for p, t in tables.items()})
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    from foliate.plans import analysis, chunking, embeddings, volumes  # noqa: F401
+
+
+load()
