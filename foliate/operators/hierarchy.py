@@ -141,3 +141,72 @@ def boundaries(volumes: DataFrame, end: str, start: str, gap: int) -> DataFrame:
     after = Window.partitionBy("doc_id").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("next_start", F.first(F.when(F.col("is_start"), F.col("start")), ignorenulls=True).over(after))
     return rows.where(F.col("is_end") & (F.col("next_start") - F.col("start") < gap)).select("doc_id", F.col("start").alias("end_pos"), F.col("next_start").alias("start_pos"))
+
+
+# Titles of standard sections by type; the first type that fits.
+STANDARD = {
+    "geography": r"Situation and Area\.|Physical Features\.|Geography\.", "history": r"History\.|Historical\.|Discovery\.",
+    "government": r"Government\.|Constitution\.|Administration\.|Executive Council\.|Legislative Council\.", "finance": r"Finance\.|Finances\.|Revenue\.|Trade\.|Public Debt\.",
+    "personnel": r"Establishment\.|Civil Establishment\.|Officials\.", "foreign_relations": r"Foreign Consuls?\.|Consuls?\.|Diplomatic\.",
+    "communications": r"Communications\.|Postal\.|Telegraph\.|Railway\.", "industry": r"Industry\.|Agriculture\.|Mining\.|Commerce\.",
+    "education": r"Education\.|Schools\.|Public Instruction\.", "military": r"Military\.|Defence\.|Naval\.|Garrison\.",
+}
+# Names of advertisements, and words of a territory's description.
+ADVERT_NAMES = "LIMITED|COMPANY|SAUCE|PIANO|CREAM|PREPARATION|WHOLESALE|RETAIL|PRICE|CATALOGUE|DELIVERY|MANUFACTURER|SOLD EVERYWHERE"
+DESCRIPTION = "situation|area|population|government|history|climate|colony|territory|governor|commissioner|square miles|inhabitants|administration|revenue"
+# Phrases of colonial administration by category.
+DISCOURSE = {
+    "administrative_hierarchy": [r"Colonial\s+Office", r"Governor\s+and\s+Commander", r"Secretary\s+of\s+State", r"Her\s+Majesty['’]?s\s+Government"],
+    "territorial_control": [r"Crown\s+Colony", "Protectorate", "Dependencies", r"British\s+jurisdiction", r"native\s+administration"],
+    "personnel_titles": ["Commissioner", "Resident", "Administrator", r"Colonial\s+Secretary", r"Provincial\s+Commissioner"],
+}
+PERSON = r"\b[A-Z][A-Za-z'’\-]+(?:\s+[A-Z][A-Za-z'’\-]+)*,\s+(?:Sir\s+)?[A-Z][^\n,]*\."
+
+
+def standard_sections(found: DataFrame) -> DataFrame:
+    """Runs of a block's lines from one standard title to the next; before the first it is the introduction."""
+    kind = None
+    for name, titles in STANDARD.items():
+        test = F.col("line").rlike(f"(?i)^(?:{titles})")
+        kind = F.when(test, name) if kind is None else kind.when(test, name)
+    rows = found.select("doc_id", "block_no", F.posexplode(tx.lines(F.col("body"))).alias("line_no", "line")).withColumn("kind", kind)
+    upto = Window.partitionBy("doc_id", "block_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("section_no", F.count("kind").over(upto).cast("int"))
+    return rows.groupBy("doc_id", "block_no", "section_no").agg(F.coalesce(F.max("kind"), F.lit("introduction")).alias("section_type"), F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("chars"))
+
+
+def described(found: DataFrame) -> DataFrame:
+    """Blocks that describe a territory: 500 characters, no advertiser's name, two words of a description."""
+    hits = sum((F.lower("body").contains(w).cast("int") for w in DESCRIPTION.split("|")), F.lit(0))
+    return found.where((F.length("body") >= 500) & ~contains_any(F.upper("heading"), ADVERT_NAMES)).withColumn("hits", hits).where("hits >= 2")
+
+
+def body_class(found: DataFrame) -> DataFrame:
+    """Contents, roster, noise or narrative, from a block's lines."""
+    s = F.filter(F.transform(tx.lines(F.col("body")), tx.strip), lambda x: x != "")
+    rows = found.withColumn("s", s)
+    n = F.size("s")
+    number = r"\b\d{1,3}(?:[ab])?\b"
+    toc = F.size(F.filter("s", lambda x: (x.rlike(number) & (x.contains(":") | x.contains(";") | x.rlike(r"\b\d{1,3}(?:[ab])?(?:\.|;)?$"))) | x.endswith("....")))
+    names, table = F.regexp_count("body", F.lit(PERSON)), F.exists("s", lambda x: x.startswith("|"))
+    upper = F.size(F.filter("s", tx.is_upper))
+    kind = (
+        F.when(toc >= F.greatest(F.lit(3), F.floor(n * 0.6)), "toc").when(table | (names >= 2), "roster")
+        .when((F.length("body") < 120) & (upper / F.greatest(n, F.lit(1)) > 0.5), "noise").otherwise("narrative")
+    )
+    density = F.size(F.filter("s", lambda x: x.rlike("[a-z]{3,}"))) / F.greatest(n, F.lit(1))
+    return rows.select("doc_id", "block_no", kind.alias("kind"), names.alias("name_hits"), table.alias("has_table"), density.alias("density"))
+
+
+def discourse(docs: DataFrame) -> DataFrame:
+    """How many phrases of each category occur in a text."""
+    return docs.select("doc_id", *[sum((F.col("text").rlike(f"(?i){p}").cast("int") for p in ps), F.lit(0)).alias(name) for name, ps in DISCOURSE.items()])
+
+
+def until_next(found: DataFrame, heading: str) -> DataFrame:
+    """Blocks from the first with a heading to the last before the next territory (a dominion or colony)."""
+    doc = Window.partitionBy("doc_id")
+    rows = found.withColumn("first", F.min(F.when(F.col("heading") == heading, F.col("block_no"))).over(doc))
+    main = F.col("kind").isin("dominion", "colony_high", "colony_candidate") & (F.col("block_no") > F.col("first"))
+    rows = rows.withColumn("stop", F.min(F.when(main, F.col("block_no"))).over(doc))
+    return rows.where((F.col("block_no") >= F.col("first")) & (F.col("stop").isNull() | (F.col("block_no") < F.col("stop")))).select("doc_id", "block_no", "heading", "kind")

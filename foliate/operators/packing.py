@@ -7,38 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (state, length of the unit) -> whether it opens a new group; the state has ``n`` units and ``len`` characters.
+#: (state, unit) -> whether the unit opens a new group. The state of the group so far: ``n`` units, ``len`` characters,
+#: ``marks`` marked units, ``last`` whether the last was marked.
 Opens = Callable[[Column, Column], Column]
 
 
 def before_limit(limit: int, separator: int) -> Opens:
     """A unit that would lift the group beyond the limit opens the next."""
-    return lambda s, n: (s["n"] > 0) & (s["len"] + separator + n > limit)
+    return lambda s, u: (s["n"] > 0) & (s["len"] + separator + F.length(u) > limit)
 
 
 def after_limit(limit: int) -> Opens:
     """A group that has passed the limit is closed."""
-    return lambda s, n: s["len"] > limit
+    return lambda s, u: s["len"] > limit
 
 
-def group_numbers(units: Column, opens: Opens, separator: int) -> Column:
+def at_marks(mark: Callable[[Column], Column], least: int, units: int, limit: int) -> Opens:
+    """A marked unit opens a group once the last has ``least`` characters or ``units`` marks; beyond the limit any unit does."""
+    return lambda s, u: (s["n"] > 0) & ((mark(u) & ((s["len"] >= least) | (s["marks"] >= units))) | (s["len"] > limit))
+
+
+def headed(mark: Callable[[Column], Column], least_units: int, limit: int) -> Opens:
+    """A marked unit opens a group if the last has more than ``least_units`` units; beyond the limit any unit does."""
+    return lambda s, u: (mark(u) & (s["n"] > least_units)) | (s["len"] > limit)
+
+
+def around_runs(mark: Callable[[Column], Column], before: int, limit: int) -> Opens:
+    """Runs of marked units stay together: one opens a group if the last has more than ``before`` characters, and beyond the limit a group ends outside a run."""
+    return lambda s, u: (mark(u) & ~s["last"] & (s["len"] > before)) | (~(mark(u) & s["last"]) & (s["len"] > limit))
+
+
+def group_numbers(units: Column, opens: Opens, separator: int, mark: Callable[[Column], Column] | None = None) -> Column:
     """The group of each unit, as an array."""
+    mark = mark or (lambda u: F.lit(False))
 
     def step(s: Column, unit: Column) -> Column:
-        n = F.length(unit)
-        new = opens(s, n)
+        n, new, marked = F.length(unit), opens(s, unit), mark(unit)
         grown = F.when(s["n"] > 0, s["len"] + separator + n).otherwise(n)
         group = s["group"] + new.cast("int")
-        return F.struct(F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, n).otherwise(grown).alias("len"), group.alias("group"), F.concat(s["out"], F.array(group)).alias("out"))
+        return F.struct(
+            F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, n).otherwise(grown).alias("len"),
+            (F.when(new, 0).otherwise(s["marks"]) + marked.cast("int")).alias("marks"), marked.alias("last"),
+            group.alias("group"), F.concat(s["out"], F.array(group)).alias("out"),
+        )
 
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(0).alias("marks"), F.lit(False).alias("last"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(units, zero, step, lambda s: s["out"])
 
 
-def pack(docs: DataFrame, units: Column, opens: Opens, separator: str) -> DataFrame:
+def pack(docs: DataFrame, units: Column, opens: Opens, separator: str, mark: Callable[[Column], Column] | None = None) -> DataFrame:
     """``doc_id, chunk_index, units, size, text`` of the packed units of each document."""
     rows = docs.select("doc_id", units.alias("units")).where(F.size("units") > 0)
-    rows = rows.withColumn("g", group_numbers(F.col("units"), opens, len(separator)))
+    rows = rows.withColumn("g", group_numbers(F.col("units"), opens, len(separator), mark))
     per = rows.select("doc_id", "g", F.posexplode("units").alias("at", "u")).select("doc_id", F.get("g", F.col("at")).alias("chunk_index"), "at", "u")
     out = per.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("units"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "u"))), lambda x: x["u"]), separator).alias("text"))
     return out.select("doc_id", "chunk_index", "units", F.length("text").cast("long").alias("size"), "text")

@@ -87,3 +87,13 @@ def sections(docs: DataFrame) -> DataFrame:
     rows = islands(rows.withColumn("opens", opens), F.col("opens"), "section_no", "line_no")
     kind = F.when(F.bool_or(F.col("kind") == "table"), "table").when(F.bool_or(F.col("kind") == "text"), "text").otherwise("header")
     return rows.groupBy("doc_id", "section_no").agg(kind.alias("section_type"), F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("chars"))
+
+
+def report_sections(docs: DataFrame) -> DataFrame:
+    """Sections of a report: a numbered or upper-case line begins one unless it is the first line; flags are of the other lines."""
+    s = F.col("s")
+    begins = s.rlike(r"^[IVX]+\.—[A-Z]") | (tx.is_upper(s) & (F.length(s) > 8) & ~s.startswith("|") & ~s.rlike(r"[£$]\d"))
+    rows = line_table(docs).select("doc_id", "line_no", tx.strip(F.col("line")).alias("s")).withColumn("b", begins)
+    rows = islands(rows, F.col("b") & (F.col("line_no") > 0), "section_no", "line_no")
+    plain = lambda cond: F.coalesce(F.bool_or(F.when(~F.col("b"), cond)), F.lit(False))
+    return rows.groupBy("doc_id", "section_no").agg(F.coalesce(F.max(F.when(F.col("b"), s)), F.lit("")).alias("title"), F.count("*").alias("n_lines"), plain(s.contains("|")).alias("has_table"), plain(s.rlike(r"[£$]\s*\d")).alias("has_money"))

@@ -18,11 +18,11 @@ SENTENCES = """sents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id O
 UPPER = "(regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}'))"
 
 
-def fold_sql(units: str, opens: str, separator: int) -> str:
-    """A recursive CTE over ``units(doc_id, pos, s)``; ``opens`` refers to r.n, r.len and l (the unit's length)."""
-    return f"""u AS (SELECT doc_id, pos, s, length(s) AS l FROM {units}),
-r AS (SELECT doc_id, pos, 0 AS g, 1 AS n, l AS len FROM u WHERE pos = 0
-  UNION ALL SELECT u.doc_id, u.pos, r.g + ({opens})::INT, CASE WHEN {opens} THEN 1 ELSE r.n + 1 END, CASE WHEN {opens} THEN l ELSE r.len + {separator} + l END
+def fold_sql(units: str, opens: str, separator: int, mark: str = "false") -> str:
+    """A recursive CTE over ``units(doc_id, pos, s)``; ``opens`` refers to the group so far (r.n, r.len, r.m, r.last) and the unit (u.s, l, mk)."""
+    return f"""u AS (SELECT doc_id, pos, s, length(s) AS l, {mark} AS mk FROM {units}),
+r AS (SELECT doc_id, pos, 0 AS g, 1 AS n, l AS len, mk::INT AS m, mk AS last FROM u WHERE pos = 0
+  UNION ALL SELECT u.doc_id, u.pos, r.g + ({opens})::INT, CASE WHEN {opens} THEN 1 ELSE r.n + 1 END, CASE WHEN {opens} THEN l ELSE r.len + {separator} + l END, CASE WHEN {opens} THEN 0 ELSE r.m END + mk::INT, mk
   FROM r JOIN u ON u.doc_id = r.doc_id AND u.pos = r.pos + 1),
 packed AS (SELECT doc_id, g AS chunk_index, count(*) AS units, string_agg(s, '{' ' * separator if separator == 1 else '§§'}' ORDER BY pos) AS text FROM r JOIN u USING (doc_id, pos) GROUP BY ALL)"""
 
@@ -152,6 +152,67 @@ def soft_overflow(documents: DataFrame) -> DataFrame:
     return packing.pack(documents, tx.paragraphs(F.col("text"), "\n"), packing.after_limit(1200), "\n\n").drop("text")
 
 
+LINE_UNITS = f"{LINES}, units AS (SELECT doc_id, line_no AS pos, s FROM stripped)"
+_UPPER_LINE = UPPER.format("s")
+_TABLE_LINE = "(length(s) - length(replace(s, '|', '')) >= 2)"
+_ENTRY_LINE = "(regexp_matches(s, '^[A-Z]{2,}[A-Z\\s]*[A-Z]\\s*,') OR regexp_matches(s, '^[A-Z][A-Z\\s]+[A-Z]\\s*\\.') OR regexp_matches(s, '^[A-Z]+\\s*\\('))"
+# Beginnings of entries of a work of reference.
+ENTRIES = [r"^[A-Z]{2,}[A-Z\s]*[A-Z]\s*,", r"^[A-Z][A-Z\s]+[A-Z]\s*\.", r"^[A-Z]+\s*\("]
+
+
+def line_units() -> F.Column:
+    return F.transform(tx.lines(F.col("text")), tx.strip)
+
+
+def is_entry(u: F.Column) -> F.Column:
+    return u.rlike(ENTRIES[0]) | u.rlike(ENTRIES[1]) | u.rlike(ENTRIES[2])
+
+
+def packed_lines(documents: DataFrame, opens: packing.Opens, mark) -> DataFrame:
+    return packing.pack(documents.where("text is not null"), line_units(), opens, "\n", mark).drop("text")
+
+
+def packed_lines_sql(opens: str, mark: str) -> str:
+    return f"WITH RECURSIVE {LINE_UNITS}, {fold_sql('units', opens, 1, mark)} SELECT doc_id, chunk_index, units, length(text) AS size FROM packed"
+
+
+@query("c4_reference_entries", packed_lines_sql("r.n > 0 AND ((mk AND (r.len >= 400 OR r.m >= 3)) OR r.len > 800)", _ENTRY_LINE), documents="documents")
+def reference_entries(documents: DataFrame) -> DataFrame:
+    return packed_lines(documents, packing.at_marks(is_entry, 400, 3, 800), is_entry)
+
+
+@query("c3c_headed_lines", packed_lines_sql("(mk AND r.n > 5) OR r.len > 1500", f"({_UPPER_LINE} AND length(s) > 15 AND NOT starts_with(s, '|'))"), documents="documents")
+def headed_lines(documents: DataFrame) -> DataFrame:
+    def mark(u: F.Column) -> F.Column:
+        return tx.is_upper(u) & (F.length(u) > 15) & ~u.startswith("|")
+
+    return packed_lines(documents, packing.headed(mark, 5, 1500), mark)
+
+
+@query("c3d_whole_tables", packed_lines_sql("(mk AND NOT r.last AND r.len > 800) OR (NOT (mk AND r.last) AND r.len > 1200)", _TABLE_LINE), documents="documents")
+def whole_tables(documents: DataFrame) -> DataFrame:
+    return packed_lines(documents, packing.around_runs(structure.is_table, 800, 1200), structure.is_table)
+
+
+@query("c5b_register_sections", packed_lines_sql("(NOT (mk AND r.last) AND r.len > 1200)", "(contains(s, '|') OR contains(s, chr(9)))"), documents="documents")
+def register_sections(documents: DataFrame) -> DataFrame:
+    def mark(u: F.Column) -> F.Column:
+        return u.contains("|") | u.contains("\t")
+
+    return packed_lines(documents, packing.around_runs(mark, 1 << 30, 1200), mark)
+
+
+@query(
+    "t15_report_sections",
+    f"""WITH {LINES}, f AS (SELECT *, regexp_matches(s, '^[IVX]+\\.—[A-Z]') OR ({UPPER.format('s')} AND length(s) > 8 AND NOT starts_with(s, '|') AND NOT regexp_matches(s, '[£$]\\d')) AS b FROM stripped),
+g AS (SELECT *, sum((b AND line_no > 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sec FROM f)
+SELECT doc_id, sec::INT AS section_no, coalesce(max(s) FILTER (b), '') AS title, count(*) AS n_lines, coalesce(bool_or(contains(s, '|')) FILTER (NOT b), false) AS has_table, coalesce(bool_or(regexp_matches(s, '[£$]\\s*\\d')) FILTER (NOT b), false) AS has_money FROM g GROUP BY doc_id, sec""",
+    documents="documents",
+)
+def report_sections(documents: DataFrame) -> DataFrame:
+    return structure.report_sections(documents)
+
+
 @query("c2_paragraph_groups", f"WITH {PARAS} SELECT doc_id, (pos // 3)::INT AS chunk_index, count(*) AS paragraphs, (sum(length(s)) + 2 * (count(*) - 1))::BIGINT AS size FROM paras GROUP BY doc_id, pos // 3", documents="documents")
 def paragraph_groups(documents: DataFrame) -> DataFrame:
     paras = splitting.explode_units(documents, tx.paragraphs(F.col("text"), "\n"), "pos", "s")

@@ -137,3 +137,77 @@ _GEO = [r"\d+°", r"\bmiles?\s+(north|south|east|west|from)", r"\b(ocean|sea|riv
 def geographic_density(nation: DataFrame, documents: DataFrame) -> DataFrame:
     rows = h.blocks(volumes(nation, documents)).where(F.length("body") > 0)
     return rounded(rows.select("doc_id", "block_no", (matches(F.col("body"), _GEO, "(?i)") / F.length("body")).alias("density")))
+
+
+_STANDARD = "CASE " + " ".join(f"WHEN regexp_matches(l[i], '(?i)^(?:{t})') THEN '{k}'" for k, t in h.STANDARD.items()) + " END"
+
+
+@query(
+    "t10_standard_sections",
+    f"""WITH {BLOCKS}, sl AS (SELECT doc_id, block_no, i, l[i] AS line, {_STANDARD} AS kind FROM (SELECT doc_id, block_no, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, block_no, string_split(body, chr(10)) AS l FROM blocks))),
+sn AS (SELECT *, count(kind) OVER (PARTITION BY doc_id, block_no ORDER BY i {_UPTO}) AS sn FROM sl)
+SELECT doc_id, block_no::INT AS block_no, sn::INT AS section_no, coalesce(max(kind), 'introduction') AS section_type, count(*) AS n_lines, sum(length(line))::BIGINT AS chars FROM sn GROUP BY doc_id, block_no, sn""",
+    **T,
+)
+def standard_sections(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    return h.standard_sections(h.blocks(volumes(nation, documents)))
+
+
+@query("p27_described_blocks", f"WITH {BLOCKS}, d AS (SELECT *, {' + '.join(f'contains(lower(body), {w!r})::INT' for w in h.DESCRIPTION.split('|'))} AS hits FROM blocks WHERE length(body) >= 500 AND NOT {any_sql('upper(heading)', h.ADVERT_NAMES)}) SELECT doc_id, block_no::INT AS block_no, heading, hits FROM d WHERE hits >= 2", **T)
+def described_blocks(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    return h.described(h.blocks(volumes(nation, documents))).select("doc_id", "block_no", "heading", "hits")
+
+
+_ASCII_BODY = "regexp_replace(body, '[^\\x01-\\x7F]', '#', 'g')"
+_PERSON = h.PERSON.replace("'", "''").replace("’", "")
+_TOC = "(regexp_matches(x, '\\b\\d{1,3}(?:[ab])?\\b') AND (contains(x, ':') OR contains(x, ';') OR regexp_matches(x, '\\b\\d{1,3}(?:[ab])?(?:\\.|;)?$'))) OR ends_with(x, '....')"
+
+
+@query(
+    "x9_body_classes",
+    f"""WITH {BLOCKS}, b AS (SELECT doc_id, block_no, {_ASCII_BODY} AS body FROM blocks),
+s AS (SELECT *, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s, len(regexp_extract_all(body, '{_PERSON}')) AS names FROM b),
+k AS (SELECT *, len(list_filter(s, lambda x: {_TOC})) AS toc, len(list_filter(s, lambda x: starts_with(x, '|'))) > 0 AS tab, len(list_filter(s, lambda x: regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}'))) AS up, len(list_filter(s, lambda x: regexp_matches(x, '[a-z]{{3,}}'))) AS sent FROM s)
+SELECT doc_id, block_no::INT AS block_no, CASE WHEN toc >= greatest(3, floor(len(s) * 0.6)) THEN 'toc' WHEN tab OR names >= 2 THEN 'roster' WHEN length(body) < 120 AND up / greatest(len(s), 1) > 0.5 THEN 'noise' ELSE 'narrative' END AS kind, names::INT AS name_hits, tab AS has_table, round(sent / greatest(len(s), 1), 6) AS density FROM k""",
+    **T,
+)
+def body_classes(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    found = h.blocks(volumes(nation, documents)).withColumn("body", F.regexp_replace("body", r"[^\x01-\x7F]", "#"))
+    return rounded(h.body_class(found))
+
+
+_DISCOURSE = ", ".join("(" + " + ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "')::INT" for p in ps) + f")::INT AS {k}" for k, ps in h.DISCOURSE.items())
+
+
+@query("x5_discourse_markers", f"WITH {VOLUMES}, v AS (SELECT doc_id, text || ' Her Majesty''s Government and the Colonial Office name a Commissioner.' AS text FROM volumes) SELECT doc_id, {_DISCOURSE} FROM v", **T)
+def discourse_markers(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    return h.discourse(volumes(nation, documents).withColumn("text", F.concat("text", F.lit(" Her Majesty's Government and the Colonial Office name a Commissioner."))))
+
+
+@query(
+    "w13_until_next_territory",
+    f"""WITH {CLASSES}, f AS (SELECT *, min(block_no) FILTER (heading = 'TERRITORY A') OVER (PARTITION BY doc_id) AS first FROM c),
+w AS (SELECT *, min(block_no) FILTER (kind IN ('dominion', 'colony_high', 'colony_candidate') AND block_no > first) OVER (PARTITION BY doc_id) AS stop FROM f)
+SELECT doc_id, block_no::INT AS block_no, heading, kind FROM w WHERE block_no >= first AND (stop IS NULL OR block_no < stop)""",
+    **T,
+)
+def until_next_territory(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    return h.until_next(h.classified(h.blocks(volumes(nation, documents))), "TERRITORY A")
+
+
+@query("c4c_cross_references", "WITH d AS (SELECT doc_id, text || ' See also Cabinet. see Index' AS text FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\\b[Ss]ee\\s+([A-Z][A-Za-z]+)\\b', 1), regexp_extract_all(text, '\\b[Ss]ee also\\s+([A-Z][A-Za-z]+)\\b', 1)))), ',') AS targets FROM d", documents="documents")
+def cross_references(documents: DataFrame) -> DataFrame:
+    t = F.concat("text", F.lit(" See also Cabinet. see Index"))
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(rf"\b[Ss]ee{also}\s+([A-Z][A-Za-z]+)\b"), F.lit(1)) for also in ("", " also")])
+    return documents.select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("targets"))
+
+
+@query(
+    "a22_hierarchy_counts",
+    f"WITH {CLASSES} SELECT doc_id, count_if(kind = 'dominion') AS dominions, count_if(starts_with(kind, 'colony')) AS colonies, count_if(kind = 'province') AS provinces, count_if(kind = 'admin') AS offices, count_if(kind = 'skip') AS skipped, min(n)::INT AS min_size, max(n)::INT AS max_size, (sum(n) // count(*))::BIGINT AS avg_size FROM c GROUP BY doc_id",
+    **T,
+)
+def hierarchy_counts(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    kinds = {"dominions": F.col("kind") == "dominion", "colonies": F.col("kind").startswith("colony"), "provinces": F.col("kind") == "province", "offices": F.col("kind") == "admin", "skipped": F.col("kind") == "skip"}
+    rows = h.classified(h.blocks(volumes(nation, documents)))
+    return rows.groupBy("doc_id").agg(*[F.count_if(v).alias(k) for k, v in kinds.items()], F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.floor(F.sum("n") / F.count("*")).alias("avg_size"))
