@@ -210,3 +210,54 @@ def until_next(found: DataFrame, heading: str) -> DataFrame:
     main = F.col("kind").isin("dominion", "colony_high", "colony_candidate") & (F.col("block_no") > F.col("first"))
     rows = rows.withColumn("stop", F.min(F.when(main, F.col("block_no"))).over(doc))
     return rows.where((F.col("block_no") >= F.col("first")) & (F.col("stop").isNull() | (F.col("block_no") < F.col("stop")))).select("doc_id", "block_no", "heading", "kind")
+
+
+# Words that no territory's heading has.
+NO_TERRITORY = (
+    "PART|SECTION|CHAPTER|NO.|VOL.|PAGE|FINANCES|IMPORTS|EXPORTS|REVENUE|TRADE|GOVERNMENT|ADMINISTRATION|ESTABLISHMENT|EDUCATION|POSTAL|TELEGRAPH|RAILWAY|"
+    "CIVIL SERVICE|MILITARY|NAVAL|POLICE|MEDICAL|JUDICIAL|CUSTOMS|HARBOR|PUBLIC WORKS|LANDS|AGRICULTURE|ROMAN CATHOLIC|ANGLICAN|CHURCH|BANKS|BANKING|INSURANCE|COMPANIES"
+)
+# Beginnings of headings that introduce the next.
+PREFIXES = ["PROVINCE OF", "COLONY OF", "DOMINION OF", "PRESIDENCY OF", "TERRITORY OF"]
+
+
+def major_headers(volumes: DataFrame) -> DataFrame:
+    """Lines in capitals with a full stop that can be a territory's heading: ``doc_id, start, name, end``; the end is the next one's start."""
+    rows = line_table(volumes).select("doc_id", "start", tx.strip(F.col("line")).alias("s"))
+    rows = rows.where(tx.is_upper(F.col("s")) & F.col("s").endswith(".") & (F.length("s") >= 6) & ~contains_any(F.col("s"), NO_TERRITORY))
+    seq = Window.partitionBy("doc_id").orderBy("start")
+    rows = rows.join(volumes.select("doc_id", F.length("text").cast("long").alias("n")), "doc_id")
+    return rows.select("doc_id", "start", F.replace("s", F.lit("."), F.lit("")).alias("name"), F.coalesce(F.lead("start").over(seq), F.col("n")).alias("end"))
+
+
+def grouped(headers: DataFrame) -> DataFrame:
+    """One row a container with all its units, wherever they stand, and one for each other territory.
+
+    The gazetteer is a constant of a few rows; a unit belongs to the first container one of whose names its heading contains.
+    """
+    names = [(i, c, u) for i, (c, v) in enumerate(CONTAINERS.items()) for u in v.split("|")]
+    gazetteer = F.broadcast(headers.sparkSession.createDataFrame(names, "ord int, container string, unit string"))
+    met = headers.join(gazetteer, F.col("name").contains(F.col("unit")), "left")
+    one = met.groupBy("doc_id", "start", "end", "name").agg(F.min_by("container", "ord").alias("container"))
+    key = F.coalesce("container", F.concat_ws("@", "name", "start"))
+    return one.groupBy("doc_id", key.alias("key")).agg(
+        F.coalesce(F.max("container"), F.max("name")).alias("name"), F.when(F.max("container").isNotNull(), "dominion").otherwise("colony").alias("kind"),
+        F.count("*").alias("sections"), F.min("start").alias("start"), F.max("end").alias("end"),
+    ).drop("key")
+
+
+def folded(found: DataFrame, short: int = 160) -> DataFrame:
+    """Blocks without body, or short ones with an introducing heading, give their headings to the next block that stays."""
+    intro = F.lit(False)
+    for p in PREFIXES:
+        intro = intro | F.col("heading").startswith(p)
+    stays = (F.length("body") > 0) & ~((F.length("body") < short) & intro)
+    after = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = found.withColumn("stays", stays).withColumn("to", F.first(F.when(F.col("stays"), F.col("block_no")), ignorenulls=True).over(after)).where("to is not null")
+    given = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("stays"), F.struct("block_no", "heading")))), lambda x: x["heading"]), "|")
+    return rows.groupBy("doc_id", F.col("to").alias("block_no")).agg(F.max(F.when(F.col("stays"), F.col("heading"))).alias("heading"), given.alias("prefix_headings"))
+
+
+def last_of_name(found: DataFrame) -> DataFrame:
+    """The last block of each heading, and how many there were."""
+    return found.groupBy("doc_id", "heading").agg(F.max("block_no").alias("block_no"), F.max_by(F.length("body"), "block_no").alias("size"), F.count("*").alias("seen"))

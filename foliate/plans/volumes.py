@@ -211,3 +211,60 @@ def hierarchy_counts(nation: DataFrame, documents: DataFrame) -> DataFrame:
     kinds = {"dominions": F.col("kind") == "dominion", "colonies": F.col("kind").startswith("colony"), "provinces": F.col("kind") == "province", "offices": F.col("kind") == "admin", "skipped": F.col("kind") == "skip"}
     rows = h.classified(h.blocks(volumes(nation, documents)))
     return rows.groupBy("doc_id").agg(*[F.count_if(v).alias(k) for k, v in kinds.items()], F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.floor(F.sum("n") / F.count("*")).alias("avg_size"))
+
+
+_HEADERS = f"""{BLOCKS}, mh AS (SELECT vp.doc_id, start, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM vp),
+mj AS (SELECT doc_id, start::BIGINT AS start, replace(s, '.', '') AS name, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), length(text))::BIGINT AS stop FROM mh JOIN volumes USING (doc_id)
+  WHERE regexp_matches(s, '\\p{{Lu}}') AND NOT regexp_matches(s, '\\p{{Ll}}') AND ends_with(s, '.') AND length(s) >= 6 AND NOT {any_sql('s', h.NO_TERRITORY)})"""
+
+
+@query("t11_major_headers", f"WITH {_HEADERS} SELECT doc_id, start, name, stop FROM mj", **T)
+def major_headers(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    return h.major_headers(volumes(nation, documents)).withColumnRenamed("end", "stop")
+
+
+_GAZETTEER = ", ".join(f"({i}, '{c}', '{u}')" for i, (c, v) in enumerate(h.CONTAINERS.items()) for u in v.split("|"))
+
+
+@query(
+    "g4_dominion_groups",
+    f"""WITH {_HEADERS}, gz(ord, container, unit) AS (VALUES {_GAZETTEER}),
+o AS (SELECT doc_id, start, stop, name, min_by(container, ord) AS container FROM mj LEFT JOIN gz ON contains(name, unit) GROUP BY ALL)
+SELECT doc_id, coalesce(max(container), max(name)) AS name, CASE WHEN max(container) IS NULL THEN 'colony' ELSE 'dominion' END AS kind, count(*) AS sections, min(start) AS start, max(stop) AS stop FROM o GROUP BY doc_id, coalesce(container, name || '@' || start)""",
+    **T,
+)
+def dominion_groups(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    return h.grouped(h.major_headers(volumes(nation, documents))).withColumnRenamed("end", "stop")
+
+
+_INTRO = "(" + " OR ".join(f"starts_with(heading, '{p}')" for p in h.PREFIXES) + ")"
+
+
+@query(
+    "t7_folded_prefixes",
+    f"""WITH {BLOCKS}, f AS (SELECT *, length(body) > 0 AND NOT (length(body) < 2500 AND {_INTRO}) AS stays FROM (SELECT * REPLACE (coalesce(body, '') AS body) FROM blocks)),
+t AS (SELECT *, first_value(CASE WHEN stays THEN block_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tb FROM f)
+SELECT doc_id, tb::INT AS block_no, max(heading) FILTER (stays) AS heading, coalesce(string_agg(heading, '|' ORDER BY block_no) FILTER (NOT stays), '') AS prefix_headings FROM t WHERE tb IS NOT NULL GROUP BY doc_id, tb""",
+    **T,
+)
+def folded_prefixes(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    return h.folded(h.blocks(volumes(nation, documents)), 2500)
+
+
+@query("t13_last_of_name", f"WITH {BLOCKS} SELECT doc_id, heading, max(block_no)::INT AS block_no, max_by(length(body), block_no)::INT AS size, count(*) AS seen FROM blocks GROUP BY doc_id, heading", **T)
+def last_of_name(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    return h.last_of_name(h.blocks(volumes(nation, documents)))
+
+
+@query("c3e_head_and_body", f"WITH {VOLUMES} SELECT doc_id, substring(text, 1, instr(text, chr(10)) - 1) AS head, (length(text) - instr(text, chr(10)))::INT AS body_size FROM volumes", **T)
+def head_and_body(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    parts = F.split("text", "\n", 2)
+    return volumes(nation, documents).select("doc_id", parts[0].alias("head"), F.length(parts[1]).alias("body_size"))
+
+
+@query("j11_known_names", f"WITH {BLOCKS}, k(name) AS (VALUES ('CANADA'), ('ONTARIO'), ('TERRITORY B'), ('NOWHERE')) SELECT name, count(DISTINCT (doc_id, block_no)) FILTER (heading IS NOT NULL) AS found FROM k LEFT JOIN blocks ON contains(heading, name) GROUP BY name", **T)
+def known_names(nation: DataFrame, documents: DataFrame) -> DataFrame:
+    found = h.blocks(volumes(nation, documents)).select("doc_id", "block_no", "heading")
+    names = found.sparkSession.createDataFrame([("CANADA",), ("ONTARIO",), ("TERRITORY B",), ("NOWHERE",)], "name string")
+    counts = found.join(F.broadcast(names), F.col("heading").contains(F.col("name"))).groupBy("name").agg(F.countDistinct("doc_id", "block_no").alias("found"))
+    return names.join(counts, "name", "left").fillna(0, ["found"])
