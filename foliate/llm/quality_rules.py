@@ -51,7 +51,8 @@ def statistics(text: Column) -> dict[str, Column]:
         "shouts": share("!"),
         "stops": share(r"[.,]"),
         "word_chars": n / F.size(words),
-        "distinct_words": F.size(F.array_distinct(words)) / F.size(words).cast("double"),
+        # a ratio of logarithms: the plain share of distinct words falls with a text's length
+        "variety": F.log1p(F.size(F.array_distinct(words)).cast("double")) / F.log1p(F.size(words).cast("double")),
         "line_chars": F.log1p(n / F.size(lines)),
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
     }
