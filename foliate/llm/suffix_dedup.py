@@ -5,16 +5,15 @@ one with the smallest hash (the last of equals), so equal strings choose the sam
 at the same offset. Neighbouring strings of a text share their choice; they form one
 entry (anchor, range of offsets), which keeps a bucket's entries far fewer than bytes.
 
-A bucket is refined like a bucket of suffixes: its range of offsets is halved, and the
-entries are sorted anew by the bucket they had together with the identifier of the
-bytes that all strings of the half share, which reach further with each halving. The
-new buckets are refined in turn. A bucket is done as soon as it has one entry, or
+A bucket is refined like a bucket of suffixes: its range of offsets is cut in parts, and
+the entries are sorted anew by the identifier of the bytes that all strings of a part
+share, which reach further with each cut. The new buckets are refined in turn. A bucket is done as soon as it has one entry, or
 entries that agree on all their bytes; then all but the first repeat it. Only
 identifiers, counts and first places are aggregated, so a bucket with a third of all
 entries is never in one task.
 
-The first step needs no text: it counts identifiers of all buckets. Repeated buckets
-are marked in two bitmaps of fixed size while they are few enough for these to be
+The first step needs no bytes: it counts identifiers of all buckets. Repeated buckets
+are marked in bitmaps of fixed size while they are few enough for these to be
 selective (``bits``); beyond that, entries meet the repeated buckets in a shuffled
 join and fetch their bytes by document.
 
@@ -39,6 +38,8 @@ _U = np.uint64
 SPAN, GRAM = 100, 32
 #: Bits of a bitmap (16 MB); it is used while there are this many times fewer repeated buckets.
 BITS, SELECTIVE = 1 << 27, 4
+#: Parts into which a bucket's range of offsets is cut at a time.
+SPLIT = 4
 _PLACE = (1 << 20) - 1
 _PIECE = 1 << 19
 
@@ -111,36 +112,36 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def identifiers(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, offsets, _ in pieces(batches):
-            *_, bucket, u = entries(raw, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(u.view(np.int64))], ["k", "u"])
+        for batch, raw, offsets, _ in pieces(batches):
+            row, *_, bucket, u = entries(raw, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(bucket.view(np.int64)), pa.array(u.view(np.int64))], ["id", "k", "u"])
 
-    return docs.select("text").mapInArrow(run, "k long, u long")
+    return docs.select("id", "text").mapInArrow(run, "id long, k long, u long")
 
 
 _ENTRY = "id long, h long, k long, u long, pos long, left int, first int, ctx binary"
 
 
-def all_entries(docs: DataFrame, maps: np.ndarray | None) -> DataFrame:
+def all_entries(docs: DataFrame, bits: np.ndarray | None, with_bytes: bool) -> DataFrame:
     """Entries ``id, h, k, u, pos, left, first, ctx``: strings start ``left`` to ``first`` bytes before ``pos``.
 
-    maps: bitmaps of the repeated buckets and of those that have to be refined; only
-    the first's entries are given, and bytes (ctx, from the first string's start to the
-    last one's end) only where the second has them.
+    bits: a bitmap of the wanted buckets, None for all. ctx: the bytes from the first
+    string's start to the last one's end, if asked for.
     """
-    held = docs.sparkSession.sparkContext.broadcast(maps)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
+        wanted = held.value
         for batch, raw, offsets, base in pieces(batches):
             row, anchor, lo, hi, bucket, u = entries(raw, offsets)
+            if wanted is not None:
+                slot = (bucket & _U(8 * len(wanted) - 1)).astype(np.int64)
+                on = wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+                row, anchor, lo, hi, bucket, u = (x[on] for x in (row, anchor, lo, hi, bucket, u))
             ctx: list[bytes | None] = [None] * len(row)
-            if bits is not None:
-                slot = (bucket & _U(8 * bits.shape[1] - 1)).astype(np.int64)
-                on = bits[:, slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
-                row, anchor, lo, hi, bucket, u = (x[on[0]] for x in (row, anchor, lo, hi, bucket, u))
-                refine, data = on[1][on[0]], raw.tobytes()
-                ctx = [data[a : b + SPAN] if r else None for a, b, r in zip(lo.tolist(), hi.tolist(), refine.tolist())]
+            if with_bytes:
+                data = raw.tobytes()
+                ctx = [data[a : b + SPAN] for a, b in zip(lo.tolist(), hi.tolist())]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(take), batch.column("h").take(take), pa.array(bucket.view(np.int64)), pa.array(u.view(np.int64)), pa.array(anchor - offsets[row] + base), pa.array((anchor - lo).astype(np.int32)), pa.array((anchor - hi).astype(np.int32)), pa.array(ctx, pa.binary())],
@@ -160,58 +161,89 @@ def bitmap(values: DataFrame, bits: int) -> np.ndarray:
     return out[: bits // 8]
 
 
-def candidates(docs: DataFrame, bits: int) -> DataFrame:
-    """Entries whose buckets are repeated, with bytes where these have to be refined."""
-    counted = identifiers(docs).groupBy("k").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"))
-    repeated = store(counted.where("n > 1").select("k", (F.col("low") < F.col("high")).alias("refine")), "buckets")
-    if repeated.count() * SELECTIVE <= bits:
-        maps = np.stack([bitmap(repeated, bits), bitmap(repeated.where("refine"), bits)])
-        return store(all_entries(docs, maps), "entries")
-    found = store(all_entries(docs, None).drop("ctx").join(repeated, "k"), "entries")
-    place = F.struct("pos", "left", "first", "k", "u")
-    here = found.where("refine").distinct().groupBy("id", "h").agg(F.collect_list(place).alias("places")).join(docs.select("id", "h", "text").distinct(), ["id", "h"])
-    one = here.select("id", "h", F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p")).select("id", "h", "p.*", F.expr(f"substring(raw, cast(p.pos - p.left + 1 as int), p.left - p.first + {SPAN})").alias("ctx"))
-    columns = [c.split()[0] for c in _ENTRY.split(", ")]
-    return store(found.where("not refine").withColumn("ctx", F.lit(None).cast("binary")).select(columns).union(one.select(columns)), "entries")
-
-
-def refined(found: DataFrame) -> DataFrame:
-    """Repeats ``id, h, start, end``: bytes of strings that also start earlier."""
-    c1, c2, o1, o2 = (F.col(c) for c in ("c1", "c2", "o1", "o2"))
-    width = SPAN - GRAM
-    now = found.select("id", "h", "pos", "left", "ctx", "k", F.lit(0).cast("long").alias("k2"), "u", F.lit(0).alias("o1"), F.lit(width).alias("o2"), F.col("first").alias("c1"), F.col("left").alias("c2"))
-    out = None
+def repeated_buckets(docs: DataFrame) -> DataFrame:
+    """``k, refine, first_id`` of buckets with several entries; refine: these differ."""
+    counted = identifiers(docs).groupBy("k").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"), F.min("id").alias("first_id"))
+    return store(counted.where("n > 1").select("k", (F.col("low") < F.col("high")).alias("refine"), "first_id"), "buckets")
+
+
+def span(first: str | Column, last: str | Column) -> list[Column]:
+    """Bytes of the strings that start ``last`` to ``first`` bytes before ``pos``."""
+    return [(F.col("pos") - last).alias("start"), (F.col("pos") - first + SPAN).alias("end")]
+
+
+def uniform_repeats(docs: DataFrame, buckets: DataFrame, bits: np.ndarray | None) -> DataFrame:
+    """Repeats in buckets whose entries are all equal: all but the first."""
+    met = all_entries(docs, bits, False).drop("ctx").join(buckets.where("not refine").select("k", "first_id"), "k")
+    later = met.where("id > first_id").select("id", "h", *span(F.col("first"), F.col("left")))
+    # a document's own repeats: its entries of a bucket are as many as it has
+    own = met.where("id = first_id").groupBy("k", "id").agg(F.collect_set(F.struct("h", "pos", "left", "first")).alias("all")).where(F.size("all") > 1)
+    own = own.select("id", F.explode(F.slice(F.array_sort("all"), F.lit(2), F.size("all"))).alias("e")).select("id", "e.*")
+    return later.union(own.select("id", "h", *span(F.col("first"), F.col("left"))))
+
+
+def refinable(docs: DataFrame, buckets: DataFrame, bits: np.ndarray | None) -> DataFrame:
+    """Entries of the buckets to refine, with their bytes."""
+    if bits is not None:
+        return store(all_entries(docs, bits, True), "entries")
+    found = all_entries(docs, None, False).drop("ctx").join(buckets.where("refine").select("k"), "k").distinct()
+    places = found.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "left", "first", "k", "u")).alias("places"))
+    here = places.join(docs.select("id", "h", F.col("text").cast("binary").alias("raw")).distinct(), ["id", "h"])
+    one = here.select("id", "h", "raw", F.explode("places").alias("p")).select("id", "h", "p.*", F.expr(f"substring(raw, cast(p.pos - p.left + 1 as int), p.left - p.first + {SPAN})").alias("ctx"))
+    return store(one, "entries")
+
+
+def refined(found: DataFrame) -> list[DataFrame]:
+    """Repeats ``id, h, start, end`` among entries of buckets with different ones."""
     place = F.struct("id", "h", "pos")
+    # equal entries of a bucket repeat the first of them; only these are refined
+    heads = found.groupBy("k", "u").agg(F.min(place).alias("head"))
+    met = store(found.join(heads, ["k", "u"]), "heads")
+    out = [met.where(place != F.col("head")).select("id", "h", *span(F.col("first"), F.col("left")))]
+    rest = met.where(place == F.col("head")).dropDuplicates(["k", "u"]).select("id", "h", "pos", "ctx", F.lit(0).alias("o1"), F.lit(SPAN - GRAM).alias("o2"), F.col("first").alias("c1"), F.col("left").alias("c2"))
     while True:
-        buckets = now.groupBy("k", "k2").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"), F.min(place).alias("head")).where("n > 1")
-        met = store(now.join(buckets, ["k", "k2"]), "refined")
-        done = met.where((F.col("low") == F.col("high")) & (place != F.col("head")))
-        done = done.select("id", "h", (F.col("pos") - c2).alias("start"), (F.col("pos") - c1 + SPAN).alias("end"))
-        out = done if out is None else out.union(done)
+        now = rest.select("id", "h", "pos", "ctx", "c2", F.explode(F.array(*parts(F.col("c1"), F.col("c2"), F.col("o1"), F.col("o2")))).alias("x")).where("x.c1 <= x.c2")
+        own = F.substring(F.col("ctx"), F.col("c2") - F.col("x.c2") + 1, F.col("x.c2") - F.col("x.c1") + SPAN)
+        now = now.select("id", "h", "pos", "x.*", own.alias("ctx"))
+        shared = F.substring(F.col("ctx"), F.col("c2") - F.col("o2") + (F.col("o2") - F.col("o1")) + 1, SPAN - (F.col("o2") - F.col("o1")))
+        now = now.select("*", F.xxhash64(shared, "o1").alias("k"), F.xxhash64("o1", shared, "o2").alias("k2"), F.xxhash64("ctx", "c1", "c2").alias("u"))
+        buckets = now.groupBy("k", "k2").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"), F.min(place).alias("head")).where("n > 1").drop("n")
+        met = store(now.join(buckets, ["k", "k2"]).drop("k", "k2", "u"), "refined")
+        out.append(met.where((F.col("low") == F.col("high")) & (place != F.col("head"))).select("id", "h", *span(F.col("c1"), F.col("c2"))))
         rest = met.where("low < high")
         if rest.isEmpty():
-            return out.distinct()
-        middle = F.floor((o1 + o2) / 2).cast("int")
+            return out
+
+
+def parts(c1: Column, c2: Column, o1: Column, o2: Column) -> list[Column]:
+    """A range of offsets o1 to o2 in SPLIT parts, each with the entry's own offsets (c1 to c2) in it."""
+    out, size = [], F.ceil((o2 - o1 + 1) / SPLIT).cast("int")
+    for i in range(SPLIT):
+        a, b = o1 + i * size, F.least(o2, o1 + (i + 1) * size - 1)
+        out.append(F.struct(a.alias("o1"), b.alias("o2"), F.greatest(c1, a).alias("c1"), F.least(c2, b).alias("c2")))
+    return out
 
-        def half(a: Column, b: Column) -> Column:
-            lo, hi = F.greatest(c1, a), F.least(c2, b)
-            shared = F.substring(F.col("ctx"), F.col("left") - a + 1, SPAN - (b - a))
-            own = F.substring(F.col("ctx"), F.col("left") - hi + 1, SPAN + hi - lo)
-            return F.struct(F.xxhash64(shared, a).alias("k"), F.xxhash64(a, shared, b).alias("k2"), F.xxhash64(own, lo, hi).alias("u"), a.alias("o1"), b.alias("o2"), lo.alias("c1"), hi.alias("c2"))
 
-        halves = F.array(half(o1, middle), half(middle + 1, o2))
-        now = rest.where("o1 < o2").select("id", "h", "pos", "left", "ctx", F.explode(halves).alias("x")).where("x.c1 <= x.c2").select("id", "h", "pos", "left", "ctx", "x.*")
+def find_repeats(docs: DataFrame, bits: int) -> DataFrame:
+    """Repeats ``id, h, start, end`` of ``docs`` (see ``keyed``)."""
+    buckets = repeated_buckets(docs)
+    few = buckets.count() * SELECTIVE <= bits
+    equal, differ = (bitmap(buckets.where(c), bits) if few else None for c in ("not refine", "refine"))
+    out = uniform_repeats(docs, buckets, equal)
+    for more in refined(refinable(docs, buckets, differ)):
+        out = out.union(more)
+    return out
 
 
 def repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """Repeats of ``docs``: see ``refined``; ``id`` and ``h`` as in ``keyed``."""
-    return refined(candidates(keyed(docs), bits))
+    return find_repeats(keyed(docs), bits).distinct()
 
 
 def deduplicate(docs: DataFrame, bits: int = BITS, with_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the remaining bytes (``kept``) of each row."""
     docs = keyed(docs)
-    spans = refined(candidates(docs, bits)).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = find_repeats(docs, bits).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
