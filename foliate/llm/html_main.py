@@ -48,7 +48,7 @@ NOISE_TAGS = frozenset("nav aside footer form button select head menu dialog obj
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup comment comments disqus reply replies "
-    "respond share sharing social related recommended widget widgets toolbar pagination pager login search skip".split()
+    "respond share sharing social related recommended widget widgets toolbar pagination pager login search skip alert alerts announcement disclaimer copyright legal paywall teaser".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
@@ -147,7 +147,7 @@ class Page:
             # an unclosed part before it does not swallow the article; a reader's comment may be one
             noise = noise and any(n.noise and n.tag not in ("p", "span", "div") for n in self.open) or bool(words & {"comment", "comments", "reply"})
         else:
-            noise = noise or marked or tag in NOISE_TAGS or (tag == "header" and zone < 2)
+            noise = noise or marked or tag in NOISE_TAGS or (zone == 0 and (tag == "header" or "header" in words))
         if tag == "article":
             zone = 2
         elif tag == "main":
