@@ -38,41 +38,45 @@ def terms(text: Column) -> Column:
 
 def subset_mask(term: Column) -> Column:
     """Bit k is set if the term belongs to the k-th randomised lexicon."""
-    mask, at = F.lit(0).cast("long"), 0
-    for n, power in DENSITIES:
-        bits = None
-        for i in range(power):
-            one = F.xxhash64(term, F.lit(f"lexicon {power} {i}"))
+    mask, bits, at, used = F.lit(0).cast("long"), None, 0, 0
+    for n, power in DENSITIES:  # powers rise: further hashes thin the bits out
+        for i in range(used, power):
+            one = F.xxhash64(term, F.lit(f"lexicon {i}"))
             bits = one if bits is None else bits.bitwiseAND(one)
-        mask = mask.bitwiseOR(F.shiftleft(bits.bitwiseAND(F.lit((1 << n) - 1)), at))
-        at += n
+        mask = mask.bitwiseOR(bits.bitwiseAND(F.lit(((1 << n) - 1) << at)))
+        at, used = at + n, power
     return mask
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
-    """``term, mask`` of the terms in the band."""
+    """``term`` of the terms in the band."""
     n = docs.count()
     found = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     high = max(LEAST_HIGH, HIGH * n)
-    return store(found.where((F.col("df") >= LOW * n) & (F.col("df") <= high)).select("term", subset_mask(F.col("term")).alias("mask")), "lexicon")
+    return store(found.where((F.col("df") >= LOW * n) & (F.col("df") <= high)).select("term"), "lexicon")
 
 
-def signatures(sorted_terms: Column) -> Column:
-    """A hash for each subset, null where it has none of the terms."""
+def signed(sorted_terms: Column) -> Column:
+    """``full`` and ``subs`` of sorted lexicon terms; null if there are none. A subset without terms has no hash."""
+    marked = F.transform(sorted_terms, lambda t: F.struct(t.alias("term"), subset_mask(t).alias("mask")))
 
-    def one(k: Column) -> Column:
-        part = F.transform(F.filter(sorted_terms, lambda t: F.call_function("getbit", t["mask"], k) == 1), lambda t: t["term"])
-        return F.when(F.size(part) > 0, F.hash(part))
+    def subsets(m: Column) -> Column:
+        def one(k: Column) -> Column:
+            part = F.transform(F.filter(m, lambda t: F.call_function("getbit", t["mask"], k) == 1), lambda t: t["term"])
+            return F.when(F.size(part) > 0, F.hash(part))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
 
+    # the outer array holds the marked terms once, so that no subset marks them again
+    subs = F.element_at(F.transform(F.array(marked), subsets), 1)
+    return F.when(F.size(sorted_terms) > 0, F.struct(F.xxhash64(sorted_terms).alias("full"), subs.alias("subs")))
 
-def in_lexicon(variants: DataFrame, words: DataFrame, *key: str) -> DataFrame:
-    """``full`` and ``subs`` of each key of ``variants(key, term)`` that has lexicon terms."""
+
+def in_lexicon(split: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of ``split`` with a lexicon term, or none at all."""
     few = words.count() <= BROADCAST_ROWS
-    kept = variants.join(F.broadcast(words) if few else words, "term")
-    sorted_ = kept.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("term", "mask"))).alias("t"))
-    return sorted_.select(*key, F.xxhash64(F.transform("t", lambda t: t["term"])).alias("full"), signatures(F.col("t")).alias("subs"))
+    known = words.select("term", F.lit(True).alias("known"))
+    return split.join(F.broadcast(known) if few else known, "term", "left").where("known or term is null")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,10 +116,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "doc_id", "text")
 
 
+def collected(condition: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.collect_list(F.when(condition, F.col("term")))))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``id, h, full, subs`` of each distinct document (see ``keyed``) that has lexicon terms."""
-    docs = keyed(docs).select("id", "h", "text").distinct()
-    return in_lexicon(docs.select("id", "h", F.explode(terms(F.col("text"))).alias("term")), lexicon(docs), "id", "h")
+    """``id, h, f`` of each distinct document (see ``keyed``); f is null without lexicon terms."""
+    docs = keyed(docs)
+    none = F.array(F.lit(None).cast("long"))
+    split = docs.select("id", "h", F.explode(F.concat(terms(F.col("text")), none)).alias("term"))
+    return in_lexicon(split, lexicon(docs)).groupBy("id", "h").agg(collected(F.col("term").isNotNull()).alias("t")).select("id", "h", signed(F.col("t")).alias("f"))
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
@@ -123,30 +133,39 @@ def with_edited(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
     words = lexicon(docs)
     nexts = following(docs)
+    # both joins deal the texts by (id, h), so they are shuffled once
+    plain = docs.select("id", "h", "text")
     half = F.floor(F.col("n") / 2).cast("int")
-    starts = docs.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("t")).join(nexts, ["next_id", "next_h"])
-    starts = starts.select("id", "h", F.substring(F.col("t"), F.lit(1), half).alias("start")).groupBy("id", "h").agg(F.first("start").alias("start"))
-    n = F.length("text")
-    edited = docs.join(starts, ["id", "h"]).select("id", "h", "doc_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int")), "start").alias("edited"))
-    # equal rows have equal terms twice; the distinct set is taken again after the lexicon
-    own = F.transform(terms(F.col("text")), lambda t: F.struct(F.lit(0).alias("v"), t.alias("term")))
-    new = F.transform(terms(F.col("edited")), lambda t: F.struct(F.lit(1).alias("v"), t.alias("term")))
-    few = words.count() <= BROADCAST_ROWS
-    kept = edited.select("id", "h", F.explode(F.concat(own, new)).alias("x")).select("id", "h", "x.v", "x.term").join(F.broadcast(words) if few else words, "term")
-    term = F.struct("term", "mask")
-    prints = kept.groupBy("id", "h").agg(*[F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("v") == v, term)))).alias(c) for v, c in enumerate(("own", "new"))])
-    full = lambda c: F.when(F.size(c) > 0, F.xxhash64(F.transform(c, lambda t: t["term"])))
-    prints = prints.select("id", "h", full("own").alias("own_full"), signatures(F.col("own")).alias("own_subs"), full("new").alias("new_full"), signatures(F.col("new")).alias("new_subs"))
-    facts = edited.select("id", "h", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_hash"))
+    other, own = plain.alias("other"), plain.alias("own")
+    starts = nexts.join(other, (F.col("other.id") == F.col("next_id")) & (F.col("other.h") == F.col("next_h")))
+    starts = starts.select(nexts["id"].alias("i"), nexts["h"].alias("j"), F.substring(F.col("other.text"), F.lit(1), half).alias("start")).groupBy("i", "j").agg(F.first("start").alias("start"))
+    n = F.length("own.text")
+    edited = own.join(starts, (F.col("own.id") == F.col("i")) & (F.col("own.h") == F.col("j")))
+    edited = edited.select("own.id", "own.h", F.col("own.text").alias("text"), F.concat(F.substring(F.col("own.text"), F.lit(1), n - F.floor(n / 2).cast("int")), "start").alias("edited"))
+
+    # a row for each term of either text, and one with the facts
+    facts = F.struct(F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.xxhash64("edited").alias("eh"))
+
+    def row(v: int, t: Column, f: Column) -> Column:
+        return F.struct(F.lit(v).alias("v"), t.cast("long").alias("term"), f.cast("struct<n_chars:long,sha:string,eh:long>").alias("facts"))
+
+    def of(v: int, c: str) -> Column:
+        return F.transform(terms(F.col(c)), lambda t: row(v, t, F.lit(None)))
+
+    rows = F.concat(of(0, "text"), of(1, "edited"), F.array(row(2, F.lit(None), facts)))
+    split = edited.select("id", "h", F.explode(rows).alias("x")).select("id", "h", "x.*")
+    prints = in_lexicon(split, words).groupBy("id", "h").agg(collected(F.col("v") == 0).alias("own"), collected(F.col("v") == 1).alias("new"), F.first("facts", ignorenulls=True).alias("facts"))
 
-    def one(name: str, fallback: str) -> Column:
-        return F.struct(F.coalesce(f"{name}_full", fallback).alias("full"), F.when(F.col(f"{name}_full").isNotNull(), F.col(f"{name}_subs")).alias("subs"))
+    def one(name: str, fallback: Column) -> Column:
+        alone = F.struct(fallback.alias("full"), F.lit(None).cast("array<int>").alias("subs"))
+        return F.coalesce(signed(F.col(name)), alone).alias(name)
 
-    table = facts.join(prints, ["id", "h"], "left").select("id", "h", "doc_id", "n_chars", "edited_sha256", one("own", "h").alias("own"), one("new", "edited_hash").alias("new"))
+    table = prints.select("id", "h", "facts", one("own", F.col("h")), one("new", F.col("facts.eh")))
     table = store(table, "fingerprints")
-    next_own = table.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("next")).dropDuplicates(["next_id", "next_h"])
+    next_own = table.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("own").alias("next"))
     out = table.join(nexts.select("id", "h", "next_id", "next_h"), ["id", "h"]).join(next_own, ["next_id", "next_h"])
-    return out.select("doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("new")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+    out = docs.select("id", "h", "doc_id").join(out, ["id", "h"])
+    return out.select("doc_id", "facts.n_chars", F.col("facts.sha").alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("new")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

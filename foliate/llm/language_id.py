@@ -171,9 +171,13 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, limit: int = MAX_LABELLED) -> tuple[list[str], dict[str, np.ndarray]] | None:
     """Languages and parameters, from at most ``limit`` labelled texts outside the held-out part."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)
     middle = F.greatest(F.lit(1), (F.length("text") / 2).cast("int"))
-    sample = chosen.select("lang", F.substring(F.col("text"), F.lit(1), F.lit(WINDOW)).alias("a"), F.substring(F.col("text"), middle, F.lit(WINDOW)).alias("b")).collect()
+    # a hash leaves a few more than the limit, so that each task sends few rows, and only their windows
+    slots = 1 << 30
+    share = 1.3 * limit / max(1, rows.count())
+    few = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < min(1.0, share) * slots)
+    few = few.select("doc_id", "lang", F.substring(F.col("text"), F.lit(1), F.lit(WINDOW)).alias("a"), F.substring(F.col("text"), middle, F.lit(WINDOW)).alias("b"))
+    sample = few.orderBy(F.xxhash64("doc_id"), "doc_id", "a", "b").limit(limit).collect()
     if not sample:
         return None
     langs = sorted({r["lang"] for r in sample})

@@ -5,9 +5,11 @@
    by rank, and a document's elements stop as soon as no later rank can lower it.
 2. Documents with the same set are one class; only its smallest id goes on.
 3. Bands of the signature are buckets. Every member of a bucket is verified on full
-   sets against the bucket's smallest id, not against every other member; then,
-   while the members left in a bucket lie in several components, against the next
-   smallest. Small rests are compared pair by pair (a bounded number for each row).
+   sets against the bucket's smallest id, not against every other member. Where the
+   rest of a bucket lies in several components, it is cut into parts of a bounded size,
+   and each pair of parts is a block whose documents are compared across components
+   in one task: texts meet by block, no pairs are made. Of buckets with the same
+   members one is compared.
 4. Verified links are joined to components by union-find steps on tables.
 
 No bucket is gathered in one task: smallest members are aggregates, members meet
@@ -35,8 +37,8 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 #: Bytes of words: all but blank and U+0009 to U+000D.
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
-#: Values of a signature at most; a bucket's rest of this size is compared pair by pair.
-WIDTH, SMALL = 128, 16
+#: Values of a signature at most; documents of one part of a bucket's rest (about).
+WIDTH, BLOCK = 128, 1024
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +151,50 @@ def verified(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int, rows_a_band: int) -> DataFrame | None:
+def compared(blocks: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) in each block of ``blocks(bucket, i, j, part, doc, root, text)``: between parts i and j, or inside part i = j.
+
+    A block has a bounded number of documents; each is compared with all others of another component at once.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        text = block.column("text").combine_chunks()
+        doc, root, part = (block.column(c).to_numpy() for c in ("doc", "root", "part"))
+        inside = block.column("i")[0] == block.column("j")[0]
+        _, h, rows = distinct(*shingles(*byte_view(text), k))
+        order = np.argsort(rows, kind="stable")
+        values, ids = np.unique(h[order], return_inverse=True)
+        size = np.bincount(rows, minlength=len(doc))
+        starts = np.cumsum(size) - size
+        roots, of_root = np.unique(root, return_inverse=True)
+        largest = np.bincount(of_root).argmax()  # pairs inside a component are known
+        mark, a, b = np.zeros(len(values), np.int32), [], []
+        for x in np.flatnonzero(of_root != largest):
+            own = ids[starts[x] : starts[x] + size[x]]
+            mark[own] = 1
+            both = np.where(size > 0, np.add.reduceat(np.append(mark[ids], 0), starts), 0)
+            mark[own] = 0
+            ok = (100 * both >= percent * (size[x] + size - both)) & (root != root[x])
+            if not inside:
+                ok &= part != part[x]
+            found = doc[ok]
+            a.append(np.minimum(found, doc[x]))
+            b.append(np.maximum(found, doc[x]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return blocks.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def near_labels(found: DataFrame) -> DataFrame:
+    """``doc, root``: the smallest id within two links, not always of the whole component."""
+    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.join(one.select(F.col("a").alias("b"), "m"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("m").alias("root"))
+
+
+def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int, rows_a_band: int) -> DataFrame:
     """Links (a, b) between classes: enough of them to give the components of all links."""
     members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"))
     first = members.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -158,23 +203,18 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int,
     held = store(docs.join(ids, "doc_id"), "candidates")
     pairs = members.where("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     found = store(verified(pairs, held, k, percent), "links")
-    tested = store(pairs, "tested")
-    while True:
-        roots = components(found, "doc", "root")
-        # members beyond the last pivot, with their components; only buckets where these differ stay
-        rest = members.where("doc > pivot").join(roots, "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-        open_ = rest.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket", "pivot", "n")
-        members = store(rest.join(open_, "bucket"), "members")
-        if members.isEmpty():
-            return found
-        few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-        near = few.select("bucket", F.col("doc").alias("a"), F.col("root").alias("ra")).join(few.select("bucket", F.col("doc").alias("b"), F.col("root").alias("rb")), "bucket").where("a < b and ra <> rb").select("a", "b")
-        heads = many.where("doc = pivot").select("bucket", F.col("root").alias("ra"))
-        far = many.join(heads, "bucket").where("doc > pivot and root <> ra").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-        pairs = store(near.union(far).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = store(found.union(verified(pairs, held, k, percent)), "links")
-        tested = store(tested.union(pairs), "tested")
-        members = many.select("bucket", "doc", "pivot")
+
+    # what is left of the buckets whose members lie in several components; of equal ones, one
+    rest = members.where("doc <> pivot").join(near_labels(found), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
+    rest = store(rest, "rest")
+    h = F.xxhash64("doc")
+    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("s")).where("low < high")
+    open_ = open_.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc", "bucket"), F.col("parts")).cast("int")
+    dealt = rest.join(open_, "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "root")
+    blocks = dealt.join(held.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return store(found.union(compared(blocks, k, percent)), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -198,3 +238,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(m) AS component_id, r.doc_id = min(m) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""

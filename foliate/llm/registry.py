@@ -16,4 +16,4 @@ QUERIES = {
     "op9_site_style_tree": html_main.op9_site_style_tree,
     "op10_secret_links": secrets.op10_secret_links,
 }
-ORACLE_SQL: dict[str, str] = {"op1_winnowing": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_winnowing": decontaminate.ORACLE_SQL, "op3_superminhash": near_dedup.ORACLE_SQL}

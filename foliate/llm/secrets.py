@@ -70,7 +70,7 @@ def scan(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), as_array(base), as_array(weak)], ["row", "doc_id", "base", "weak"])
 
     plain = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, f"row long, doc_id long, base {_SPANS}, weak {_SPANS}")
+    return plain.mapInArrow(run, f"row {plain.schema['row'].dataType.simpleString()}, doc_id long, base {_SPANS}, weak {_SPANS}")
 
 
 def linked(found: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def linked(found: DataFrame) -> DataFrame:
 
     keys = within(weak.where("kind = 3"), [1])
     ends = within(within(weak.where("kind = 4"), [1]), [0, 2, 3])
-    return keys.union(ends).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
+    return keys.union(ends).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("linked"))
 
 
 def secrets(rows: DataFrame) -> DataFrame:
@@ -101,8 +101,10 @@ def secrets(rows: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by a mask; overlapping spans share one. Null text stays null."""
-    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    hits = secrets(rows.select(F.col("_row").alias("row"), "doc_id", "text")).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    # rows meet their spans by a hash of the text: equal texts have equal spans
+    rows = docs.withColumn("_row", F.md5("text"))
+    found = secrets(rows.select(F.col("_row").alias("row"), "doc_id", "text")).where(F.size("spans") > 0)
+    hits = store(found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).dropDuplicates(["_row"]), "spans")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"].cast("int") + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))

@@ -197,10 +197,11 @@ def refined(found: DataFrame) -> list[DataFrame]:
     """Repeats ``id, h, start, end`` among entries of buckets with different ones."""
     place = F.struct("id", "h", "pos")
     # equal entries of a bucket repeat the first of them; only these are refined
-    heads = found.groupBy("k", "u").agg(F.min(place).alias("head"))
-    met = store(found.join(heads, ["k", "u"]), "heads")
+    heads = found.groupBy("k", "u").agg(F.min(place).alias("head"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("left", "first", "ctx")])
+    heads = store(heads, "heads")
+    met = found.drop("ctx").join(heads.where("n > 1").select("k", "u", "head"), ["k", "u"])
     out = [met.where(place != F.col("head")).select("id", "h", *span(F.col("first"), F.col("left")))]
-    rest = met.where(place == F.col("head")).dropDuplicates(["k", "u"]).select("id", "h", "pos", "ctx", F.lit(0).alias("o1"), F.lit(SPAN - GRAM).alias("o2"), F.col("first").alias("c1"), F.col("left").alias("c2"))
+    rest = heads.select("head.*", "ctx", F.lit(0).alias("o1"), F.lit(SPAN - GRAM).alias("o2"), F.col("first").alias("c1"), F.col("left").alias("c2"))
     while True:
         now = rest.select("id", "h", "pos", "ctx", "c2", F.explode(F.array(*parts(F.col("c1"), F.col("c2"), F.col("o1"), F.col("o2")))).alias("x")).where("x.c1 <= x.c2")
         own = F.substring(F.col("ctx"), F.col("c2") - F.col("x.c2") + 1, F.col("x.c2") - F.col("x.c1") + SPAN)

@@ -17,6 +17,15 @@ LIST_ITEM = r"^\s*[-*•]\s+"
 NUMBERED = r"^\s*\d+[.)]\s+"
 
 
+# Beginnings of entries of a work of reference.
+ENTRIES = [r"^[A-Z]{2,}[A-Z\s]*[A-Z]\s*,", r"^[A-Z][A-Z\s]+[A-Z]\s*\.", r"^[A-Z]+\s*\("]
+
+
+def is_entry(line: Column) -> Column:
+    """A stripped line that begins an entry of a work of reference."""
+    return line.rlike(ENTRIES[0]) | line.rlike(ENTRIES[1]) | line.rlike(ENTRIES[2])
+
+
 def line_class(s: Column) -> Column:
     """Class of a stripped line that is not empty; the first that fits."""
     return (

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
-from foliate.operators import profile, splitting, structure
-from foliate.plans.chunking import LINES, UPPER, _PIPES, rounded
+from foliate.operators import adaptive, profile, splitting, structure
+from foliate.plans.chunking import LINES, UPPER, _ENTRY_LINE, _PIPES, fold_sql, rounded
 from foliate.plans.registry import query
 
 
@@ -35,13 +35,16 @@ _BASE = {i: "CASE document_type " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v
 _SCALED = {i: f"CASE WHEN avg_line < 40 THEN floor((CASE WHEN table_density > 0.1 THEN floor({b} * 1.2::DOUBLE) ELSE {b} END) * 1.1::DOUBLE)::INT ELSE (CASE WHEN table_density > 0.1 THEN floor({b} * 1.2::DOUBLE)::INT ELSE {b} END) END" for i, b in _BASE.items()}
 
 
-@query(
-    "x2_document_type",
-    f"""WITH {_FEATURES}, s AS (SELECT *, CASE WHEN has_entries THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN caps_density > 0.05 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN reference_signals > 10 THEN 0.3::DOUBLE ELSE 0 END AS r,
+TYPES = f"""{_FEATURES}, s AS (SELECT *, CASE WHEN has_entries THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN caps_density > 0.05 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN reference_signals > 10 THEN 0.3::DOUBLE ELSE 0 END AS r,
  CASE WHEN administrative_signals > 5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN table_density > 0.1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN has_money THEN 0.2::DOUBLE ELSE 0 END AS a,
  CASE WHEN report_signals > 3 THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN has_roman THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN has_money AND table_density > 0.05 THEN 0.2::DOUBLE ELSE 0 END AS g FROM f),
-t AS (SELECT *, greatest(r, a, g) AS best, CASE WHEN greatest(r, a, g) < 0.3 THEN 'hybrid' WHEN r = greatest(r, a, g) THEN 'reference' WHEN a = greatest(r, a, g) THEN 'administrative' ELSE 'government_report' END AS document_type FROM s)
-SELECT doc_id, document_type, round(best, 6) AS confidence, {_SCALED[0]} AS min_size, {_SCALED[1]} AS max_size FROM t""",
+t AS (SELECT *, greatest(r, a, g) AS best, CASE WHEN greatest(r, a, g) < 0.3 THEN 'hybrid' WHEN r = greatest(r, a, g) THEN 'reference' WHEN a = greatest(r, a, g) THEN 'administrative' ELSE 'government_report' END AS document_type FROM s),
+types AS (SELECT doc_id, document_type, round(best, 6) AS confidence, {_SCALED[0]} AS min_size, {_SCALED[1]} AS max_size FROM t)"""
+
+
+@query(
+    "x2_document_type",
+    f"WITH {TYPES} SELECT * FROM types",
     documents="documents",
 )
 def document_type(documents: DataFrame) -> DataFrame:
@@ -208,3 +211,34 @@ def unlabelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def context_snippets(documents: DataFrame) -> DataFrame:
     at = F.instr("text", ". ")
     return documents.where(F.col("text").contains(". ")).select("doc_id", at.alias("pos"), F.substring(F.col("text"), F.greatest(at - 50, F.lit(1)), F.lit(101)).alias("snippet"))
+
+
+_LINES_OF = "(SELECT doc_id, i - 1 AS pos, regexp_replace(l[i], '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM plain)))"
+_SENTS_OF = "(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, s FROM (SELECT doc_id, i, regexp_replace(l[i], '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM plain))) WHERE s <> '')"
+_OPENS = """CASE kd WHEN 'reference' THEN r.n > 0 AND ((mk AND (r.len >= mn OR r.m >= 3)) OR r.len > mx) WHEN 'administrative' THEN NOT (mk AND r.last) AND r.len > mx
+ WHEN 'government_report' THEN r.n > 0 AND r.len + 2 + l > mx ELSE r.n > 0 AND r.len + 1 + l > mx END"""
+_SEP = "CASE kd WHEN 'government_report' THEN 2 ELSE 1 END"
+ADAPTIVE = f"""plain AS (SELECT doc_id, {_ASCII} AS text FROM documents), {TYPES},
+units AS (SELECT x.doc_id, CASE WHEN document_type = 'government_report' THEN row_number() OVER (PARTITION BY x.doc_id ORDER BY pos) - 1 ELSE pos END AS pos, s, document_type AS kd, min_size AS mn, max_size AS mx FROM {_LINES_OF} x JOIN types USING (doc_id) WHERE document_type IN ('reference', 'administrative') OR (document_type = 'government_report' AND s <> '')
+ UNION ALL SELECT x.doc_id, pos, s, document_type, min_size, max_size FROM {_SENTS_OF} x JOIN types USING (doc_id) WHERE document_type = 'hybrid'),
+{fold_sql('units', _OPENS, _SEP, f"CASE kd WHEN 'reference' THEN {_ENTRY_LINE} WHEN 'administrative' THEN contains(s, '|') OR contains(s, chr(9)) ELSE false END", ', kd, mn, mx')},
+cs AS (SELECT doc_id, g, count(*) AS units, (sum(l) + (count(*) - 1) * any_value({_SEP}))::BIGINT AS size FROM r JOIN u USING (doc_id, pos) GROUP BY doc_id, g HAVING sum(l) > 0),
+made AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS chunk_index, units, size, document_type FROM cs JOIN types USING (doc_id))"""
+
+
+@query("c8_adaptive_chunks", f"WITH RECURSIVE {ADAPTIVE} SELECT * FROM made", documents="documents")
+def adaptive_chunks(documents: DataFrame) -> DataFrame:
+    plain = documents.select("doc_id", _plain(documents).alias("text"))
+    return adaptive.chunks(plain).select("doc_id", "chunk_index", "units", "size", "document_type")
+
+
+@query("a3_document_results", f"WITH RECURSIVE {ADAPTIVE} SELECT d.doc_id, count(m.doc_id) AS chunk_count, coalesce(sum(size), 0)::BIGINT AS total_chars, round(coalesce(avg(size), 0), 6) AS avg_chunk_size FROM documents d LEFT JOIN made m USING (doc_id) GROUP BY d.doc_id", documents="documents")
+def document_results(documents: DataFrame) -> DataFrame:
+    plain = documents.select("doc_id", _plain(documents).alias("text"))
+    return rounded(adaptive.summary(plain, adaptive.chunks(plain)))
+
+
+@query("a2_type_statistics", f"WITH RECURSIVE {ADAPTIVE} SELECT document_type, count(DISTINCT doc_id) AS docs, count(*) AS chunks, round(avg(size), 6) AS avg_size, min(size) AS min_size, max(size) AS max_size FROM made GROUP BY document_type", documents="documents")
+def type_statistics(documents: DataFrame) -> DataFrame:
+    plain = documents.select("doc_id", _plain(documents).alias("text"))
+    return rounded(adaptive.chunks(plain).groupBy("document_type").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), F.avg("size").alias("avg_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size")))

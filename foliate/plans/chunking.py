@@ -18,13 +18,13 @@ SENTENCES = """sents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id O
 UPPER = "(regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}'))"
 
 
-def fold_sql(units: str, opens: str, separator: int, mark: str = "false") -> str:
+def fold_sql(units: str, opens: str, separator: int | str, mark: str = "false", more: str = "") -> str:
     """A recursive CTE over ``units(doc_id, pos, s)``; ``opens`` refers to the group so far (r.n, r.len, r.m, r.last) and the unit (u.s, l, mk)."""
-    return f"""u AS (SELECT doc_id, pos, s, length(s) AS l, {mark} AS mk FROM {units}),
+    return f"""u AS (SELECT doc_id, pos, s, length(s) AS l, {mark} AS mk{more} FROM {units}),
 r AS (SELECT doc_id, pos, 0 AS g, 1 AS n, l AS len, mk::INT AS m, mk AS last FROM u WHERE pos = 0
   UNION ALL SELECT u.doc_id, u.pos, r.g + ({opens})::INT, CASE WHEN {opens} THEN 1 ELSE r.n + 1 END, CASE WHEN {opens} THEN l ELSE r.len + {separator} + l END, CASE WHEN {opens} THEN 0 ELSE r.m END + mk::INT, mk
   FROM r JOIN u ON u.doc_id = r.doc_id AND u.pos = r.pos + 1),
-packed AS (SELECT doc_id, g AS chunk_index, count(*) AS units, string_agg(s, '{' ' * separator if separator == 1 else '§§'}' ORDER BY pos) AS text FROM r JOIN u USING (doc_id, pos) GROUP BY ALL)"""
+packed AS (SELECT doc_id, g AS chunk_index, count(*) AS units, string_agg(s, '{'§§' if separator == 2 else ' '}' ORDER BY pos) AS text FROM r JOIN u USING (doc_id, pos) GROUP BY ALL)"""
 
 
 def digest(column: str = "text") -> F.Column:
@@ -156,18 +156,10 @@ LINE_UNITS = f"{LINES}, units AS (SELECT doc_id, line_no AS pos, s FROM stripped
 _UPPER_LINE = UPPER.format("s")
 _TABLE_LINE = "(length(s) - length(replace(s, '|', '')) >= 2)"
 _ENTRY_LINE = "(regexp_matches(s, '^[A-Z]{2,}[A-Z\\s]*[A-Z]\\s*,') OR regexp_matches(s, '^[A-Z][A-Z\\s]+[A-Z]\\s*\\.') OR regexp_matches(s, '^[A-Z]+\\s*\\('))"
-# Beginnings of entries of a work of reference.
-ENTRIES = [r"^[A-Z]{2,}[A-Z\s]*[A-Z]\s*,", r"^[A-Z][A-Z\s]+[A-Z]\s*\.", r"^[A-Z]+\s*\("]
-
-
 def line_units() -> F.Column:
     return F.transform(tx.lines(F.col("text")), tx.strip)
 
 
-def is_entry(u: F.Column) -> F.Column:
-    return u.rlike(ENTRIES[0]) | u.rlike(ENTRIES[1]) | u.rlike(ENTRIES[2])
-
-
 def packed_lines(documents: DataFrame, opens: packing.Opens, mark) -> DataFrame:
     return packing.pack(documents.where("text is not null"), line_units(), opens, "\n", mark).drop("text")
 
@@ -178,7 +170,7 @@ def packed_lines_sql(opens: str, mark: str) -> str:
 
 @query("c4_reference_entries", packed_lines_sql("r.n > 0 AND ((mk AND (r.len >= 400 OR r.m >= 3)) OR r.len > 800)", _ENTRY_LINE), documents="documents")
 def reference_entries(documents: DataFrame) -> DataFrame:
-    return packed_lines(documents, packing.at_marks(is_entry, 400, 3, 800), is_entry)
+    return packed_lines(documents, packing.at_marks(structure.is_entry, 400, 3, 800), structure.is_entry)
 
 
 @query("c3c_headed_lines", packed_lines_sql("(mk AND r.n > 5) OR r.len > 1500", f"({_UPPER_LINE} AND length(s) > 15 AND NOT starts_with(s, '|'))"), documents="documents")
