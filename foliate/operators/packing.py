@@ -57,8 +57,9 @@ def group_numbers(units: Column, opens: Opens, separator: int, mark: Callable[[C
 
 def pack(docs: DataFrame, units: Column, opens: Opens, separator: str, mark: Callable[[Column], Column] | None = None) -> DataFrame:
     """``doc_id, chunk_index, units, size, text`` of the packed units of each document."""
-    rows = docs.select("doc_id", units.alias("units")).where(F.size("units") > 0)
-    rows = rows.withColumn("g", group_numbers(F.col("units"), opens, len(separator), mark))
-    per = rows.select("doc_id", "g", F.posexplode("units").alias("at", "u")).select("doc_id", F.get("g", F.col("at")).alias("chunk_index"), "at", "u")
+    # the rules may refer to columns of the document, such as its own limits
+    rows = docs.withColumn("_units", units).where(F.size("_units") > 0)
+    rows = rows.withColumn("_groups", group_numbers(F.col("_units"), opens, len(separator), mark))
+    per = rows.select("doc_id", "_groups", F.posexplode("_units").alias("at", "u")).select("doc_id", F.get("_groups", F.col("at")).alias("chunk_index"), "at", "u")
     out = per.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("units"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "u"))), lambda x: x["u"]), separator).alias("text"))
     return out.select("doc_id", "chunk_index", "units", F.length("text").cast("long").alias("size"), "text")
