@@ -4,7 +4,8 @@ Several sequence lengths are permitted, each with a cost. Pieces are taken by fa
 length; each goes to the open bin that it fills best. If it fits none, a bin is opened:
 every permitted size is tried by filling it, largest first, with the pieces still to
 come, and the size with the least cost for a token placed is opened. At the end each
-bin is downsized to the least permitted size that holds its contents.
+bin is downsized to the least permitted size that holds its contents. This is done once
+with all sizes and once without the smallest, and so on to the largest alone; the cheapest result stays.
 
 A document longer than the largest size is cut into pieces of that size and a rest.
 Pieces are dealt by a hash of their row into shards of about ``SHARD`` tokens, packed
@@ -32,10 +33,8 @@ def default_cost(size: int, largest: int) -> float:
     return size * (1 + size / (8 * largest))
 
 
-def pack(lengths: list[int], sizes: tuple[int, ...], costs: tuple[float, ...] | None = None) -> list[tuple[int, int, int]]:
-    """(bin, offset, final size of the bin) of each piece; no length exceeds the largest size."""
-    sizes = tuple(sorted(sizes))
-    costs = costs or tuple(default_cost(s, sizes[-1]) for s in sizes)
+def placed_with(lengths: list[int], sizes: tuple[int, ...], costs: tuple[float, ...]) -> tuple[list[tuple[int, int]], list[int]]:
+    """(bin, offset) of each piece, and what each bin holds, if bins are opened in these sizes (rising)."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     falling = [-lengths[i] for i in order]
 
@@ -62,8 +61,22 @@ def pack(lengths: list[int], sizes: tuple[int, ...], costs: tuple[float, ...] |
         place[i] = (b, used[b])
         used[b] += length
         insort(open_, (gap - length, b))
-    final = [sizes[bisect_left(sizes, u)] for u in used]
-    return [(b, o, final[b]) for b, o in place]
+    return place, used
+
+
+def pack(lengths: list[int], sizes: tuple[int, ...], costs: tuple[float, ...] | None = None) -> list[tuple[int, int, int]]:
+    """(bin, offset, final size of the bin) of each piece; no length exceeds the largest size. costs: one for each of ``sizes``."""
+    cost_of = dict(zip(sizes, costs)) if costs else {s: default_cost(s, max(sizes)) for s in sizes}
+    sizes = tuple(sorted(sizes))
+    best, least = [], float("inf")
+    for first in range(len(sizes)):
+        openers = sizes[first:]
+        place, used = placed_with(lengths, openers, tuple(cost_of[s] for s in openers))
+        final = [sizes[bisect_left(sizes, u)] for u in used]
+        total = sum(cost_of[s] for s in final)
+        if total < least:
+            best, least = [(b, o, final[b]) for b, o in place], total
+    return best
 
 
 def best_fit(docs: DataFrame, length: Column, sizes: tuple[int, ...] = SIZES, costs: tuple[float, ...] | None = None, shard: int = SHARD) -> DataFrame:
