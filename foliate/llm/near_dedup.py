@@ -37,8 +37,8 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 #: Bytes of words: all but blank and U+0009 to U+000D.
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
-#: Values of a signature at most; documents of one part of a bucket's rest (about).
-WIDTH, BLOCK = 128, 1024
+#: Values of a signature at most; documents and shingles of one part of a bucket's rest (about).
+WIDTH, BLOCK, BLOCK_SHINGLES = 128, 1024, 1 << 19
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +73,16 @@ def distinct(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key, h[at], rows[at]
 
 
+def sets_of(text: pa.Array, k: int, limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``distinct`` shingles of a column of texts, about ``limit`` bytes of them at a time."""
+    parts, done = [(np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))], 0
+    for batch in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", limit):
+        h, rows = shingles(*byte_view(batch.column("text")), k)
+        parts.append(distinct(h, rows + done))
+        done += batch.num_rows
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
 def superminhash(h: np.ndarray, rows: np.ndarray, n: int, m: int = WIDTH) -> np.ndarray:
     """Signatures (n x m, uint32) of n sets; an element's value in slot p is its rank j of p, then a random fraction.
 
@@ -158,11 +168,10 @@ def compared(blocks: DataFrame, k: int, percent: int) -> DataFrame:
     """
 
     def run(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
         text = block.column("text").combine_chunks()
         doc, root, part = (block.column(c).to_numpy() for c in ("doc", "root", "part"))
         inside = block.column("i")[0] == block.column("j")[0]
-        _, h, rows = distinct(*shingles(*byte_view(text), k))
+        _, h, rows = sets_of(text, k)
         order = np.argsort(rows, kind="stable")
         values, ids = np.unique(h[order], return_inverse=True)
         size = np.bincount(rows, minlength=len(doc))
@@ -196,22 +205,23 @@ def near_labels(found: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int, rows_a_band: int) -> DataFrame:
     """Links (a, b) between classes: enough of them to give the components of all links."""
-    members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"))
+    members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n_shingles")
     first = members.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = store(members.join(first, "bucket").select("bucket", "doc", "pivot"), "members")
+    members = store(members.join(first, "bucket").select("bucket", "doc", "pivot", "n_shingles"), "members")
     ids = members.select(F.col("doc").alias("doc_id")).distinct()
     held = store(docs.join(ids, "doc_id"), "candidates")
     pairs = members.where("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     found = store(verified(pairs, held, k, percent), "links")
 
     # what is left of the buckets whose members lie in several components; of equal ones, one
-    rest = members.where("doc <> pivot").join(near_labels(found), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
+    rest = members.where("doc <> pivot").join(near_labels(found), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"), "n_shingles")
     rest = store(rest, "rest")
     h = F.xxhash64("doc")
-    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("s")).where("low < high")
-    open_ = open_.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("s")).where("low < high")
+    open_ = open_.groupBy("n", "m", "x", "s").agg(F.min("bucket").alias("bucket"))
+    open_ = open_.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("doc", "bucket"), F.col("parts")).cast("int")
-    dealt = rest.join(open_, "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = rest.drop("n_shingles").join(open_, "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "root")
     blocks = dealt.join(held.select(F.col("doc_id").alias("doc"), "text"), "doc")
     return store(found.union(compared(blocks, k, percent)), "links")
@@ -225,7 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     real = table.where("n_shingles > 0 and doc_id is not null")
     key = ["s1", "s2", "n_shingles"]
     reps = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    classes = real.join(reps.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).select(F.col("doc_id").alias("rep"), "bands")
+    classes = real.join(reps.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).select(F.col("doc_id").alias("rep"), "bands", "n_shingles")
     found = links(classes, docs.where("doc_id is not null"), shingle, percent, bands, rows_a_band)
     # a doc_id with several sets ties their classes together
     repeated = real.join(reps, key).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all")).where("a < b")
