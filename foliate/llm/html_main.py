@@ -7,10 +7,13 @@ are counted, and their entropies, in units of the number of pages, give the plac
 importance. Places of low importance, which look and read alike on many pages, are
 removed from each page, with what HTML itself marks as no part of an article (menus,
 forms, scripts and the like, or class names that say so). Where a page marks its
-article or main part, that is the text, less such parts inside.
+article or main part, that is the text, less such parts and places inside; it is kept
+whole if all places in it are of low importance (pages that are copies of each other).
 
 The counts are aggregates over (host, place, value), so a host with a third of all
-pages is no single task's work. Character references are decoded, white space in a
+pages is no single task's work. Places of low importance are broadcast if they are few
+(``BROADCAST_ROWS``, counted first), so that texts are not shuffled; otherwise each page
+meets its own in a join. Character references are decoded, white space in a
 block becomes one space, blocks are joined by a line feed in page order.
 
 Null html or url is empty; an empty page has an empty text; repeated rows give a row
@@ -154,7 +157,12 @@ class Page:
             zone = max(zone, 1)
         parent.children.append(tag)
         place = _hash(str(parent.place), tag, values.get("class", ""))
-        self.open.append(Node(tag, place, noise, zone, (*parent.chain, place) if tag in BLOCKS and tag not in ("html", "body") else parent.chain))
+        chain = parent.chain
+        if zone > parent.zone:  # places above the main part, and itself, do not count against it
+            chain = ()
+        elif tag in BLOCKS and tag not in ("html", "body"):
+            chain = (*chain, place)
+        self.open.append(Node(tag, place, noise, zone, chain))
 
     def end(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -172,7 +180,7 @@ class Page:
     def result(self) -> tuple[list[dict], list[dict], bool]:
         """Kept blocks with their places, the statistics of all places, and whether the page marks its text."""
         zone = max((z for z, _, _ in self.blocks), default=0)
-        kept = [{"places": list(chain) if not zone else [], "text": t} for z, chain, t in self.blocks if z == zone]
+        kept = [{"places": list(chain), "text": t} for z, chain, t in self.blocks if z == zone]
         stats = [{"place": p, "style": _hash(*s), "content": _hash(*c)} for p, (s, c) in self.seen.items() if any(c)]
         return kept, stats, zone > 0
 
@@ -210,16 +218,40 @@ def importance(pages: DataFrame) -> DataFrame:
     return sums.groupBy("place").agg(F.max("m").cast("long").alias("pages"), F.sum(entropy * weight).alias("importance"))
 
 
+def left_over(blocks: list[dict], gone: set[int], marked: bool) -> str:
+    """Text of the blocks outside removed places; a marked main part is never removed altogether."""
+    kept = [b["text"] for b in blocks if gone.isdisjoint(b["places"])]
+    return "\n".join(kept or ([b["text"] for b in blocks] if marked else []))
+
+
+def removed(table: DataFrame, low: DataFrame) -> DataFrame:
+    """``page_id, url, text``: what is left of each page of ``table`` without the places ``low``."""
+    few = low.count() <= BROADCAST_ROWS
+    if few:
+        held = table.sparkSession.sparkContext.broadcast({r["place"] for r in low.collect()})
+        rows = table.select("page_id", "url", "blocks", "marked", F.array().cast("array<long>").alias("gone"))
+    else:
+        held = table.sparkSession.sparkContext.broadcast(set())
+        own = table.select("row", F.explode("blocks").alias("b")).select("row", F.explode("b.places").alias("place")).distinct()
+        gone = own.join(low, "place").groupBy("row").agg(F.collect_set("place").alias("gone"))
+        rows = table.join(gone, "row", "left").select("page_id", "url", "blocks", "marked", "gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                columns = [batch.column(c).to_pylist() for c in ("blocks", "gone", "marked")]
+                text = [left_over(b, held.value.union(g or ()) if g else held.value, m) for b, g, m in zip(*columns)]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+    return rows.mapInArrow(run, "page_id long, url string, text string")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages(page_id, url, html)``."""
     table = store(parsed(pages), "parsed")
     low = store(importance(table).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).select("place"), "low")
-    own = table.where("not marked").select("row", F.explode("blocks").alias("b")).select("row", F.explode("b.places").alias("place")).distinct()
-    few = low.count() <= BROADCAST_ROWS
-    gone = own.join(F.broadcast(low) if few else low, "place").groupBy("row").agg(F.collect_set("place").alias("gone"))
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["places"], F.col("gone")))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return table.drop("stats").join(gone, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return removed(table.drop("stats"), low).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
