@@ -145,10 +145,11 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Rule
 
 
 def with_scores(docs: DataFrame, model: RuleModel, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a ``score`` column; the statistics are computed once a row."""
+    """``docs`` with a ``score`` column; the statistics are computed once a row, also where a filter on the score follows."""
     stats = F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()])
     name = f"_stats_of_{text}"
-    return docs.withColumn(name, stats).withColumn(out, model.score(lambda s: F.col(name)[s])).drop(name)
+    # a row for each element of an array of one: filters do not pull the statistics through it, once for each rule
+    return docs.withColumn(name, F.explode(F.array(stats))).withColumn(out, model.score(lambda s: F.col(name)[s])).drop(name)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
