@@ -7,7 +7,8 @@ weak parts that mean little alone: ``key`` (40 characters of base 64) and
 Spark: each access identifier has a scope of ``REACH`` code points on either side;
 a key is reported if it lies in such a scope, an endpoint if it lies in the scope of
 an access identifier and in that of a secret (key, assign or hex). The joins are
-semi-joins on (row, bin of positions), so no pairs are made.
+semi-joins on (row, bin of positions), so no pairs are made; parts and scopes are in
+every bin that they touch.
 
 Positions are code points, ends exclusive. Null text is empty. Repeated rows and
 doc_ids give a row each; other columns are kept by ``redact`` and else ignored.
@@ -78,13 +79,16 @@ def linked(found: DataFrame) -> DataFrame:
     some = found.where(F.size("weak") > 0)
     parts = store(some.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s.*"), "parts")
     a, b = F.col("start"), F.col("end")
-    scope = parts.select("row", "kind", a.alias("lo"), b.alias("hi"), F.explode(F.sequence(F.floor((a - REACH) / BIN), F.floor((b + REACH) / BIN))).alias("bin"))
-    weak = parts.where("kind >= 3").withColumn("bin", F.floor(a / BIN))
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BIN), F.floor(hi / BIN)))
+    scope = parts.select("row", "kind", a.alias("lo"), b.alias("hi"), bins(a - REACH, b + REACH).alias("bin"))
+    weak = parts.where("kind >= 3")
 
     def within(left: DataFrame, kinds: list[int]) -> DataFrame:
         right = scope.where(F.col("kind").isin(kinds)).select(F.col("row").alias("r"), F.col("bin").alias("b"), "lo", "hi")
         near = (F.col("start") <= F.col("hi") + REACH) & (F.col("end") >= F.col("lo") - REACH)
-        return left.join(right, (F.col("row") == F.col("r")) & (F.col("bin") == F.col("b")) & near, "left_semi")
+        # a part that only touches a scope ends where it starts: the bin of the end counts too
+        placed = left.withColumn("bin", bins(a, b))
+        return placed.join(right, (F.col("row") == F.col("r")) & (F.col("bin") == F.col("b")) & near, "left_semi").drop("bin").distinct()
 
     keys = within(weak.where("kind = 3"), [1])
     ends = within(within(weak.where("kind = 4"), [1]), [0, 2, 3])
