@@ -1,7 +1,15 @@
-"""Headed volumes built from ``nation`` and ``documents``: a volume for each region."""
+"""Headed volumes built from ``documents``.
+
+The queries that have SQL read a volume for each region, of the documents whose doc_id is
+a key of ``nation`` (25 at every scale). Each also runs over all documents as ``*_all``,
+without SQL: a volume is a range of ``RANGE`` ids, and every document is in it with its
+own text.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +49,31 @@ c AS (SELECT *, CASE WHEN {any_sql('heading', h.SKIP)} THEN 'skip' WHEN {in_sql(
   WHEN n < 400 AND score < 2 THEN 'skip' WHEN n < 1500 AND score < 4.25 THEN 'other' WHEN score >= 6 AND n >= 1500 THEN 'colony_high' WHEN score >= 4.25 AND n >= 1500 THEN 'colony_candidate' ELSE 'other' END AS kind FROM s)"""
 
 
-def volumes(nation: DataFrame, documents: DataFrame) -> DataFrame:
+#: Documents (ids) of a volume where all documents are read.
+RANGE = 16
+
+
+def all_volumes(documents: DataFrame) -> DataFrame:
+    """``doc_id`` (the number of the id range), ``text``: every document under a heading made from its doc_id.
+
+    Repeated doc_ids share a volume. A document without doc_id is in a volume with those of the same text, below -2 ** 62.
+    """
+    letters = "translate(CAST(doc_id AS STRING), '0123456789', 'ABCDEFGHIJ')"
+    heads = " ".join(f"WHEN {k} THEN '{v}'" for k, v in _HEADS.items())
+    head = F.expr(f"coalesce(CASE pmod(doc_id, 8) {heads} ELSE 'TERRITORY ' || {letters} END, 'TERRITORY')")
+    # the words of a colony stand before the text of some, which is whole in all
+    rich = F.when(F.expr("pmod(doc_id, 8) = 6"), _RICH * 12).otherwise("")
+    text = F.coalesce("text", F.lit(""))
+    part = F.concat(head, F.lit(".\n\nSituation and Area.\n"), rich, text, F.lit("\n\nForeign Consuls."))
+    volume = F.coalesce(F.floor(F.col("doc_id") / RANGE), -F.pmod(F.xxhash64(text), F.lit(1 << 61)) - F.lit(1 << 62))
+    rows = documents.select(volume.alias("volume"), F.struct(F.col("doc_id").alias("id"), part.alias("part")).alias("p"))
+    return rows.groupBy(F.col("volume").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "\n\n").alias("text"))
+
+
+def volumes(nation: DataFrame | None, documents: DataFrame) -> DataFrame:
+    """A volume for each region, or without ``nation`` volumes of all documents."""
+    if nation is None:
+        return all_volumes(documents)
     rows = nation.join(documents.select("doc_id", "text"), F.col("doc_id") == F.col("n_nationkey")).select("n_regionkey", "n_nationkey", F.expr(f"({_HEAD.format('STRING')}) || {_PARTS.format(n='chr(10)')}").alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", "part")))
     return rows.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("text"))
@@ -268,3 +300,18 @@ def known_names(nation: DataFrame, documents: DataFrame) -> DataFrame:
     names = found.sparkSession.createDataFrame([("CANADA",), ("ONTARIO",), ("TERRITORY B",), ("NOWHERE",)], "name string")
     counts = found.join(F.broadcast(names), F.col("heading").contains(F.col("name"))).groupBy("name").agg(F.countDistinct("doc_id", "block_no").alias("found"))
     return names.join(counts, "name", "left").fillna(0, ["found"])
+
+
+def folded_prefixes_all(documents: DataFrame) -> DataFrame:
+    return h.folded(h.blocks(all_volumes(documents)))
+
+
+query("t7_folded_prefixes_all", documents="documents")(folded_prefixes_all)
+ALL = {
+    "t6_blocks": blocks, "x7_block_classes": block_classes, "c9_territories": territories, "t9_sections": sections, "g6_copies": copies, "j4_block_pages": block_pages,
+    "j1_transition_boundaries": transition_boundaries, "c11_hierarchical_ids": hierarchical_ids, "x14_geographic_density": geographic_density, "t10_standard_sections": standard_sections,
+    "p27_described_blocks": described_blocks, "x9_body_classes": body_classes, "x5_discourse_markers": discourse_markers, "w13_until_next_territory": until_next_territory,
+    "a22_hierarchy_counts": hierarchy_counts, "t11_major_headers": major_headers, "g4_dominion_groups": dominion_groups, "t13_last_of_name": last_of_name, "c3e_head_and_body": head_and_body, "j11_known_names": known_names,
+}
+for _name, _f in ALL.items():
+    query(f"{_name}_all", documents="documents")(partial(_f, None))
