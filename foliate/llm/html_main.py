@@ -9,6 +9,9 @@ removed from each page, with what HTML itself marks as no part of an article (me
 forms, scripts and the like, or class names that say so). Where a page marks its
 article or main part, that is the text, less such parts and places inside; it is kept
 whole if all places in it are of low importance (pages that are copies of each other).
+The outermost ``main`` and ``article`` elements are that part, with all in them, if they
+hold the text: articles with less text than the rest of the page (cards beside a story),
+or a main part with less than half of the rest, mark nothing, and the page is judged whole.
 
 The counts are aggregates over (host, place, value), so a host with a third of all
 pages is no single task's work. Places of low importance are broadcast if they are few
@@ -61,22 +64,25 @@ def _hash(*parts: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "place", "noise", "zone", "children", "text", "chain")
+    __slots__ = ("tag", "place", "noise", "zone", "children", "text", "chain", "above")
 
-    def __init__(self, tag: str, place: int, noise: bool, zone: int, chain: tuple[int, ...]):
-        self.tag, self.place, self.noise, self.zone, self.chain = tag, place, noise, zone, chain
+    def __init__(self, tag: str, place: int, noise: bool, zone: int, chain: tuple[int, ...], above: int):
+        self.tag, self.place, self.noise, self.zone, self.chain, self.above = tag, place, noise, zone, chain, above
         self.children: list[str] = []
         self.text: list[str] = []
 
 
 class Page:
-    """Blocks and places of a page. zone: 0 elsewhere, 1 in the main part, 2 in an article."""
+    """Blocks and places of a page. zone: 0 elsewhere, 1 in an outermost main part, 2 in an outermost article.
+
+    above: the places of a chain that are not inside the outermost part.
+    """
 
     def __init__(self, host: str, source: str):
-        self.blocks: list[tuple[int, tuple[int, ...], str]] = []
+        self.blocks: list[tuple[int, tuple[int, ...], int, str]] = []
         self.seen: dict[int, tuple[list[str], list[str]]] = {}
         self.pending: list[str] = []
-        self.open = [Node("", _hash(host), False, 0, ())]
+        self.open = [Node("", _hash(host), False, 0, (), 0)]
         at = 0
         while m := _TOKEN.search(source, at):
             self.characters(source[at : m.start()])
@@ -108,7 +114,7 @@ class Page:
             for node in self.open:
                 node.text.append(text)
             if not top.noise:
-                self.blocks.append((top.zone, top.chain, text))
+                self.blocks.append((top.zone, top.chain, top.above, text))
 
     def pop(self) -> None:
         node = self.open.pop()
@@ -151,18 +157,16 @@ class Page:
             noise = noise and any(n.noise and n.tag not in ("p", "span", "div") for n in self.open) or bool(words & {"comment", "comments", "reply"})
         else:
             noise = noise or marked or tag in NOISE_TAGS or (zone == 0 and (tag == "header" or "header" in words))
-        if tag == "article":
-            zone = 2
-        elif tag == "main":
-            zone = max(zone, 1)
+        if zone == 0 and tag in ("article", "main"):
+            zone = 2 if tag == "article" else 1
         parent.children.append(tag)
         place = _hash(str(parent.place), tag, values.get("class", ""))
-        chain = parent.chain
-        if zone > parent.zone:  # places above the main part, and itself, do not count against it
-            chain = ()
-        elif tag in BLOCKS and tag not in ("html", "body"):
+        chain, above = parent.chain, parent.above
+        if tag in BLOCKS and tag not in ("html", "body"):
             chain = (*chain, place)
-        self.open.append(Node(tag, place, noise, zone, chain))
+        if zone > parent.zone:  # places above the main part, and itself, do not count against it
+            above = len(chain)
+        self.open.append(Node(tag, place, noise, zone, chain, above))
 
     def end(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -179,10 +183,14 @@ class Page:
 
     def result(self) -> tuple[list[dict], list[dict], bool]:
         """Kept blocks with their places, the statistics of all places, and whether the page marks its text."""
-        zone = max((z for z, _, _ in self.blocks), default=0)
-        kept = [{"places": list(chain), "text": t} for z, chain, t in self.blocks if z == zone]
+        size = [0, 0, 0]
+        for zone, _, _, text in self.blocks:
+            size[zone] += len(text)
+        part = size[1] + size[2]
+        marked = part > 0 and size[0] <= (2 * part if size[1] else part)
+        kept = [{"places": list(chain[above if marked else 0 :]), "text": t} for z, chain, above, t in self.blocks if z or not marked]
         stats = [{"place": p, "style": _hash(*s), "content": _hash(*c)} for p, (s, c) in self.seen.items() if any(c)]
-        return kept, stats, zone > 0
+        return kept, stats, marked
 
 
 _BLOCK = pa.list_(pa.struct([("places", pa.list_(pa.int64())), ("text", pa.string())]))

@@ -47,3 +47,19 @@ def test_articles_of_the_table(spark, sf):
         body = re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "", body)
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1|h2|h3|ul|li|div|blockquote|table|tr)\b[^>]*>", body)]
         assert got[r["page_id"]] == "\n".join(x for x in parts if x), r["page_id"]
+
+
+def test_main_part_is_chosen_by_its_text(spark):
+    u = "http://a.example/x"
+    pages = [
+        (u, "<main><h1>Title</h1><p>story</p><article class=card>card</article></main>"),
+        (u, "<main><h1>Head</h1><p class=lead>lead</p><article><p>body</p></article></main><div>rest</div>"),
+        (u, "<div><h1>Title</h1><p>a story in plain divs</p></div><div><article>card 1</article><article>card 2</article></div>"),
+        (u, "<article><p>first long post</p></article><article><p>second post</p></article><div>rest</div>"),
+        (u, "<main><h1>T</h1></main><div><p>the whole story is here</p></div>"),
+        (u, "<main><nav>menu</nav></main><article>post</article>"),
+    ]
+    assert texts(spark, pages) == {
+        0: "Title\nstory\ncard", 1: "Head\nlead\nbody", 2: "Title\na story in plain divs\ncard 1\ncard 2",
+        3: "first long post\nsecond post", 4: "T\nthe whole story is here", 5: "post",
+    }
