@@ -4,19 +4,21 @@ Each page is parsed into a tree of elements; an element's place in the site's tr
 the chain of tags and classes above it. Over all pages of a host the trees are merged:
 for each place the presentation (sequence of child tags) and the content (text below)
 are counted, and their entropies, in units of the number of pages, give the place's
-importance. Places of low importance, which look and read alike on many pages, are
-removed from each page, with what HTML itself marks as no part of an article (menus,
+importance. Pages of a host with the same places, presentation and content count once.
+Places of low importance, which look and read alike on many pages, are removed from each
+page whose own content there is that of another, with what HTML itself marks as no part of an article (menus,
 forms, scripts and the like, or class names that say so). Where a page marks its
 article or main part, that is the text, less such parts and places inside; it is kept
-whole if all places in it are of low importance (pages that are copies of each other).
+whole if more of its text would be removed than kept (pages that are near copies of each
+other), as is a page without such a part of which nothing would be left.
 The outermost ``main`` and ``article`` elements are that part, with all in them, if they
 hold the text: articles with less text than the rest of the page (cards beside a story),
 or a main part with less than half of the rest, mark nothing, and the page is judged whole.
 
-The counts are aggregates over (host, place, value), so a host with a third of all
-pages is no single task's work. Places of low importance are broadcast if they are few
-(``BROADCAST_ROWS``, counted first), so that texts are not shuffled; otherwise each page
-meets its own in a join. Character references are decoded, white space in a
+The counts are aggregates over (page, place) and (place, value), so a host with a third
+of all pages is no single task's work. Repeated contents of places of low importance are
+broadcast if they are few (``BROADCAST_ROWS``, counted first), so that texts are not
+shuffled; otherwise each page meets its own in a join. Character references are decoded, white space in a
 block becomes one space, blocks are joined by a line feed in page order.
 
 Null html or url is empty; an empty page has an empty text; repeated rows give a row
@@ -182,14 +184,18 @@ class Page:
                 return
 
     def result(self) -> tuple[list[dict], list[dict], bool]:
-        """Kept blocks with their places, the statistics of all places, and whether the page marks its text."""
+        """Kept blocks with the contents of their places, the statistics of all places, and whether the page marks its text.
+
+        A content's hash has its place in it, so it stands for both.
+        """
         size = [0, 0, 0]
         for zone, _, _, text in self.blocks:
             size[zone] += len(text)
         part = size[1] + size[2]
         marked = part > 0 and size[0] <= (2 * part if size[1] else part)
-        kept = [{"places": list(chain[above if marked else 0 :]), "text": t} for z, chain, above, t in self.blocks if z or not marked]
-        stats = [{"place": p, "style": _hash(*s), "content": _hash(*c)} for p, (s, c) in self.seen.items() if any(c)]
+        content = {p: _hash(str(p), *c) for p, (_, c) in self.seen.items() if any(c)}
+        kept = [{"places": [content[p] for p in chain[above if marked else 0 :]], "text": t} for z, chain, above, t in self.blocks if z or not marked]
+        stats = [{"place": p, "style": _hash(*self.seen[p][0]), "content": c} for p, c in content.items()]
         return kept, stats, marked
 
 
@@ -214,11 +220,16 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """``place, pages, importance`` over the merged trees; places are told apart by host."""
-    stats = pages.select(F.explode("stats").alias("s")).select("s.*")
+def value_counts(pages: DataFrame) -> DataFrame:
+    """``place, kind, v, c``: on how many distinct pages a place has presentation (kind 0) or content (1) ``v``."""
+    own = pages.select(F.xxhash64("stats").alias("page"), F.explode("stats").alias("s")).select("page", "s.*")
+    stats = own.dropDuplicates(["page", "place"])
     values = stats.select("place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("v")))).alias("x")).select("place", "x.*")
-    counts = values.groupBy("place", "kind", "v").agg(F.count("*").cast("double").alias("c"))
+    return values.groupBy("place", "kind", "v").agg(F.count("*").cast("double").alias("c"))
+
+
+def scores(counts: DataFrame) -> DataFrame:
+    """``place, pages, importance`` from the counts of values."""
     c = F.col("c")
     sums = counts.groupBy("place", "kind").agg(F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
@@ -226,14 +237,28 @@ def importance(pages: DataFrame) -> DataFrame:
     return sums.groupBy("place").agg(F.max("m").cast("long").alias("pages"), F.sum(entropy * weight).alias("importance"))
 
 
+def importance(pages: DataFrame) -> DataFrame:
+    """``place, pages, importance`` over the merged trees; places are told apart by host."""
+    return scores(value_counts(pages))
+
+
+def low_values(pages: DataFrame) -> DataFrame:
+    """``place``: contents that two distinct pages at least have in a place of low importance."""
+    counts = store(value_counts(pages), "counts")
+    low = scores(counts).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).select("place")
+    return counts.where("kind = 1 and c > 1").join(low, "place").select(F.col("v").alias("place"))
+
+
 def left_over(blocks: list[dict], gone: set[int], marked: bool) -> str:
-    """Text of the blocks outside removed places; a marked main part is never removed altogether."""
+    """Text of the blocks outside removed places; no page is removed altogether, and of a marked main part less than what is kept."""
+    whole = [b["text"] for b in blocks]
     kept = [b["text"] for b in blocks if gone.isdisjoint(b["places"])]
-    return "\n".join(kept or ([b["text"] for b in blocks] if marked else []))
+    enough = kept and (not marked or 2 * sum(map(len, kept)) >= sum(map(len, whole)))
+    return "\n".join(kept if enough else whole)
 
 
 def removed(table: DataFrame, low: DataFrame) -> DataFrame:
-    """``page_id, url, text``: what is left of each page of ``table`` without the places ``low``."""
+    """``page_id, url, text``: what is left of each page of ``table`` without what ``low`` has of contents."""
     few = low.count() <= BROADCAST_ROWS
     if few:
         held = table.sparkSession.sparkContext.broadcast({r["place"] for r in low.collect()})
@@ -258,7 +283,7 @@ def removed(table: DataFrame, low: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages(page_id, url, html)``."""
     table = store(parsed(pages), "parsed")
-    low = store(importance(table).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).select("place"), "low")
+    low = store(low_values(table), "low")
     return removed(table.drop("stats"), low).withColumn("n_chars", F.length("text").cast("long"))
 
 

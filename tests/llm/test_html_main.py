@@ -63,3 +63,21 @@ def test_main_part_is_chosen_by_its_text(spark):
         0: "Title\nstory\ncard", 1: "Head\nlead\nbody", 2: "Title\na story in plain divs\ncard 1\ncard 2",
         3: "first long post\nsecond post", 4: "T\nthe whole story is here", 5: "post",
     }
+
+
+def test_copies_count_once_and_no_text_is_lost(spark):
+    plain = "<body><div><p>%s</p><p>end of %s</p></div></body>"
+    listed = "<article><p>%s and more words of it</p><ul><li>item %s</li></ul></article>"
+    near = "<article><p>%s, long and the same on all pages</p><ul><li>%d</li></ul></article>"
+    pages = [("http://same.example/", plain % ("row", "row"))] * 9
+    pages += [("http://most.example/", plain % ("copy", "copy"))] * 85 + [("http://most.example/u", plain % (f"own {i}", i)) for i in range(15)]
+    pages += [("http://list.example/", listed % ("copy", "x"))] * 85 + [("http://list.example/u", listed % (f"own {i}", i)) for i in range(15)]
+    pages += [("http://near.example/", near % ("text", i)) for i in range(40)]
+    # distinct pages with one text, and some with their own in the same place
+    pages += [("http://part.example/", f"<div class=t><p>Banner</p></div><div class=n>{i}</div>") for i in range(95)] + [("http://part.example/o", f"<div class=t><p>Own {i}</p></div><div class=n>o{i}</div>") for i in range(3)]
+    got = texts(spark, pages)
+    want = [["row", "end of row"]] * 9 + [["copy", "end of copy"]] * 85 + [[f"own {i}", f"end of {i}"] for i in range(15)]
+    want += [["copy and more words of it", "item x"]] * 85 + [[f"own {i} and more words of it", f"item {i}"] for i in range(15)]
+    want += [["text, long and the same on all pages", str(i)] for i in range(40)]
+    want += [[str(i)] for i in range(95)] + [[f"Own {i}", f"o{i}"] for i in range(3)]
+    assert [got[i].split("\n") for i in range(len(pages))] == want
