@@ -14,6 +14,8 @@ other), as is a page without such a part of which nothing would be left.
 The outermost ``main`` and ``article`` elements are that part, with all in them, if they
 hold the text: articles with less text than the rest of the page (cards beside a story),
 or a main part with less than half of the rest, mark nothing, and the page is judged whole.
+Inside that part, and on headings and prose anywhere, only a whole class name or id says
+so, and ids of headings and prose never do; other names are left to the importance.
 
 The counts are aggregates over (page, place) and (place, value), so a host with a third
 of all pages is no single task's work. Repeated contents of places of low importance are
@@ -58,6 +60,8 @@ NOISE_WORDS = frozenset(
     "sidebar footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup comment comments disqus reply replies "
     "respond share sharing social related recommended widget widgets toolbar pagination pager login search skip alert alerts announcement disclaimer copyright legal paywall teaser".split()
 )
+#: Elements of prose, whose ids name their topic.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p section blockquote".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
@@ -149,7 +153,12 @@ class Page:
             self.close(*_CLOSES[tag])
         values = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         parent = self.open[-1]
-        words = set(re.split(r"[^a-z0-9]+", f"{values.get('class', '')} {values.get('id', '')}".lower()))
+        names, ident = values.get("class", "").lower(), values.get("id", "").lower()
+        if parent.zone or tag in PROSE:
+            own_id = tag not in PROSE or (tag == "section" and not parent.zone)
+            words = {*names.split(), ident} if own_id else set(names.split())
+        else:
+            words = set(re.split(r"[^a-z0-9]+", f"{names} {ident}"))
         marked = bool(words & NOISE_WORDS) or values.get("role", "").lower() in NOISE_ROLES or "hidden" in values or values.get("aria-hidden") == "true"
         zone, noise = parent.zone, parent.noise
         if tag in ("html", "body"):

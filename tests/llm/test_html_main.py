@@ -81,3 +81,16 @@ def test_copies_count_once_and_no_text_is_lost(spark):
     want += [["text, long and the same on all pages", str(i)] for i in range(40)]
     want += [[str(i)] for i in range(95)] + [[f"Own {i}", f"o{i}"] for i in range(3)]
     assert [got[i].split("\n") for i in range(len(pages))] == want
+
+
+def test_names_of_topics_are_kept(spark):
+    u = "http://a.example/x"
+    body = "<h2 id='social-history'>History</h2><p id=search>find</p><section id='legal-framework'><p>law</p></section><h3 id='related-work'>Work</h3>"
+    inside = body + "<section id=legal>rules</section><div class='search-results-table'>rows</div><div class='x share'>no</div><div id=comments>no</div>"
+    shared = "<article><p>a longer story %d</p><div class='share-buttons'>Share this</div></article>"
+    pages = [(u, f"<article>{inside}</article>"), (u, f"<main>{inside}</main>"), (u, f"<div>{body}<div class='share-buttons'>no</div><section id=comments>no</section></div>")]
+    pages += [("http://b.example/", shared % i) for i in range(9)]
+    got = texts(spark, pages)
+    kept = "History\nfind\nlaw\nWork"
+    assert got[0] == got[1] == kept + "\nrules\nrows" and got[2] == kept
+    assert [got[i + 3] for i in range(9)] == [f"a longer story {i}" for i in range(9)]  # the tree confirms the name
