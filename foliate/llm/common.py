@@ -23,11 +23,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A folder below ``spark.checkpoint.dir`` that driver and executors share.
 
-    Where the setting is unset (tests, a single machine) a temporary folder is
-    used and the session is told about it.
+    Where the setting is unset, a local master (tests, a single machine) gets a
+    temporary folder; on a cluster that would be a different folder on each machine,
+    so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _SCRATCH.get("")
         if base is None:
             base = _SCRATCH[""] = tempfile.mkdtemp(prefix="foliate-")
@@ -36,14 +39,34 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/foliate-{app}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+class Tables:
+    """Stored tables of one step, deleted together once no later plan reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def drop(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def store(df: DataFrame, name: str, tables: Tables | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a rerun. The shuffle
-    files of the write are not needed afterwards and are deleted with it.
+    files of the write are not needed afterwards and are deleted with it. ``tables``
+    notes the table, to drop it before the session ends.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if tables is not None:
+        tables.paths.append(path)
     key = "spark.sql.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
@@ -56,8 +79,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every stored table of this session."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, scratch_folder(spark))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -5,17 +5,25 @@ one with the smallest hash (the last of equals), so equal strings choose the sam
 at the same offset. Neighbouring strings of a text share their choice; they form one
 entry (anchor, range of offsets), which keeps a bucket's entries far fewer than bytes.
 
-A bucket is refined like a bucket of suffixes: its range of offsets is cut in parts, and
-the entries are sorted anew by the identifier of the bytes that all strings of a part
-share, which reach further with each cut. The new buckets are refined in turn. A bucket is done as soon as it has one entry, or
-entries that agree on all their bytes; then all but the first repeat it. Only
-identifiers, counts and first places are aggregated, so a bucket with a third of all
-entries is never in one task.
+A bucket is refined on the identifiers of buckets at later offsets. An entry's own
+identifier chains those of the q-grams that follow in it, one every GRAM bytes, so
+entries with equal bytes are found at once. Buckets whose entries differ go on: strings of a
+range of offsets share a core, whose bucket is known, and the range is cut in parts whose
+cores reach further to either side. The identifier of a part's bucket is that of the core
+(a pointer to the bucket refined before) with those of the q-grams that begin where the core
+has ended. These new pointers are the cores of the next cut, and so on to single offsets, in
+four rounds. Entries carry the pointer and the bytes that no pointer stands for yet. A
+bucket is done as soon as it has one entry, or entries that agree on all their bytes; then
+all but the first repeat it. Only identifiers, counts and first places are aggregated, so
+a bucket with a third of all entries is never in one task.
+
+Within a text, entries that repeat an earlier one of it are found in the task that
+reads it, and runs of them are one span: a periodic text is a few entries, not one a byte.
 
 The first step needs no bytes: it counts identifiers of all buckets. Repeated buckets
 are marked in bitmaps of fixed size while they are few enough for these to be
 selective (``bits``); beyond that, entries meet the repeated buckets in a shuffled
-join and fetch their bytes by document.
+join and fetch their bytes by document. Tables of a step are deleted once it is done.
 
 Identifiers have 128 bits. Null or empty text: nothing to remove. Rows that repeat a
 doc_id are ordered by a hash of their text, and equal rows count once; both get a
@@ -32,9 +40,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm.common import BYTE_CODES, byte_view, mix, read, slices, spans_hash, store, texts
+from foliate.llm.common import BYTE_CODES, Tables, byte_view, mix, read, slices, store, texts
 
 _U = np.uint64
+_GOLD = _U(0x9E3779B97F4A7C15)
 SPAN, GRAM = 100, 32
 #: Bits of a bitmap (16 MB); it is used while there are this many times fewer repeated buckets.
 BITS, SELECTIVE = 1 << 27, 4
@@ -85,12 +94,27 @@ def entries(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     ends[:-1] &= ~((low[1:] == low[:-1]) & valid[1:-1])
     hi = np.flatnonzero(ends)
     anchor = _PLACE - (low[lo] & _U(_PLACE)).astype(np.int64)
-    u = spans_hash(BYTE_CODES[raw], lo, hi + SPAN)
+    # the identifiers of the buckets at later offsets, to the last one inside the entry
     with np.errstate(over="ignore"):
-        u = mix(u + (anchor - lo).astype(_U) * _U(0x9E3779B97F4A7C15))
+        u = mix((anchor - lo).astype(_U) * _GOLD + (hi - lo).astype(_U))
+        for at in range(0, 2 * SPAN - GRAM, GRAM):
+            u = mix(u * _GOLD + g[np.minimum(lo + at, hi + SPAN - GRAM)])
     return np.searchsorted(offsets, lo, "right") - 1, anchor, lo, hi, g[anchor], u
 
 
+def own_repeats(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, bucket: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether an entry is the first of its kind in its text; and the others as (row, start, end) of runs."""
+    order = np.lexsort((u, bucket, row))
+    first = np.ones(len(order), bool)
+    a, b = order[:-1], order[1:]
+    first[b[(row[a] == row[b]) & (bucket[a] == bucket[b]) & (u[a] == u[b])]] = False
+    r, start, end = row[~first], lo[~first], hi[~first] + SPAN
+    opens = np.ones(len(r), bool)
+    opens[1:] = (r[1:] != r[:-1]) | (start[1:] > end[:-1])
+    closes = np.append(opens[1:], True) if len(r) else opens
+    return first, r[opens], start[opens], end[closes]
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
     """Slices of about half a megabyte: (batch, bytes, offsets, place of the bytes in the text). A longer text comes in overlapping pieces."""
     for batch in slices(batches, "text", _PIECE):
@@ -113,20 +137,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 def identifiers(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets, _ in pieces(batches):
-            row, *_, bucket, u = entries(raw, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(bucket.view(np.int64)), pa.array(u.view(np.int64))], ["id", "k", "u"])
+            row, _, lo, hi, bucket, u = entries(raw, offsets)
+            first = own_repeats(row, lo, hi, bucket, u)[0]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[first])), pa.array(bucket[first].view(np.int64)), pa.array(u[first].view(np.int64))], ["id", "k", "u"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, k long, u long")
 
 
-_ENTRY = "id long, h long, k long, u long, pos long, left int, first int, ctx binary"
+_ENTRY = "id long, h long, k long, u long, pos long, left int, first int, before binary, after binary"
 
 
 def all_entries(docs: DataFrame, bits: np.ndarray | None, with_bytes: bool) -> DataFrame:
-    """Entries ``id, h, k, u, pos, left, first, ctx``: strings start ``left`` to ``first`` bytes before ``pos``.
+    """Entries ``id, h, k, u, pos, left, first, before, after``: strings start ``left`` to ``first`` bytes before ``pos``.
 
-    bits: a bitmap of the wanted buckets, None for all. ctx: the bytes from the first
-    string's start to the last one's end, if asked for.
+    bits: a bitmap of the wanted buckets, None for all. Entries that repeat one of their
+    own text are left out; ``own_spans`` has them. before, after: the bytes on either
+    side of the q-gram that belong to strings of the entry, if asked for.
     """
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -134,23 +160,39 @@ def all_entries(docs: DataFrame, bits: np.ndarray | None, with_bytes: bool) -> D
         wanted = held.value
         for batch, raw, offsets, base in pieces(batches):
             row, anchor, lo, hi, bucket, u = entries(raw, offsets)
+            on = own_repeats(row, lo, hi, bucket, u)[0]
             if wanted is not None:
                 slot = (bucket & _U(8 * len(wanted) - 1)).astype(np.int64)
-                on = wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
-                row, anchor, lo, hi, bucket, u = (x[on] for x in (row, anchor, lo, hi, bucket, u))
-            ctx: list[bytes | None] = [None] * len(row)
+                on &= wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+            row, anchor, lo, hi, bucket, u = (x[on] for x in (row, anchor, lo, hi, bucket, u))
+            before: list[bytes | None] = [None] * len(row)
+            after = before
             if with_bytes:
                 data = raw.tobytes()
-                ctx = [data[a : b + SPAN] for a, b in zip(lo.tolist(), hi.tolist())]
+                before = [data[a:b] for a, b in zip(lo.tolist(), anchor.tolist())]
+                after = [data[a + GRAM : b + SPAN] for a, b in zip(anchor.tolist(), hi.tolist())]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("h").take(take), pa.array(bucket.view(np.int64)), pa.array(u.view(np.int64)), pa.array(anchor - offsets[row] + base), pa.array((anchor - lo).astype(np.int32)), pa.array((anchor - hi).astype(np.int32)), pa.array(ctx, pa.binary())],
-                ["id", "h", "k", "u", "pos", "left", "first", "ctx"],
+                [batch.column("id").take(take), batch.column("h").take(take), pa.array(bucket.view(np.int64)), pa.array(u.view(np.int64)), pa.array(anchor - offsets[row] + base), pa.array((anchor - lo).astype(np.int32)), pa.array((anchor - hi).astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                ["id", "h", "k", "u", "pos", "left", "first", "before", "after"],
             )
 
     return docs.select("id", "h", "text").mapInArrow(run, _ENTRY)
 
 
+def own_spans(docs: DataFrame) -> DataFrame:
+    """``id, h, start, end``: runs of entries that repeat an earlier one in the same half megabyte of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets, base in pieces(batches):
+            row, _, lo, hi, bucket, u = entries(raw, offsets)
+            _, r, start, end = own_repeats(row, lo, hi, bucket, u)
+            take, shift = pa.array(r), base - offsets[r]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("h").take(take), pa.array(start + shift), pa.array(end + shift)], ["id", "h", "start", "end"])
+
+    return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, start long, end long")
+
+
 def bitmap(values: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of ``values(k)`` modulo ``bits``."""
     slot = F.pmod(F.col("k"), F.lit(bits)) + 1
@@ -161,10 +203,10 @@ def bitmap(values: DataFrame, bits: int) -> np.ndarray:
     return out[: bits // 8]
 
 
-def repeated_buckets(docs: DataFrame) -> DataFrame:
+def repeated_buckets(docs: DataFrame, tables: Tables) -> DataFrame:
     """``k, refine, first_id`` of buckets with several entries; refine: these differ."""
     counted = identifiers(docs).groupBy("k").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"), F.min("id").alias("first_id"))
-    return store(counted.where("n > 1").select("k", (F.col("low") < F.col("high")).alias("refine"), "first_id"), "buckets")
+    return store(counted.where("n > 1").select("k", (F.col("low") < F.col("high")).alias("refine"), "first_id"), "buckets", tables)
 
 
 def span(first: str | Column, last: str | Column) -> list[Column]:
@@ -172,47 +214,59 @@ def span(first: str | Column, last: str | Column) -> list[Column]:
     return [(F.col("pos") - last).alias("start"), (F.col("pos") - first + SPAN).alias("end")]
 
 
-def uniform_repeats(docs: DataFrame, buckets: DataFrame, bits: np.ndarray | None) -> DataFrame:
+def uniform_repeats(docs: DataFrame, buckets: DataFrame, bits: np.ndarray | None, tables: Tables) -> DataFrame:
     """Repeats in buckets whose entries are all equal: all but the first."""
-    met = all_entries(docs, bits, False).drop("ctx").join(buckets.where("not refine").select("k", "first_id"), "k")
-    later = met.where("id > first_id").select("id", "h", *span(F.col("first"), F.col("left")))
-    # a document's own repeats: its entries of a bucket are as many as it has
-    own = met.where("id = first_id").groupBy("k", "id").agg(F.collect_set(F.struct("h", "pos", "left", "first")).alias("all")).where(F.size("all") > 1)
-    own = own.select("id", F.explode(F.slice(F.array_sort("all"), F.lit(2), F.size("all"))).alias("e")).select("id", "e.*")
-    return later.union(own.select("id", "h", *span(F.col("first"), F.col("left"))))
+    met = all_entries(docs, bits, False).drop("before", "after").join(buckets.where("not refine").select("k", "first_id"), "k")
+    met = store(met.select("k", "id", "h", "pos", "left", "first", (F.col("id") > F.col("first_id")).alias("later")), "uniform", tables)
+    # of a text in several pieces, or of texts of one id, all but the first
+    own = met.where("not later").groupBy("k", "id").agg(F.count("*").alias("n"), F.min(F.struct("h", "pos")).alias("head")).where("n > 1")
+    own = met.where("not later").join(own, ["k", "id"]).where(F.struct("h", "pos") != F.col("head"))
+    where = ["id", "h", *span(F.col("first"), F.col("left"))]
+    return met.where("later").select(where).union(own.select(where))
 
 
-def refinable(docs: DataFrame, buckets: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """Entries of the buckets to refine, with their bytes."""
+def refinable(docs: DataFrame, buckets: DataFrame, bits: np.ndarray | None, tables: Tables) -> DataFrame:
+    """Entries of the buckets to refine, with the bytes around their q-gram."""
     if bits is not None:
-        return store(all_entries(docs, bits, True), "entries")
-    found = all_entries(docs, None, False).drop("ctx").join(buckets.where("refine").select("k"), "k").distinct()
+        return store(all_entries(docs, bits, True), "entries", tables)
+    found = all_entries(docs, None, False).drop("before", "after").join(buckets.where("refine").select("k"), "k").distinct()
     places = found.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "left", "first", "k", "u")).alias("places"))
     here = places.join(docs.select("id", "h", F.col("text").cast("binary").alias("raw")).distinct(), ["id", "h"])
-    one = here.select("id", "h", "raw", F.explode("places").alias("p")).select("id", "h", "p.*", F.expr(f"substring(raw, cast(p.pos - p.left + 1 as int), p.left - p.first + {SPAN})").alias("ctx"))
-    return store(one, "entries")
+    before = F.expr("substring(raw, cast(p.pos - p.left + 1 as int), p.left)")
+    after = F.expr(f"substring(raw, cast(p.pos + {GRAM + 1} as int), {SPAN - GRAM} - p.first)")
+    one = here.select("id", "h", "raw", F.explode("places").alias("p")).select("id", "h", "p.*", before.alias("before"), after.alias("after"))
+    return store(one, "entries", tables)
 
 
-def refined(found: DataFrame) -> list[DataFrame]:
-    """Repeats ``id, h, start, end`` among entries of buckets with different ones."""
-    place = F.struct("id", "h", "pos")
+def refined(found: DataFrame, entries_: Tables, spans: Tables) -> list[DataFrame]:
+    """Repeats ``id, h, start, end`` among entries of buckets with different ones; drops the table of the entries."""
+    spark, place = found.sparkSession, F.struct("id", "h", "pos")
     # equal entries of a bucket repeat the first of them; only these are refined
-    heads = found.groupBy("k", "u").agg(F.min(place).alias("head"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("left", "first", "ctx")])
-    heads = store(heads, "heads")
-    met = found.drop("ctx").join(heads.where("n > 1").select("k", "u", "head"), ["k", "u"])
-    out = [met.where(place != F.col("head")).select("id", "h", *span(F.col("first"), F.col("left")))]
-    rest = heads.select("head.*", "ctx", F.lit(0).alias("o1"), F.lit(SPAN - GRAM).alias("o2"), F.col("first").alias("c1"), F.col("left").alias("c2"))
+    now_at = Tables(spark)
+    heads = found.groupBy("k", "u").agg(F.min(place).alias("head"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("left", "first", "before", "after")])
+    heads = store(heads, "heads", now_at)
+    met = found.drop("before", "after").join(heads.where("n > 1").select("k", "u", "head"), ["k", "u"])
+    out = [store(met.where(place != F.col("head")).select("id", "h", *span(F.col("first"), F.col("left"))), "repeats", spans)]
+    entries_.drop()
+    zero = F.lit(0).cast("long")
+    rest = heads.select("head.*", F.col("k").alias("b1"), zero.alias("b2"), F.lit(0).alias("o1"), F.lit(SPAN - GRAM).alias("o2"), F.col("first").alias("c1"), F.col("left").alias("c2"), "before", "after")
     while True:
-        now = rest.select("id", "h", "pos", "ctx", "c2", F.explode(F.array(*parts(F.col("c1"), F.col("c2"), F.col("o1"), F.col("o2")))).alias("x")).where("x.c1 <= x.c2")
-        own = F.substring(F.col("ctx"), F.col("c2") - F.col("x.c2") + 1, F.col("x.c2") - F.col("x.c1") + SPAN)
-        now = now.select("id", "h", "pos", "x.*", own.alias("ctx"))
-        shared = F.substring(F.col("ctx"), F.col("c2") - F.col("o2") + (F.col("o2") - F.col("o1")) + 1, SPAN - (F.col("o2") - F.col("o1")))
-        now = now.select("*", F.xxhash64(shared, "o1").alias("k"), F.xxhash64("o1", shared, "o2").alias("k2"), F.xxhash64("ctx", "c1", "c2").alias("u"))
-        buckets = now.groupBy("k", "k2").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"), F.min(place).alias("head")).where("n > 1").drop("n")
-        met = store(now.join(buckets, ["k", "k2"]).drop("k", "k2", "u"), "refined")
-        out.append(met.where((F.col("low") == F.col("high")) & (place != F.col("head"))).select("id", "h", *span(F.col("c1"), F.col("c2"))))
-        rest = met.where("low < high")
+        x, before, after = (lambda c: F.col(f"x.{c}")), F.col("before"), F.col("after")
+        now = rest.withColumn("x", F.explode(F.array(*parts(F.col("c1"), F.col("c2"), F.col("o1"), F.col("o2"))))).where("x.c1 <= x.c2")
+        # what the core gains on either side: the q-grams at the next offsets
+        gained = [F.substring(before, F.col("c2") - x("o1") + 1, x("o1") - F.col("o1")), F.substring(after, F.lit(1), F.col("o2") - x("o2"))]
+        kept = [F.substring(before, F.col("c2") - x("c2") + 1, x("c2") - x("o1")), F.substring(after, F.col("o2") - x("o2") + 1, x("o2") - x("c1"))]
+        ids = [F.xxhash64("b1", x("o1"), *gained).alias("b1"), F.xxhash64(*gained, x("o2"), "b2").alias("b2")]
+        now = now.select("id", "h", "pos", *ids, "x.*", kept[0].alias("before"), kept[1].alias("after")).withColumn("u", F.xxhash64("before", "c1", "after", "c2"))
+        buckets = now.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"), F.min(place).alias("head")).where("n > 1").drop("n")
+        next_at = Tables(spark)
+        met = store(now.join(buckets, ["b1", "b2"]).drop("u"), "refined", next_at)
+        now_at.drop()
+        now_at = next_at
+        out.append(store(met.where((F.col("low") == F.col("high")) & (place != F.col("head"))).select("id", "h", *span(F.col("c1"), F.col("c2"))), "repeats", spans))
+        rest = met.where("low < high").drop("low", "high", "head")
         if rest.isEmpty():
+            now_at.drop()
             return out
 
 
@@ -225,26 +279,33 @@ def parts(c1: Column, c2: Column, o1: Column, o2: Column) -> list[Column]:
     return out
 
 
-def find_repeats(docs: DataFrame, bits: int) -> DataFrame:
-    """Repeats ``id, h, start, end`` of ``docs`` (see ``keyed``)."""
-    buckets = repeated_buckets(docs)
+def find_repeats(docs: DataFrame, bits: int, spans: Tables) -> DataFrame:
+    """Repeats ``id, h, start, end`` of ``docs`` (see ``keyed``), in the tables of ``spans``."""
+    tables, own = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    buckets = repeated_buckets(docs, tables)
     few = buckets.count() * SELECTIVE <= bits
     equal, differ = (bitmap(buckets.where(c), bits) if few else None for c in ("not refine", "refine"))
-    out = uniform_repeats(docs, buckets, equal)
-    for more in refined(refinable(docs, buckets, differ)):
+    out = store(own_spans(docs), "repeats", spans)
+    for more in refined(refinable(docs, buckets, differ, own), own, spans):
         out = out.union(more)
+    out = out.union(store(uniform_repeats(docs, buckets, equal, own), "repeats", spans))
+    own.drop()
+    tables.drop()
     return out
 
 
 def repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """Repeats of ``docs``: see ``refined``; ``id`` and ``h`` as in ``keyed``."""
-    return find_repeats(keyed(docs), bits).distinct()
+    return find_repeats(keyed(docs), bits, Tables(docs.sparkSession)).distinct()
 
 
 def deduplicate(docs: DataFrame, bits: int = BITS, with_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the remaining bytes (``kept``) of each row."""
     docs = keyed(docs)
-    spans = find_repeats(docs, bits).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = Tables(docs.sparkSession)
+    spans = find_repeats(docs, bits, found).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = store(spans, "spans")
+    found.drop()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -275,7 +336,7 @@ def deduplicate(docs: DataFrame, bits: int = BITS, with_text: bool = True) -> Da
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return docs.join(store(spans, "spans"), ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return docs.join(spans, ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
 def op6_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:

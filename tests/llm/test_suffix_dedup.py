@@ -60,3 +60,13 @@ def test_entries_cover_every_string_once(monkeypatch):
             seen += [(i, base + p - o) for p in range(x, y + 1)]
     assert sorted(seen) == [(i, p) for i, t in enumerate(text) for p in range(len(t) - 99)]
     assert len(s.gram_hash(np.zeros(40, np.uint8))) == 9
+
+
+def test_periodic_texts_are_few_entries(spark):
+    rows = [(1, "z" * 3_000_000), (2, "ab" * 900_000), (3, "z" * 5_000), (None, "ab" * 80), (None, "c" + "ab" * 80), (4, "plain" * 3)]
+    docs = s.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert s.all_entries(docs, None, False).count() < 500 and s.own_spans(docs).count() < 50
+    got = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"]) for r in s.deduplicate(docs, with_text=False).collect()}
+    # each string occurs first at the start of the first text that holds it
+    assert got[1, 3_000_000] == (2_999_999, 1) and got[2, 1_800_000] == (1_800_000, 1) and got[3, 5_000] == (5_000, 1)
+    assert sorted(v for k, v in got.items() if k[0] is None)[1] == (160, 1) and got[4, 15] == (0, 0)
