@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: dict[str, str] = {}
@@ -87,6 +87,17 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2 ... that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names contain."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm.common import read, store
+from foliate.llm.common import free, own_columns, read, store
 
 #: Labelled rows to learn from at most, chosen by a hash of doc_id.
 MAX_LABELLED = 8_000
@@ -76,6 +76,8 @@ class Rule:
 class RuleModel:
     intercept: float = 0.0
     rules: list[tuple[Rule, float]] = field(default_factory=list)
+    #: Labelled rows that were learned from.
+    labelled: int = 0
 
     def score(self, stat) -> Column:
         """Probability of label 1; ``stat`` gives the column of a statistic's name."""
@@ -114,19 +116,19 @@ def fit(labelled: DataFrame, trees: int = 24, depth: int = 3, penalty: float = 0
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if ones in (0, n):
         share = (ones + 1) / (n + 2)
-        return RuleModel(_logit(share))
+        return RuleModel(_logit(share), labelled=n)
     # the sample is bounded: one sorted partition makes bagging and the fit repeatable
     rows = rows.coalesce(1).sortWithinPartitions(*names, "label")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", minInstancesPerNode=5, seed=seed)
     grown = forest.fit(rows.select("label", array_to_vector(F.array(*names)).alias("features")))
     rules = sorted({r for t in grown.trees for r in tree_rules(t.toDebugString, names)}, key=lambda r: (len(r.tests), r.tests))
     if not rules:
-        return RuleModel(_logit((ones + 1) / (n + 2)))
+        return RuleModel(_logit((ones + 1) / (n + 2)), labelled=n)
     truth = F.array(*[r.column(F.col).cast("double") for r in rules])
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60)
     fitted = lasso.fit(rows.select("label", array_to_vector(truth).alias("features")))
     kept = [(r, float(w)) for r, w in zip(rules, fitted.coefficients.toArray()) if abs(w) > 1e-9]
-    return RuleModel(float(fitted.intercept), kept)
+    return RuleModel(float(fitted.intercept), kept, n)
 
 
 def _logit(p: float) -> float:
@@ -145,11 +147,15 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Rule
 
 
 def with_scores(docs: DataFrame, model: RuleModel, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a ``score`` column; the statistics are computed once a row, also where a filter on the score follows."""
+    """``docs`` with a column ``out``, which replaces one of that name; all others keep their values.
+
+    The statistics are computed once a row, also where a filter on the score follows.
+    """
     stats = F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()])
-    name = f"_stats_of_{text}"
+    name = free(docs, "stats")
     # a row for each element of an array of one: filters do not pull the statistics through it, once for each rule
-    return docs.withColumn(name, F.explode(F.array(stats))).withColumn(out, model.score(lambda s: F.col(name)[s])).drop(name)
+    rows = docs.select(*own_columns(docs), F.explode(F.array(stats)).alias(name))
+    return rows.withColumn(out, model.score(lambda s: F.col(name)[s])).drop(name)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm.common import read, slices, store
+from foliate.llm.common import free, own_columns, read, slices, store
 
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 REACH, BIN = 300, 1024
@@ -104,11 +104,12 @@ def secrets(rows: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by a mask; overlapping spans share one. Null text stays null."""
+    """``docs`` with every span of ``text`` replaced by a mask; overlapping spans share one. Null text stays null; other columns keep their values."""
     # rows meet their spans by a hash of the text: equal texts have equal spans
-    rows = docs.withColumn("_row", F.md5("text"))
-    found = secrets(rows.select(F.col("_row").alias("row"), "doc_id", "text")).where(F.size("spans") > 0)
-    hits = store(found.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).dropDuplicates(["_row"]), "spans")
+    row, at = free(docs, "row"), free(docs, "spans")
+    rows = docs.select(*own_columns(docs), F.md5("text").alias(row))
+    found = secrets(docs.select(F.md5("text").alias("row"), "doc_id", "text")).where(F.size("spans") > 0)
+    hits = store(found.select(F.col("row").alias(row), F.col("spans").alias(at)).dropDuplicates([row]), "spans")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"].cast("int") + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
@@ -118,8 +119,8 @@ def redact(docs: DataFrame) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
-    return rows.join(hits, "_row", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)).drop("_row", "_spans")
+    masked = F.aggregate(at, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
+    return rows.join(hits, row, "left").withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(masked)).select(own_columns(docs))
 
 
 def listed(spans: Column) -> Column:
