@@ -99,10 +99,9 @@ class Counter:
     def __init__(self, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.tokenizer, self.chunk, self.overlap, self.table = tokenizer, chunk, overlap, {}
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids and start offsets (code points)."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return e.ids, [a for a, _ in e.offsets]
+    def encode(self, text: str):
+        """The library's encoding: tokens with their offsets (code points)."""
+        return self.tokenizer.encode(text, add_special_tokens=False)
 
     def many(self, batch: list[str]) -> list[int]:
         cut = [units(t) for t in batch]
@@ -120,40 +119,45 @@ class Counter:
         self.table = table if len(table) <= TABLE else {}
         return counts
 
-    def splice(self, text: str, at: int, left: tuple, right_start: int) -> tuple[int, int, tuple] | None:
-        """The first proven boundary in text[right_start:at] at which both encodings start a token and agree on.
+    def splice(self, text: str, at: int, left, left_start: int, right_start: int):
+        """The first proven boundary in text[right_start:at] at which both encodings start a token and agree on those that follow.
 
-        Gives the number of tokens of ``left`` before it, and the right chunk's tokens from it on.
+        Gives the places of that token in both, the end of the right chunk and its encoding.
         """
-        ids, offs, left_start = left
         stop = min(len(text), at + self.chunk)
-        r_ids, r_offs = self.encode(text[right_start:stop])
-        for j, o in enumerate(r_offs):
-            p = o + right_start
-            if p >= at:
-                return None
-            i = bisect_left(offs, p - left_start)
-            if i < len(offs) and offs[i] == p - left_start and proven(text, p) and ids[i : i + AGREE] == r_ids[j : j + AGREE] and i + AGREE <= len(ids):
-                return i, stop, (r_ids[j:], [x + right_start - p for x in r_offs[j:]], p)
+        right = self.encode(text[right_start:stop])
+        for p in range(right_start + 1, at):
+            if not proven(text, p):
+                continue
+            i, j = left.char_to_token(p - left_start), right.char_to_token(p - right_start)
+            if i is None or j is None or i + AGREE > len(left) or j + AGREE > len(right):
+                continue
+            starts = [(left.token_to_chars(i + n)[0] + left_start, right.token_to_chars(j + n)[0] + right_start) for n in range(AGREE)]
+            if starts[0] == (p, p) and all(x == y for x, y in starts):
+                return i, j, stop, right
         return None
 
     def huge(self, text: str) -> tuple[int, int]:
         """Tokens and chunks of a text longer than a chunk."""
-        end = self.chunk
-        held, total, chunks = (*self.encode(text[:end]), 0), 0, 1
+        # the encoding held, its place in the text, and its first token that is not yet counted
+        end, start, first = self.chunk, 0, 0
+        held, total, chunks = self.encode(text[:end]), 0, 1
         while end < len(text):
             overlap, found = self.overlap, None
-            while found is None and overlap < end - held[2]:
-                found = self.splice(text, end, held, end - overlap)
+            while found is None and overlap < end - start:
+                right_start = end - overlap
+                found = self.splice(text, end, held, start, right_start)
                 overlap *= 4
             if found is None:  # no common boundary in the whole chunk: encode it again, twice as long
-                end = min(len(text), end + max(self.chunk, end - held[2]))
-                held = (*self.encode(text[held[2] : end]), held[2])
+                whole = held.token_to_chars(first)[0] + start if first else start
+                end = min(len(text), end + max(self.chunk, end - whole))
+                held, start, first = self.encode(text[whole:end]), whole, 0
             else:
-                total += found[0]
-                end, held = found[1], found[2]
+                i, first_right, end, right = found
+                total += i - first
+                held, start, first = right, right_start, first_right
             chunks += 1
-        return total + len(held[0]), chunks
+        return total + len(held) - first, chunks
 
 
 def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
