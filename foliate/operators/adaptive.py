@@ -1,12 +1,12 @@
 """Chunking by document type: profile, choose a strategy and its sizes, pack, number, summarise.
 
-The sizes are columns that feed the folds, so documents of all types and sizes are
-packed in one plan for each strategy; the strategies' chunks are one table.
+Type, sizes, units and the packing rule are columns of a document's row, so documents of
+all types are packed in one pass, without a join or a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
@@ -17,36 +17,32 @@ from foliate.operators.structure import is_entry
 STRATEGIES = {"reference": "entries", "administrative": "registers", "government_report": "paragraphs"}
 
 
-def typed(docs: DataFrame) -> DataFrame:
-    kinds = profile.classify(profile.features(docs))
+def in_register(u: Column) -> Column:
+    return u.contains("|") | u.contains("\t")
+
+
+def chunks(docs: DataFrame, mark: str = "\n") -> DataFrame:
+    """``doc_id, document_type, confidence, strategy, markers, chunk_index, units, size, text``; blank chunks are left out.
+
+    markers: how many phrases of colonial discourse a chunk has.
+    """
     strategy = F.lit("sentences")
     for kind, name in STRATEGIES.items():
         strategy = F.when(F.col("document_type") == kind, name).otherwise(strategy)
-    return docs.join(kinds, "doc_id").withColumn("strategy", strategy)
+    rows = profile.typed(docs, "text").withColumn("strategy", strategy)
+    text, low, high = F.col("text"), F.col("min_size"), F.col("max_size")
 
+    def chosen(entries, registers, paragraphs, sentences) -> Column:
+        s = F.col("strategy")
+        return F.when(s == "entries", entries).when(s == "registers", registers).when(s == "paragraphs", paragraphs).otherwise(sentences)
 
-def chunks(docs: DataFrame, mark: str = "\n") -> DataFrame:
-    """``doc_id, chunk_index, strategy, document_type, units, size, text``; empty chunks are left out."""
-    rows = typed(docs)
-    text, low, high = F.col("text"), F.col("min_size"), F.col("max_size")
     lines = F.transform(tx.lines(text), tx.strip)
-
-    def in_register(u: Column) -> Column:
-        return u.contains("|") | u.contains("\t")
-
-    ways = {
-        "entries": (lines, packing.at_marks(is_entry, low, 3, high), "\n", is_entry),
-        "registers": (lines, packing.around_runs(in_register, F.lit(1 << 30), high), "\n", in_register),
-        "paragraphs": (tx.paragraphs(text, mark), packing.before_limit(high, 2), "\n\n", None),
-        "sentences": (tx.sentences(text), packing.before_limit(high, 1), " ", None),
-    }
-    out = None
-    for name, way in ways.items():
-        part = packing.pack(rows.where(F.col("strategy") == name), *way).withColumn("strategy", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    out = out.where(tx.strip(F.col("text")) != "")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")) - 1
-    return out.withColumn("chunk_index", number).join(rows.select("doc_id", "document_type", "confidence"), "doc_id")
+    units = chosen(lines, lines, tx.paragraphs(text, mark), tx.sentences(text))
+    rules = [packing.at_marks(low, 3, high), packing.around_runs(1 << 30, high), packing.before_limit(high, 2), packing.before_limit(high, 1)]
+    separator = chosen(*map(F.lit, ("\n", "\n", "\n\n", " ")))
+    marked = lambda u: chosen(is_entry(u), in_register(u), F.lit(False), F.lit(False))
+    out = packing.pack(rows, units, lambda s, u: chosen(*[r(s, u) for r in rules]), separator, marked, "document_type", "confidence", "strategy", blank=False)
+    return out.withColumn("markers", sum(profile.markers(F.col("text")).values(), F.lit(0)))
 
 
 def summary(docs: DataFrame, made: DataFrame) -> DataFrame:

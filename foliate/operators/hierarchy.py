@@ -17,40 +17,52 @@ HEADING = r"^[A-Z][A-Z\s\-'&,]+\.$"
 SECTION = r"^[A-Z][^|]{2,80}\.$"
 # Words that show a territory's description.
 GROUPS = {
-    "geography": "situation and area|situation, area|situation.|area.|peninsula|island|coast|bounded|latitude|longitude|square miles",
-    "population": "population|census|inhabitants",
-    "government": "government|governor|administrator|commissioner|legislative council|executive council|assembly|privy council|crown colony",
-    "judicial": "judicial|judge|magistrate|court",
-    "finance": "finance|finances|revenue|expenditure|public debt|customs|tax",
-    "trade": "trade|imports|exports|commerce",
-    "infrastructure": "railway|telegraph|postal|harbour|harbor|public works|canal",
-    "security": "military|naval|police|defence|defense",
-    "education": "education|school|college|university",
-    "religion": "church|bishop|diocese|mission",
+    "geography": ("situation and area", "situation, area", "situation.", "area.", "peninsula", "island", "coast", "bounded", "latitude", "longitude", "square miles"),
+    "population": ("population", "census", "inhabitants"),
+    "government": ("government", "governor", "administrator", "commissioner", "legislative council", "executive council", "assembly", "privy council", "crown colony"),
+    "judicial": ("judicial", "judge", "magistrate", "court"),
+    "finance": ("finance", "finances", "revenue", "expenditure", "public debt", "customs", "tax"),
+    "trade": ("trade", "imports", "exports", "commerce"),
+    "infrastructure": ("railway", "telegraph", "postal", "harbour", "harbor", "public works", "canal"),
+    "security": ("military", "naval", "police", "defence", "defense"),
+    "education": ("education", "school", "college", "university"),
+    "religion": ("church", "bishop", "diocese", "mission"),
 }
 # Headings of offices, and of parts that are left out.
-ADMIN = "DEPARTMENT|TREASURY|AUDIT|COUNCIL|COURT|OFFICE|OFFICES|OFFICIALS|SENATE|ASSEMBLY|HOUSE OF|MINISTER|SECRETARY|CLERGY|DIOCESE|BISHOPS"
+ADMIN = (
+    "DEPARTMENT", "TREASURY", "AUDIT", "COUNCIL", "COURT", "OFFICE", "OFFICES", "OFFICIALS", "SENATE", "ASSEMBLY", "HOUSE OF", "MINISTER",
+    "SECRETARY", "CLERGY", "DIOCESE", "BISHOPS",
+)
 SKIP = (
-    "CONTENTS|INDEX|TABLE OF|LIST OF|ESTABLISHMENTS IN THE COLONIES|ESTABLISHMENT|RULES|REGULATIONS|ORDERS|PREFACE|INTRODUCTION|ADVERTISE|ADVERTIS|"
-    "CATALOGUE|PRICE|BANK|COMPANY|LIMITED|RAILWAY TIMETABLE|CROWN AGENTS|EXPORTS|IMPORTS|FINANCES|FINANCIAL|TRADE"
+    "CONTENTS", "INDEX", "TABLE OF", "LIST OF", "ESTABLISHMENTS IN THE COLONIES", "ESTABLISHMENT", "RULES", "REGULATIONS", "ORDERS", "PREFACE",
+    "INTRODUCTION", "ADVERTISE", "ADVERTIS", "CATALOGUE", "PRICE", "BANK", "COMPANY", "LIMITED", "RAILWAY TIMETABLE", "CROWN AGENTS", "EXPORTS",
+    "IMPORTS", "FINANCES", "FINANCIAL", "TRADE",
 )
 # Containers and the units they hold.
 CONTAINERS = {
-    "DOMINION OF CANADA": "ONTARIO|QUEBEC|NOVA SCOTIA|NEW BRUNSWICK|MANITOBA AND KEEWATIN|MANITOBA|THE NORTH WEST TERRITORIES|NORTH WEST TERRITORY|PRINCE EDWARD ISLAND|BRITISH COLUMBIA",
-    "THE LEEWARD ISLANDS": "ANTIGUA|DOMINICA|ST. CHRISTOPHER|ST. CHRISTOPHER AND NEVIS|NEVIS|MONTSERRAT|VIRGIN ISLANDS|THE VIRGIN ISLANDS",
+    "DOMINION OF CANADA": ("ONTARIO", "QUEBEC", "NOVA SCOTIA", "NEW BRUNSWICK", "MANITOBA AND KEEWATIN", "MANITOBA", "THE NORTH WEST TERRITORIES", "NORTH WEST TERRITORY", "PRINCE EDWARD ISLAND", "BRITISH COLUMBIA"),
+    "THE LEEWARD ISLANDS": ("ANTIGUA", "DOMINICA", "ST. CHRISTOPHER", "ST. CHRISTOPHER AND NEVIS", "NEVIS", "MONTSERRAT", "VIRGIN ISLANDS", "THE VIRGIN ISLANDS"),
 }
 # Categories of section titles.
 CATEGORIES = {
-    "geography": "situation and area|description and climate|climate", "economy": "population and industry|industry", "demographics": "population", "history": "history",
-    "finance": "currency and banking|currency|banking|revenue|finances|public debt", "education": "education", "infrastructure": "means of communication|internal communications|communications",
-    "government": "government and constitution|government|local government|executive council|legislative council", "judicial": "judicial|supreme court", "trade": "exports|imports|trade", "security": "military|naval|police",
+    "geography": ("situation and area", "description and climate", "climate"),
+    "economy": ("population and industry", "industry"),
+    "demographics": ("population",),
+    "history": ("history",),
+    "finance": ("currency and banking", "currency", "banking", "revenue", "finances", "public debt"),
+    "education": ("education",),
+    "infrastructure": ("means of communication", "internal communications", "communications"),
+    "government": ("government and constitution", "government", "local government", "executive council", "legislative council"),
+    "judicial": ("judicial", "supreme court"),
+    "trade": ("exports", "imports", "trade"),
+    "security": ("military", "naval", "police"),
 }
 HIGH, CANDIDATE, LEAST = 6.0, 4.25, 1500
 
 
-def contains_any(text: Column, words: str) -> Column:
+def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
-    for w in words.split("|"):
+    for w in words:
         out = out | text.contains(w)
     return out
 
@@ -78,7 +90,7 @@ def scored(found: DataFrame) -> DataFrame:
 
 def classified(found: DataFrame) -> DataFrame:
     """Blocks with ``kind``: the first rule that fits."""
-    h, units = F.col("heading"), [u for v in CONTAINERS.values() for u in v.split("|")]
+    h, units = F.col("heading"), [u for v in CONTAINERS.values() for u in v]
     kind = (
         F.when(contains_any(h, SKIP), "skip").when(h.isin(list(CONTAINERS)), "dominion").when(contains_any(h, ADMIN), "admin").when(h.isin(units), "province")
         .when((F.col("n") < 400) & (F.col("score") < 2), "skip").when((F.col("n") < LEAST) & (F.col("score") < CANDIDATE), "other")
@@ -87,22 +99,68 @@ def classified(found: DataFrame) -> DataFrame:
     return scored(found).withColumn("kind", kind)
 
 
-def nested(found: DataFrame) -> DataFrame:
-    """Blocks with their territory's number and their role in it.
-
-    Containers, colonies and units outside a container begin a territory; units inside
-    are its subunits, offices its admin sections, others its attachments.
-    """
+def with_starts(found: DataFrame) -> DataFrame:
+    """Classified blocks that are not left out, and whether each begins a territory: containers, colonies, units outside a container."""
     seq = Window.partitionBy("doc_id").orderBy("block_no")
     main = F.when(F.col("kind").isin("dominion", "colony_high", "colony_candidate"), F.col("kind"))
     rows = found.where("kind <> 'skip'").withColumn("last_main", F.last(main, ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, -1)))
     inside = (F.col("kind") == "province") & F.coalesce(F.col("last_main") == "dominion", F.lit(False))
     starts = main.isNotNull() | ((F.col("kind") == "province") & ~inside)
-    rows = islands(rows.withColumn("starts", starts), F.col("starts"), "territory_no", "block_no").where("territory_no > 0")
+    return rows.withColumn("starts", starts)
+
+
+def nested(found: DataFrame) -> DataFrame:
+    """Blocks with their territory's number and their role in it: units inside one are its subunits, offices its admin sections, others its attachments."""
+    rows = with_starts(found)
+    rows = islands(rows, F.col("starts"), "territory_no", "block_no").where("territory_no > 0")
     role = F.when(F.col("starts"), "territory").when(F.col("kind") == "province", "subunit").when(F.col("kind") == "admin", "admin_section").otherwise("attachment")
     return rows.select("doc_id", "territory_no", "block_no", "heading", "kind", role.alias("role"))
 
 
+def confidence(score: Column) -> Column:
+    """A score of 0 to 10 as 0.1 to 0.9."""
+    return F.round(0.1 + 0.08 * F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)), 3)
+
+
+def keyword_groups(low: Column) -> Column:
+    """Names of the word groups that a text in small letters has, sorted."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(contains_any(low, words), name) for name, words in GROUPS.items()])))
+
+
+def territories(found: DataFrame) -> DataFrame:
+    """Territories of classified blocks: neighbours of one name and kind are merged, later ones of a name are its supplements.
+
+    ``doc_id, territory_no, name, kind, merged, start_pos, end_pos, chars, confidence, keyword_hits, number, role, is_duplicate, candidates``:
+    number counts the entries of a name, from 1; a duplicate repeats name and first text of an earlier one; candidates are merged blocks to review.
+    """
+    seq = Window.partitionBy("doc_id").orderBy("block_no")
+    kind = F.when(F.col("kind") == "dominion", "dominion").otherwise("colony")
+    rows = with_starts(found).where("starts").select(
+        "doc_id", "block_no", F.col("heading").alias("name"), kind.alias("kind"), (F.col("kind") == "colony_candidate").alias("candidate"), "start_pos", "end_pos", "n",
+        confidence(F.col("score")).alias("confidence"), F.sha1(F.regexp_replace(F.lower("body"), r"\s+", "")).alias("fingerprint"),
+        keyword_groups(F.lower(F.substring("body", 1, 3500))).alias("hits"),
+    )
+    same = (F.col("name") == F.lag("name").over(seq)) & (F.col("kind") == F.lag("kind").over(seq))
+    rows = islands(rows.withColumn("opens", ~F.coalesce(same, F.lit(False))), F.col("opens"), "territory_no", "block_no")
+    merged = rows.groupBy("doc_id", "territory_no").agg(
+        F.min("name").alias("name"), F.min("kind").alias("kind"), F.count("*").alias("merged"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"),
+        (F.sum("n") + 2 * (F.count("*") - 1)).alias("chars"), F.min_by("confidence", "block_no").alias("confidence"), F.min_by("fingerprint", "block_no").alias("fingerprint"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("keyword_hits"), F.count_if("candidate").alias("candidates"),
+    )
+    name = Window.partitionBy("doc_id", "name").orderBy("territory_no")
+    copy = Window.partitionBy("doc_id", "name", "fingerprint").orderBy("territory_no")
+    merged = merged.withColumn("number", F.row_number().over(name)).withColumn("is_duplicate", F.row_number().over(copy) > 1)
+    return merged.withColumn("role", F.when(F.col("number") == 1, "primary").otherwise("appendix")).drop("fingerprint")
+
+
+def territory_statistics(found: DataFrame) -> DataFrame:
+    """Per volume: blocks, territories, duplicates, and entries to review (candidates and supplements)."""
+    made = territories(found).groupBy("doc_id").agg(
+        F.count("*").alias("territories"), F.count_if("is_duplicate").alias("duplicates"), (F.sum("candidates") + F.count_if(F.col("number") > 1)).alias("review_items")
+    )
+    return found.groupBy("doc_id").agg(F.count("*").alias("total_blocks")).join(made, "doc_id", "left").fillna(0)
+
+
 def sections(found: DataFrame) -> DataFrame:
     """Titled sections of a block's body with a category; text before the first title is the introduction."""
     rows = found.select("doc_id", "block_no", F.posexplode(tx.lines(F.col("body"))).alias("line_no", "line")).withColumn("is_title", F.col("line").rlike(SECTION) & ~F.col("line").rlike(r"\s[a-z]"))
@@ -112,7 +170,7 @@ def sections(found: DataFrame) -> DataFrame:
     out = rows.groupBy("doc_id", "block_no", "section_no").agg(F.coalesce(F.max(F.when(F.col("is_title"), F.expr("substring(line, 1, length(line) - 1)"))), F.lit("Introduction")).alias("title"), size.alias("chars")).where("chars > 0")
     category = F.when(F.col("section_no") == 0, "overview")
     for name, titles in CATEGORIES.items():
-        category = category.when(F.lower("title").isin(titles.split("|")), name)
+        category = category.when(F.lower("title").isin(list(titles)), name)
     return out.withColumn("category", category.otherwise("other"))
 
 
@@ -152,8 +210,14 @@ STANDARD = {
     "education": r"Education\.|Schools\.|Public Instruction\.", "military": r"Military\.|Defence\.|Naval\.|Garrison\.",
 }
 # Names of advertisements, and words of a territory's description.
-ADVERT_NAMES = "LIMITED|COMPANY|SAUCE|PIANO|CREAM|PREPARATION|WHOLESALE|RETAIL|PRICE|CATALOGUE|DELIVERY|MANUFACTURER|SOLD EVERYWHERE"
-DESCRIPTION = "situation|area|population|government|history|climate|colony|territory|governor|commissioner|square miles|inhabitants|administration|revenue"
+ADVERT_NAMES = (
+    "LIMITED", "COMPANY", "SAUCE", "PIANO", "CREAM", "PREPARATION", "WHOLESALE", "RETAIL", "PRICE", "CATALOGUE", "DELIVERY", "MANUFACTURER",
+    "SOLD EVERYWHERE",
+)
+DESCRIPTION = (
+    "situation", "area", "population", "government", "history", "climate", "colony", "territory", "governor", "commissioner", "square miles",
+    "inhabitants", "administration", "revenue",
+)
 # Phrases of colonial administration by category.
 DISCOURSE = {
     "administrative_hierarchy": [r"Colonial\s+Office", r"Governor\s+and\s+Commander", r"Secretary\s+of\s+State", r"Her\s+Majesty['’]?s\s+Government"],
@@ -177,7 +241,7 @@ def standard_sections(found: DataFrame) -> DataFrame:
 
 def described(found: DataFrame) -> DataFrame:
     """Blocks that describe a territory: 500 characters, no advertiser's name, two words of a description."""
-    hits = sum((F.lower("body").contains(w).cast("int") for w in DESCRIPTION.split("|")), F.lit(0))
+    hits = sum((F.lower("body").contains(w).cast("int") for w in DESCRIPTION), F.lit(0))
     return found.where((F.length("body") >= 500) & ~contains_any(F.upper("heading"), ADVERT_NAMES)).withColumn("hits", hits).where("hits >= 2")
 
 
@@ -186,9 +250,9 @@ def body_class(found: DataFrame) -> DataFrame:
     s = F.filter(F.transform(tx.lines(F.col("body")), tx.strip), lambda x: x != "")
     rows = found.withColumn("s", s)
     n = F.size("s")
-    number = r"\b\d{1,3}(?:[ab])?\b"
-    toc = F.size(F.filter("s", lambda x: (x.rlike(number) & (x.contains(":") | x.contains(";") | x.rlike(r"\b\d{1,3}(?:[ab])?(?:\.|;)?$"))) | x.endswith("....")))
-    names, table = F.regexp_count("body", F.lit(PERSON)), F.exists("s", lambda x: x.startswith("|"))
+    number = r"(?U)\b\d{1,3}(?:[ab])?\b"
+    toc = F.size(F.filter("s", lambda x: (x.rlike(number) & (x.contains(":") | x.contains(";") | x.rlike(r"(?U)\b\d{1,3}(?:[ab])?(?:\.|;)?$"))) | x.endswith("....")))
+    names, table = F.regexp_count("body", F.lit(f"(?U){PERSON}")), F.exists("s", lambda x: x.startswith("|"))
     upper = F.size(F.filter("s", tx.is_upper))
     kind = (
         F.when(toc >= F.greatest(F.lit(3), F.floor(n * 0.6)), "toc").when(table | (names >= 2), "roster")
@@ -198,9 +262,15 @@ def body_class(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_no", kind.alias("kind"), names.alias("name_hits"), table.alias("has_table"), density.alias("density"))
 
 
+def cross_references(text: Column) -> Column:
+    """Distinct targets of "See X" and "see also X"."""
+    found = [F.regexp_extract_all(text, F.lit(rf"(?U)\b[Ss]ee{also}\s+([A-Z][A-Za-z]+)\b"), F.lit(1)) for also in ("", " also")]
+    return F.array_distinct(F.concat(*found))
+
+
 def discourse(docs: DataFrame) -> DataFrame:
     """How many phrases of each category occur in a text."""
-    return docs.select("doc_id", *[sum((F.col("text").rlike(f"(?i){p}").cast("int") for p in ps), F.lit(0)).alias(name) for name, ps in DISCOURSE.items()])
+    return docs.select("doc_id", *[sum((F.col("text").rlike(f"(?iU){p}").cast("int") for p in ps), F.lit(0)).alias(name) for name, ps in DISCOURSE.items()])
 
 
 def until_next(found: DataFrame, heading: str) -> DataFrame:
@@ -214,8 +284,9 @@ def until_next(found: DataFrame, heading: str) -> DataFrame:
 
 # Words that no territory's heading has.
 NO_TERRITORY = (
-    "PART|SECTION|CHAPTER|NO.|VOL.|PAGE|FINANCES|IMPORTS|EXPORTS|REVENUE|TRADE|GOVERNMENT|ADMINISTRATION|ESTABLISHMENT|EDUCATION|POSTAL|TELEGRAPH|RAILWAY|"
-    "CIVIL SERVICE|MILITARY|NAVAL|POLICE|MEDICAL|JUDICIAL|CUSTOMS|HARBOR|PUBLIC WORKS|LANDS|AGRICULTURE|ROMAN CATHOLIC|ANGLICAN|CHURCH|BANKS|BANKING|INSURANCE|COMPANIES"
+    "PART", "SECTION", "CHAPTER", "NO.", "VOL.", "PAGE", "FINANCES", "IMPORTS", "EXPORTS", "REVENUE", "TRADE", "GOVERNMENT", "ADMINISTRATION",
+    "ESTABLISHMENT", "EDUCATION", "POSTAL", "TELEGRAPH", "RAILWAY", "CIVIL SERVICE", "MILITARY", "NAVAL", "POLICE", "MEDICAL", "JUDICIAL", "CUSTOMS",
+    "HARBOR", "PUBLIC WORKS", "LANDS", "AGRICULTURE", "ROMAN CATHOLIC", "ANGLICAN", "CHURCH", "BANKS", "BANKING", "INSURANCE", "COMPANIES",
 )
 # Beginnings of headings that introduce the next.
 PREFIXES = ["PROVINCE OF", "COLONY OF", "DOMINION OF", "PRESIDENCY OF", "TERRITORY OF"]
@@ -235,7 +306,7 @@ def grouped(headers: DataFrame) -> DataFrame:
 
     The gazetteer is a constant of a few rows; a unit belongs to the first container one of whose names its heading contains.
     """
-    names = [(i, c, u) for i, (c, v) in enumerate(CONTAINERS.items()) for u in v.split("|")]
+    names = [(i, c, u) for i, (c, v) in enumerate(CONTAINERS.items()) for u in v]
     gazetteer = F.broadcast(headers.sparkSession.createDataFrame(names, "ord int, container string, unit string"))
     met = headers.join(gazetteer, F.col("name").contains(F.col("unit")), "left")
     one = met.groupBy("doc_id", "start", "end", "name").agg(F.min_by("container", "ord").alias("container"))
@@ -261,3 +332,29 @@ def folded(found: DataFrame, short: int = 160) -> DataFrame:
 def last_of_name(found: DataFrame) -> DataFrame:
     """The last block of each heading, and how many there were."""
     return found.groupBy("doc_id", "heading").agg(F.max("block_no").alias("block_no"), F.max_by(F.length("body"), "block_no").alias("size"), F.count("*").alias("seen"))
+
+
+# Ends of a territory's description.
+ENDS = [r"^Foreign Consuls?\.\s*$", r"^Consuls?\.\s*$", r"Consuls\.$"]
+OPENING = "situation and area"
+GEOGRAPHY = [r"\d+°", r"\bmiles?\s+(north|south|east|west|from)", r"\b(ocean|sea|river|strait|bay|harbor|harbour)\b", r"\b(island|colony|territory|province|district)\b", r"\bbounded\s+by\b"]
+
+
+def transitions(volumes: DataFrame) -> DataFrame:
+    """``doc_id, pos, signal, name, confidence``: ends of descriptions, and starts of territories.
+
+    A start is a heading in capitals with the opening words within its next ten lines; it
+    is sure if geography makes more than 2 % of the text of the next twenty.
+    """
+    rows = line_table(volumes).select("doc_id", "line_no", "start", "line", tx.strip(F.col("line")).alias("s"))
+    seq = Window.partitionBy("doc_id").orderBy("line_no")
+    ahead = lambda n: F.array_join(F.collect_list("line").over(seq.rowsBetween(0, n - 1)), "\n")
+    rows = rows.withColumns({"ten": ahead(10), "twenty": ahead(20)})
+    end = F.lit(False)
+    for p in ENDS:
+        end = end | F.col("s").rlike(p)
+    density = sum((F.regexp_count("twenty", F.lit(f"(?iU){p}")) for p in GEOGRAPHY), F.lit(0)) / F.length("twenty")
+    start = F.col("line").rlike(HEADING) & F.lower("ten").contains(OPENING)
+    ends = rows.where(end).select("doc_id", F.col("start").alias("pos"), F.lit("end").alias("signal"), F.col("s").alias("name"), F.lit(0.8).alias("confidence"))
+    starts = rows.where(start).select("doc_id", F.col("start").alias("pos"), F.lit("start").alias("signal"), F.expr("substring(s, 1, length(s) - 1)").alias("name"), F.when(density > 0.02, 0.9).otherwise(0.6).alias("confidence"))
+    return ends.union(starts)

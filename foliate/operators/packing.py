@@ -1,4 +1,8 @@
-"""Packing of ordered units into chunks: folds over the units' lengths, never over their text."""
+"""Packing of ordered units into chunks: one fold over the units' lengths for each document, never over their text.
+
+The fold notes where groups begin, not each unit's group, and the chunks are slices of
+the units between these places: no shuffle, and work in proportion to the text.
+"""
 
 from __future__ import annotations
 
@@ -8,58 +12,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (state, unit) -> whether the unit opens a new group. The state of the group so far: ``n`` units, ``len`` characters,
-#: ``marks`` marked units, ``last`` whether the last was marked.
+#: ``marks`` marked units, ``last`` whether the last was marked. The unit: its length ``n`` and whether it is marked ``m``.
 Opens = Callable[[Column, Column], Column]
 
 
-def before_limit(limit: int, separator: int) -> Opens:
+def before_limit(limit: int | Column, separator: int) -> Opens:
     """A unit that would lift the group beyond the limit opens the next."""
-    return lambda s, u: (s["n"] > 0) & (s["len"] + separator + F.length(u) > limit)
+    return lambda s, u: (s["n"] > 0) & (s["len"] + separator + u["n"] > limit)
 
 
-def after_limit(limit: int) -> Opens:
+def after_limit(limit: int | Column) -> Opens:
     """A group that has passed the limit is closed."""
     return lambda s, u: s["len"] > limit
 
 
-def at_marks(mark: Callable[[Column], Column], least: int, units: int, limit: int) -> Opens:
+def at_marks(least: int | Column, units: int, limit: int | Column) -> Opens:
     """A marked unit opens a group once the last has ``least`` characters or ``units`` marks; beyond the limit any unit does."""
-    return lambda s, u: (s["n"] > 0) & ((mark(u) & ((s["len"] >= least) | (s["marks"] >= units))) | (s["len"] > limit))
+    return lambda s, u: (s["n"] > 0) & ((u["m"] & ((s["len"] >= least) | (s["marks"] >= units))) | (s["len"] > limit))
 
 
-def headed(mark: Callable[[Column], Column], least_units: int, limit: int) -> Opens:
+def headed(least_units: int, limit: int | Column) -> Opens:
     """A marked unit opens a group if the last has more than ``least_units`` units; beyond the limit any unit does."""
-    return lambda s, u: (mark(u) & (s["n"] > least_units)) | (s["len"] > limit)
+    return lambda s, u: (u["m"] & (s["n"] > least_units)) | (s["len"] > limit)
 
 
-def around_runs(mark: Callable[[Column], Column], before: int, limit: int) -> Opens:
+def around_runs(before: int | Column, limit: int | Column) -> Opens:
     """Runs of marked units stay together: one opens a group if the last has more than ``before`` characters, and beyond the limit a group ends outside a run."""
-    return lambda s, u: (mark(u) & ~s["last"] & (s["len"] > before)) | (~(mark(u) & s["last"]) & (s["len"] > limit))
+    return lambda s, u: (u["m"] & ~s["last"] & (s["len"] > before)) | (~(u["m"] & s["last"]) & (s["len"] > limit))
 
 
-def group_numbers(units: Column, opens: Opens, separator: int, mark: Callable[[Column], Column] | None = None) -> Column:
-    """The group of each unit, as an array."""
-    mark = mark or (lambda u: F.lit(False))
+def group_starts(units: Column, opens: Opens, separator: int | Column, mark: Callable[[Column], Column] | None = None) -> Column:
+    """The place (from 0) of the first unit of each group, as an array."""
+    marked = mark or (lambda u: F.lit(False))
+    measured = F.transform(units, lambda u: F.struct(F.length(u).alias("n"), marked(u).alias("m")))
 
-    def step(s: Column, unit: Column) -> Column:
-        n, new, marked = F.length(unit), opens(s, unit), mark(unit)
-        grown = F.when(s["n"] > 0, s["len"] + separator + n).otherwise(n)
-        group = s["group"] + new.cast("int")
+    def step(s: Column, u: Column) -> Column:
+        new = (s["at"] == 0) | opens(s, u)
         return F.struct(
-            F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, n).otherwise(grown).alias("len"),
-            (F.when(new, 0).otherwise(s["marks"]) + marked.cast("int")).alias("marks"), marked.alias("last"),
-            group.alias("group"), F.concat(s["out"], F.array(group)).alias("out"),
+            (s["at"] + 1).alias("at"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"),
+            F.when(new, u["n"]).otherwise(s["len"] + separator + u["n"]).alias("len"),
+            # the first unit is no opener: its mark counts
+            (F.when(opens(s, u), 0).otherwise(s["marks"]) + u["m"].cast("int")).alias("marks"), u["m"].alias("last"),
+            F.when(new, F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"),
         )
 
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("len"), F.lit(0).alias("marks"), F.lit(False).alias("last"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(units, zero, step, lambda s: s["out"])
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "n", "len", "marks")], F.lit(False).alias("last"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(measured, zero, step, lambda s: s["out"])
+
 
+def pack(docs: DataFrame, units: Column, opens: Opens, separator: str | Column, mark: Callable[[Column], Column] | None = None, *keep: str, blank: bool = True) -> DataFrame:
+    """``doc_id, keep, chunk_index, units, size, text`` of the packed units of each document; rules and separator may be columns of it.
 
-def pack(docs: DataFrame, units: Column, opens: Opens, separator: str, mark: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``doc_id, chunk_index, units, size, text`` of the packed units of each document."""
-    # the rules may refer to columns of the document, such as its own limits
-    rows = docs.withColumn("_units", units).where(F.size("_units") > 0)
-    rows = rows.withColumn("_groups", group_numbers(F.col("_units"), opens, len(separator), mark))
-    per = rows.select("doc_id", "_groups", F.posexplode("_units").alias("at", "u")).select("doc_id", F.get("_groups", F.col("at")).alias("chunk_index"), "at", "u")
-    out = per.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("units"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "u"))), lambda x: x["u"]), separator).alias("text"))
-    return out.select("doc_id", "chunk_index", "units", F.length("text").cast("long").alias("size"), "text")
+    blank: whether chunks of white space only stay.
+    """
+    sep = F.lit(separator) if isinstance(separator, str) else separator
+    rows = docs.select("doc_id", *keep, units.alias("_units"), group_starts(units, opens, F.length(sep), mark).alias("_starts"), sep.alias("_sep"))
+    stops = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_units")))
+    groups = F.zip_with("_starts", stops, lambda a, b: F.struct((b - a).cast("long").alias("units"), F.call_function("array_join", F.slice("_units", a + 1, b - a), F.col("_sep")).alias("text")))
+    if not blank:
+        groups = F.filter(groups, lambda g: g["text"].rlike(r"(?U)\S"))
+    rows = rows.where(F.size("_units") > 0).select("doc_id", *keep, F.posexplode(groups).alias("chunk_index", "g"))
+    return rows.select("doc_id", *keep, "chunk_index", "g.units", F.length("g.text").cast("long").alias("size"), "g.text")

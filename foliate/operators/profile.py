@@ -15,7 +15,13 @@ ADMINISTRATIVE = [
     r"\b(Chief|Assistant|Deputy)\s+(Commissioner|Secretary)", r"(£|\$)\s*\d+[,\d]*", r"^\s*\|[^|]*\|",
 ]
 REPORT = [r"REPORT\s+FOR\s+\d{4}", r"COLONIAL\s+REPORTS", r"(Revenue|Expenditure|Financial)", r"His\s+Majesty['’]?s\s+Government", r"^\s*I\.—|II\.—|III\.—", r"ADMINISTRATION|ESTABLISHMENT"]
-ENTRY = r"(?m)^[A-Z]{2,}[A-Z\s]*[,.]"
+ENTRY, ROMAN, MONEY = r"^[A-Z]{2,}[A-Z\s]*[A-Z]\s*,", r"^\s*[IVX]+\.—", r"[£$]\s*\d+"
+# Phrases of colonial discourse by category.
+MARKERS = {
+    "administrative_colonial": [r"Colonial\s+Office", r"Governor\s+and\s+Commander", r"Her\s+Majesty['’]?s\s+Government", r"British\s+Empire"],
+    "hierarchical_language": [r"native\s+administration", r"tribal\s+authority", r"barbarous\s+customs", r"civiliz[ei]ng\s+mission"],
+    "territorial_control": ["Protectorate", r"Crown\s+Colony", "Dependencies", r"British\s+jurisdiction"],
+}
 # Patterns of recognition errors by category.
 OCR_ERRORS = {
     "character_substitution": ["[il1|]{2,}", "rn", "cl", "tn", "[0O]{2,}"],
@@ -27,10 +33,10 @@ OCR_ERRORS = {
 # Spellings of the period that look like errors.
 HISTORICAL = {"archaic_spelling": [r"\b\w*[ye]\b", r"\b[A-Z][a-z]*[ſ][a-z]*\b", r"\b\w*[ae]\b"], "abbreviations": [r"\b[A-Z]{2,}\b", r"\b[A-Z][a-z]*\.\b", r"&c\."]}
 # Words that are no keywords.
-STOPWORDS = (
-    "the a an and or but in on at to for of with by is was are were be been have has had do does did will would could should "
-    "may might can this that these those i you he she it we they me him her us them"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "was", "are", "were", "be", "been", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "can", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them",
+]
 #: Smallest and largest chunk of each type.
 SIZES = {"reference": (400, 800), "administrative": (800, 1200), "government_report": (600, 1000), "narrative": (800, 1200), "legal": (600, 1000), "hybrid": (600, 1000)}
 
@@ -42,50 +48,70 @@ def matches(text: Column, patterns: list[str], flags: str) -> Column:
     return total
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """One column for each feature; an empty text has one empty line."""
-    t = F.col("text")
+def markers(text: Column) -> dict[str, Column]:
+    """How many phrases of each category of discourse a text has."""
+    return {k: sum((text.rlike(f"(?iU){p}").cast("int") for p in ps), F.lit(0)) for k, ps in MARKERS.items()}
+
+
+def feature_columns(t: Column) -> dict[str, Column]:
+    """Features of a text; an empty one has one empty line. Letters, white space and case follow Unicode."""
     lines, words = tx.lines(t), tx.words(t)
     n_lines, n_words = F.size(lines), F.size(words)
-    return docs.select(
-        "doc_id",
-        (F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x)) / n_lines).alias("avg_line"),
-        (F.size(F.filter(lines, lambda x: F.length(tx.strip(x)) < 50)) / n_lines).alias("short_lines"),
-        (F.size(F.filter(lines, is_table)) / n_lines).alias("table_density"),
-        tx.share(F.size(F.filter(words, lambda w: tx.is_upper(w) & (F.length(w) > 2))), n_words).alias("caps_density"),
-        matches(t, REFERENCE, "(?im)").alias("reference_signals"),
-        matches(t, ADMINISTRATIVE, "(?im)").alias("administrative_signals"),
-        matches(t, REPORT, "(?im)").alias("report_signals"),
-        (F.regexp_count(t, F.lit(ENTRY)) > 5).alias("has_entries"),
-        t.rlike(r"[£$]\s*\d").alias("has_money"),
-        t.rlike(r"(?m)^\s*[IVX]+\.").alias("has_roman"),
-    )
-
-
-def classify(profile: DataFrame) -> DataFrame:
-    """``document_type, confidence, min_size, max_size`` from the features: the best sum of rules, hybrid below 0.3."""
-    c = F.col
+    return {
+        "avg_line": F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x)) / n_lines,
+        "short_lines": F.size(F.filter(lines, lambda x: F.length(tx.strip(x)) < 50)) / n_lines,
+        "table_density": F.size(F.filter(lines, lambda x: x.contains("|") | x.contains("\t"))) / n_lines,
+        "caps_density": tx.share(F.size(F.filter(words, lambda w: tx.is_upper(w) & (F.length(w) > 2))), n_words),
+        "reference_signals": matches(t, REFERENCE, "(?imU)"),
+        "administrative_signals": matches(t, ADMINISTRATIVE, "(?imU)"),
+        "report_signals": matches(t, REPORT, "(?imU)"),
+        "discourse_markers": sum(markers(t).values(), F.lit(0)),
+        "has_entries": F.regexp_count(t, F.lit(f"(?mU){ENTRY}")) > 5,
+        "has_money": t.rlike(f"(?U){MONEY}"),
+        "has_roman": t.rlike(f"(?mU){ROMAN}"),
+    }
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and a column for each feature of ``text``."""
+    return docs.select("doc_id", *[c.alias(k) for k, c in feature_columns(F.col("text")).items()])
+
+
+def type_columns(profile: str = "") -> dict[str, Column]:
+    """``document_type, confidence`` from the features: the best sum of rules, hybrid below 0.3. ``profile`` is their struct, if any."""
+    c = lambda k: F.col(f"{profile}.{k}" if profile else k)
     on = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
     scores = {
         "reference": on(c("has_entries"), 0.4) + on(c("caps_density") > 0.05, 0.2) + on(c("reference_signals") > 10, 0.3),
-        "administrative": on(c("administrative_signals") > 5, 0.3) + on(c("table_density") > 0.1, 0.2) + on(c("has_money"), 0.2),
+        "administrative": on(c("administrative_signals") > 5, 0.3) + on(c("table_density") > 0.1, 0.2) + on(c("has_money"), 0.2) + on(c("discourse_markers") > 3, 0.2),
         "government_report": on(c("report_signals") > 3, 0.4) + on(c("has_roman"), 0.2) + on(c("has_money") & (c("table_density") > 0.05), 0.2),
     }
-    rows = profile.withColumns({f"_{k}": v for k, v in scores.items()})
-    best = F.greatest(*[c(f"_{k}") for k in scores])
+    best = F.greatest(*scores.values())
     kind = F.when(best < 0.3, "hybrid")
-    for k in scores:  # ties: the first
-        kind = kind.when(c(f"_{k}") == best, k)
-    rows = rows.select("doc_id", "avg_line", "table_density", kind.alias("document_type"), best.alias("confidence"))
+    for k, score in scores.items():  # ties: the first
+        kind = kind.when(score == best, k)
+    return {"document_type": kind, "confidence": best}
+
+
+def size_columns(kind: Column, table_density: Column, avg_line: Column) -> dict[str, Column]:
+    """Smallest and largest chunk of a type, larger for tables and for short lines."""
 
     def scaled(i: int) -> Column:
         base = F.lit(None)
         for k, v in SIZES.items():
-            base = F.when(c("document_type") == k, v[i]).otherwise(base)
-        base = F.when(c("table_density") > 0.1, (base * F.lit(1.2)).cast("int")).otherwise(base)
-        return F.when(c("avg_line") < 40, (base * F.lit(1.1)).cast("int")).otherwise(base)
+            base = F.when(kind == k, v[i]).otherwise(base)
+        base = F.when(table_density > 0.1, (base * F.lit(1.2)).cast("int")).otherwise(base)
+        return F.when(avg_line < 40, (base * F.lit(1.1)).cast("int")).otherwise(base)
+
+    return {"min_size": scaled(0), "max_size": scaled(1)}
+
 
-    return rows.select("doc_id", "document_type", "confidence", scaled(0).alias("min_size"), scaled(1).alias("max_size"))
+def typed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id, keep, document_type, confidence, min_size, max_size``: columns of the same row, no join."""
+    rows = docs.select("doc_id", *keep, F.struct(*[c.alias(k) for k, c in feature_columns(F.col("text")).items()]).alias("_f"))
+    rows = rows.select("doc_id", *keep, F.col("_f.avg_line").alias("_line"), F.col("_f.table_density").alias("_tables"), *[c.alias(k) for k, c in type_columns("_f").items()])
+    sizes = size_columns(F.col("document_type"), F.col("_tables"), F.col("_line"))
+    return rows.select("doc_id", *keep, "document_type", "confidence", *[c.alias(k) for k, c in sizes.items()])
 
 
 def keywords(docs: DataFrame, top: int = 20, *key: str) -> DataFrame:

@@ -19,36 +19,72 @@ def count_sql(patterns: list[str], flags: str, column: str = "text") -> str:
 
 _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 _UP = UPPER.format("x")
-_FEATURES = f"""f AS (SELECT doc_id, list_sum(list_transform(l, lambda x: length(x))) / len(l) AS avg_line, len(list_filter(l, lambda x: length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) < 50)) / len(l) AS short_lines,
- len(list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) >= 2)) / len(l) AS table_density, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: {_UP} AND length(x) > 2)) / len(w) ELSE 0 END AS caps_density,
- {count_sql(profile.REFERENCE, '(?im)')} AS reference_signals, {count_sql(profile.ADMINISTRATIVE, '(?im)')} AS administrative_signals, {count_sql(profile.REPORT, '(?im)')} AS report_signals,
- len(regexp_extract_all(text, '{profile.ENTRY}')) > 5 AS has_entries, regexp_matches(text, '[£$]\\s*\\d') AS has_money, regexp_matches(text, '(?m)^\\s*[IVX]+\\.') AS has_roman
- FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l, {_WORDS} AS w FROM (SELECT doc_id, regexp_replace(text, '[^\\x01-\\x7F]', '#', 'g') AS text FROM documents)))"""
+#: DuckDB's word characters are ASCII: other letters become one that no pattern names, for patterns with word borders.
+WORDED = "regexp_replace(text, '[^\\P{L}\\x00-\\x7F]', '_', 'g')"
 
 
-@query("a1_features", f"WITH {_FEATURES} SELECT doc_id, round(avg_line, 6) AS avg_line, round(short_lines, 6) AS short_lines, round(table_density, 6) AS table_density, round(caps_density, 6) AS caps_density, reference_signals::INT AS reference_signals, administrative_signals::INT AS administrative_signals, report_signals::INT AS report_signals, has_entries, has_money, has_roman FROM f", documents="documents")
-def features(documents: DataFrame) -> DataFrame:
-    return rounded(profile.features(documents.select("doc_id", _plain(documents).alias("text"))))
+def any_match_sql(patterns: list[str], flags: str, column: str) -> str:
+    quoted = [p.replace("'", "''") for p in patterns]
+    return "(" + " + ".join(f"regexp_matches({column}, '{flags}{p}')::INT" for p in quoted) + ")"
 
 
-_BASE = {i: "CASE document_type " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in profile.SIZES.items()) + " END" for i in (0, 1)}
-_SCALED = {i: f"CASE WHEN avg_line < 40 THEN floor((CASE WHEN table_density > 0.1 THEN floor({b} * 1.2::DOUBLE) ELSE {b} END) * 1.1::DOUBLE)::INT ELSE (CASE WHEN table_density > 0.1 THEN floor({b} * 1.2::DOUBLE)::INT ELSE {b} END) END" for i, b in _BASE.items()}
+_MARKERS = {k: any_match_sql(ps, "(?i)", "m") for k, ps in profile.MARKERS.items()}
+_SHARE = "len(list_filter({0}, lambda x: {1})) / len({0})"
+_FEATURES = f"""f AS (SELECT doc_id,
+ list_sum(list_transform(l, lambda x: length(x))) / len(l) AS avg_line,
+ {_SHARE.format('l', "length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) < 50")} AS short_lines,
+ {_SHARE.format('l', "contains(x, '|') OR contains(x, chr(9))")} AS table_density,
+ CASE WHEN len(w) > 0 THEN {_SHARE.format('w', f'{_UP} AND length(x) > 2')} ELSE 0 END AS caps_density,
+ {count_sql(profile.REFERENCE, '(?im)', 'm')} AS reference_signals,
+ {count_sql(profile.ADMINISTRATIVE, '(?im)', 'm')} AS administrative_signals,
+ {count_sql(profile.REPORT, '(?im)', 'm')} AS report_signals,
+ {' + '.join(_MARKERS.values())} AS discourse_markers,
+ len(regexp_extract_all(m, '(?m){profile.ENTRY}')) > 5 AS has_entries,
+ regexp_matches(m, '{profile.MONEY}') AS has_money, regexp_matches(m, '(?m){profile.ROMAN}') AS has_roman
+ FROM (SELECT doc_id, {WORDED} AS m, string_split(text, chr(10)) AS l, {_WORDS} AS w FROM documents))"""
 
 
-TYPES = f"""{_FEATURES}, s AS (SELECT *, CASE WHEN has_entries THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN caps_density > 0.05 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN reference_signals > 10 THEN 0.3::DOUBLE ELSE 0 END AS r,
- CASE WHEN administrative_signals > 5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN table_density > 0.1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN has_money THEN 0.2::DOUBLE ELSE 0 END AS a,
- CASE WHEN report_signals > 3 THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN has_roman THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN has_money AND table_density > 0.05 THEN 0.2::DOUBLE ELSE 0 END AS g FROM f),
-t AS (SELECT *, greatest(r, a, g) AS best, CASE WHEN greatest(r, a, g) < 0.3 THEN 'hybrid' WHEN r = greatest(r, a, g) THEN 'reference' WHEN a = greatest(r, a, g) THEN 'administrative' ELSE 'government_report' END AS document_type FROM s),
-types AS (SELECT doc_id, document_type, round(best, 6) AS confidence, {_SCALED[0]} AS min_size, {_SCALED[1]} AS max_size FROM t)"""
+@query(
+    "a1_features",
+    f"""WITH {_FEATURES} SELECT doc_id, round(avg_line, 6) AS avg_line, round(short_lines, 6) AS short_lines, round(table_density, 6) AS table_density,
+ round(caps_density, 6) AS caps_density, reference_signals::INT AS reference_signals, administrative_signals::INT AS administrative_signals,
+ report_signals::INT AS report_signals, discourse_markers::INT AS discourse_markers, has_entries, has_money, has_roman FROM f""",
+    documents="documents",
+)
+def features(documents: DataFrame) -> DataFrame:
+    return rounded(profile.features(documents))
 
 
 @query(
-    "x2_document_type",
-    f"WITH {TYPES} SELECT * FROM types",
+    "x4_discourse_markers",
+    f"WITH d AS (SELECT doc_id, {WORDED} AS m FROM documents) SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _MARKERS.items()) + " FROM d",
     documents="documents",
 )
+def discourse_markers(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", *[c.alias(k) for k, c in profile.markers(F.col("text")).items()])
+
+
+_BASE = {i: "CASE document_type " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in profile.SIZES.items()) + " END" for i in (0, 1)}
+_WIDE = {i: f"CASE WHEN table_density > 0.1 THEN floor(({b}) * 1.2::DOUBLE)::INT ELSE {b} END" for i, b in _BASE.items()}
+_SCALED = {i: f"CASE WHEN avg_line < 40 THEN floor(({b}) * 1.1::DOUBLE)::INT ELSE {b} END" for i, b in _WIDE.items()}
+
+
+def _points(*rules: tuple[str, float]) -> str:
+    return " + ".join(f"CASE WHEN {cond} THEN {x}::DOUBLE ELSE 0 END" for cond, x in rules)
+
+
+TYPES = f"""{_FEATURES}, s AS (SELECT *,
+ {_points(('has_entries', 0.4), ('caps_density > 0.05', 0.2), ('reference_signals > 10', 0.3))} AS r,
+ {_points(('administrative_signals > 5', 0.3), ('table_density > 0.1', 0.2), ('has_money', 0.2), ('discourse_markers > 3', 0.2))} AS a,
+ {_points(('report_signals > 3', 0.4), ('has_roman', 0.2), ('has_money AND table_density > 0.05', 0.2))} AS g FROM f),
+t AS (SELECT *, greatest(r, a, g) AS best, CASE WHEN greatest(r, a, g) < 0.3 THEN 'hybrid' WHEN r = greatest(r, a, g) THEN 'reference'
+ WHEN a = greatest(r, a, g) THEN 'administrative' ELSE 'government_report' END AS document_type FROM s),
+types AS (SELECT doc_id, document_type, round(best, 6) AS confidence, {_SCALED[0]} AS min_size, {_SCALED[1]} AS max_size FROM t)"""
+
+
+@query("x2_document_type", f"WITH {TYPES} SELECT * FROM types", documents="documents")
 def document_type(documents: DataFrame) -> DataFrame:
-    return rounded(profile.classify(profile.features(documents.select("doc_id", _plain(documents).alias("text")))))
+    return rounded(profile.typed(documents))
 
 
 @query("a10_basic_stats", f"WITH {LINES}, a AS (SELECT doc_id, count(*) AS n_lines, count_if(s <> '') AS filled, avg(length(line)) FILTER (s <> '') AS avg_line FROM stripped GROUP BY ALL) SELECT doc_id, length(text)::INT AS n_chars, len({_WORDS})::INT AS n_words, n_lines, filled, round(avg_line, 6) AS avg_line FROM documents JOIN a USING (doc_id)", documents="documents")
@@ -58,35 +94,58 @@ def basic_stats(documents: DataFrame) -> DataFrame:
     return rounded(documents.select("doc_id", F.length("text").alias("n_chars"), F.size(tx.words(F.col("text"))).alias("n_words")).join(stats, "doc_id"))
 
 
-_ASCII = "regexp_replace(text, '[^\\x01-\\x7F]', '#', 'g')"
+def _counts_sql(groups: dict[str, list[str]], flags: str) -> str:
+    counts = ", ".join(f"({count_sql(p, flags, 'm')})::INT AS {k}" for k, p in groups.items())
+    return f"WITH d AS (SELECT doc_id, {WORDED} AS m FROM documents) SELECT doc_id, {counts} FROM d"
 
 
-def _plain(documents: DataFrame) -> F.Column:
-    """Letters beyond ASCII count as no letters, in either engine's word borders."""
-    return F.regexp_replace("text", r"[^\x01-\x7F]", "#")
+@query("a11_ocr_errors", _counts_sql(profile.OCR_ERRORS, "(?i)"), documents="documents")
+def ocr_errors(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", *[profile.matches(F.col("text"), p, "(?iU)").alias(k) for k, p in profile.OCR_ERRORS.items()])
 
 
-@query("a11_ocr_errors", f"WITH d AS (SELECT doc_id, {_ASCII} AS text FROM documents) SELECT doc_id, " + ", ".join(f"({count_sql(p, '(?i)')})::INT AS {k}" for k, p in profile.OCR_ERRORS.items()) + " FROM d", documents="documents")
-def ocr_errors(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", _plain(documents).alias("text")).select("doc_id", *[profile.matches(F.col("text"), p, "(?i)").alias(k) for k, p in profile.OCR_ERRORS.items()])
+_EXAMPLES = {"repeated_stops": "[.]{2,}", "missing_spaces": "[a-zA-Z][.,:;][a-zA-Z]", "doubled_strokes": "[il1|]{2,}"}
 
 
-@query("a18_historical_features", f"WITH d AS (SELECT doc_id, {_ASCII} AS text FROM documents) SELECT doc_id, " + ", ".join(f"({count_sql(p, '')})::INT AS {k}" for k, p in profile.HISTORICAL.items()) + " FROM d", documents="documents")
+@query(
+    "o4_error_examples",
+    "SELECT doc_id, " + ", ".join(f"array_to_string(list_slice(regexp_extract_all(text, '(?i){p}'), 1, 5), ' ') AS {k}" for k, p in _EXAMPLES.items()) + " FROM documents",
+    documents="documents",
+)
+def error_examples(documents: DataFrame) -> DataFrame:
+    """The first five matches of some patterns of recognition errors."""
+    return documents.select("doc_id", *[F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"(?i){p}"), F.lit(0)), 1, 5), " ").alias(k) for k, p in _EXAMPLES.items()])
+
+
+@query("a18_historical_features", _counts_sql(profile.HISTORICAL, ""), documents="documents")
 def historical_features(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", _plain(documents).alias("text")).select("doc_id", *[profile.matches(F.col("text"), p, "").alias(k) for k, p in profile.HISTORICAL.items()])
+    return documents.select("doc_id", *[profile.matches(F.col("text"), p, "(?U)").alias(k) for k, p in profile.HISTORICAL.items()])
 
 
 @query(
     "a19_corpus_error_rate",
-    f"WITH d AS (SELECT source, text AS raw, {_ASCII} AS text FROM documents) SELECT source, count(*) AS docs, round(sum({' + '.join(count_sql(p, '(?i)') for p in profile.OCR_ERRORS.values())}) / sum(len(list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> ''))), 6) AS error_rate FROM d GROUP BY source",
+    f"""WITH d AS (SELECT source, {_WORDS} AS w, {WORDED} AS m FROM documents)
+SELECT source, count(*) AS docs, round(sum({' + '.join(count_sql(p, '(?i)', 'm') for p in profile.OCR_ERRORS.values())}) / sum(len(w)), 6) AS error_rate FROM d GROUP BY source""",
     documents="documents",
 )
 def corpus_error_rate(documents: DataFrame) -> DataFrame:
-    errors = sum((profile.matches(F.col("text"), p, "(?i)") for p in profile.OCR_ERRORS.values()), F.lit(0))
-    rows = documents.select("source", F.size(tx.words(F.col("text"))).alias("words"), _plain(documents).alias("text")).select("source", "words", errors.alias("errors"))
+    errors = sum((profile.matches(F.col("text"), p, "(?iU)") for p in profile.OCR_ERRORS.values()), F.lit(0))
+    rows = documents.select("source", F.size(tx.words(F.col("text"))).alias("words"), errors.alias("errors"))
     return rounded(rows.groupBy("source").agg(F.count("*").alias("docs"), (F.sum("errors") / F.sum("words")).alias("error_rate")))
 
 
+@query(
+    "a14_header_consistency",
+    f"""WITH {LINES}, h AS (SELECT doc_id, length(line) AS n FROM stripped WHERE {UPPER.format('line')} AND length(s) > 5)
+SELECT doc_id, count(*) AS headers, round(avg(n), 6) AS avg_length, round(coalesce(var_samp(n), 0), 6) AS variance FROM h GROUP BY doc_id""",
+    documents="documents",
+)
+def header_consistency(documents: DataFrame) -> DataFrame:
+    """Lines in capitals that can be headers: how many, and how their lengths vary."""
+    rows = splitting.line_table(documents).where(tx.is_upper(F.col("line")) & (F.length(tx.strip(F.col("line"))) > 5)).withColumn("n", F.length("line"))
+    return rounded(rows.groupBy("doc_id").agg(F.count("*").alias("headers"), F.avg("n").alias("avg_length"), F.coalesce(F.var_samp("n"), F.lit(0.0)).alias("variance")))
+
+
 _CELLS = "list_transform(string_split(trim(line, '|'), '|'), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g'))"
 
 
@@ -218,7 +277,7 @@ _SENTS_OF = "(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)
 _OPENS = """CASE kd WHEN 'reference' THEN r.n > 0 AND ((mk AND (r.len >= mn OR r.m >= 3)) OR r.len > mx) WHEN 'administrative' THEN NOT (mk AND r.last) AND r.len > mx
  WHEN 'government_report' THEN r.n > 0 AND r.len + 2 + l > mx ELSE r.n > 0 AND r.len + 1 + l > mx END"""
 _SEP = "CASE kd WHEN 'government_report' THEN 2 ELSE 1 END"
-ADAPTIVE = f"""plain AS (SELECT doc_id, {_ASCII} AS text FROM documents), {TYPES},
+ADAPTIVE = f"""plain AS (SELECT doc_id, text FROM documents), {TYPES},
 units AS (SELECT x.doc_id, CASE WHEN document_type = 'government_report' THEN row_number() OVER (PARTITION BY x.doc_id ORDER BY pos) - 1 ELSE pos END AS pos, s, document_type AS kd, min_size AS mn, max_size AS mx FROM {_LINES_OF} x JOIN types USING (doc_id) WHERE document_type IN ('reference', 'administrative') OR (document_type = 'government_report' AND s <> '')
  UNION ALL SELECT x.doc_id, pos, s, document_type, min_size, max_size FROM {_SENTS_OF} x JOIN types USING (doc_id) WHERE document_type = 'hybrid'),
 {fold_sql('units', _OPENS, _SEP, f"CASE kd WHEN 'reference' THEN {_ENTRY_LINE} WHEN 'administrative' THEN contains(s, '|') OR contains(s, chr(9)) ELSE false END", ', kd, mn, mx')},
@@ -226,19 +285,31 @@ cs AS (SELECT doc_id, g, count(*) AS units, (sum(l) + (count(*) - 1) * any_value
 made AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS chunk_index, units, size, document_type FROM cs JOIN types USING (doc_id))"""
 
 
-@query("c8_adaptive_chunks", f"WITH RECURSIVE {ADAPTIVE} SELECT * FROM made", documents="documents")
+@query(
+    "c8_adaptive_chunks",
+    f"WITH RECURSIVE {ADAPTIVE} SELECT * FROM made",
+    documents="documents",
+)
 def adaptive_chunks(documents: DataFrame) -> DataFrame:
-    plain = documents.select("doc_id", _plain(documents).alias("text"))
-    return adaptive.chunks(plain).select("doc_id", "chunk_index", "units", "size", "document_type")
+    return adaptive.chunks(documents).select("doc_id", "chunk_index", "units", "size", "document_type")
 
 
-@query("a3_document_results", f"WITH RECURSIVE {ADAPTIVE} SELECT d.doc_id, count(m.doc_id) AS chunk_count, coalesce(sum(size), 0)::BIGINT AS total_chars, round(coalesce(avg(size), 0), 6) AS avg_chunk_size FROM documents d LEFT JOIN made m USING (doc_id) GROUP BY d.doc_id", documents="documents")
+@query(
+    "a3_document_results",
+    f"""WITH RECURSIVE {ADAPTIVE} SELECT d.doc_id, count(m.doc_id) AS chunk_count, coalesce(sum(size), 0)::BIGINT AS total_chars,
+ round(coalesce(avg(size), 0), 6) AS avg_chunk_size FROM documents d LEFT JOIN made m USING (doc_id) GROUP BY d.doc_id""",
+    documents="documents",
+)
 def document_results(documents: DataFrame) -> DataFrame:
-    plain = documents.select("doc_id", _plain(documents).alias("text"))
-    return rounded(adaptive.summary(plain, adaptive.chunks(plain)))
+    return rounded(adaptive.summary(documents, adaptive.chunks(documents)))
 
 
-@query("a2_type_statistics", f"WITH RECURSIVE {ADAPTIVE} SELECT document_type, count(DISTINCT doc_id) AS docs, count(*) AS chunks, round(avg(size), 6) AS avg_size, min(size) AS min_size, max(size) AS max_size FROM made GROUP BY document_type", documents="documents")
+@query(
+    "a2_type_statistics",
+    f"""WITH RECURSIVE {ADAPTIVE} SELECT document_type, count(DISTINCT doc_id) AS docs, count(*) AS chunks, round(avg(size), 6) AS avg_size,
+ min(size) AS min_size, max(size) AS max_size FROM made GROUP BY document_type""",
+    documents="documents",
+)
 def type_statistics(documents: DataFrame) -> DataFrame:
-    plain = documents.select("doc_id", _plain(documents).alias("text"))
-    return rounded(adaptive.chunks(plain).groupBy("document_type").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), F.avg("size").alias("avg_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size")))
+    sizes = [F.avg("size").alias("avg_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size")]
+    return rounded(adaptive.chunks(documents).groupBy("document_type").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), *sizes))

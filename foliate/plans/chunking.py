@@ -170,7 +170,7 @@ def packed_lines_sql(opens: str, mark: str) -> str:
 
 @query("c4_reference_entries", packed_lines_sql("r.n > 0 AND ((mk AND (r.len >= 400 OR r.m >= 3)) OR r.len > 800)", _ENTRY_LINE), documents="documents")
 def reference_entries(documents: DataFrame) -> DataFrame:
-    return packed_lines(documents, packing.at_marks(structure.is_entry, 400, 3, 800), structure.is_entry)
+    return packed_lines(documents, packing.at_marks(400, 3, 800), structure.is_entry)
 
 
 @query("c3c_headed_lines", packed_lines_sql("(mk AND r.n > 5) OR r.len > 1500", f"({_UPPER_LINE} AND length(s) > 15 AND NOT starts_with(s, '|'))"), documents="documents")
@@ -178,12 +178,12 @@ def headed_lines(documents: DataFrame) -> DataFrame:
     def mark(u: F.Column) -> F.Column:
         return tx.is_upper(u) & (F.length(u) > 15) & ~u.startswith("|")
 
-    return packed_lines(documents, packing.headed(mark, 5, 1500), mark)
+    return packed_lines(documents, packing.headed(5, 1500), mark)
 
 
 @query("c3d_whole_tables", packed_lines_sql("(mk AND NOT r.last AND r.len > 800) OR (NOT (mk AND r.last) AND r.len > 1200)", _TABLE_LINE), documents="documents")
 def whole_tables(documents: DataFrame) -> DataFrame:
-    return packed_lines(documents, packing.around_runs(structure.is_table, 800, 1200), structure.is_table)
+    return packed_lines(documents, packing.around_runs(800, 1200), structure.is_table)
 
 
 @query("c5b_register_sections", packed_lines_sql("(NOT (mk AND r.last) AND r.len > 1200)", "(contains(s, '|') OR contains(s, chr(9)))"), documents="documents")
@@ -191,7 +191,7 @@ def register_sections(documents: DataFrame) -> DataFrame:
     def mark(u: F.Column) -> F.Column:
         return u.contains("|") | u.contains("\t")
 
-    return packed_lines(documents, packing.around_runs(mark, 1 << 30, 1200), mark)
+    return packed_lines(documents, packing.around_runs(1 << 30, 1200), mark)
 
 
 @query(
@@ -239,18 +239,25 @@ allc AS (SELECT doc_id, 'hybrid' AS strategy, length(text) AS size FROM packed U
  UNION ALL SELECT doc_id, 'paragraph', (sum(length(s)) + 2 * (count(*) - 1))::BIGINT FROM paras GROUP BY doc_id, pos // 3)"""
 
 
-def strategies(documents: DataFrame) -> DataFrame:
-    """``doc_id, strategy, size`` of every chunk of three strategies."""
-    parts = {
-        "hybrid": packing.pack(documents, tx.sentences(F.col("text")), packing.before_limit(1000, 1), " ").select("doc_id", "size"),
-        "overlapping": splitting.windows(documents, 800, 200).select("doc_id", F.length("text").cast("long").alias("size")),
-        "paragraph": paragraph_groups(documents).select("doc_id", "size"),
+def strategies(documents: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id, keep, strategy, size`` of every chunk of three strategies, in one scan: chunks are ranges of lengths, texts are only measured."""
+    t = F.col("text")
+    total = lambda xs, sep: F.aggregate(xs, F.lit(-sep).cast("long"), lambda s, x: s + x + sep)
+    rows = documents.select("doc_id", *keep, "text", tx.sentences(t).alias("_s"), F.transform(tx.paragraphs(t, "\n"), F.length).alias("_p"))
+    rows = rows.withColumn("_starts", packing.group_starts(F.col("_s"), packing.before_limit(1000, 1), 1)).withColumn("_s", F.transform("_s", F.length))
+    stops = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_s")))
+    last = F.greatest(F.ceil((F.length(t) - 800) / 600), F.lit(0)).cast("int")
+    made = {
+        "hybrid": F.zip_with("_starts", stops, lambda a, b: total(F.slice("_s", a + 1, b - a), 1)),
+        "overlapping": F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.length(tx.strip(F.substring(t, i * 600 + 1, F.lit(800)))).cast("long"))),
+        "paragraph": F.when(F.size("_p") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / 3).cast("int")), lambda i: total(F.slice("_p", i * 3 + 1, F.lit(3)), 2))),
     }
-    out = None
-    for name, df in parts.items():
-        df = df.select("doc_id", F.lit(name).alias("strategy"), "size")
-        out = df if out is None else out.unionByName(df)
-    return out
+
+    def named(k: str, v: F.Column) -> F.Column:
+        return F.transform(F.coalesce(v, F.array().cast("array<bigint>")), lambda x: F.struct(F.lit(k).alias("strategy"), x.alias("size")))
+
+    sizes = [named(k, v) for k, v in made.items()]
+    return rows.select("doc_id", *keep, F.explode(F.concat(*sizes)).alias("c")).select("doc_id", *keep, "c.strategy", "c.size")
 
 
 def size_stats() -> list[F.Column]:
@@ -296,8 +303,7 @@ FROM allc JOIN documents d USING (doc_id) GROUP BY GROUPING SETS ((lang), (strat
     documents="documents",
 )
 def corpus_statistics(documents: DataFrame) -> DataFrame:
-    rows = strategies(documents).join(documents.select("doc_id", "lang"), "doc_id")
-    return rows.cube("lang", "strategy").agg(F.count("*").alias("chunks"), F.sum("size").alias("chars"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.countDistinct("doc_id").alias("docs")).select(
+    return strategies(documents, "lang").cube("lang", "strategy").agg(F.count("*").alias("chunks"), F.sum("size").alias("chars"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.countDistinct("doc_id").alias("docs")).select(
         F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("strategy", F.lit("*")).alias("strategy"), "chunks", "chars", "min_size", "max_size", "docs"
     )
 

@@ -20,7 +20,7 @@ def document_stream(spark: SparkSession, folder: str, files_a_batch: int = 100)
 
 def typed(stream: DataFrame) -> DataFrame:
     """Type and chunk sizes of each document."""
-    return profile.classify(profile.features(stream))
+    return profile.typed(stream)
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -28,21 +28,21 @@ def brute(docs):
 def test_every_document_is_in_a_volume(spark):
     docs = [(i, f"Text {i} word.\nEND OF PART.\nmore {i}") for i in (0, 7, 15, 24, 25, 31, 39, 1000, 1007, 12345)] + [(26, None), (27, "")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    rows = v.h.blocks(v.all_volumes(frame)).orderBy("doc_id", "block_no").collect()
+    rows = v.h.blocks(v.volumes(frame)).orderBy("doc_id", "block_no").collect()
     assert [(r["doc_id"], r["heading"], r["body"]) for r in rows] == brute(docs)
     assert all(any(f"more {i}" in r["body"] for r in rows) for i in (7, 1007, 12345))
 
 
 def test_rows_without_id_or_with_a_repeated_one_are_kept(spark):
     frame = spark.createDataFrame([(None, "lost a"), (None, "lost b"), (40, "first"), (40, "second")], "doc_id long, text string")
-    text = "\n".join(r["text"] for r in v.all_volumes(frame).collect())
+    text = "\n".join(r["text"] for r in v.volumes(frame).collect())
     assert all(w in text for w in ("lost a", "lost b", "first", "second")) and text.count("Foreign Consuls.") == 4
 
 
 def test_blocks_of_all_documents(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute(docs)
-    rows = QUERIES["t6_blocks_all"](spark, sf).select("doc_id", "block_no", "heading").orderBy("doc_id", "block_no").collect()
+    rows = QUERIES["t6_blocks"](spark, sf).select("doc_id", "block_no", "heading").orderBy("doc_id", "block_no").collect()
     assert [(r["doc_id"], r["heading"]) for r in rows] == [w[:2] for w in want]
     assert {heading(i) for i, _ in docs} <= {r["heading"] for r in rows} and len(rows) >= len(docs) > 25
 
@@ -50,10 +50,9 @@ def test_blocks_of_all_documents(spark, sf):
 def test_folding_below_160_characters(spark):
     # the given text stands between two lines of 19 and 16 characters, and empty lines
     docs = [(1, "x" * 100), (2, "Ontario"), (17, "x" * 200), (18, "Ontario")]
-    rows = v.folded_prefixes_all(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id", "block_no").collect()
+    rows = v.folded_prefixes(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id", "block_no").collect()
     assert [(r["heading"], r["prefix_headings"]) for r in rows] == [("ONTARIO", "DOMINION OF CANADA"), ("DOMINION OF CANADA", ""), ("ONTARIO", "")]
 
 
-def test_every_volume_query_runs_on_all_documents():
-    narrow = {n for n, s in ORACLE_SQL.items() if "nation JOIN documents" in s}
-    assert narrow == {*v.ALL, "t7_folded_prefixes"} and {f"{n}_all" for n in narrow} <= set(QUERIES)
+def test_no_query_reads_a_part_of_the_documents():
+    assert not [n for n, q in ORACLE_SQL.items() if "n_nationkey" in q] and "t6_blocks" in QUERIES
