@@ -2,13 +2,17 @@
 
 Each page is parsed into a tree of elements; an element's place in the site's tree is
 the chain of tags and classes above it. Over all pages of a host the trees are merged:
-for each place the presentation (sequence of child tags) and the content (text below)
-are counted, and their entropies, in units of the number of pages, give the place's
-importance. Pages of a host with the same places, presentation and content count once.
-Places of low importance, which look and read alike on many pages, are removed from each
-page whose own content there is that of another, with what HTML itself marks as no part of an article (menus,
-forms, scripts and the like, or class names that say so). Where a page marks its
-article or main part, that is the text, less such parts and places inside; it is kept
+for each place the presentations (sequences of child tags, runs of one tag as one) and
+the features of its content (texts of its blocks) are counted by page. A feature's
+importance is 1 less its entropy over the pages that have the place (0 on all of them, 1 on
+one), with the entropy of the place's presentations as a small part. A branch's importance
+on a page is the mean of its features' over all elements below it, by length; branches of
+low importance are removed whole, a menu with its one item that no other page has too.
+Pages of a host with the same places, presentations and features count once.
+
+What HTML itself marks as no part of an article (menus, forms, scripts and the like, or
+class names that say so) goes as well. Where a page marks its
+article or main part, that is the text, less such parts and branches inside; it is kept
 whole if more of its text would be removed than kept (pages that are near copies of each
 other), as is a page without such a part of which nothing would be left.
 The outermost ``main`` and ``article`` elements are that part, with all in them, if they
@@ -18,9 +22,10 @@ Inside that part, and on headings and prose anywhere, only a whole class name or
 so, and ids of headings and prose never do; other names are left to the importance.
 
 The counts are aggregates over (page, place) and (place, value), so a host with a third
-of all pages is no single task's work. Repeated contents of places of low importance are
+of all pages is no single task's work. Features of low importance are
 broadcast if they are few (``BROADCAST_ROWS``, counted first), so that texts are not
-shuffled; otherwise each page meets its own in a join. Character references are decoded, white space in a
+shuffled; otherwise each page meets its own in a join. A page is parsed in time and space
+in proportion to its length, however deep it nests. Character references are decoded, white space in a
 block becomes one space, blocks are joined by a line feed in page order.
 
 Null html or url is empty; an empty page has an empty text; repeated rows give a row
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -40,11 +46,12 @@ from pyspark.sql import functions as F
 
 from foliate.llm.common import read, slices, store
 
-#: A place seen on at least so many pages of a host is removed if its importance is below the limit.
+#: Places seen on at least so many pages of a host are judged; what is below the limit is of low importance.
 MIN_PAGES, LEAST, PRESENTATION = 8, 0.2, 0.1
 BROADCAST_ROWS = 200_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp".split())
@@ -69,40 +76,71 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(blake2b("\x00".join(parts).encode(), digest_size=8).digest(), "big", signed=True)
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag, with empty names for comments and declarations; each character is looked at a bounded number of times."""
+    last, closed, at = source.rfind(">"), {'"': True, "'": True}, 0
+    while 0 <= (i := source.find("<", at)) < last or source.startswith("<!--", i):
+        at = i + 1
+        if source.startswith("<!--", i):
+            end = source.find("-->", i + 4)
+            at = len(source) if end < 0 else end + 3
+            yield i, at, "", "", ""
+        elif source[at] in "!?":
+            at = source.find(">", at) + 1
+            yield i, at, "", "", ""
+        elif m := _NAME.match(source, at):
+            end, x = -1, m.end()
+            while stop := _STOP.search(source, x):  # a sign of greater in quotes ends no tag
+                if stop[0] == ">":
+                    end = stop.start()
+                    break
+                x = stop.end()
+                if closed[stop[0]]:
+                    x = source.find(stop[0], x) + 1
+                    if not x:
+                        closed[stop[0]], x = False, stop.end()
+            end = source.find(">", m.end()) if end < 0 else end
+            at = end + 1
+            yield i, at, m[1], m[2], source[m.end() : end]
+
+
 class Node:
-    __slots__ = ("tag", "place", "noise", "zone", "children", "text", "chain", "above")
+    __slots__ = ("tag", "place", "noise", "hard", "zone", "style", "index")
 
-    def __init__(self, tag: str, place: int, noise: bool, zone: int, chain: tuple[int, ...], above: int):
-        self.tag, self.place, self.noise, self.zone, self.chain, self.above = tag, place, noise, zone, chain, above
-        self.children: list[str] = []
-        self.text: list[str] = []
+    def __init__(self, tag: str, place: int, noise: bool, hard: bool, zone: int, index: int):
+        self.tag, self.place, self.noise, self.hard, self.zone, self.index = tag, place, noise, hard, zone, index
+        self.style: list[str] = []
 
 
 class Page:
     """Blocks and places of a page. zone: 0 elsewhere, 1 in an outermost main part, 2 in an outermost article.
 
-    above: the places of a chain that are not inside the outermost part.
+    nodes: (parent, place) of each block element, parents first; a block names its element.
     """
 
     def __init__(self, host: str, source: str):
-        self.blocks: list[tuple[int, tuple[int, ...], int, str]] = []
-        self.seen: dict[int, tuple[list[str], list[str]]] = {}
+        self.blocks: list[tuple[int, int, str]] = []
+        self.nodes: list[tuple[int, int]] = [(-1, _hash(host))]
+        self.styles: dict[int, list[str]] = {}
+        self.features: dict[int, set[int]] = {}
         self.pending: list[str] = []
-        self.open = [Node("", _hash(host), False, 0, (), 0)]
+        self.open = [Node("", self.nodes[0][1], False, False, 0, 0)]
+        self.count: Counter[str] = Counter()
         at = 0
-        while m := _TOKEN.search(source, at):
-            self.characters(source[at : m.start()])
-            at = m.end()
-            if not m[2]:
+        for start, end, slash, name, attributes in tokens(source):
+            if start < at:  # inside a raw element
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            self.characters(source[at:start])
+            at, tag = end, name.lower()
+            if not tag:
+                continue
+            if slash:
                 self.end(tag)
             elif tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = close.end() if close else len(source)
             else:
-                self.start(tag, m[3])
+                self.start(tag, attributes)
         self.characters(source[at:])
         self.flush()
         while len(self.open) > 1:
@@ -117,29 +155,33 @@ class Page:
         self.pending.clear()
         if text:
             top = self.open[-1]
-            for node in self.open:
-                node.text.append(text)
+            place = self.nodes[top.index][1]
+            self.features.setdefault(place, set()).add(feature(place, text))
             if not top.noise:
-                self.blocks.append((top.zone, top.chain, top.above, text))
+                self.blocks.append((top.zone, top.index, text))
 
     def pop(self) -> None:
         node = self.open.pop()
+        self.count[node.tag] -= 1
         if node.tag in BLOCKS:
-            styles, contents = self.seen.setdefault(node.place, ([], []))
-            styles.append(",".join(node.children))
-            contents.append("\n".join(node.text))
+            self.styles.setdefault(node.place, []).append(",".join(node.style))
 
     def close(self, tags: set[str], stop: set[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                if any(n.tag in BLOCKS for n in self.open[i:]):
-                    self.flush()
-                while len(self.open) > i:
-                    self.pop()
+                self.close_to(i)
                 return
             if self.open[i].tag in stop:
                 return
 
+    def close_to(self, i: int) -> None:
+        if any(n.tag in BLOCKS for n in self.open[i:]):
+            self.flush()
+        while len(self.open) > i:
+            self.pop()
+
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
             self.flush()
@@ -165,56 +207,59 @@ class Page:
             noise = False
         elif tag in ("article", "main") and zone == 0:
             # an unclosed part before it does not swallow the article; a reader's comment may be one
-            noise = noise and any(n.noise and n.tag not in ("p", "span", "div") for n in self.open) or bool(words & {"comment", "comments", "reply"})
+            noise = noise and parent.hard or bool(words & {"comment", "comments", "reply"})
         else:
             noise = noise or marked or tag in NOISE_TAGS or (zone == 0 and (tag == "header" or "header" in words))
         if zone == 0 and tag in ("article", "main"):
             zone = 2 if tag == "article" else 1
-        parent.children.append(tag)
+        if parent.style[-1:] != [tag]:
+            parent.style.append(tag)
         place = _hash(str(parent.place), tag, values.get("class", ""))
-        chain, above = parent.chain, parent.above
+        index = parent.index
         if tag in BLOCKS and tag not in ("html", "body"):
-            chain = (*chain, place)
-        if zone > parent.zone:  # places above the main part, and itself, do not count against it
-            above = len(chain)
-        self.open.append(Node(tag, place, noise, zone, chain, above))
+            index = len(self.nodes)
+            self.nodes.append((parent.index, place))
+        self.open.append(Node(tag, place, noise, parent.hard or (noise and tag not in ("p", "span", "div")), zone, index))
+        self.count[tag] += 1
 
     def end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                if any(n.tag in BLOCKS for n in self.open[i:]):
-                    self.flush()
-                while len(self.open) > i:
-                    self.pop()
+                self.close_to(i)
                 return
             if tag not in BLOCKS and self.open[i].tag in BLOCKS:
                 return
 
-    def result(self) -> tuple[list[dict], list[dict], bool]:
-        """Kept blocks with the contents of their places, the statistics of all places, and whether the page marks its text.
-
-        A content's hash has its place in it, so it stands for both.
-        """
+    def result(self) -> tuple[list[dict], list[dict], list[dict], bool]:
+        """Blocks of the main part, all elements, the statistics of all places with text, and whether the page marks its main part."""
         size = [0, 0, 0]
-        for zone, _, _, text in self.blocks:
+        for zone, _, text in self.blocks:
             size[zone] += len(text)
         part = size[1] + size[2]
         marked = part > 0 and size[0] <= (2 * part if size[1] else part)
-        content = {p: _hash(str(p), *c) for p, (_, c) in self.seen.items() if any(c)}
-        kept = [{"places": [content[p] for p in chain[above if marked else 0 :]], "text": t} for z, chain, above, t in self.blocks if z or not marked]
-        stats = [{"place": p, "style": _hash(*self.seen[p][0]), "content": c} for p, c in content.items()]
-        return kept, stats, marked
+        kept = [{"node": n, "text": t} for z, n, t in self.blocks if z or not marked]
+        nodes = [{"parent": a, "place": p} for a, p in self.nodes]
+        stats = [{"place": p, "kind": 0, "v": _hash(*self.styles.get(p, ()))} for p in self.features]
+        stats += [{"place": p, "kind": 1, "v": f} for p, own in self.features.items() for f in sorted(own)]
+        return kept, nodes, stats, marked
+
 
+def feature(place: int, text: str) -> int:
+    return _hash(str(place), text)
 
-_BLOCK = pa.list_(pa.struct([("places", pa.list_(pa.int64())), ("text", pa.string())]))
-_STAT = pa.list_(pa.struct([("place", pa.int64()), ("style", pa.int64()), ("content", pa.int64())]))
-_SCHEMA = "row long, page_id long, url string, blocks array<struct<places:array<long>,text:string>>, stats array<struct<place:long,style:long,content:long>>, marked boolean"
+
+_BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
+_NODE = pa.list_(pa.struct([("parent", pa.int32()), ("place", pa.int64())]))
+_STAT = pa.list_(pa.struct([("place", pa.int64()), ("kind", pa.int32()), ("v", pa.int64())]))
+_SCHEMA = "row long, page_id long, url string, blocks array<struct<node:int,text:string>>, nodes array<struct<parent:int,place:long>>, stats array<struct<place:long,kind:int,v:long>>, marked boolean"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``row, page_id, url, blocks, stats, marked`` of ``pages(page_id, url, html)``."""
+    """``row, page_id, url, blocks, nodes, stats, marked`` of ``pages(page_id, url, html)``."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
@@ -222,68 +267,83 @@ def parsed(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html"):
             done = [Page(h, s).result() for h, s in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("page_id"), batch.column("url"), pa.array([d[0] for d in done], _BLOCK), pa.array([d[1] for d in done], _STAT), pa.array([d[2] for d in done], pa.bool_())],
-                ["row", "page_id", "url", "blocks", "stats", "marked"],
+                [batch.column("row"), batch.column("page_id"), batch.column("url"), pa.array([d[0] for d in done], _BLOCK), pa.array([d[1] for d in done], _NODE), pa.array([d[2] for d in done], _STAT), pa.array([d[3] for d in done], pa.bool_())],
+                ["row", "page_id", "url", "blocks", "nodes", "stats", "marked"],
             )
 
     return rows.mapInArrow(run, _SCHEMA)
 
 
 def value_counts(pages: DataFrame) -> DataFrame:
-    """``place, kind, v, c``: on how many distinct pages a place has presentation (kind 0) or content (1) ``v``."""
-    own = pages.select(F.xxhash64("stats").alias("page"), F.explode("stats").alias("s")).select("page", "s.*")
-    stats = own.dropDuplicates(["page", "place"])
-    values = stats.select("place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("v")))).alias("x")).select("place", "x.*")
-    return values.groupBy("place", "kind", "v").agg(F.count("*").cast("double").alias("c"))
+    """``place, kind, v, c``: on how many distinct pages a place has presentation (kind 0) or feature (1) ``v``."""
+    own = pages.select(F.xxhash64("stats").alias("page"), F.explode("stats").alias("s")).select("page", "s.*").distinct()
+    return own.groupBy("place", "kind", "v").agg(F.count("*").cast("double").alias("c"))
 
 
-def scores(counts: DataFrame) -> DataFrame:
-    """``place, pages, importance`` from the counts of values."""
+def presentations(counts: DataFrame) -> DataFrame:
+    """``place, pages, entropy``: on how many pages a place is, and the entropy of its presentations in units of them."""
     c = F.col("c")
-    sums = counts.groupBy("place", "kind").agg(F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("s"))
-    entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    weight = F.when(F.col("kind") == 0, PRESENTATION).otherwise(1 - PRESENTATION)
-    return sums.groupBy("place").agg(F.max("m").cast("long").alias("pages"), F.sum(entropy * weight).alias("importance"))
+    sums = counts.where("kind = 0").groupBy("place").agg(F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("s"))
+    return sums.select("place", F.col("m").alias("pages"), F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias("entropy"))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """``place, pages, importance`` over the merged trees; places are told apart by host."""
-    return scores(value_counts(pages))
+def features(counts: DataFrame) -> DataFrame:
+    """``place, v, c, pages, importance`` of each feature: 1 less its entropy, and a part for its place's presentations."""
+    content = F.when(F.col("pages") > 1, 1 - F.log("c") / F.log("pages")).otherwise(1.0)
+    rows = counts.where("kind = 1").join(presentations(counts), "place")
+    return rows.select("place", "v", "c", "pages", (PRESENTATION * F.col("entropy") + (1 - PRESENTATION) * content).alias("importance"))
 
 
-def low_values(pages: DataFrame) -> DataFrame:
-    """``place``: contents that two distinct pages at least have in a place of low importance."""
-    counts = store(value_counts(pages), "counts")
-    low = scores(counts).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).select("place")
-    return counts.where("kind = 1 and c > 1").join(low, "place").select(F.col("v").alias("place"))
-
-
-def left_over(blocks: list[dict], gone: set[int], marked: bool) -> str:
-    """Text of the blocks outside removed places; no page is removed altogether, and of a marked main part less than what is kept."""
-    whole = [b["text"] for b in blocks]
-    kept = [b["text"] for b in blocks if gone.isdisjoint(b["places"])]
-    enough = kept and (not marked or 2 * sum(map(len, kept)) >= sum(map(len, whole)))
-    return "\n".join(kept if enough else whole)
+def importance(pages: DataFrame) -> DataFrame:
+    """``place, pages, importance`` of the places with text of their own: the mean of their features'; places are told apart by host."""
+    mean = F.sum(F.col("importance") * F.col("c")) / F.sum("c")
+    return features(store(value_counts(pages), "counts")).groupBy("place").agg(F.max("pages").cast("long").alias("pages"), mean.alias("importance"))
+
+
+def low_features(pages: DataFrame) -> DataFrame:
+    """``v``: features of low importance."""
+    judged = features(store(value_counts(pages), "counts"))
+    return judged.where((F.col("pages") >= MIN_PAGES) & (F.col("c") > 1) & (F.col("importance") < LEAST)).select("v")
+
+
+def left_over(blocks: list[dict], nodes: list[dict], low: set[int], marked: bool) -> str:
+    """Text of the blocks outside branches of low importance; no page is removed altogether, and of a marked main part less than what is kept."""
+    if not low:
+        return "\n".join(b["text"] for b in blocks)
+    chars, repeated = [0] * len(nodes), [0] * len(nodes)
+    for b in blocks:
+        n, size = b["node"], len(b["text"])
+        chars[n] += size
+        if feature(nodes[n]["place"], b["text"]) in low:
+            repeated[n] += size
+    for n in range(len(nodes) - 1, 0, -1):
+        chars[nodes[n]["parent"]] += chars[n]
+        repeated[nodes[n]["parent"]] += repeated[n]
+    gone = [False] * len(nodes)
+    for n in range(1, len(nodes)):
+        gone[n] = gone[nodes[n]["parent"]] or 0 < (1 - LEAST) * chars[n] <= repeated[n]
+    kept = [b["text"] for b in blocks if not gone[b["node"]]]
+    enough = kept and (not marked or 2 * sum(map(len, kept)) >= chars[0])
+    return "\n".join(kept if enough else [b["text"] for b in blocks])
 
 
 def removed(table: DataFrame, low: DataFrame) -> DataFrame:
-    """``page_id, url, text``: what is left of each page of ``table`` without what ``low`` has of contents."""
+    """``page_id, url, text``: what is left of each page of ``table`` without branches of the features ``low``."""
     few = low.count() <= BROADCAST_ROWS
     if few:
-        held = table.sparkSession.sparkContext.broadcast({r["place"] for r in low.collect()})
-        rows = table.select("page_id", "url", "blocks", "marked", F.array().cast("array<long>").alias("gone"))
+        held = table.sparkSession.sparkContext.broadcast({r["v"] for r in low.collect()})
+        rows = table.select("page_id", "url", "blocks", "nodes", "marked", F.array().cast("array<long>").alias("low"))
     else:
         held = table.sparkSession.sparkContext.broadcast(set())
-        own = table.select("row", F.explode("blocks").alias("b")).select("row", F.explode("b.places").alias("place")).distinct()
-        gone = own.join(low, "place").groupBy("row").agg(F.collect_set("place").alias("gone"))
-        rows = table.join(gone, "row", "left").select("page_id", "url", "blocks", "marked", "gone")
+        own = table.select("row", F.explode("stats").alias("s")).where("s.kind = 1").select("row", "s.v").join(low, "v")
+        rows = table.join(own.groupBy("row").agg(F.collect_set("v").alias("low")), "row", "left").select("page_id", "url", "blocks", "nodes", "marked", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                columns = [batch.column(c).to_pylist() for c in ("blocks", "gone", "marked")]
-                text = [left_over(b, held.value.union(g or ()) if g else held.value, m) for b, g, m in zip(*columns)]
+                columns = [batch.column(c).to_pylist() for c in ("blocks", "nodes", "low", "marked")]
+                text = [left_over(b, n, held.value.union(own) if own else held.value, m) for b, n, own, m in zip(*columns)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")
@@ -292,8 +352,8 @@ def removed(table: DataFrame, low: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages(page_id, url, html)``."""
     table = store(parsed(pages), "parsed")
-    low = store(low_values(table), "low")
-    return removed(table.drop("stats"), low).withColumn("n_chars", F.length("text").cast("long"))
+    low = store(low_features(table), "low")
+    return removed(table, low).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,12 @@
 import html
+import math
 import re
+import time
 
-from foliate.llm.html_main import importance, main_text, parsed
+import pytest
+
+from foliate.llm import html_main
+from foliate.llm.html_main import Page, importance, main_text, parsed
 
 
 def rows(spark, pages):
@@ -94,3 +99,49 @@ def test_names_of_topics_are_kept(spark):
     kept = "History\nfind\nlaw\nWork"
     assert got[0] == got[1] == kept + "\nrules\nrows" and got[2] == kept
     assert [got[i + 3] for i in range(9)] == [f"a longer story {i}" for i in range(9)]  # the tree confirms the name
+
+
+def test_importance_against_brute_force(spark):
+    """Entropies spelled out over the pages' own statistics."""
+    pages = [("http://h.example/", f"<body><div class=m><p>Home</p><p>{'About' if i % 3 else 'Jobs'}</p></div><div class=n><p>story {i}</p>{'<p>more</p>' * (i % 2)}</div></body>") for i in range(11)]
+    table = [r["stats"] for r in parsed(rows(spark, pages)).collect()]
+    want = {}
+    for place in {s["place"] for stats in table for s in stats}:
+        own = [[s for s in stats if s["place"] == place] for stats in table]
+        own = [o for o in own if o]
+        m, styles, contents = len(own), {}, {}
+        for o in own:
+            for s in o:
+                (styles if s["kind"] == 0 else contents).setdefault(s["v"], []).append(1)
+        entropy = sum(-len(x) / m * math.log(len(x) / m) for x in styles.values()) / math.log(m)
+        parts = [(len(x), 0.1 * entropy + 0.9 * (1 - math.log(len(x)) / math.log(m))) for x in contents.values()]
+        want[place] = sum(c * x for c, x in parts) / sum(c for c, _ in parts)
+    got = {r["place"]: r["importance"] for r in importance(parsed(rows(spark, pages))).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+@pytest.mark.parametrize("rows_at_most", [200_000, -1])
+def test_a_menu_goes_with_its_own_item(spark, monkeypatch, rows_at_most):
+    monkeypatch.setattr(html_main, "BROADCAST_ROWS", rows_at_most)  # also the shuffled way
+    menu = "".join(f"<li>section number {i}</li>" for i in range(30))
+    pages = [("http://h.example/", f"<body><ul class=top>{menu}<li>here: {i}</li></ul><div><p>the story of page {i}</p><p>and its end {i}</p></div></body>") for i in range(10)]
+    assert all(t == f"the story of page {i}\nand its end {i}" for i, t in texts(spark, pages).items())
+
+
+def test_the_tree_s_part_on_the_given_table(spark):
+    """Menus, adverts and footers of the given pages differ on each page: nothing repeats, and the tags decide (README)."""
+    pages = parsed(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert html_main.low_features(pages).count() == 0
+
+
+def test_hostile_pages_take_time_in_proportion():
+    def seconds(source):
+        start = time.process_time()
+        Page("h", source).result()
+        return time.process_time() - start
+
+    for make in (lambda n: "<div>x" * n, lambda n: '<a href="x>y' * n, lambda n: "<p '" * n, lambda n: "<div>" * n + "</p></li>" * n, lambda n: "<!x" * n, lambda n: "<b><article>" * n, lambda n: "<script>" * n):
+        seconds(make(2_000))
+        small, large = seconds(make(5_000)), seconds(make(40_000))
+        assert large < 24 * small + 0.5, make(2)
+    assert [t for _, _, t in Page("h", '<p title="a > b">x</p><p class="y>z</p>').blocks] == ["x", "z"]
