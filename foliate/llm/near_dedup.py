@@ -6,14 +6,17 @@
 2. Documents with the same set are one class; only its smallest id goes on.
 3. Bands of the signature are buckets. Every member of a bucket is verified on full
    sets against the bucket's smallest id, not against every other member. Where the
-   rest of a bucket lies in several components, it is cut into parts of a bounded size,
-   and each pair of parts is a block whose documents are compared across components
-   in one task: texts meet by block, no pairs are made. Of buckets with the same
-   members one is compared.
+   rest of a bucket lies in several components, and is of a bounded size, its documents are
+   compared across components in one task: texts meet by block, no pairs are made. Of
+   buckets with the same members one is compared. Documents of larger rests (many that
+   share a band and little else) get new buckets first: each set's rarest shingles, as
+   many as any similar set must share one of. What is left open in these is cut into
+   parts, and each pair of parts is a block.
 4. Verified links are joined to components by union-find steps on tables.
 
 No bucket is gathered in one task: smallest members are aggregates, members meet
-them in joins that adaptive execution can split. With the chosen bands a link at
+them in joins that adaptive execution can split; members of large classes of equal sets
+meet theirs in a broadcast, as long as these classes are few (counted first). With the chosen bands a link at
 exactly the threshold is missed with a probability below 1e-6.
 
 Null text, or one without words: empty set, linked with nothing, a component of its
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.common import LOWER, BYTE_CODES, byte_view, components, grams, mix, read, slices, spans_hash, store, texts, words_of
@@ -39,6 +42,8 @@ WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Values of a signature at most; documents and shingles of one part of a bucket's rest (about).
 WIDTH, BLOCK, BLOCK_SHINGLES = 128, 1024, 1 << 19
+#: Documents of a shingle, or of a class of equal sets, from which on it is large; rows of these that are broadcast at most.
+LARGE, BROADCAST_ROWS = 64, 500_000
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,28 +208,76 @@ def near_labels(found: DataFrame) -> DataFrame:
     return both.join(one.select(F.col("a").alias("b"), "m"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("m").alias("root"))
 
 
-def links(classes: DataFrame, docs: DataFrame, k: int, percent: int, bands: int, rows_a_band: int) -> DataFrame:
-    """Links (a, b) between classes: enough of them to give the components of all links."""
-    members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n_shingles")
+def few(df: DataFrame) -> bool:
+    return df.count() <= BROADCAST_ROWS
+
+
+def pivoted(members: DataFrame, held: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets of several members with their smallest one, and the verified links to it."""
     first = members.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = store(members.join(first, "bucket").select("bucket", "doc", "pivot", "n_shingles"), "members")
-    ids = members.select(F.col("doc").alias("doc_id")).distinct()
-    held = store(docs.join(ids, "doc_id"), "candidates")
     pairs = members.where("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    found = store(verified(pairs, held, k, percent), "links")
+    return members, store(verified(pairs, held, k, percent), "links")
+
 
-    # what is left of the buckets whose members lie in several components; of equal ones, one
+def open_buckets(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of the buckets, ``bucket, doc, root``, and those whose rest lies in several components, ``bucket, parts``; of equal ones, one."""
     rest = members.where("doc <> pivot").join(near_labels(found), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"), "n_shingles")
     rest = store(rest, "rest")
     h = F.xxhash64("doc")
     open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("s")).where("low < high")
     open_ = open_.groupBy("n", "m", "x", "s").agg(F.min("bucket").alias("bucket"))
     open_ = open_.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    return rest, store(open_, "open")
+
+
+def blocks_of(rest: DataFrame, open_: DataFrame, held: DataFrame) -> DataFrame:
+    """The texts of each pair of parts of each open bucket."""
     part = F.pmod(F.xxhash64("doc", "bucket"), F.col("parts")).cast("int")
     dealt = rest.drop("n_shingles").join(open_, "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc", "root")
-    blocks = dealt.join(held.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    return store(found.union(compared(blocks, k, percent)), "links")
+    return dealt.join(held.select(F.col("doc_id").alias("doc"), "text"), "doc")
+
+
+def rare_shingles(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Members ``bucket, doc, n_shingles``: the first shingles of each set, rare ones first, so many that similar sets have one in common.
+
+    Of two sets with the similarity each has at least ``percent`` of its own in common
+    with the other; so they share one among all but that many of it, in any order that
+    holds for all sets. Only frequent shingles need a count for the order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 19):
+            _, h, rows = distinct(*shingles(*byte_view(batch.column("text")), k))
+            size = np.bincount(rows, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(pa.array(rows)), pa.array(size[rows].astype(np.int64))], ["bucket", "doc", "n_shingles"])
+
+    all_ = store(docs.select("doc_id", "text").mapInArrow(run, "bucket long, doc long, n_shingles long"), "shingles")
+    frequent = store(all_.groupBy("bucket").count().where(F.col("count") > LARGE), "frequent")
+    counted = all_.join(F.broadcast(frequent) if few(frequent) else frequent, "bucket", "left")
+    order = Window.partitionBy("doc").orderBy(F.coalesce("count", F.lit(0)), "bucket")
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).select("bucket", "doc", "n_shingles")
+
+
+def links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes: enough of them to give the components of all links."""
+    members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n_shingles")
+    shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
+    ids = members.join(shared, "bucket").select(F.col("doc").alias("doc_id")).distinct()
+    held = store(docs.join(ids, "doc_id"), "candidates")
+    members, found = pivoted(members, held, k, percent)
+    rest, open_ = open_buckets(members, found)
+    small, large = open_.where("parts = 1"), open_.where("parts > 1")
+    out = found.union(compared(blocks_of(rest, small, held), k, percent))
+    if not large.isEmpty():
+        ids = store(rest.join(large, "bucket").select(F.col("doc").alias("doc_id")).distinct(), "crowded")
+        crowd = store(held.join(ids, "doc_id"), "crowd")
+        members, more = pivoted(rare_shingles(crowd, k, percent), crowd, k, percent)
+        rest, open_ = open_buckets(members, found.union(more))
+        out = out.union(more).union(compared(blocks_of(rest, open_, crowd), k, percent))
+    return store(out, "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -234,15 +287,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     table = store(signed(docs, shingle, bands, rows_a_band), "signed")
     real = table.where("n_shingles > 0 and doc_id is not null")
     key = ["s1", "s2", "n_shingles"]
-    reps = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    reps = store(real.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     classes = real.join(reps.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).select(F.col("doc_id").alias("rep"), "bands", "n_shingles")
-    found = links(classes, docs.where("doc_id is not null"), shingle, percent, bands, rows_a_band)
+    found = links(classes, docs.where("doc_id is not null"), shingle, percent)
     # a doc_id with several sets ties their classes together
-    repeated = real.join(reps, key).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all")).where("a < b")
+    twice = real.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high").select("doc_id")
+    repeated = real.join(twice, "doc_id").join(reps, key).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all"))
     found = found.union(repeated.select("a", F.explode("all").alias("b")).where("a < b"))
     roots = components(found, "rep", "root")
-    class_roots = reps.join(roots, "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
-    out = table.join(class_roots, key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    class_roots = store(reps.join(roots, "rep", "left").select(*key, "n", F.coalesce("root", "rep").alias("root")), "roots")
+    # rows of large classes meet their root without a shuffle, so that no task has a third of all rows
+    large = class_roots.where(F.col("n") > LARGE)
+    if few(large):
+        large = F.broadcast(large.drop("n"))
+        out = table.join(large, key).union(table.join(large, key, "left_anti").join(class_roots.where(F.col("n") <= LARGE).drop("n"), key, "left"))
+    else:
+        out = table.join(class_roots.drop("n"), key, "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

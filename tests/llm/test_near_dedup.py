@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from foliate.llm import near_dedup
 from foliate.llm.common import byte_view, components
 from foliate.llm.near_dedup import banding, distinct, near_duplicates, shingles, superminhash
 
@@ -72,3 +73,40 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, j) for j in range(50, 90)] + [(200, 200), (201, 202)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 50 for i in [*range(50, 90), 100]}, 201: 201, 202: 201}
+
+
+def test_crowded_buckets_against_brute_force(spark, monkeypatch):
+    """Many documents on one template, unlike in the rest, with small groups of copies among them: every path beyond one block."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "LARGE", 4)
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(70)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}x{j}" for j in range(22)]
+        rows.append((len(rows), " ".join(template + own)))
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            rows.append((len(rows), " ".join(template[:-1] + [rng.choice("ab")] + own)))
+    rows += [(len(rows) + i, " ".join(template)) for i in range(9)]
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    rows = [(i, t) for i, (_, t) in zip(ids, rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 85)
+    assert sorted(map(tuple, near_duplicates(docs, 3, 85).collect())) == want
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, near_duplicates(docs, 3, 85).collect())) == want
+
+
+def test_rare_shingles_of_similar_sets_meet(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(x if rng.random() > 0.02 else f"n{i}" for x in base)) for i in range(60)] + [(100, "a b"), (101, "a b c d")]
+    found = near_dedup.rare_shingles(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    own = {}
+    for r in found:
+        own.setdefault(r["doc"], set()).add(r["bucket"])
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    for i, a in sets.items():
+        assert len(own[i]) == len(a) - -(-len(a) * 85 // 100) + 1
+        assert all(own[i] & own[j] for j, b in sets.items() if 100 * len(a & b) >= 85 * len(a | b))
