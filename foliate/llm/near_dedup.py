@@ -212,12 +212,26 @@ def few(df: DataFrame) -> bool:
     return df.count() <= BROADCAST_ROWS
 
 
-def pivoted(members: DataFrame, held: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Buckets of several members with their smallest one, and the verified links to it."""
-    first = members.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = store(members.join(first, "bucket").select("bucket", "doc", "pivot", "n_shingles"), "members")
+def meet(rows: DataFrame, groups: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group in ``groups(key, n, ...)``, a stored table; rows of large groups meet it in a broadcast, so that no task has all of one."""
+    large = groups.where(F.col("n") > LARGE)
+    if not few(large):
+        return rows.join(groups, key, how)
+    large = F.broadcast(large)
+    small = rows.join(large.select(key), key, "left_anti").join(groups.where(F.col("n") <= LARGE), key, how)
+    return rows.join(large, key).unionByName(small)
+
+
+def with_pivots(members: DataFrame) -> DataFrame:
+    """``bucket, doc, n_shingles, pivot``: members of the buckets of several, and the smallest one."""
+    first = store(members.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots")
+    return store(meet(members, first, ["bucket"]).drop("n"), "members")
+
+
+def to_pivots(members: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
+    """The verified links of members to the smallest one of their bucket."""
     pairs = members.where("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    return members, store(verified(pairs, held, k, percent), "links")
+    return store(verified(pairs, held, k, percent), "links")
 
 
 def open_buckets(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -263,18 +277,17 @@ def rare_shingles(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes: enough of them to give the components of all links."""
-    members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n_shingles")
-    shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    ids = members.join(shared, "bucket").select(F.col("doc").alias("doc_id")).distinct()
-    held = store(docs.join(ids, "doc_id"), "candidates")
-    members, found = pivoted(members, held, k, percent)
+    members = with_pivots(classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n_shingles"))
+    held = store(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"), "candidates")
+    found = to_pivots(members, held, k, percent)
     rest, open_ = open_buckets(members, found)
     small, large = open_.where("parts = 1"), open_.where("parts > 1")
     out = found.union(compared(blocks_of(rest, small, held), k, percent))
     if not large.isEmpty():
         ids = store(rest.join(large, "bucket").select(F.col("doc").alias("doc_id")).distinct(), "crowded")
         crowd = store(held.join(ids, "doc_id"), "crowd")
-        members, more = pivoted(rare_shingles(crowd, k, percent), crowd, k, percent)
+        members = with_pivots(rare_shingles(crowd, k, percent))
+        more = to_pivots(members, crowd, k, percent)
         rest, open_ = open_buckets(members, found.union(more))
         out = out.union(more).union(compared(blocks_of(rest, open_, crowd), k, percent))
     return store(out, "links")
@@ -296,13 +309,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     found = found.union(repeated.select("a", F.explode("all").alias("b")).where("a < b"))
     roots = components(found, "rep", "root")
     class_roots = store(reps.join(roots, "rep", "left").select(*key, "n", F.coalesce("root", "rep").alias("root")), "roots")
-    # rows of large classes meet their root without a shuffle, so that no task has a third of all rows
-    large = class_roots.where(F.col("n") > LARGE)
-    if few(large):
-        large = F.broadcast(large.drop("n"))
-        out = table.join(large, key).union(table.join(large, key, "left_anti").join(class_roots.where(F.col("n") <= LARGE).drop("n"), key, "left"))
-    else:
-        out = table.join(class_roots.drop("n"), key, "left")
+    out = meet(table, class_roots, key, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
