@@ -5,7 +5,9 @@ the smallest hash is kept (the last one of equals), with k + w - 1 = the window'
 words, so two texts that share a window keep the same gram at the same place in it.
 Kept grams of documents are first held against a bitmap of fixed size made of the
 benchmark's, joined with these, and each hit is extended word by word; it counts if
-it grows to a whole window. An item shorter than a window is a window itself and is
+it grows to a whole window. Such a hit agrees in half of the missing words at least on
+one side, so the join is on the gram and the words of one side: a common gram with many
+surroundings does not meet them all. An item shorter than a window is a window itself and is
 found by the hash of all its words.
 
 The bitmap's size is a constant. The benchmark's grams are broadcast only if they
@@ -106,6 +108,13 @@ def same_run(a: Column, b: Column) -> Column:
     return total
 
 
+def sides(kind: Column, left: Column, right: Column) -> Column:
+    """The join's keys: a hash of the nearest words of either side, as many as a hit must agree in on one of them."""
+    need = (WINDOW - GRAM + 1) // 2
+    one = lambda n, words: F.when(F.size(words) >= need, F.struct(F.lit(n).alias("side"), F.xxhash64(F.slice(words, 1, need)).alias("near")))
+    return F.when(kind > 0, F.array(F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("near")))).otherwise(F.array_compact(F.array(one(1, left), one(2, right))))
+
+
 def bitmap_of(grams_: DataFrame) -> np.ndarray:
     """A bit for each fingerprint modulo BITS: BITS / 8 bytes, whatever the benchmark's size."""
     slot = F.pmod(F.col("fp"), F.lit(BITS)) + 1
@@ -132,11 +141,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     train = store(fingerprints(rows, short, bitmap_of(contexts), False), "train")
     hits = train.select("row", F.explode("hits").alias("h")).select("row", F.col("h.pos").alias("pos"), *[F.col(f"h.{c}").alias(c) for c in ("kind", "fp", "gram")], F.col("h.left").alias("l"), F.col("h.right").alias("r"))
     small = contexts.count() <= BROADCAST_ROWS
-    met = hits.join(F.broadcast(contexts) if small else contexts, ["kind", "fp", "gram"])
+    around = contexts.withColumn("s", F.explode(sides(F.col("kind"), F.col("left"), F.col("right")))).select("*", "s.side", "s.near").drop("s")
+    hits = hits.withColumn("s", F.explode(sides(F.col("kind"), F.col("l"), F.col("r")))).select("*", "s.side", "s.near").drop("s")
+    met = hits.join(F.broadcast(around) if small else around, ["kind", "fp", "gram", "side", "near"])
     size = F.when(F.col("kind") > 0, F.col("kind")).otherwise(GRAM)
     met = met.withColumn("before", same_run(F.col("l"), F.col("left"))).withColumn("after", same_run(F.col("r"), F.col("right")))
     met = met.where((F.col("kind") > 0) | (F.col("before") + F.col("after") >= WINDOW - GRAM))
-    met = store(met.select("row", "context", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + size + F.col("after")).alias("end")), "hits")
+    met = store(met.select("row", "context", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + size + F.col("after")).alias("end")).distinct(), "hits")
     spans = met.select("row", "start", "end").distinct()
     found = met.select("row", "context").distinct().join(of_item, "context").select("row", "item_id").distinct()
     return train.select("row", F.col("id").alias("doc_id"), "n_words"), spans, found
