@@ -1,6 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads segments of SEGMENT bytes in both directions, gives every byte a
+The network reads segments of SEGMENT bytes in both directions, with CONTEXT bytes more on
+either side from which the states start, gives every byte a
 probability for each language, and a document the mean over all its bytes. It is
 written and trained here in numpy, by backpropagation through time and Adam, on a
 bounded sample of labelled texts; gates are hard sigmoids, candidates softsigns, both
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from foliate.llm.common import byte_view, read, slices, texts
 
-#: Bytes of a segment, hidden units a direction, segments computed together.
-SEGMENT, HIDDEN, BLOCK = 128, 8, 2048
-#: Labelled texts to learn from at most, chosen by a hash of doc_id, and characters of each of two windows of them.
-MAX_LABELLED, WINDOW = 4_000, 256
+#: Bytes of a segment and of its surroundings, hidden units a direction, segments computed together.
+SEGMENT, CONTEXT, HIDDEN, BLOCK = 128, 16, 8, 2048
+#: Labelled texts to learn from at most, chosen by a hash of doc_id, and characters of each of two windows of them (start and middle), of which the first SEGMENT bytes are used.
+MAX_LABELLED, WINDOW = 4_000, 128
 
 
 def hard_sigmoid(x: np.ndarray) -> np.ndarray:
@@ -153,14 +154,19 @@ def document_probabilities(p: dict[str, np.ndarray], raw: np.ndarray, offsets: n
     rows = np.repeat(np.arange(len(lengths)), count)
     first = np.cumsum(count) - count
     starts = offsets[rows] + (np.arange(len(rows)) - first[rows]) * SEGMENT
-    sizes = np.minimum(SEGMENT, offsets[rows + 1] - starts)
+    ends = np.minimum(starts + SEGMENT, offsets[rows + 1])
+    lo = np.maximum(starts - CONTEXT, offsets[rows])  # inside the text
+    sizes = np.minimum(ends + CONTEXT, offsets[rows + 1]) - lo
+    width = SEGMENT + 2 * CONTEXT
     order = np.argsort(-sizes, kind="stable")  # full segments first: they need no mask
-    padded = np.concatenate([raw, np.zeros(SEGMENT, np.uint8)])
+    padded = np.concatenate([raw, np.zeros(width, np.uint8)])
     out = np.zeros((len(lengths), len(p["bo"])))
+    place = np.arange(width)[:, None]
     for i in range(0, len(order), BLOCK):
         at = order[i : i + BLOCK]
-        x = padded[starts[at][:, None] + np.arange(SEGMENT)]
-        np.add.at(out, rows[at], position_probabilities(p, x, sizes[at]).sum(0))
+        x = padded[lo[at][:, None] + np.arange(width)]
+        own = (place >= starts[at] - lo[at]) & (place < ends[at] - lo[at])  # surroundings belong to other segments
+        np.add.at(out, rows[at], np.einsum("tbc,tb->bc", position_probabilities(p, x, sizes[at]), own.astype(np.float32)))
     return out / np.maximum(lengths, 1)[:, None]
 
 
