@@ -1,8 +1,13 @@
 import hashlib
 import random
+import re
+import struct
+
+import xxhash
 
 from pyspark.sql import functions as F
 
+from foliate.llm import imatch
 from foliate.llm.imatch import fingerprints, with_edited
 
 
@@ -46,3 +51,68 @@ def test_fingerprints_native(spark, sf):
     out = with_edited(docs)
     assert out.count() == docs.count()
     assert out.agg(F.avg("near_edited") > F.avg("near_next")).first()[0]
+
+
+def signed64(x):
+    return struct.unpack("<q", struct.pack("<Q", x))[0]
+
+
+def brute_fingerprint(text, lexicon):
+    """The lexicon's terms in each randomised subset, as sets; None for a text without any."""
+    own = {w for w in re.split(r"[\W_]+", text.lower()) if w in lexicon}
+    if not own:
+        return None
+    out = [set() for _ in range(imatch.SUBSETS)]
+    for w in own:
+        term = xxhash.xxh64_intdigest(w.encode(), 42)
+        seed = xxhash.xxh64_intdigest(struct.pack("<Q", term), 42)
+        at = used = 0
+        bits = (1 << 64) - 1
+        for n, power in imatch.DENSITIES:
+            for i in range(used, power):
+                bits &= xxhash.xxh64_intdigest(f"lexicon {i}".encode(), seed)
+            for k in range(at, at + n):
+                if bits >> k & 1:
+                    out[k].add(w)
+            at, used = at + n, power
+    return out
+
+
+def brute_likeness(a, b, same):
+    if a is None and b is None:
+        return float(same)
+    none = [set()] * imatch.SUBSETS
+    pairs = [(x, y) for x, y in zip(a or none, b or none) if x or y]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else float(a == b)
+
+
+def test_signatures_and_likeness_against_brute_force(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(900)]
+    base = [" ".join(rng.choice(vocab) for _ in range(rng.choice([3, 15, 60]))) for _ in range(150)]
+    texts = [t if rng.random() < 0.6 else t + " " + rng.choice(base) for t in base] + ["", "unique words only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = {}
+    for t in texts:
+        for w in {w for w in re.split(r"[\W_]+", t.lower()) if w}:
+            df[w] = df.get(w, 0) + 1
+    n = len(texts)
+    lexicon = {w for w, c in df.items() if imatch.LOW * n <= c <= max(imatch.LEAST_HIGH, imatch.HIGH * n)}
+    rows = {r["doc_id"]: r for r in with_edited(docs).collect()}
+    for i, t in enumerate(texts):
+        nxt, half = texts[(i + 1) % n], len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        f, e, g = (brute_fingerprint(x, lexicon) for x in (t, edited, nxt))
+        assert abs(rows[i]["near_edited"] - brute_likeness(f, e, t == edited)) < 1e-12, i
+        assert abs(rows[i]["near_next"] - brute_likeness(f, g, t == nxt)) < 1e-12, i
+
+
+def test_the_query_has_no_python_in_its_plan(spark, sf):
+    plan = with_edited(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"t{i % 5000}" for i in range(200_000))
+    got = {r["doc_id"]: r for r in with_edited(spark.createDataFrame([(1, text), (2, "t1 t2"), (3, text)], "doc_id long, text string")).collect()}
+    assert got[1]["n_chars"] == len(text) and got[1]["fingerprint"] == got[3]["fingerprint"] != got[2]["fingerprint"]

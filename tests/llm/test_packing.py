@@ -58,3 +58,44 @@ def test_every_piece_is_placed_once(spark):
             end += n
         assert end <= s
     assert best_fit(docs.limit(0), F.octet_length("text")).count() == 0
+
+
+def naive(lengths, sizes, costs):
+    """Best fit as the docstring says it, by full scans: every open bin, every permitted size filled with the pieces to come."""
+    best = None
+    for openers in (sizes[i:] for i in range(len(sizes))):
+        todo = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+        bins = []  # [size, used, contents]
+        for n, i in enumerate(todo):
+            fits = [b for b in bins if b[0] - b[1] >= lengths[i]]
+            if fits:
+                bin_ = min(fits, key=lambda b: (b[0] - b[1], bins.index(b)))
+            else:
+                def price(size):
+                    used = lengths[i]
+                    for j in todo[n + 1 :]:
+                        if 0 < lengths[j] <= size - used:
+                            used += lengths[j]
+                    return costs[size] / max(1, used), size
+
+                bin_ = [min(price(s) for s in openers if s >= lengths[i])[1], 0, []]
+                bins.append(bin_)
+            bin_[1] += lengths[i]
+            bin_[2].append(i)
+        total = sum(costs[min(s for s in sizes if s >= used)] for _, used, _ in bins)
+        if best is None or total < best[0]:
+            best = total, sorted(map(tuple, (b[2] for b in bins)))
+    return best or (0, [])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 32), max_size=25), st.lists(st.integers(1, 60), min_size=3, max_size=3))
+def test_against_naive_best_fit(lengths, prices):
+    costs = dict(zip(SIZES, sorted(prices)))
+    placed = pack(lengths, SIZES, tuple(costs[s] for s in SIZES))
+    total, bins = naive(lengths, SIZES, costs)
+    mine = defaultdict(list)
+    for i, (b, _, _) in enumerate(placed):
+        mine[b].append(i)
+    assert sum(costs[s] for s in {b: s for b, _, s in placed}.values()) == total
+    assert sorted(sorted(x) for x in mine.values()) == sorted(sorted(x) for x in bins)
