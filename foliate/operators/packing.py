@@ -41,6 +41,11 @@ def around_runs(before: int | Column, limit: int | Column) -> Opens:
     return lambda s, u: (u["m"] & ~s["last"] & (s["len"] > before)) | (~(u["m"] & s["last"]) & (s["len"] > limit))
 
 
+def at_headings(least: int | Column) -> Opens:
+    """A marked unit opens a group once the last has more than ``least`` characters."""
+    return lambda s, u: (s["n"] > 0) & u["m"] & (s["len"] > least)
+
+
 def group_starts(units: Column, opens: Opens, separator: int | Column, mark: Callable[[Column], Column] | None = None) -> Column:
     """The place (from 0) of the first unit of each group, as an array."""
     marked = mark or (lambda u: F.lit(False))
@@ -73,3 +78,12 @@ def pack(docs: DataFrame, units: Column, opens: Opens, separator: str | Column,
         groups = F.filter(groups, lambda g: g["text"].rlike(r"(?U)\S"))
     rows = rows.where(F.size("_units") > 0).select("doc_id", *keep, F.posexplode(groups).alias("chunk_index", "g"))
     return rows.select("doc_id", *keep, "chunk_index", "g.units", F.length("g.text").cast("long").alias("size"), "g.text")
+
+
+def pack_within(parts: DataFrame, part: str, units: Column, limit: int, opens: Opens, separator: str, mark: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Packs each part (``doc_id, part, size, text``) by itself: one of ``limit`` characters at most is one chunk, a longer one is cut into units and packed.
+
+    ``doc_id, part, piece, units, size, text``; chunks of white space only are left out.
+    """
+    whole = F.when(F.col("size") <= limit, F.array("text")).otherwise(units)
+    return pack(parts, whole, opens, separator, mark, part, blank=False).withColumnRenamed("chunk_index", "piece")

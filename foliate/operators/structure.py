@@ -51,6 +51,34 @@ def report_content(text: Column) -> Column:
     )
 
 
+def begins_register(line: Column) -> Column:
+    """Whether a line can begin a section of a register."""
+    return register_class(line).isin("major_heading", "department_header")
+
+
+def header_positions(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, text, kind``: lines that are a title, chapter, date or numbered header; a line of several kinds has a row for each."""
+    s = F.col("s")
+    kinds = {"title": s.rlike(TITLE), "chapter": s.rlike(CHAPTER), "date": s.rlike(DATE), "header": s.rlike(NUMBERED)}
+    rows = line_table(docs).select("doc_id", F.col("start").alias("pos"), tx.strip(F.col("line")).alias("s"))
+    found = F.explode(F.array_compact(F.array(*[F.when(cond, k) for k, cond in kinds.items()])))
+    return rows.select("doc_id", "pos", s.alias("text"), found.alias("kind"))
+
+
+def page_breaks(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos``: the first line feed of each run of white space with three or more line feeds."""
+    rows = line_table(docs).withColumn("blank", tx.strip(F.col("line")) == "")
+    seq = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = rows.withColumn("run", F.sum((~F.col("blank")).cast("int")).over(seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("last", F.lead("line_no").over(seq).isNull())
+    runs = rows.groupBy("doc_id", "run").agg(
+        F.count_if("blank").alias("n"), F.min("line_no").alias("first"), F.min(F.struct("line_no", "start", F.length("line").alias("len"))).alias("head"), F.bool_or(F.col("last") & F.col("blank")).alias("at_end")
+    )
+    # line feeds of the run: one before each blank line and one after the last, where there are lines
+    feeds = F.col("n") + 1 - (F.col("run") == 0).cast("int") - F.col("at_end").cast("int")
+    return runs.where((F.col("n") > 0) & (feeds >= 3)).select("doc_id", (F.col("head.start") + F.col("head.len")).cast("long").alias("pos"))
+
+
 def is_table(line: Column) -> Column:
     return tx.occurrences(line, "|") >= 2
 
@@ -87,7 +115,11 @@ def table_runs(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "island").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("rows")).drop("island")
 
 
-def sections(docs: DataFrame) -> DataFrame:
+def _text(column: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", column))), lambda x: x[column]), "\n").alias("text")
+
+
+def sections(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Runs of table lines, and headers with the text below them. Blank lines neither open nor close one."""
     rows = line_table(docs).withColumn("s", tx.strip(F.col("line"))).where("s <> ''")
     rows = rows.withColumn("kind", F.when(is_table(F.col("line")), "table").when(is_header(F.col("s")), "header").otherwise("text"))
@@ -95,14 +127,14 @@ def sections(docs: DataFrame) -> DataFrame:
     opens = before.isNull() | (F.col("kind") == "header") | ((F.col("kind") == "table") != (before == "table"))
     rows = islands(rows.withColumn("opens", opens), F.col("opens"), "section_no", "line_no")
     kind = F.when(F.bool_or(F.col("kind") == "table"), "table").when(F.bool_or(F.col("kind") == "text"), "text").otherwise("header")
-    return rows.groupBy("doc_id", "section_no").agg(kind.alias("section_type"), F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("chars"))
+    return rows.groupBy("doc_id", "section_no").agg(kind.alias("section_type"), F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("chars"), *([_text("line")] if with_text else []))
 
 
-def report_sections(docs: DataFrame) -> DataFrame:
+def report_sections(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Sections of a report: a numbered or upper-case line begins one unless it is the first line; flags are of the other lines."""
     s = F.col("s")
     begins = s.rlike(r"^[IVX]+\.—[A-Z]") | (tx.is_upper(s) & (F.length(s) > 8) & ~s.startswith("|") & ~s.rlike(r"[£$]\d"))
-    rows = line_table(docs).select("doc_id", "line_no", tx.strip(F.col("line")).alias("s")).withColumn("b", begins)
+    rows = line_table(docs).select("doc_id", "line_no", "line", tx.strip(F.col("line")).alias("s")).withColumn("b", begins)
     rows = islands(rows, F.col("b") & (F.col("line_no") > 0), "section_no", "line_no")
     plain = lambda cond: F.coalesce(F.bool_or(F.when(~F.col("b"), cond)), F.lit(False))
-    return rows.groupBy("doc_id", "section_no").agg(F.coalesce(F.max(F.when(F.col("b"), s)), F.lit("")).alias("title"), F.count("*").alias("n_lines"), plain(s.contains("|")).alias("has_table"), plain(s.rlike(r"[£$]\s*\d")).alias("has_money"))
+    return rows.groupBy("doc_id", "section_no").agg(F.coalesce(F.max(F.when(F.col("b"), s)), F.lit("")).alias("title"), F.count("*").alias("n_lines"), plain(s.contains("|")).alias("has_table"), plain(s.rlike(r"[£$]\s*\d")).alias("has_money"), *([_text("line")] if with_text else []))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -61,16 +63,70 @@ def expand_from_middle(df: DataFrame, group: str, order: str, least: float) -> D
     return rows.groupBy(group).agg(F.max("anchor").alias("anchor"), (F.coalesce(lo, F.lit(0)) + 1).alias("first"), (F.coalesce(hi, F.max("n") + 1) - 1).alias("last"))
 
 
-def best_kmeans(df: DataFrame, seed: int = 42) -> DataFrame:
-    """``cluster, size, silhouette`` of the k from 2 to 7 with the highest silhouette (squared Euclidean)."""
-    rows = df.select("vec_id", array_to_vector("embedding").alias("features")).cache()
-    best, score = None, float("-inf")
+def nearest(df: DataFrame, queries: DataFrame, top: int, part: int = 8192, block: int = 1024) -> DataFrame:
+    """``query_id, vec_id, similarity, rank``: the ``top`` rows with the highest cosine for each row of ``queries(vec_id, embedding)``, ties by id.
+
+    An exact search in blocks: every part of the rows meets every block of queries in one
+    task, which keeps the best of each query; only these are ranked. Vectors of length 0
+    are like nothing.
+    """
+    parts, blocks = max(1, -(-df.count() // part)), max(1, -(-queries.count() // block))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = df.select(deal(parts).alias("p"), every(blocks).alias("b"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = queries.select(every(parts).alias("p"), deal(blocks).alias("b"), F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query"))
+
+    def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+        m = np.array(column.to_pylist(), np.float64)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(length > 0, length, np.nan)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            ids, asked_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+            sim = unit_rows(right.column("query")) @ unit_rows(left.column("embedding")).T
+            order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim))[:, :top]
+            found = np.take_along_axis(sim, order, 1)
+            out = [np.repeat(asked_ids, order.shape[1]), ids[order].reshape(-1), found.reshape(-1)]
+        return pa.table(out, ["query_id", "vec_id", "similarity"]).filter(pa.array(~np.isnan(out[2])))
+
+    best = rows.groupBy("p", "b").cogroup(asked.groupBy("p", "b")).applyInArrow(run, "query_id long, vec_id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def low_similarities(df: DataFrame, group: str, order: str, below: float, most: int) -> DataFrame:
+    """The first ``most`` neighbours of each group whose similarity is below a limit: ``group, order, next_id, similarity, rank``."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return adjacent(df, group, order).where(F.col("similarity") < below).withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def kmeans(rows: DataFrame, k: int, starts: int = 10) -> DataFrame:
+    """``rows`` with ``prediction``, from the start with the least cost."""
+    models = [KMeans(k=k, seed=seed, maxIter=30).fit(rows) for seed in range(starts)]
+    return min(models, key=lambda m: m.summary.trainingCost).transform(rows)
+
+
+def cluster_labels(df: DataFrame, k: int) -> DataFrame:
+    """``vec_id, cluster`` of k clusters."""
+    rows = df.select("vec_id", array_to_vector("embedding").alias("features")).persist()
+    out = kmeans(rows, k).select("vec_id", F.col("prediction").alias("cluster"))
+    rows.unpersist()
+    return out
+
+
+def best_kmeans(df: DataFrame) -> DataFrame:
+    """``vec_id, cluster, k, silhouette`` of the k from 2 to 7 with the highest silhouette (squared Euclidean), the last of equals."""
+    rows = df.select("vec_id", array_to_vector("embedding").alias("features")).persist()
+    best, score, of = None, float("-inf"), 0
     for k in range(2, 8):
-        found = KMeans(k=k, seed=seed, maxIter=30).fit(rows).transform(rows)
+        found = kmeans(rows, k)
         now = ClusteringEvaluator().evaluate(found)
         if now >= score:
-            best, score = found, now
-    return best.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size")).withColumn("silhouette", F.lit(float(score)))
+            best, score, of = found, now, k
+    rows.unpersist()
+    return best.select("vec_id", F.col("prediction").alias("cluster"), F.lit(of).alias("k"), F.lit(float(score)).alias("silhouette"))
 
 
 def components(df: DataFrame) -> DataFrame:

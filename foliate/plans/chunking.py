@@ -18,13 +18,17 @@ SENTENCES = """sents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id O
 UPPER = "(regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '\\p{{Ll}}'))"
 
 
-def fold_sql(units: str, opens: str, separator: int | str, mark: str = "false", more: str = "") -> str:
-    """A recursive CTE over ``units(doc_id, pos, s)``; ``opens`` refers to the group so far (r.n, r.len, r.m, r.last) and the unit (u.s, l, mk)."""
+def fold_sql(units: str, opens: str, separator: int | str, mark: str = "false", more: str = "", joint: str = "") -> str:
+    """A recursive CTE over ``units(doc_id, pos, s)``; ``opens`` refers to the group so far (r.n, r.len, r.m, r.last) and the unit (u.s, l, mk).
+
+    joint: what joins the units' texts, by default a sign in place of the separator of the same length.
+    """
+    joint = joint or ("'§§'" if separator == 2 else "' '")
     return f"""u AS (SELECT doc_id, pos, s, length(s) AS l, {mark} AS mk{more} FROM {units}),
 r AS (SELECT doc_id, pos, 0 AS g, 1 AS n, l AS len, mk::INT AS m, mk AS last FROM u WHERE pos = 0
   UNION ALL SELECT u.doc_id, u.pos, r.g + ({opens})::INT, CASE WHEN {opens} THEN 1 ELSE r.n + 1 END, CASE WHEN {opens} THEN l ELSE r.len + {separator} + l END, CASE WHEN {opens} THEN 0 ELSE r.m END + mk::INT, mk
   FROM r JOIN u ON u.doc_id = r.doc_id AND u.pos = r.pos + 1),
-packed AS (SELECT doc_id, g AS chunk_index, count(*) AS units, string_agg(s, '{'§§' if separator == 2 else ' '}' ORDER BY pos) AS text FROM r JOIN u USING (doc_id, pos) GROUP BY ALL)"""
+packed AS (SELECT doc_id, g AS chunk_index, count(*) AS units, string_agg(s, {joint} ORDER BY pos) AS text FROM r JOIN u USING (doc_id, pos) GROUP BY ALL)"""
 
 
 def digest(column: str = "text") -> F.Column:
@@ -194,6 +198,100 @@ def register_sections(documents: DataFrame) -> DataFrame:
     return packed_lines(documents, packing.around_runs(1 << 30, 1200), mark)
 
 
+_REGISTER = f"(({UPPER.format('st')} AND length(st) > 10 AND NOT starts_with(st, '|') AND NOT contains(st, '£')) OR regexp_matches(st, '^[A-Z][a-z]+.*(Department|Office|Service)'))"
+_RAW_LINES = f"{LINES}, raw AS (SELECT doc_id, line_no AS pos, line AS s, s AS st FROM stripped)"
+_T14 = f"{_RAW_LINES}, {fold_sql('raw', 'r.n > 0 AND mk AND r.len > 100', 1, _REGISTER, joint='chr(10)')}"
+
+
+def register_parts(documents: DataFrame) -> DataFrame:
+    lines = tx.lines(F.col("text"))
+    return packing.pack(documents.where("text is not null"), lines, packing.at_headings(100), "\n", structure.begins_register)
+
+
+@query("t14_register_sections", f"WITH RECURSIVE {_T14} SELECT doc_id, chunk_index AS section_no, units AS n_lines, length(text) AS chars, sha256(text) AS text_sha256 FROM packed", documents="documents")
+def register_parts_digest(documents: DataFrame) -> DataFrame:
+    return register_parts(documents).select("doc_id", F.col("chunk_index").alias("section_no"), F.col("units").alias("n_lines"), F.col("size").alias("chars"), digest().alias("text_sha256"))
+
+
+_IN_REGISTER = "(contains(s, '|') OR contains(s, chr(9)))"
+# sections are documents of the second fold: their key is one number
+_PARTS = """parts AS (SELECT doc_id * 1000000 + {no} AS doc_id, {text} AS text, length({text}) AS size FROM {source}),
+pieces AS (SELECT doc_id, 0::BIGINT AS pos, text AS s, true AS whole FROM parts WHERE size <= {limit} UNION ALL SELECT doc_id, i - 1, l[i], false FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {units} AS l FROM parts WHERE size > {limit})))"""
+_STRIPPED = "list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
+_CHUNKS = "SELECT doc_id // 1000000 AS doc_id, (doc_id % 1000000)::INT AS section_no, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index)::INT - 1 AS piece, units, length(text) AS size, sha256(text) AS text_sha256 FROM packed WHERE regexp_matches(text, '\\S')"
+
+
+@query(
+    "c5_register_chunks",
+    f"""WITH sections AS (WITH RECURSIVE {_T14} SELECT doc_id, chunk_index, text FROM packed)
+SELECT * FROM (WITH RECURSIVE {_PARTS.format(no='chunk_index', text='text', source='sections', limit=1200, units=_STRIPPED)}, {fold_sql('pieces', 'NOT (mk AND r.last) AND r.len > 1200', 1, _IN_REGISTER, joint='chr(10)')} {_CHUNKS})""",
+    documents="documents",
+)
+def register_chunks(documents: DataFrame) -> DataFrame:
+    """Sections of a register, the long ones cut between their table runs."""
+    parts = register_parts(documents).withColumnRenamed("chunk_index", "section_no")
+    mark = lambda u: u.contains("|") | u.contains("\t")
+    made = packing.pack_within(parts, "section_no", line_units(), 1200, packing.around_runs(1 << 30, 1200), "\n", mark)
+    return made.withColumn("text_sha256", digest()).drop("text")
+
+
+_REPORT_START = f"(regexp_matches(s, '^[IVX]+\\.—[A-Z]') OR ({UPPER.format('s')} AND length(s) > 8 AND NOT starts_with(s, '|') AND NOT regexp_matches(s, '[£$]\\d')))"
+_FILLED_PARAS = f"list_filter({_STRIPPED}, lambda x: x <> '')"
+
+
+@query(
+    "c6_report_chunks",
+    f"""WITH sections AS (WITH {LINES}, f AS (SELECT *, {_REPORT_START} AS b FROM stripped), g AS (SELECT *, sum((b AND line_no > 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sec FROM f)
+ SELECT doc_id, sec, string_agg(line, chr(10) ORDER BY line_no) AS text FROM g GROUP BY doc_id, sec)
+SELECT * FROM (WITH RECURSIVE {_PARTS.format(no='sec', text='text', source='sections', limit=1000, units=_FILLED_PARAS)}, {fold_sql('pieces', 'r.n > 0 AND r.len + 2 + l > 1000', 2, joint='chr(10) || chr(10)')} {_CHUNKS})""",
+    documents="documents",
+)
+def report_chunks(documents: DataFrame) -> DataFrame:
+    """Sections of a report, the long ones packed by paragraphs."""
+    parts = structure.report_sections(documents, with_text=True).select("doc_id", "section_no", F.length("text").cast("long").alias("size"), "text")
+    made = packing.pack_within(parts, "section_no", tx.paragraphs(F.col("text"), "\n"), 1000, packing.before_limit(1000, 2), "\n\n")
+    return made.withColumn("text_sha256", digest()).drop("text")
+
+
+_SHAPE_TEXT = _shapes()
+
+
+@query(
+    "c3_structure_chunks",
+    f"""WITH sections AS (WITH {_SHAPE_TEXT} SELECT doc_id, sec, string_agg(line, chr(10) ORDER BY line_no) AS text FROM g GROUP BY doc_id, sec)
+SELECT * FROM (WITH RECURSIVE {_PARTS.format(no='sec', text='text', source='sections', limit=1200, units=_FILLED_PARAS)}, {fold_sql('pieces', 'r.len > 1200', 1, joint='chr(10)')} {_CHUNKS})""",
+    documents="documents",
+)
+def structure_chunks(documents: DataFrame) -> DataFrame:
+    """Sections of tables and headed text, the long ones cut once they pass the limit."""
+    parts = structure.sections(documents, with_text=True).select("doc_id", "section_no", F.length("text").cast("long").alias("size"), "text")
+    made = packing.pack_within(parts, "section_no", tx.paragraphs(F.col("text"), "\n"), 1200, packing.after_limit(1200), "\n")
+    return made.withColumn("text_sha256", digest()).drop("text")
+
+
+_KINDS = {"title": structure.TITLE, "chapter": structure.CHAPTER, "date": structure.DATE, "header": structure.NUMBERED}
+
+
+@query(
+    "p10_header_positions",
+    f"""WITH {LINES}, p AS (SELECT doc_id, s, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM stripped)
+SELECT doc_id, pos::BIGINT AS pos, s AS text, unnest(list_filter([{', '.join(f"CASE WHEN regexp_matches(s, '{x}') THEN '{k}' END" for k, x in _KINDS.items())}], lambda x: x IS NOT NULL)) AS kind FROM p""",
+    documents="documents",
+)
+def header_positions(documents: DataFrame) -> DataFrame:
+    return structure.header_positions(documents)
+
+
+@query(
+    "a30_marker_counts",
+    "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS line_feeds, length(text) - length(replace(text, '|', '')) AS pipes, length(text) - length(replace(text, '.', '')) AS stops, (length(text) - length(replace(text, '**', ''))) // 2 AS bold FROM documents",
+    documents="documents",
+)
+def marker_counts(documents: DataFrame) -> DataFrame:
+    count = lambda part: tx.occurrences(F.col("text"), part).cast("long")
+    return documents.select("doc_id", count("\n").alias("line_feeds"), count("|").alias("pipes"), count(".").alias("stops"), count("**").alias("bold"))
+
+
 @query(
     "t15_report_sections",
     f"""WITH {LINES}, f AS (SELECT *, regexp_matches(s, '^[IVX]+\\.—[A-Z]') OR ({UPPER.format('s')} AND length(s) > 8 AND NOT starts_with(s, '|') AND NOT regexp_matches(s, '[£$]\\d')) AS b FROM stripped),

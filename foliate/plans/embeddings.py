@@ -63,10 +63,51 @@ def nearest_to_query(embeddings: DataFrame) -> DataFrame:
     return embeddings.crossJoin(F.broadcast(anchor)).select("vec_id", tx.cosine(F.col("embedding"), F.col("q")).alias("c")).orderBy(F.desc("c"), "vec_id").limit(20).select("vec_id", F.round("c", 5).alias("similarity"))
 
 
+@query(
+    "j9_nearest",
+    f"""WITH {_E}, u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e), q AS (SELECT vec_id AS query_id, v AS q FROM u WHERE vec_id % 100 = 0),
+r AS (SELECT query_id, vec_id, list_dot_product(q, v) AS c FROM q, u), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM r)
+SELECT query_id, vec_id, round(c, 5) AS similarity, rank::INT AS rank FROM k WHERE rank <= 10""",
+    embeddings="embeddings",
+)
+def nearest(embeddings: DataFrame) -> DataFrame:
+    """Ten nearest rows of every row whose id is divisible by 100."""
+    return vectors.nearest(embeddings, embeddings.where("vec_id % 100 = 0"), 10).withColumn("similarity", F.round("similarity", 5))
+
+
+@query(
+    "m7_semantic_boundaries",
+    f"""WITH {_E}, s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM e),
+p AS (SELECT a.label, a.i AS pos, avg({_COS.format('b.v', 'c.v')}) AS similarity FROM s a JOIN s b ON a.label = b.label AND b.i BETWEEN a.i - 3 AND a.i - 1 JOIN s c ON a.label = c.label AND c.i BETWEEN a.i AND a.i + 2 GROUP BY a.label, a.i HAVING count(*) = 9)
+SELECT label, pos, round(similarity, 5) AS similarity FROM p WHERE similarity < 0.7""",
+    embeddings="embeddings",
+)
+def semantic_boundaries(embeddings: DataFrame) -> DataFrame:
+    """Places where three vectors and the next three are less alike than 0.7."""
+    return window_boundaries(embeddings).where("similarity < 0.7")
+
+
+@query(
+    "w10_first_breaks",
+    f"""WITH {_E}, n AS (SELECT label, vec_id, v, lead(vec_id) OVER w AS next_id, lead(v) OVER w AS nv FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+b AS (SELECT label, vec_id, next_id, {_COS.format('v', 'nv')} AS similarity FROM n WHERE next_id IS NOT NULL AND {_COS.format('v', 'nv')} < 0.7)
+SELECT label, vec_id, next_id, round(similarity, 5) AS similarity, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INT AS rank FROM b QUALIFY rank <= 10""",
+    embeddings="embeddings",
+)
+def first_breaks(embeddings: DataFrame) -> DataFrame:
+    return vectors.low_similarities(embeddings, "label", "vec_id", 0.7, 10).withColumn("similarity", F.round("similarity", 5))
+
+
 @query("m3_kmeans_sizes", None, embeddings="embeddings")
 def kmeans_sizes(embeddings: DataFrame) -> DataFrame:
-    """Best of k = 2 to 7 by the silhouette; a row for each cluster."""
-    return rounded(vectors.best_kmeans(embeddings))
+    """Best of k = 2 to 7 by the silhouette, each from ten starts; a row for each cluster."""
+    return rounded(vectors.best_kmeans(embeddings).groupBy("cluster", "silhouette").agg(F.count("*").alias("size")))
+
+
+@query("m8_cluster_labels", None, embeddings="embeddings")
+def cluster_labels(embeddings: DataFrame) -> DataFrame:
+    """The cluster of each vector, of five."""
+    return vectors.cluster_labels(embeddings, 5)
 
 
 @query("m6_principal_components", None, embeddings="embeddings")
