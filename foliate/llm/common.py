@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,21 @@ class Tables:
         self.paths.clear()
 
 
+_SCOPE: ContextVar[Tables | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Tables]:
+    """Tables that are stored inside are deleted at the end, but those noted elsewhere. Gives the place for these: the scope around, if any."""
+    outer, own = _SCOPE.get() or Tables(spark), Tables(spark)
+    token = _SCOPE.set(own)
+    try:
+        yield outer
+    finally:
+        _SCOPE.reset(token)
+        own.drop()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -60,11 +77,12 @@ def store(df: DataFrame, name: str, tables: Tables | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a rerun. The shuffle
-    files of the write are not needed afterwards and are deleted with it. ``tables``
-    notes the table, to drop it before the session ends.
+    files of the write are not needed afterwards and are deleted with it. ``tables``, or
+    else the innermost ``temporary`` scope, notes the table, to drop it before the session ends.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    tables = tables or _SCOPE.get()
     if tables is not None:
         tables.paths.append(path)
     key = "spark.sql.shuffleDependency.fileCleanup.enabled"

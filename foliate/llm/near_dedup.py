@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.common import LOWER, BYTE_CODES, byte_view, components, grams, mix, read, slices, spans_hash, store, texts, words_of
+from foliate.llm.common import BYTE_CODES, LOWER, Tables, byte_view, components, grams, mix, read, slices, spans_hash, store, temporary, texts, words_of
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -293,13 +293,11 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return store(out, "links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``."""
-    docs = texts(docs)
+def grouped(docs: DataFrame, shingle: int, percent: int, key: list[str], kept: Tables) -> tuple[DataFrame, DataFrame]:
+    """The signed documents, and ``key, n, root`` of each class of equal sets, as tables of ``kept``."""
     bands, rows_a_band = banding(percent / 100)
-    table = store(signed(docs, shingle, bands, rows_a_band), "signed")
+    table = store(signed(docs, shingle, bands, rows_a_band), "signed", kept)
     real = table.where("n_shingles > 0 and doc_id is not null")
-    key = ["s1", "s2", "n_shingles"]
     reps = store(real.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     classes = real.join(reps.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).select(F.col("doc_id").alias("rep"), "bands", "n_shingles")
     found = links(classes, docs.where("doc_id is not null"), shingle, percent)
@@ -308,7 +306,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     repeated = real.join(twice, "doc_id").join(reps, key).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all"))
     found = found.union(repeated.select("a", F.explode("all").alias("b")).where("a < b"))
     roots = components(found, "rep", "root")
-    class_roots = store(reps.join(roots, "rep", "left").select(*key, "n", F.coalesce("root", "rep").alias("root")), "roots")
+    return table, store(reps.join(roots, "rep", "left").select(*key, "n", F.coalesce("root", "rep").alias("root")), "roots", kept)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``."""
+    docs = texts(docs)
+    key = ["s1", "s2", "n_shingles"]
+    with temporary(docs.sparkSession) as kept:  # what the result does not read is deleted
+        table, class_roots = grouped(docs, shingle, percent, key, kept)
     out = meet(table, class_roots, key, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
