@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm import decontaminate, near_dedup, packing, quality_rules, secrets
-from foliate.llm.common import free, own_columns, read, store
+from foliate.llm.common import free, own_columns, read, store, temporary
 
 #: Keys of dropped rows that are broadcast at most (counted first); more of them meet the rows in a shuffled join.
 BROADCAST_KEYS = 1_000_000
@@ -97,5 +97,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        with temporary(spark) as kept:
+            docs = store(stage(spark, docs, sf_dir), name, kept)
     return docs
