@@ -358,3 +358,35 @@ def transitions(volumes: DataFrame) -> DataFrame:
     ends = rows.where(end).select("doc_id", F.col("start").alias("pos"), F.lit("end").alias("signal"), F.col("s").alias("name"), F.lit(0.8).alias("confidence"))
     starts = rows.where(start).select("doc_id", F.col("start").alias("pos"), F.lit("start").alias("signal"), F.expr("substring(s, 1, length(s) - 1)").alias("name"), F.when(density > 0.02, 0.9).otherwise(0.6).alias("confidence"))
     return ends.union(starts)
+
+
+def container_kind(heading: Column, container: Column) -> Column:
+    """Of a section in a container: province (a unit of it), administration or other."""
+    unit = F.lit(False)
+    for name, units in CONTAINERS.items():
+        unit = unit | ((container == name) & contains_any(heading, units))
+    return F.when(unit, "province").when(contains_any(heading, ADMIN), "administration").otherwise("other")
+
+
+def container_sections(found: DataFrame) -> DataFrame:
+    """``doc_id, block_no, container, heading, section_kind, n, is_large`` of the blocks after a container's heading up to the next territory.
+
+    Sections of 100 characters at most are left out; large is more than 5,000 characters and no office.
+    """
+    seq = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    main = F.when(F.col("kind").isin("dominion", "colony_high", "colony_candidate"), F.struct("kind", "heading"))
+    rows = found.where("kind <> 'skip'").withColumn("m", F.last(main, ignorenulls=True).over(seq)).where("m.kind = 'dominion' and kind <> 'dominion' and n > 100")
+    kind = container_kind(F.col("heading"), F.col("m.heading"))
+    return rows.select("doc_id", "block_no", F.col("m.heading").alias("container"), "heading", kind.alias("section_kind"), "n", ((F.col("n") > 5000) & (kind != "administration")).alias("is_large"))
+
+
+def mentions(found: DataFrame, names: list[str]) -> DataFrame:
+    """``doc_id, block_no, name, is_header``: blocks that mention a name as a word, and whether as "THE ... COLONY"; ``names`` is a short list."""
+    text = F.concat_ws("\n", "heading", "body")
+    hits = [F.when(text.rlike(rf"(?iU)\b\Q{n}\E\b"), F.struct(F.lit(n).alias("name"), text.rlike(rf"(?iU)THE\s+\Q{n}\E\s+COLONY").alias("is_header"))) for n in names]
+    return found.select("doc_id", "block_no", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("doc_id", "block_no", "x.*")
+
+
+def first_large(docs: DataFrame, kind: Column, least: int) -> DataFrame:
+    """The document with the smallest id among those of a kind and size; no row if there is none."""
+    return docs.where(kind & (F.length("text") > least)).agg(F.min(F.struct("doc_id", F.length("text").alias("chars"))).alias("d")).where("d is not null").select("d.*")

@@ -37,6 +37,22 @@ STOPWORDS = [
     "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "was", "are", "were", "be", "been", "have", "has", "had", "do", "does", "did",
     "will", "would", "could", "should", "may", "might", "can", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them",
 ]
+# Terms of an office list.
+TERMS = {
+    "ranks": r"\b(Colonel|Major|Captain|Lieutenant|Governor|Secretary)\b", "places": r"\b(Ceylon|India|Burma|Hong Kong|Jamaica|Barbados|Trinidad)\b",
+    "years": r"\b(18\d{2}|19\d{2})\b", "offices": r"\b(Colonial Office|Crown Colony|Protectorate|Administration)\b",
+}
+# Words that tell the content of a paragraph.
+CONTENT = {
+    "personnel": ("governor", "secretary", "officer", "clerk", "chief"), "rules": ("regulation", "rule", "procedure", "shall be", "appointed"),
+    "places": ("colony", "province", "district", "territory", "island"), "finance": ("£", "salary", "allowance", "pension", "expense"),
+    "letters": ("letter", "despatch", "telegram", "dated", "received"),
+}
+# Words that tell the content of a section.
+TOPICS = {
+    "geographical": "Situation|Area|Native Tribes|Climate|bounded", "historical": "history|expedition|treaty|company|1672|1874",
+    "administrative": "administration|commissioner|government|colonial secretary", "judicial": "judge|court|justice|attorney", "financial": "revenue|expenditure|£|salary",
+}
 #: Smallest and largest chunk of each type.
 SIZES = {"reference": (400, 800), "administrative": (800, 1200), "government_report": (600, 1000), "narrative": (800, 1200), "legal": (600, 1000), "hybrid": (600, 1000)}
 
@@ -114,6 +130,22 @@ def typed(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select("doc_id", *keep, "document_type", "confidence", *[c.alias(k) for k, c in sizes.items()])
 
 
+def content_counts(paragraphs: Column, first: int = 100) -> dict[str, Column]:
+    """How many of the first paragraphs have a word of each content."""
+    some = F.transform(F.slice(paragraphs, 1, first), F.lower)
+
+    def having(words: tuple[str, ...]) -> Column:
+        def any_word(p: Column) -> Column:
+            out = F.lit(False)
+            for w in words:
+                out = out | p.contains(w)
+            return out
+
+        return F.size(F.filter(some, any_word))
+
+    return {k: having(words) for k, words in CONTENT.items()}
+
+
 def keywords(docs: DataFrame, top: int = 20, *key: str) -> DataFrame:
     """``key, keyword, tf, rank``: the most frequent words of letters longer than 3, ties by first place."""
     key = key or ("doc_id",)

@@ -28,16 +28,16 @@ def windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return rows.select("doc_id", "chunk_index", start.alias("start_pos"), F.least(start + size, F.length("text")).alias("end_pos"), tx.strip(F.substring("text", start + 1, F.lit(size))).alias("text"))
 
 
-def sentence_windows(docs: DataFrame, size: int = 800, overlap: int = 200, least: float = 0.7) -> DataFrame:
-    """Windows that end after their last full stop where it lies beyond ``least`` of the window; the next starts ``overlap`` before the end."""
+def sentence_windows(docs: DataFrame, size: int = 800, overlap: int = 200, least: float = 0.7, mark: str = ".") -> DataFrame:
+    """Windows that end after their last ``mark`` (a sign) where it lies beyond ``least`` of the window; the next starts ``overlap`` before the end."""
     limit, text = int(size * least), F.col("text")
 
     def step(acc: Column, _: Column) -> Column:
         start = acc["at"]
         part = F.substring(text, start + 1, F.lit(size))
-        dot = F.length(part) - F.instr(F.reverse(part), ".")
+        dot = F.length(part) - F.instr(F.reverse(part), mark)
         full = start + size < F.length(text)
-        end = F.when(~full, F.length(text)).when((F.instr(part, ".") > 0) & (dot > limit), start + dot + 1).otherwise(start + size)
+        end = F.when(~full, F.length(text)).when((F.instr(part, mark) > 0) & (dot > limit), start + dot + 1).otherwise(start + size)
         row = F.struct(start.alias("start_pos"), end.cast("int").alias("end_pos"))
         done = acc["done"]
         return F.struct(

@@ -165,6 +165,26 @@ def tables(documents: DataFrame) -> DataFrame:
     return rounded(stats.join(usual, "doc_id"))
 
 
+_TRIMMED_CELLS = "list_transform(string_split(line, '|'), lambda c: length(regexp_replace(c, '^\\s+|\\s+$', '', 'g')))"
+
+
+@query(
+    "a13_table_consistency",
+    f"""WITH {LINES}, t AS (SELECT doc_id, ({_PIPES} + 1)::INT AS cols, {_TRIMMED_CELLS} AS cells FROM lines WHERE contains(line, '|'))
+SELECT doc_id, count(*) AS lines, min(cols) AS min_columns, max(cols) AS max_columns, round(coalesce(var_samp(cols), 0), 6) AS variance, round(1 - coalesce(var_samp(cols), 0) / avg(cols), 6) AS score,
+ count_if(list_max(cells) > 100 OR list_min(cells) = 0) AS misaligned FROM t GROUP BY doc_id""",
+    documents="documents",
+)
+def table_consistency(documents: DataFrame) -> DataFrame:
+    """How the columns of a document's lines with a bar vary; lines with an empty cell or one of more than 100 characters are misaligned."""
+    rows = splitting.line_table(documents).where(F.col("line").contains("|"))
+    cells = F.transform(F.split("line", r"\|", -1), lambda c: F.length(tx.strip(c)))
+    rows = rows.select("doc_id", (tx.occurrences(F.col("line"), "|") + 1).alias("cols"), ((F.array_max(cells) > 100) | (F.array_min(cells) == 0)).alias("off"))
+    variance = F.coalesce(F.var_samp("cols"), F.lit(0.0))
+    stats = [F.min("cols").alias("min_columns"), F.max("cols").alias("max_columns"), variance.alias("variance"), (1 - variance / F.avg("cols")).alias("score")]
+    return rounded(rows.groupBy("doc_id").agg(F.count("*").alias("lines"), *stats, F.count_if("off").alias("misaligned")))
+
+
 @query("a15_paragraph_structure", f"WITH {LINES} SELECT doc_id, count(*) AS paragraphs, round(avg(length(s)), 6) AS avg_length, count_if(length(s) < 50) AS very_short, count_if(length(s) > 2000) AS very_long FROM stripped WHERE s <> '' GROUP BY doc_id", documents="documents")
 def paragraph_structure(documents: DataFrame) -> DataFrame:
     rows = splitting.explode_units(documents, tx.paragraphs(F.col("text"), "\n"), "pos", "s").withColumn("n", F.length("s"))
@@ -245,17 +265,60 @@ SELECT conv_id, round(avg(sim), 6) AS coherence, round(max(sim), 6) AS highest,
     conversations="conversations",
 )
 def topic_coherence(conversations: DataFrame) -> DataFrame:
-    """Similarity of all turns of a conversation: sizes and shared keywords, by joining keywords, not texts."""
+    """Likeness of all pairs of a conversation's turns; the pairs are the feature, so a conversation's turns bound them."""
+    s = F.col("similarity")
+    return rounded(pair_similarities(conversations).groupBy("conv_id").agg(F.avg(s).alias("coherence"), F.max(s).alias("highest"), F.min(s).alias("lowest"), F.count_if(s > 0.3).alias("related"), F.count("*").alias("pairs")))
+
+
+def pair_similarities(conversations: DataFrame) -> DataFrame:
+    """``conv_id, a, b, similarity`` of all turns of a conversation: sizes and shared keywords, by joining keywords, not texts."""
     kw = profile.keywords(conversations, 50, "conv_id", "turn").select("conv_id", "turn", "keyword")
     size = kw.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
     a, b = size.select("conv_id", F.col("turn").alias("a"), F.col("n").alias("na")), size.select("conv_id", F.col("turn").alias("b"), F.col("n").alias("nb"))
     shared = kw.withColumnRenamed("turn", "a").join(kw.withColumnRenamed("turn", "b"), ["conv_id", "keyword"]).where("a < b").groupBy("conv_id", "a", "b").agg(F.count("*").alias("both"))
     pairs = a.join(b, "conv_id").where("a < b").join(shared, ["conv_id", "a", "b"], "left").fillna(0, ["both"])
-    s = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return rounded(pairs.groupBy("conv_id").agg(F.avg(s).alias("coherence"), F.max(s).alias("highest"), F.min(s).alias("lowest"), F.count_if(s > 0.3).alias("related"), F.count("*").alias("pairs")))
+    return pairs.select("conv_id", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
+
 
+@query(
+    "a25_conversation_scores",
+    f"""WITH {_ADJACENT}, p AS (SELECT a.conv_id, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS sim FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn),
+c AS (SELECT conv_id, avg(sim) AS coherence FROM p GROUP BY conv_id), t2 AS (SELECT conv_id, avg(similarity) AS transition FROM sim GROUP BY conv_id),
+z AS (SELECT conv_id, count(*) AS turns, avg(length(text)) AS avg_length, var_pop(length(text)) AS variance FROM conversations GROUP BY conv_id HAVING count(*) >= 2)
+SELECT conv_id, turns, round(avg_length, 6) AS avg_length, round(variance, 6) AS variance, round(0.7 * coalesce(coherence, 0) + 0.3 * coalesce(transition, 0), 6) AS score FROM z LEFT JOIN c USING (conv_id) LEFT JOIN t2 USING (conv_id)""",
+    conversations="conversations",
+)
+def conversation_scores(conversations: DataFrame) -> DataFrame:
+    """Lengths of a conversation's turns, and a score of all pairs' and neighbours' likeness; conversations of one turn have none."""
+    n = F.length("text")
+    sizes = conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.avg(n).alias("avg_length"), F.var_pop(n).alias("variance")).where("turns >= 2")
+    pairs = pair_similarities(conversations).groupBy("conv_id").agg(F.avg("similarity").alias("c"))
+    steps = adjacent(conversations).groupBy("conv_id").agg(F.avg("similarity").alias("t"))
+    score = 0.7 * F.coalesce("c", F.lit(0.0)) + 0.3 * F.coalesce("t", F.lit(0.0))
+    return rounded(sizes.join(pairs, "conv_id", "left").join(steps, "conv_id", "left").select("conv_id", "turns", "avg_length", "variance", score.alias("score")))
 
-@query("a27_label_gates", "SELECT source, count(*) AS labelled, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic, avg(quality) >= 0.8 AS passes FROM documents JOIN labels USING (doc_id) GROUP BY source", documents="documents", labels="labels")
+
+@query(
+    "a28_term_counts",
+    f"WITH d AS (SELECT doc_id, {WORDED} AS m FROM documents) SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(m, '(?i){p}'))::INT AS {k}" for k, p in profile.TERMS.items()) + " FROM d",
+    documents="documents",
+)
+def term_counts(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", *[F.regexp_count("text", F.lit(f"(?iU){p}")).alias(k) for k, p in profile.TERMS.items()])
+
+
+@query(
+    "a29_content_types",
+    "WITH d AS (SELECT doc_id, list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), 1, 100) AS p FROM documents) SELECT doc_id, "
+    + ", ".join("len(list_filter(p, lambda x: " + " OR ".join(f"contains(lower(x), '{w}')" for w in words) + f"))::INT AS {k}" for k, words in profile.CONTENT.items()) + " FROM d",
+    documents="documents",
+)
+def content_types(documents: DataFrame) -> DataFrame:
+    """Of the first hundred paragraphs, how many have words of each content."""
+    return documents.select("doc_id", *[c.alias(k) for k, c in profile.content_counts(tx.paragraphs(F.col("text"), "\n")).items()])
+
+
+@query("label_gates", "SELECT source, count(*) AS labelled, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic, avg(quality) >= 0.8 AS passes FROM documents JOIN labels USING (doc_id) GROUP BY source", documents="documents", labels="labels")
 def label_gates(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "source").join(labels, "doc_id")
     return rounded(rows.groupBy("source").agg(F.count("*").alias("labelled"), F.avg("quality").alias("good"), F.avg("toxic").alias("toxic"), (F.avg("quality") >= 0.8).alias("passes")))
@@ -313,3 +376,33 @@ def document_results(documents: DataFrame) -> DataFrame:
 def type_statistics(documents: DataFrame) -> DataFrame:
     sizes = [F.avg("size").alias("avg_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size")]
     return rounded(adaptive.chunks(documents).groupBy("document_type").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), *sizes))
+
+
+@query(
+    "c8e_results_or_errors",
+    f"""WITH RECURSIVE {ADAPTIVE} SELECT d.doc_id, count(m.doc_id) AS chunk_count, any_value(CASE WHEN d.text IS NULL THEN 'no text' END) AS error
+FROM documents d LEFT JOIN made m USING (doc_id) GROUP BY d.doc_id""",
+    documents="documents",
+)
+def results_or_errors(documents: DataFrame) -> DataFrame:
+    """A row for each document, with what kept it from being chunked; a document's fault touches no other."""
+    made = adaptive.chunks(documents).groupBy("doc_id").agg(F.count("*").alias("n"))
+    error = F.when(F.col("text").isNull(), "no text")
+    return documents.select("doc_id", error.alias("error")).join(made, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("chunk_count"), "error")
+
+
+@query(
+    "a18b_quality_bundle",
+    f"""WITH d AS (SELECT doc_id, {WORDED} AS m, {_WORDS} AS w, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, len(w)::INT AS words, ({' + '.join(count_sql(p, '(?i)', 'm') for p in profile.OCR_ERRORS.values())})::INT AS errors, ({' + '.join(count_sql(p, '', 'm') for p in profile.HISTORICAL.values())})::INT AS historical,
+ len(list_filter(l, lambda x: contains(x, '|')))::INT AS table_lines, len(list_filter(l, lambda x: {_UP} AND length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) > 5))::INT AS headers FROM d""",
+    documents="documents",
+)
+def quality_bundle(documents: DataFrame) -> DataFrame:
+    """The counts of a document's quality in one row, from one scan."""
+    t = F.col("text")
+    errors = sum((profile.matches(t, p, "(?iU)") for p in profile.OCR_ERRORS.values()), F.lit(0))
+    old = sum((profile.matches(t, p, "(?U)") for p in profile.HISTORICAL.values()), F.lit(0))
+    tables = F.size(F.filter(tx.lines(t), lambda x: x.contains("|")))
+    headers = F.size(F.filter(tx.lines(t), lambda x: tx.is_upper(x) & (F.length(tx.strip(x)) > 5)))
+    return documents.select("doc_id", F.size(tx.words(t)).alias("words"), errors.alias("errors"), old.alias("historical"), tables.alias("table_lines"), headers.alias("headers"))

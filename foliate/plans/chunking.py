@@ -309,6 +309,17 @@ def paragraph_groups(documents: DataFrame) -> DataFrame:
     return paras.groupBy("doc_id", F.floor(F.col("pos") / 3).cast("int").alias("chunk_index")).agg(F.count("*").alias("paragraphs"), (F.sum(F.length("s")) + 2 * (F.count("*") - 1)).alias("size"))
 
 
+@query(
+    "c2b_paragraph_groups",
+    f"WITH {PARAS} SELECT doc_id, k::INT AS k, (pos // k)::INT AS chunk_index, count(*) AS paragraphs, (sum(length(s)) + 2 * (count(*) - 1))::BIGINT AS size FROM paras, (VALUES (2), (4)) AS g(k) GROUP BY doc_id, k, pos // k",
+    documents="documents",
+)
+def paragraph_pairs(documents: DataFrame) -> DataFrame:
+    """Groups of two and of four paragraphs."""
+    paras = splitting.explode_units(documents, tx.paragraphs(F.col("text"), "\n"), "pos", "s").withColumn("k", F.explode(F.array(F.lit(2), F.lit(4))))
+    return paras.groupBy("doc_id", "k", F.floor(F.col("pos") / F.col("k")).cast("int").alias("chunk_index")).agg(F.count("*").alias("paragraphs"), (F.sum(F.length("s")) + 2 * (F.count("*") - 1)).alias("size"))
+
+
 FIXED = """fixed AS (SELECT doc_id, i AS chunk_index, i * 600 AS start_pos, least(i * 600 + 800, length(text)) AS end_pos, regexp_replace(substring(text, i * 600 + 1, 800), '^\\s+|\\s+$', '', 'g') AS text
  FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 800) / 600.0), 0)::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0))"""
 
@@ -318,19 +329,26 @@ def fixed_windows(documents: DataFrame) -> DataFrame:
     return splitting.windows(documents, 800, 200).withColumn("text_sha256", digest()).drop("text")
 
 
-@query(
-    "c1_sentence_windows",
-    """WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS k, 0::BIGINT AS a, 0::BIGINT AS b, false AS done FROM documents WHERE length(text) > 0
- UNION ALL SELECT doc_id, text, k + 1, n, CASE WHEN n + 800 >= length(text) THEN length(text) WHEN dot > 560 THEN n + dot + 1 ELSE n + 800 END, n + 800 >= length(text)
- FROM (SELECT *, CASE WHEN instr(substring(text, n + 1, 800), '.') > 0 THEN length(substring(text, n + 1, 800)) - instr(reverse(substring(text, n + 1, 800)), '.') ELSE -1 END AS dot
-   FROM (SELECT *, CASE WHEN k = 0 THEN 0 ELSE greatest(b - 200, a + 1) END AS n FROM w WHERE NOT done)))
-SELECT doc_id, k - 1 AS chunk_index, a::INT AS start_pos, b::INT AS end_pos FROM w WHERE k > 0""",
-    documents="documents",
-)
+def windows_sql(size: int, overlap: int, limit: int, mark: str) -> str:
+    part = f"substring(text, n + 1, {size})"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS k, 0::BIGINT AS a, 0::BIGINT AS b, false AS done FROM documents WHERE length(text) > 0
+ UNION ALL SELECT doc_id, text, k + 1, n, CASE WHEN n + {size} >= length(text) THEN length(text) WHEN dot > {limit} THEN n + dot + 1 ELSE n + {size} END, n + {size} >= length(text)
+ FROM (SELECT *, CASE WHEN instr({part}, {mark}) > 0 THEN length({part}) - instr(reverse({part}), {mark}) ELSE -1 END AS dot
+   FROM (SELECT *, CASE WHEN k = 0 THEN 0 ELSE greatest(b - {overlap}, a + 1) END AS n FROM w WHERE NOT done)))
+SELECT doc_id, k - 1 AS chunk_index, a::INT AS start_pos, b::INT AS end_pos FROM w WHERE k > 0"""
+
+
+@query("c1_sentence_windows", windows_sql(800, 200, 560, "'.'"), documents="documents")
 def sentence_windows(documents: DataFrame) -> DataFrame:
     return splitting.sentence_windows(documents).drop("text")
 
 
+@query("c1c_paragraph_windows", windows_sql(1000, 200, 600, "chr(10)"), documents="documents")
+def paragraph_windows(documents: DataFrame) -> DataFrame:
+    """Windows that end after a paragraph where one ends in their last two fifths."""
+    return splitting.sentence_windows(documents, 1000, 200, 0.6, "\n").drop("text")
+
+
 _STATS = "count(*) AS chunks, avg(size) AS avg_size, min(size) AS min_size, max(size) AS max_size, coalesce(stddev_samp(size), 0) AS std_size, count_if(size < 300) AS small, count_if(size > 1500) AS large"
 _UNION = f"""{SENTENCES}, {PARAS.replace(LINES, LINES)}, {FIXED}, {fold_sql('sents', 'r.n > 0 AND r.len + 1 + l > 1000', 1)},
 allc AS (SELECT doc_id, 'hybrid' AS strategy, length(text) AS size FROM packed UNION ALL SELECT doc_id, 'overlapping', length(text) FROM fixed

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
 from foliate.operators import hierarchy as h
+from foliate.operators import profile
 from foliate.operators.profile import matches
 from foliate.plans.analysis import WORDED
 from foliate.plans.chunking import rounded
@@ -339,3 +340,58 @@ def known_names(documents: DataFrame) -> DataFrame:
     names = found.sparkSession.createDataFrame([("CANADA",), ("ONTARIO",), ("TERRITORY B",), ("NOWHERE",)], "name string")
     counts = found.join(F.broadcast(names), F.col("heading").contains(F.col("name"))).groupBy("name").agg(F.countDistinct("doc_id", "block_no").alias("found"))
     return names.join(counts, "name", "left").fillna(0, ["found"])
+
+
+_CONTAINER = " ".join(f"WHEN m.heading = '{c}' AND {any_sql('heading', v)} THEN 'province'" for c, v in h.CONTAINERS.items())
+
+
+@query(
+    "p25_container_sections",
+    f"""WITH {CLASSES}, x AS (SELECT *, last_value(CASE WHEN kind IN ('dominion', 'colony_high', 'colony_candidate') THEN {{'kind': kind, 'heading': heading}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no {_UPTO}) AS m FROM c WHERE kind <> 'skip'),
+k AS (SELECT doc_id, block_no, m.heading AS container, heading, n, CASE {_CONTAINER} WHEN {any_sql('heading', h.ADMIN)} THEN 'administration' ELSE 'other' END AS section_kind FROM x WHERE m.kind = 'dominion' AND kind <> 'dominion' AND n > 100)
+SELECT doc_id, block_no::INT AS block_no, container, heading, section_kind, n::INT AS n, n > 5000 AND section_kind <> 'administration' AS is_large FROM k""",
+    **T,
+)
+def container_sections(documents: DataFrame) -> DataFrame:
+    return h.container_sections(h.classified(h.blocks(volumes(documents))))
+
+
+_NAMES = ["ONTARIO", "TERRITORY A", "Nova Scotia"]
+_MENTIONS = " UNION ALL ".join(f"SELECT doc_id, block_no, '{n}' AS name, regexp_matches(x, '(?i)THE\\s+{n}\\s+COLONY') AS is_header FROM mt WHERE regexp_matches(x, '(?i)\\b{n}\\b')" for n in _NAMES)
+
+
+@query("p31_mentions", f"WITH {BLOCKS}, mt AS (SELECT doc_id, block_no::INT AS block_no, heading || chr(10) || {_WORDED_BODY} AS x FROM blocks) {_MENTIONS}", **T)
+def mentions(documents: DataFrame) -> DataFrame:
+    return h.mentions(h.blocks(volumes(documents)), _NAMES)
+
+
+@query(
+    "a20_topic_counts",
+    f"WITH {BLOCKS} SELECT doc_id, count(*) AS blocks, sum(length(body))::BIGINT AS chars, " + ", ".join(f"count_if(regexp_matches(body, '(?i){p}')) AS {k}" for k, p in profile.TOPICS.items()) + " FROM blocks GROUP BY doc_id",
+    **T,
+)
+def topic_counts(documents: DataFrame) -> DataFrame:
+    """How many blocks of a volume touch each topic."""
+    rows = h.blocks(volumes(documents))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(F.length("body")).alias("chars"), *[F.count_if(F.col("body").rlike(f"(?iU){p}")).alias(k) for k, p in profile.TOPICS.items()])
+
+
+@query("o9_headings", f"WITH {BLOCKS} SELECT heading, row_number() OVER (ORDER BY heading) AS place, seen FROM (SELECT heading, count(*) AS seen FROM blocks GROUP BY heading)", **T)
+def headings(documents: DataFrame) -> DataFrame:
+    """The distinct headings in order, with their places: names are dealt by ranges, and each range is numbered by itself."""
+    names = h.blocks(volumes(documents)).groupBy("heading").agg(F.count("*").alias("seen"))
+    ranged = names.repartitionByRange("heading").withColumn("part", F.spark_partition_id())
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("k"))  # a row for each partition
+    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("heading"))
+    return ranged.withColumn("i", inside).join(F.broadcast(before), "part").select("heading", (F.col("i") + F.col("before")).alias("place"), "seen")
+
+
+@query(
+    "p30_first_large",
+    "SELECT doc_id, length(text)::INT AS chars FROM documents WHERE source = (SELECT min(source) FROM documents) AND length(text) > 5000 ORDER BY doc_id LIMIT 1",
+    **T,
+)
+def first_large(documents: DataFrame) -> DataFrame:
+    first = documents.agg(F.min("source").alias("s"))  # one row
+    return h.first_large(documents.join(F.broadcast(first)), F.col("source") == F.col("s"), 5000)

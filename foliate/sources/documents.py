@@ -40,6 +40,29 @@ def read_items(spark: SparkSession, path: str, most: int = 10) -> DataFrame:
     return raw.select("doc_id", F.array_join(F.transform(F.slice(items, 1, most), lambda x: x["text"]), "\n\n").alias("text"))
 
 
+def first_folder(spark: SparkSession, folders: list[str]) -> str | None:
+    """The first of some folders that exists, on any file system that Spark reads."""
+    conf = spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(conf).exists(path):
+            return folder
+    return None
+
+
+def read_first(spark: SparkSession, folders: list[str], most: int = 3, below: bool = False) -> DataFrame | None:
+    """The ``most`` first documents by name of the first folder that exists, or of the folders one level ``below`` it; None if there is none."""
+    folder = first_folder(spark, folders)
+    if folder is None:
+        return None
+    return read_documents(spark, f"{folder}/*/*.json" if below else f"{folder}/*.json").orderBy("doc_id").limit(most)
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Results (statistics, sections, comparisons) as JSON lines, vectors as lists, null fields kept; text stays as it is."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def page_table(docs: DataFrame) -> DataFrame:
     """``doc_id, start, end, page``: a row for each page."""
     return docs.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*")

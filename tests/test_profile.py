@@ -86,3 +86,31 @@ def test_roster_paths_and_outcomes(spark):
     ]
     assert {(r["chunk_type"], r["n"]) for r in rosters.statistics(docs).collect()} >= {("roster", 8)}
     assert rosters.chunks(docs.limit(0)).count() == 0
+
+
+def test_sections_of_a_container_and_mentions(spark):
+    from foliate.operators import hierarchy as h
+
+    rich = "The colony, population, government, judge, revenue, trade, railway, police, education, church, island. " * 20
+    parts = [("DOMINION OF CANADA", rich), ("NOVA SCOTIA", "x" * 6000), ("EXECUTIVE COUNCIL", "y" * 6000), ("HALIFAX", "short"), ("LABRADOR", "z" * 300), ("JAMAICA", rich + "the Gold Coast Colony"), ("KINGSTON", "w" * 300)]
+    docs = frame(spark, ["\n\n".join(f"{k}.\n{v}" for k, v in parts)])
+    found = h.classified(h.blocks(docs))
+    got = [(r["heading"], r["section_kind"], r["is_large"]) for r in h.container_sections(found).orderBy("block_no").collect()]
+    assert got == [("NOVA SCOTIA", "province", True), ("EXECUTIVE COUNCIL", "administration", False)]
+    assert [(r["name"], r["is_header"]) for r in h.mentions(h.blocks(docs), ["Gold Coast", "Cape"]).collect()] == [("Gold Coast", True)]
+    large = h.first_large(frame(spark, ["a" * 9, "b" * 50, "c" * 60]), F.lit(True), 20).collect()
+    assert [tuple(r) for r in large] == [(1, 50)] and h.first_large(docs, F.lit(False), 0).count() == 0
+
+
+def test_merged_territories_and_their_statistics(spark):
+    from foliate.operators import hierarchy as h
+
+    rich = "The colony, population, government, judge, revenue, trade, railway, police, education, church, island. " * 20
+    names = ["JAMAICA", "JAMAICA", "MALTA", "JAMAICA", "JAMAICA", "MALTA"]
+    texts = [rich + "a", rich + "b", rich, rich + "a", rich + "c", rich]
+    docs = frame(spark, ["\n\n".join(f"{n}.\n{t}" for n, t in zip(names, texts))])
+    found = h.classified(h.blocks(docs))
+    got = [(r["name"], r["merged"], r["number"], r["role"], r["is_duplicate"]) for r in h.territories(found).orderBy("territory_no").collect()]
+    # the second entry of Jamaica begins with the text of the first; Malta is a copy
+    assert got == [("JAMAICA", 2, 1, "primary", False), ("MALTA", 1, 1, "primary", False), ("JAMAICA", 2, 2, "appendix", True), ("MALTA", 1, 2, "appendix", True)]
+    assert [tuple(r)[1:] for r in h.territory_statistics(found).collect()] == [(6, 4, 2, 2)]

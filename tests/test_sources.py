@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from foliate.operators import packing
 from foliate.functions import text as tx
-from foliate.sources.documents import page_table, read_chunks, read_documents, read_items, write_chunks
+from foliate.sources.documents import page_table, read_chunks, read_documents, read_first, read_items, write_chunks, write_results
 from foliate.streaming.documents import document_stream, event_counts, sessions, typed
 
 
@@ -46,3 +46,15 @@ def test_streams(spark, tmp_path, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     n = events.count()
     assert event_counts(events).agg(F.sum("events")).first()[0] == n and sessions(events).agg(F.sum("events")).first()[0] == n
+
+
+def test_first_folder_and_results(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    folder(tmp_path / "in")
+    found = read_first(spark, [str(tmp_path / "none"), str(tmp_path / "in")], 1)
+    assert [r["doc_id"] for r in found.collect()] == ["a"] and read_first(spark, [str(tmp_path / "none")]) is None
+    assert {r["doc_id"] for r in read_first(spark, [str(tmp_path)], 2, below=True).collect()} == {"a", "b"}
+    rows = spark.createDataFrame([("é", None, [0.5, 1.0])], "name string, n long, v array<double>")
+    write_results(rows, str(tmp_path / "out"))
+    assert spark.read.schema(rows.schema).json(str(tmp_path / "out")).collect() == rows.collect()
+    assert "é" in "".join(f.read_text() for f in (tmp_path / "out").glob("*.json"))
