@@ -6,12 +6,12 @@
 2. Documents with the same set are one class; only its smallest id goes on.
 3. Bands of the signature are buckets. Every member of a bucket is verified on full
    sets against the bucket's smallest id, not against every other member. Where the
-   rest of a bucket lies in several components, and is of a bounded size, its documents are
-   compared across components in one task: texts meet by block, no pairs are made. Of
-   buckets with the same members one is compared. Documents of larger rests (many that
-   share a band and little else) get new buckets first: each set's rarest shingles, as
-   many as any similar set must share one of. What is left open in these is cut into
-   parts, and each pair of parts is a block.
+   rest of a bucket lies in several components, it is cut into a few parts of a bounded
+   size, and each pair of parts is a block whose documents are compared across components
+   in one task: texts meet by block, no pairs are made. Of buckets with the same members
+   one is compared. Documents of rests with more than ``PARTS`` parts (many that share a
+   band and little else) get new buckets first: each set's rarest shingles, as many as any
+   similar set must share one of. What is left open in these is compared by parts.
 4. Verified links are joined to components by union-find steps on tables.
 
 No bucket is gathered in one task: smallest members are aggregates, members meet
@@ -44,6 +44,8 @@ WORD[[0x20, *range(0x09, 0x0E)]] = False
 WIDTH, BLOCK, BLOCK_SHINGLES = 128, 1024, 1 << 19
 #: Documents of a shingle, or of a class of equal sets, from which on it is large; rows of these that are broadcast at most.
 LARGE, BROADCAST_ROWS = 64, 500_000
+#: Parts of a rest at most that are compared as pairs of parts at once; each text is then copied so often.
+PARTS = 8
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +283,7 @@ def links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     held = store(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"), "candidates")
     found = to_pivots(members, held, k, percent)
     rest, open_ = open_buckets(members, found)
-    small, large = open_.where("parts = 1"), open_.where("parts > 1")
+    small, large = open_.where(F.col("parts") <= PARTS), open_.where(F.col("parts") > PARTS)
     out = found.union(compared(blocks_of(rest, small, held), k, percent))
     if not large.isEmpty():
         ids = store(rest.join(large, "bucket").select(F.col("doc").alias("doc_id")).distinct(), "crowded")

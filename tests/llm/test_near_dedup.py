@@ -78,6 +78,7 @@ def test_components(spark):
 def test_crowded_buckets_against_brute_force(spark, monkeypatch):
     """Many documents on one template, unlike in the rest, with small groups of copies among them: every path beyond one block."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PARTS", 2)
     monkeypatch.setattr(near_dedup, "LARGE", 4)
     rng = random.Random(8)
     template = [f"t{i}" for i in range(70)]
