@@ -9,7 +9,8 @@ cheap and differentiable almost everywhere. Prediction runs in Arrow batches wit
 fixed number of segments at a time, so memory does not grow with a text.
 
 Null text, or one without a letter: ``und`` with score 0. Without labelled texts all
-are ``und``. Repeated rows are predicted alike; other columns are ignored.
+are ``und``. Repeated rows are predicted alike; other columns are ignored. A row without
+doc_id is not learned from, and its ``held_out`` is null.
 """
 
 from __future__ import annotations

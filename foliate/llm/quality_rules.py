@@ -11,7 +11,8 @@ Only labels are learned from; language, source and doc_id are never inputs.
 Null and empty texts have zero statistics and are scored like any other text;
 repeated rows are scored alike; other columns of the documents stay untouched.
 Without labels, or with labels of one class only, the score is that class's
-(smoothed) share for every text.
+(smoothed) share for every text. A row without doc_id is not learned from, and its
+``held_out`` is null.
 """
 
 from __future__ import annotations

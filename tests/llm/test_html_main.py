@@ -145,3 +145,9 @@ def test_hostile_pages_take_time_in_proportion():
         small, large = seconds(make(5_000)), seconds(make(40_000))
         assert large < 24 * small + 0.5, make(2)
     assert [t for _, _, t in Page("h", '<p title="a > b">x</p><p class="y>z</p>').blocks] == ["x", "z"]
+
+
+def test_a_very_long_page_is_kept_whole(spark):
+    parts = [f"paragraph {i} of it" for i in range(60_000)]
+    page = "<nav>menu</nav><article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"
+    assert texts(spark, [("http://a.example/", page)])[0] == "\n".join(parts)

@@ -46,3 +46,10 @@ def test_one_class_and_empty(spark):
     model = q.learn(docs, labels)
     assert not model.rules and 0.5 <= q.with_scores(docs, model).first()["score"] < 1
     assert q.with_scores(docs.limit(0), model).count() == 0
+
+
+def test_very_long_texts_and_rows_without_id(spark):
+    docs = spark.createDataFrame([(1, "Word and word, " * 150_000), (None, "a b"), (2, "x" * 1_000_000)], "doc_id long, text string")
+    model = q.RuleModel(0.0, [(q.Rule((("variety", True, 0.3),)), 2.0), (q.Rule((("word_chars", False, 100.0),)), -2.0)])
+    got = {r["doc_id"]: (round(r["score"], 3), r["h"]) for r in q.with_scores(docs, model).withColumn("h", q.held_out(F.col("doc_id"))).collect()}
+    assert got[1][0] > 0.8 and got[2][0] < 0.5 and got[None][1] is None
