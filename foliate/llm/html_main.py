@@ -255,7 +255,7 @@ def feature(place: int, text: str) -> int:
 _BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
 _NODE = pa.list_(pa.struct([("parent", pa.int32()), ("place", pa.int64())]))
 _STAT = pa.list_(pa.struct([("place", pa.int64()), ("kind", pa.int32()), ("v", pa.int64())]))
-_SCHEMA = "row long, page_id long, url string, blocks array<struct<node:int,text:string>>, nodes array<struct<parent:int,place:long>>, stats array<struct<place:long,kind:int,v:long>>, marked boolean"
+_SCHEMA = "row long, page long, page_id long, url string, blocks array<struct<node:int,text:string>>, nodes array<struct<parent:int,place:long>>, stats array<struct<place:long,kind:int,v:long>>, marked boolean"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -267,8 +267,8 @@ def parsed(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html"):
             done = [Page(h, s).result() for h, s in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("page_id"), batch.column("url"), pa.array([d[0] for d in done], _BLOCK), pa.array([d[1] for d in done], _NODE), pa.array([d[2] for d in done], _STAT), pa.array([d[3] for d in done], pa.bool_())],
-                ["row", "page_id", "url", "blocks", "nodes", "stats", "marked"],
+                [batch.column("row"), pa.array([_hash(*(f"{s['place']} {s['v']}" for s in d[2])) for d in done], pa.int64()), batch.column("page_id"), batch.column("url"), pa.array([d[0] for d in done], _BLOCK), pa.array([d[1] for d in done], _NODE), pa.array([d[2] for d in done], _STAT), pa.array([d[3] for d in done], pa.bool_())],
+                ["row", "page", "page_id", "url", "blocks", "nodes", "stats", "marked"],
             )
 
     return rows.mapInArrow(run, _SCHEMA)
@@ -276,7 +276,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 def value_counts(pages: DataFrame) -> DataFrame:
     """``place, kind, v, c``: on how many distinct pages a place has presentation (kind 0) or feature (1) ``v``."""
-    own = pages.select(F.xxhash64("stats").alias("page"), F.explode("stats").alias("s")).select("page", "s.*").distinct()
+    own = pages.select("page", F.explode("stats").alias("s")).select("page", "s.*").distinct()
     return own.groupBy("place", "kind", "v").agg(F.count("*").cast("double").alias("c"))
 
 
