@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
 from foliate.operators import packing, profile
+from foliate.operators.profile import bound
 from foliate.operators.structure import is_entry
 
 #: Strategy of each type; the others are packed by sentences.
@@ -29,7 +30,7 @@ def chunks(docs: DataFrame, mark: str = "\n") -> DataFrame:
     strategy = F.lit("sentences")
     for kind, name in STRATEGIES.items():
         strategy = F.when(F.col("document_type") == kind, name).otherwise(strategy)
-    rows = profile.typed(docs, "text").withColumn("strategy", strategy)
+    rows = bound(profile.typed(docs, "text").withColumn("strategy", strategy))
     text, low, high = F.col("text"), F.col("min_size"), F.col("max_size")
 
     def chosen(entries, registers, paragraphs, sentences) -> Column:
@@ -37,11 +38,12 @@ def chunks(docs: DataFrame, mark: str = "\n") -> DataFrame:
         return F.when(s == "entries", entries).when(s == "registers", registers).when(s == "paragraphs", paragraphs).otherwise(sentences)
 
     lines = F.transform(tx.lines(text), tx.strip)
-    units = chosen(lines, lines, tx.paragraphs(text, mark), tx.sentences(text))
+    units = F.when(F.col("strategy").isin("entries", "registers"), lines).when(F.col("strategy") == "paragraphs", tx.paragraphs(text, mark)).otherwise(tx.sentences(text))
     rules = [packing.at_marks(low, 3, high), packing.around_runs(1 << 30, high), packing.before_limit(high, 2), packing.before_limit(high, 1)]
     separator = chosen(*map(F.lit, ("\n", "\n", "\n\n", " ")))
     marked = lambda u: chosen(is_entry(u), in_register(u), F.lit(False), F.lit(False))
-    out = packing.pack(rows, units, lambda s, u: chosen(*[r(s, u) for r in rules]), separator, marked, "document_type", "confidence", "strategy", blank=False)
+    rule = packing.by_number(chosen(*map(F.lit, range(4))), rules)
+    out = packing.pack(rows, units, rule, separator, marked, "document_type", "confidence", "strategy", blank=False)
     return out.withColumn("markers", sum(profile.markers(F.col("text")).values(), F.lit(0)))
 
 

@@ -1,77 +1,146 @@
 """Packing of ordered units into chunks: one fold over the units' lengths for each document, never over their text.
 
-The fold notes where groups begin, not each unit's group, and the chunks are slices of
-the units between these places: no shuffle, and work in proportion to the text.
+The fold is an Arrow function: it gets lengths and marks, a few bytes for each unit, and
+gives the places where groups begin; texts stay in the JVM. (As a Spark ``aggregate`` it
+would copy all places found so far at each unit.) Chunks are slices of the units between
+these places: no shuffle, and work in proportion to the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (state, unit) -> whether the unit opens a new group. The state of the group so far: ``n`` units, ``len`` characters,
-#: ``marks`` marked units, ``last`` whether the last was marked. The unit: its length ``n`` and whether it is marked ``m``.
-Opens = Callable[[Column, Column], Column]
 
+@dataclass
+class Group:
+    """The open group: ``n`` units, ``size`` characters, ``marks`` marked units, ``last`` whether the last was marked."""
 
-def before_limit(limit: int | Column, separator: int) -> Opens:
+    n: int = 0
+    size: int = 0
+    marks: int = 0
+    last: bool = False
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``opens(group, length, mark, *values)`` tells whether a unit opens a new group; values: columns of the document's row, or constants."""
+
+    opens: Callable[..., Any]
+    values: tuple[Column | int, ...]
+
+
+def _before_limit(g: Group, length: int, mark: bool, limit: int, separator: int) -> bool:
+    return g.n > 0 and g.size + separator + length > limit
+
+
+def _after_limit(g: Group, length: int, mark: bool, limit: int) -> bool:
+    return g.size > limit
+
+
+def _at_marks(g: Group, length: int, mark: bool, least: int, units: int, limit: int) -> bool:
+    return g.n > 0 and (g.size > limit or (mark and (g.size >= least or g.marks >= units)))
+
+
+def _headed(g: Group, length: int, mark: bool, least_units: int, limit: int) -> bool:
+    return g.size > limit or (mark and g.n > least_units)
+
+
+def _around_runs(g: Group, length: int, mark: bool, before: int, limit: int) -> bool:
+    if mark and g.last:
+        return False
+    return g.size > limit or (mark and g.size > before)
+
+
+def _at_headings(g: Group, length: int, mark: bool, least: int) -> bool:
+    return g.n > 0 and mark and g.size > least
+
+
+def before_limit(limit: int | Column, separator: int) -> Rule:
     """A unit that would lift the group beyond the limit opens the next."""
-    return lambda s, u: (s["n"] > 0) & (s["len"] + separator + u["n"] > limit)
+    return Rule(_before_limit, (limit, separator))
 
 
-def after_limit(limit: int | Column) -> Opens:
+def after_limit(limit: int | Column) -> Rule:
     """A group that has passed the limit is closed."""
-    return lambda s, u: s["len"] > limit
+    return Rule(_after_limit, (limit,))
 
 
-def at_marks(least: int | Column, units: int, limit: int | Column) -> Opens:
+def at_marks(least: int | Column, units: int, limit: int | Column) -> Rule:
     """A marked unit opens a group once the last has ``least`` characters or ``units`` marks; beyond the limit any unit does."""
-    return lambda s, u: (s["n"] > 0) & ((u["m"] & ((s["len"] >= least) | (s["marks"] >= units))) | (s["len"] > limit))
+    return Rule(_at_marks, (least, units, limit))
 
 
-def headed(least_units: int, limit: int | Column) -> Opens:
+def headed(least_units: int, limit: int | Column) -> Rule:
     """A marked unit opens a group if the last has more than ``least_units`` units; beyond the limit any unit does."""
-    return lambda s, u: (u["m"] & (s["n"] > least_units)) | (s["len"] > limit)
+    return Rule(_headed, (least_units, limit))
 
 
-def around_runs(before: int | Column, limit: int | Column) -> Opens:
+def around_runs(before: int | Column, limit: int | Column) -> Rule:
     """Runs of marked units stay together: one opens a group if the last has more than ``before`` characters, and beyond the limit a group ends outside a run."""
-    return lambda s, u: (u["m"] & ~s["last"] & (s["len"] > before)) | (~(u["m"] & s["last"]) & (s["len"] > limit))
+    return Rule(_around_runs, (before, limit))
 
 
-def at_headings(least: int | Column) -> Opens:
+def at_headings(least: int | Column) -> Rule:
     """A marked unit opens a group once the last has more than ``least`` characters."""
-    return lambda s, u: (s["n"] > 0) & u["m"] & (s["len"] > least)
+    return Rule(_at_headings, (least,))
+
+
+def by_number(number: Column, rules: list[Rule]) -> Rule:
+    """The rule with the given number (from 0), which may differ from row to row."""
+    cuts = [0]
+    for r in rules:
+        cuts.append(cuts[-1] + len(r.values))
+    tests = [(r.opens, a, b) for r, a, b in zip(rules, cuts, cuts[1:])]
+
+    def opens(g: Group, length: int, mark: bool, chosen: int, *values: int) -> bool:
+        test, a, b = tests[chosen]
+        return test(g, length, mark, *values[a:b])
+
+    return Rule(opens, (number, *(v for r in rules for v in r.values)))
+
+
+def fold(lengths: list[int], marks: list[bool] | None, separator: int, rule: Callable[..., Any], values: list[int]) -> list[int]:
+    """The place (from 0) of the first unit of each group."""
+    out, g = [], Group()
+    for at, length in enumerate(lengths):
+        mark = marks is not None and marks[at]
+        if not at or rule(g, length, mark, *values):
+            out.append(at)
+            g.n, g.size, g.marks = 1, length, int(mark)
+        else:
+            g.n, g.size, g.marks = g.n + 1, g.size + separator + length, g.marks + mark
+        g.last = mark
+    return out
 
 
-def group_starts(units: Column, opens: Opens, separator: int | Column, mark: Callable[[Column], Column] | None = None) -> Column:
-    """The place (from 0) of the first unit of each group, as an array."""
-    marked = mark or (lambda u: F.lit(False))
-    measured = F.transform(units, lambda u: F.struct(F.length(u).alias("n"), marked(u).alias("m")))
+def group_starts(units: Column, rule: Rule, separator: int | Column, mark: Callable[[Column], Column] | None = None) -> Column:
+    """The place (from 0) of the first unit of each group, as an array; null units give null."""
+    opens = rule.opens
 
-    def step(s: Column, u: Column) -> Column:
-        new = (s["at"] == 0) | opens(s, u)
-        return F.struct(
-            (s["at"] + 1).alias("at"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"),
-            F.when(new, u["n"]).otherwise(s["len"] + separator + u["n"]).alias("len"),
-            # the first unit is no opener: its mark counts
-            (F.when(opens(s, u), 0).otherwise(s["marks"]) + u["m"].cast("int")).alias("marks"), u["m"].alias("last"),
-            F.when(new, F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out"),
-        )
+    def starts(lengths: pa.Array, marks: pa.Array, separators: pa.Array, *values: pa.Array) -> pa.Array:
+        apart, given = separators.to_pylist(), [v.to_pylist() for v in values]
+        rows = ((lengths[i].as_py(), marks[i].as_py()) for i in range(len(lengths)))
+        return pa.array([None if n is None else fold(n, m, apart[i], opens, [v[i] for v in given]) for i, (n, m) in enumerate(rows)], pa.list_(pa.int32()))
 
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "n", "len", "marks")], F.lit(False).alias("last"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(measured, zero, step, lambda s: s["out"])
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    marks = F.transform(units, mark) if mark else F.lit(None).cast("array<boolean>")
+    return F.arrow_udf(starts, "array<int>")(F.transform(units, F.length), marks, as_column(separator), *map(as_column, rule.values))
 
 
-def pack(docs: DataFrame, units: Column, opens: Opens, separator: str | Column, mark: Callable[[Column], Column] | None = None, *keep: str, blank: bool = True) -> DataFrame:
+def pack(docs: DataFrame, units: Column, rule: Rule, separator: str | Column, mark: Callable[[Column], Column] | None = None, *keep: str, blank: bool = True) -> DataFrame:
     """``doc_id, keep, chunk_index, units, size, text`` of the packed units of each document; rules and separator may be columns of it.
 
     blank: whether chunks of white space only stay.
     """
     sep = F.lit(separator) if isinstance(separator, str) else separator
-    rows = docs.select("doc_id", *keep, units.alias("_units"), group_starts(units, opens, F.length(sep), mark).alias("_starts"), sep.alias("_sep"))
+    starts = group_starts(units, rule, F.length(sep), mark)
+    rows = docs.select("doc_id", *keep, units.alias("_units"), starts.alias("_starts"), sep.alias("_sep"))
     stops = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_units")))
     groups = F.zip_with("_starts", stops, lambda a, b: F.struct((b - a).cast("long").alias("units"), F.call_function("array_join", F.slice("_units", a + 1, b - a), F.col("_sep")).alias("text")))
     if not blank:
@@ -80,10 +149,10 @@ def pack(docs: DataFrame, units: Column, opens: Opens, separator: str | Column,
     return rows.select("doc_id", *keep, "chunk_index", "g.units", F.length("g.text").cast("long").alias("size"), "g.text")
 
 
-def pack_within(parts: DataFrame, part: str, units: Column, limit: int, opens: Opens, separator: str, mark: Callable[[Column], Column] | None = None) -> DataFrame:
+def pack_within(parts: DataFrame, part: str, units: Column, limit: int, rule: Rule, separator: str, mark: Callable[[Column], Column] | None = None) -> DataFrame:
     """Packs each part (``doc_id, part, size, text``) by itself: one of ``limit`` characters at most is one chunk, a longer one is cut into units and packed.
 
     ``doc_id, part, piece, units, size, text``; chunks of white space only are left out.
     """
     whole = F.when(F.col("size") <= limit, F.array("text")).otherwise(units)
-    return pack(parts, whole, opens, separator, mark, part, blank=False).withColumnRenamed("chunk_index", "piece")
+    return pack(parts, whole, rule, separator, mark, part, blank=False).withColumnRenamed("chunk_index", "piece")

@@ -122,10 +122,15 @@ def size_columns(kind: Column, table_density: Column, avg_line: Column) -> dict[
     return {"min_size": scaled(0), "max_size": scaled(1)}
 
 
+def bound(rows: DataFrame) -> DataFrame:
+    """The same rows, whose columns are computed here and once: the optimiser moves no expression across a generator."""
+    return rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in rows.columns]))))
+
+
 def typed(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id, keep, document_type, confidence, min_size, max_size``: columns of the same row, no join."""
-    rows = docs.select("doc_id", *keep, F.struct(*[c.alias(k) for k, c in feature_columns(F.col("text")).items()]).alias("_f"))
-    rows = rows.select("doc_id", *keep, F.col("_f.avg_line").alias("_line"), F.col("_f.table_density").alias("_tables"), *[c.alias(k) for k, c in type_columns("_f").items()])
+    rows = bound(docs.select("doc_id", *keep, F.struct(*[c.alias(k) for k, c in feature_columns(F.col("text")).items()]).alias("_f")))
+    rows = bound(rows.select("doc_id", *keep, F.col("_f.avg_line").alias("_line"), F.col("_f.table_density").alias("_tables"), *[c.alias(k) for k, c in type_columns("_f").items()]))
     sizes = size_columns(F.col("document_type"), F.col("_tables"), F.col("_line"))
     return rows.select("doc_id", *keep, "document_type", "confidence", *[c.alias(k) for k, c in sizes.items()])
 

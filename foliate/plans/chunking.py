@@ -164,8 +164,8 @@ def line_units() -> F.Column:
     return F.transform(tx.lines(F.col("text")), tx.strip)
 
 
-def packed_lines(documents: DataFrame, opens: packing.Opens, mark) -> DataFrame:
-    return packing.pack(documents.where("text is not null"), line_units(), opens, "\n", mark).drop("text")
+def packed_lines(documents: DataFrame, rule: packing.Rule, mark) -> DataFrame:
+    return packing.pack(documents.where("text is not null"), line_units(), rule, "\n", mark).drop("text")
 
 
 def packed_lines_sql(opens: str, mark: str) -> str:
