@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliate.llm import decontaminate, html_main, imatch, language_id, near_dedup, packing, quality_rules, secrets, suffix_dedup, token_counts
+from foliate.llm import decontaminate, fm_index, html_main, imatch, language_id, near_dedup, packing, periodic_runs, quality_rules, secrets, sort_means, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_winnowing": decontaminate.op1_winnowing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_imatch": imatch.op8_imatch,
     "op9_site_style_tree": html_main.op9_site_style_tree,
     "op10_secret_links": secrets.op10_secret_links,
+    "op11_sort_means": sort_means.op11_sort_means,
+    "op12_repeated_grams": periodic_runs.op12_repeated_grams,
+    "op13_fm_index": fm_index.op13_fm_index,
 }
-ORACLE_SQL: dict[str, str] = {"op1_winnowing": decontaminate.ORACLE_SQL, "op3_superminhash": near_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_winnowing": decontaminate.ORACLE_SQL, "op3_superminhash": near_dedup.ORACLE_SQL, "op11_sort_means": sort_means.ORACLE_SQL, "op13_fm_index": fm_index.ORACLE_SQL}
