@@ -12,4 +12,4 @@ def test_matches_sql(spark, sf, name):
 
 def test_every_operator_has_a_query():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
