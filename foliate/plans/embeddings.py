@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
-from foliate.operators import vectors
+from foliate.operators import density, vectors
 from foliate.plans.chunking import rounded
 from foliate.plans.registry import query
 
@@ -113,3 +113,26 @@ def cluster_labels(embeddings: DataFrame) -> DataFrame:
 @query("m6_principal_components", None, embeddings="embeddings")
 def principal_components(embeddings: DataFrame) -> DataFrame:
     return vectors.components(embeddings)
+
+
+def _density_sql(eps: float, least: int) -> str:
+    return f"""WITH RECURSIVE {_E}, u AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+n AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON list_dot_product(a.v, b.v) >= 1 - {eps}),
+k AS MATERIALIZED (SELECT a AS vec_id, count(*) AS neighbours, count(*) >= {least} AS is_core FROM n GROUP BY a),
+l AS MATERIALIZED (SELECT a, b FROM n JOIN k x ON x.vec_id = a JOIN k y ON y.vec_id = b WHERE x.is_core AND y.is_core),
+r AS (SELECT a AS vec_id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id WHERE r.root < l.b),
+c AS MATERIALIZED (SELECT vec_id, min(root) AS cluster FROM r GROUP BY vec_id),
+o AS (SELECT n.a AS vec_id, min(c.cluster) AS cluster FROM n JOIN c ON c.vec_id = n.b GROUP BY n.a)
+SELECT k.vec_id, o.cluster, k.is_core, k.neighbours FROM k LEFT JOIN o USING (vec_id)"""
+
+
+@query("m8_density_clusters", _density_sql(0.3, 5), embeddings="embeddings")
+def density_clusters(embeddings: DataFrame) -> DataFrame:
+    """Density clusters with the surveyed values."""
+    return density.density_clusters(embeddings, 0.3, 5)
+
+
+@query("m8_density_clusters_wide", _density_sql(0.66, 4), embeddings="embeddings")
+def density_clusters_wide(embeddings: DataFrame) -> DataFrame:
+    """At a distance where the given vectors have neighbours: clusters, their borders and noise."""
+    return density.density_clusters(embeddings, 0.66, 4)
