@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, **tables: str) -> Callable[[Callabl
 
 
 def load() -> None:
-    from foliate.plans import analysis, chunking, embeddings, retrieval, rosters, volumes  # noqa: F401
+    from foliate.plans import analysis, chunking, embeddings, identities, retrieval, rosters, volumes  # noqa: F401
 
 
 load()

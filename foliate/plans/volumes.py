@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliate.functions import text as tx
 from foliate.operators import hierarchy as h
 from foliate.operators import profile
+from foliate.operators.ordering import placed
 from foliate.operators.profile import matches
 from foliate.plans.analysis import WORDED
 from foliate.plans.chunking import rounded
@@ -378,13 +379,9 @@ def topic_counts(documents: DataFrame) -> DataFrame:
 
 @query("o9_headings", f"WITH {BLOCKS} SELECT heading, row_number() OVER (ORDER BY heading) AS place, seen FROM (SELECT heading, count(*) AS seen FROM blocks GROUP BY heading)", **T)
 def headings(documents: DataFrame) -> DataFrame:
-    """The distinct headings in order, with their places: names are dealt by ranges, and each range is numbered by itself."""
+    """The distinct headings in order, with their places."""
     names = h.blocks(volumes(documents)).groupBy("heading").agg(F.count("*").alias("seen"))
-    ranged = names.repartitionByRange("heading").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("k"))  # a row for each partition
-    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("heading"))
-    return ranged.withColumn("i", inside).join(F.broadcast(before), "part").select("heading", (F.col("i") + F.col("before")).alias("place"), "seen")
+    return placed(names, "heading").select("heading", "place", "seen")
 
 
 @query(
