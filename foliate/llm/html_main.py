@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -125,7 +125,9 @@ class Page:
         self.features: dict[int, set[int]] = {}
         self.pending: list[str] = []
         self.open = [Node("", self.nodes[0][1], False, False, 0, 0)]
-        self.count: Counter[str] = Counter()
+        #: Places in ``open`` of the open elements of each tag, and of the open blocks.
+        self.of_tag: dict[str, list[int]] = defaultdict(list)
+        self.open_blocks: list[int] = []
         at = 0
         for start, end, slash, name, attributes in tokens(source):
             if start < at:  # inside a raw element
@@ -162,22 +164,22 @@ class Page:
 
     def pop(self) -> None:
         node = self.open.pop()
-        self.count[node.tag] -= 1
+        self.of_tag[node.tag].pop()
         if node.tag in BLOCKS:
+            self.open_blocks.pop()
             self.styles.setdefault(node.place, []).append(",".join(node.style))
 
+    def innermost(self, tags: set[str]) -> int:
+        """Place of the innermost open element with one of the tags; 0 if none."""
+        return max((own[-1] for t in tags if (own := self.of_tag.get(t))), default=0)
+
     def close(self, tags: set[str], stop: set[str]) -> None:
-        if not any(self.count[t] for t in tags):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                self.close_to(i)
-                return
-            if self.open[i].tag in stop:
-                return
+        i = self.innermost(tags)
+        if i > self.innermost(stop):
+            self.close_to(i)
 
     def close_to(self, i: int) -> None:
-        if any(n.tag in BLOCKS for n in self.open[i:]):
+        if self.open_blocks and self.open_blocks[-1] >= i:
             self.flush()
         while len(self.open) > i:
             self.pop()
@@ -220,19 +222,17 @@ class Page:
             index = len(self.nodes)
             self.nodes.append((parent.index, place))
         self.open.append(Node(tag, place, noise, parent.hard or (noise and tag not in ("p", "span", "div")), zone, index))
-        self.count[tag] += 1
+        self.of_tag[tag].append(len(self.open) - 1)
+        if tag in BLOCKS:
+            self.open_blocks.append(len(self.open) - 1)
 
     def end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        if not self.count[tag]:
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self.close_to(i)
-                return
-            if tag not in BLOCKS and self.open[i].tag in BLOCKS:
-                return
+        i = self.innermost({tag})
+        # an inline end tag does not reach out of a block
+        if i and (tag in BLOCKS or not self.open_blocks or self.open_blocks[-1] < i):
+            self.close_to(i)
 
     def result(self) -> tuple[list[dict], list[dict], list[dict], bool]:
         """Blocks of the main part, all elements, the statistics of all places with text, and whether the page marks its main part."""

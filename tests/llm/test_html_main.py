@@ -140,7 +140,7 @@ def test_hostile_pages_take_time_in_proportion():
         Page("h", source).result()
         return time.process_time() - start
 
-    for make in (lambda n: "<div>x" * n, lambda n: '<a href="x>y' * n, lambda n: "<p '" * n, lambda n: "<div>" * n + "</p></li>" * n, lambda n: "<!x" * n, lambda n: "<b><article>" * n, lambda n: "<script>" * n):
+    for make in (lambda n: "<div>x" * n, lambda n: '<a href="x>y' * n, lambda n: "<p '" * n, lambda n: "<div>" * n + "</p></li>" * n, lambda n: "<!x" * n, lambda n: "<b><article>" * n, lambda n: "<script>" * n, lambda n: "<i><div>" + "<span>" * n + "</i>" * n, lambda n: "<p><button>" + "<span>" * n + "<pre></pre>" * n):
         seconds(make(2_000))
         small, large = seconds(make(5_000)), seconds(make(40_000))
         assert large < 24 * small + 0.5, make(2)
