@@ -34,7 +34,8 @@ _ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 or more
 _KEY = re.compile("(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-_ENDPOINT = re.compile(r"""(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+|\b[a-z0-9][a-z0-9.-]*\.amazonaws\.com\b""")
+_ADDRESS = re.compile(r"""(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+""")
+_RUN, _HOST_START, _HOST_END = re.compile("[a-z0-9.-]+"), re.compile(r"\b[a-z0-9]"), re.compile(r"\.amazonaws\.com\b")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -49,9 +50,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def hosts(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the longest host name in each run of its characters; each run is looked at once."""
+    ends = [m.span() for m in _HOST_END.finditer(text)]
+    out, i = [], 0
+    for run in _RUN.finditer(text) if ends else ():
+        last = None
+        while i < len(ends) and ends[i][0] < run.end():
+            last, i = ends[i], i + 1
+        if last and (first := _HOST_START.search(text, run.start(), last[0])):
+            out.append((first.start(), last[1]))
+    return out
+
+
 def weak_spans(text: str) -> list[tuple[int, int, int]]:
     """Keys and endpoints; only texts with an access identifier can have linked ones."""
-    return sorted([(m.start(), 3, m.end()) for m in _KEY.finditer(text)] + [(m.start(), 4, m.end()) for m in _ENDPOINT.finditer(text)])
+    out, reach = [(m.start(), 3, m.end()) for m in _KEY.finditer(text)], 0
+    for start, end in sorted([m.span() for m in _ADDRESS.finditer(text)] + hosts(text)):
+        if start >= reach:  # not inside an address
+            out.append((start, 4, end))
+            reach = end
+    return sorted(out)
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
@@ -103,24 +122,40 @@ def secrets(rows: DataFrame) -> DataFrame:
     )
 
 
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` with a mask for each sorted (start, end); overlapping ones share it."""
+    out, reach = [], 0
+    for start, end in spans:
+        if start >= reach:
+            out += [text[reach:start], MASK]
+        reach = max(reach, end)
+    return "".join([*out, text[reach:]]) if out else text
+
+
+def _mask_base(text: pa.Array) -> pa.Array:
+    return pa.array([t and masked(t, [(a, b) for a, _, b in base_spans(t)]) for t in text.to_pylist()], pa.string())
+
+
+def _mask_given(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([t and masked(t, [(s["start"], s["end"]) for s in own or ()]) for t, own in zip(text.to_pylist(), spans.to_pylist())], pa.string())
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by a mask; overlapping spans share one. Null text stays null; other columns keep their values."""
-    # rows meet their spans by a hash of the text: equal texts have equal spans
+    """``docs`` with every span of ``text`` replaced by a mask; overlapping spans share one. Null text stays null; other columns keep their values.
+
+    Only texts with an access identifier can have linked parts: these meet their spans in a
+    join, all others are masked where they are read.
+    """
     row, at = free(docs, "row"), free(docs, "spans")
-    rows = docs.select(*own_columns(docs), F.md5("text").alias(row))
-    found = secrets(docs.select(F.md5("text").alias("row"), "doc_id", "text")).where(F.size("spans") > 0)
+    names, text = own_columns(docs), F.col("text").cast("string")
+    may_link = F.coalesce(text.contains("AKIA"), F.lit(False))
+    plain = docs.where(~may_link).withColumn("text", F.arrow_udf(_mask_base, "string")(text))
+    # rows meet their spans by a hash of the text: equal texts have equal spans
+    some = docs.where(may_link).select(*names, F.md5("text").alias(row))
+    found = secrets(some.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), "text")).where(F.size("spans") > 0)
     hits = store(found.select(F.col("row").alias(row), F.col("spans").alias(at)).dropDuplicates([row]), "spans")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"].cast("int") + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.concat(acc["out"], gap, F.when(s["start"] >= acc["at"], F.lit(MASK)).otherwise(F.lit(""))).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(at, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
-    return rows.join(hits, row, "left").withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(masked)).select(own_columns(docs))
+    met = some.join(hits, row, "left").withColumn("text", F.arrow_udf(_mask_given, "string")(text, F.col(at)))
+    return plain.select(names).union(met.select(names))
 
 
 def listed(spans: Column) -> Column:
