@@ -292,24 +292,39 @@ NO_TERRITORY = (
 PREFIXES = ["PROVINCE OF", "COLONY OF", "DOMINION OF", "PRESIDENCY OF", "TERRITORY OF"]
 
 
+def header_segments(volumes: DataFrame) -> DataFrame:
+    """Lines in capitals with a full stop that can be a territory's heading: ``doc_id, start, name, end, has_geography``.
+
+    The end is the next one's start, or the text's; geography: a line to there opens the description of a territory.
+    """
+    rows = line_table(volumes).select("doc_id", "start", "line", tx.strip(F.col("line")).alias("s"))
+    head = tx.is_upper(F.col("s")) & F.col("s").endswith(".") & (F.length("s") >= 6) & ~contains_any(F.col("s"), NO_TERRITORY)
+    rows = islands(rows.withColumn("head", head), F.col("head"), "no", "start").where("no > 0")
+    opening = F.lower("line").contains(OPENING)
+    out = rows.groupBy("doc_id", "no").agg(F.min("start").alias("start"), F.max(F.when(F.col("head"), F.col("s"))).alias("s"), F.max(F.col("start") + F.length("line")).alias("last"), F.max(opening).alias("has_geography"))
+    after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("no"))
+    return out.select("doc_id", "start", F.replace("s", F.lit("."), F.lit("")).alias("name"), F.coalesce(after, F.col("last")).cast("long").alias("end"), "has_geography")
+
+
 def major_headers(volumes: DataFrame) -> DataFrame:
-    """Lines in capitals with a full stop that can be a territory's heading: ``doc_id, start, name, end``; the end is the next one's start."""
-    rows = line_table(volumes).select("doc_id", "start", tx.strip(F.col("line")).alias("s"))
-    rows = rows.where(tx.is_upper(F.col("s")) & F.col("s").endswith(".") & (F.length("s") >= 6) & ~contains_any(F.col("s"), NO_TERRITORY))
-    seq = Window.partitionBy("doc_id").orderBy("start")
-    rows = rows.join(volumes.select("doc_id", F.length("text").cast("long").alias("n")), "doc_id")
-    return rows.select("doc_id", "start", F.replace("s", F.lit("."), F.lit("")).alias("name"), F.coalesce(F.lead("start").over(seq), F.col("n")).alias("end"))
+    """``doc_id, start, name, end`` of the headings that can be a territory's."""
+    return header_segments(volumes).drop("has_geography")
+
+
+def in_containers(headers: DataFrame) -> DataFrame:
+    """``headers`` with ``container``: the first container one of whose names a heading contains. The gazetteer is a constant of a few rows."""
+    names = [(i, c, u) for i, (c, v) in enumerate(CONTAINERS.items()) for u in v]
+    gazetteer = F.broadcast(headers.sparkSession.createDataFrame(names, "ord int, container string, unit string"))
+    met = headers.join(gazetteer, F.col("name").contains(F.col("unit")), "left")
+    return met.groupBy(*headers.columns).agg(F.min_by("container", "ord").alias("container"))
 
 
 def grouped(headers: DataFrame) -> DataFrame:
     """One row a container with all its units, wherever they stand, and one for each other territory.
 
-    The gazetteer is a constant of a few rows; a unit belongs to the first container one of whose names its heading contains.
+    A unit belongs to the first container one of whose names its heading contains.
     """
-    names = [(i, c, u) for i, (c, v) in enumerate(CONTAINERS.items()) for u in v]
-    gazetteer = F.broadcast(headers.sparkSession.createDataFrame(names, "ord int, container string, unit string"))
-    met = headers.join(gazetteer, F.col("name").contains(F.col("unit")), "left")
-    one = met.groupBy("doc_id", "start", "end", "name").agg(F.min_by("container", "ord").alias("container"))
+    one = in_containers(headers.select("doc_id", "start", "end", "name"))
     key = F.coalesce("container", F.concat_ws("@", "name", "start"))
     return one.groupBy("doc_id", key.alias("key")).agg(
         F.coalesce(F.max("container"), F.max("name")).alias("name"), F.when(F.max("container").isNotNull(), "dominion").otherwise("colony").alias("kind"),
