@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
-from foliate.operators import density, vectors
+from foliate.operators import density, semantic, vectors
 from foliate.plans.chunking import rounded
 from foliate.plans.registry import query
 
@@ -136,3 +136,47 @@ def density_clusters(embeddings: DataFrame) -> DataFrame:
 def density_clusters_wide(embeddings: DataFrame) -> DataFrame:
     """At a distance where the given vectors have neighbours: clusters, their borders and noise."""
     return density.density_clusters(embeddings, 0.66, 4)
+
+
+_MOST, _FIRST, _HARD, _FACTOR = 12, 0.05, 0.1, 0.9
+_BEFORE = " ".join(f"list_dot_product(v, lag(v, {k}) OVER w)," for k in range(1, _MOST)).rstrip(",")
+
+
+@query(
+    "m11_max_min_chunks",
+    f"""WITH RECURSIVE {_E}, u AS (SELECT label, vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+s AS MATERIALIZED (SELECT label, vec_id, row_number() OVER w AS i, [{_BEFORE}] AS near FROM u WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+r AS (SELECT label, vec_id, i, 1 AS n, NULL::DOUBLE AS least, 0 AS chunk_index FROM s WHERE i = 1
+UNION ALL SELECT label, vec_id, i, CASE WHEN o THEN 1 ELSE n + 1 END, CASE WHEN o THEN NULL ELSE least_with END, chunk_index + o::INT FROM (
+ SELECT s.label, s.vec_id, s.i, r.n, r.chunk_index, least(coalesce(r.least, 2), list_min(near[1:r.n])) AS least_with,
+  r.n >= {_MOST} OR list_max(near[1:r.n]) < CASE WHEN r.n = 1 THEN {_FIRST}::DOUBLE ELSE greatest({_HARD}::DOUBLE, {_FACTOR}::DOUBLE * r.least) END AS o FROM r JOIN s ON s.label = r.label AND s.i = r.i + 1))
+SELECT label, vec_id, chunk_index FROM r""",
+    embeddings="embeddings",
+)
+def max_min_chunks(embeddings: DataFrame) -> DataFrame:
+    """Chunks of neighbouring vectors of a label by the max-min rule."""
+    return semantic.max_min_chunks(embeddings, "label", "vec_id", _MOST, _FIRST, _HARD, _FACTOR)
+
+
+_COMMON = """n AS MATERIALIZED (SELECT name FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS name FROM documents) GROUP BY name ORDER BY count(*) DESC, name LIMIT 5)"""
+
+
+@query(
+    "m9_anchored_sections",
+    f"""WITH {_E}, {_COMMON}, s AS MATERIALIZED (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, coalesce(text, '') AS text, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e JOIN documents ON doc_id = vec_id),
+m AS MATERIALIZED (SELECT label, name, i, contains(upper(text), 'THE ' || upper(name)) OR contains(upper(text), upper(name) || ' COLONY') AS head FROM s, n WHERE contains(lower(text), lower(name))),
+a AS (SELECT label, name, coalesce(min(i) FILTER (head), min(i)) AS anchor FROM m GROUP BY ALL),
+b AS (SELECT a.label, a.name, a.anchor, s.i FROM a JOIN s x ON x.label = a.label AND x.i = a.anchor JOIN s ON s.label = a.label WHERE NOT list_dot_product(x.v, s.v) > 0.1 AND NOT EXISTS (SELECT 1 FROM m WHERE m.label = a.label AND m.name = a.name AND m.i = s.i)),
+z AS (SELECT label, max(i) AS size FROM s GROUP BY label),
+f AS (SELECT a.label, a.name, a.anchor, coalesce(max(b.i) FILTER (b.i < a.anchor), 0) + 1 AS first, coalesce(min(b.i) FILTER (b.i > a.anchor), any_value(size) + 1) - 1 AS last FROM a JOIN z USING (label) LEFT JOIN b ON b.label = a.label AND b.name = a.name GROUP BY ALL),
+g AS (SELECT *, first > coalesce(max(last) OVER (PARTITION BY label ORDER BY first, last, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh FROM f)
+SELECT label, name, anchor::INT AS anchor, first::INT AS first, last::INT AS last, (sum(fresh::INT) OVER (PARTITION BY label ORDER BY first, last, name))::BIGINT AS section FROM g""",
+    embeddings="embeddings",
+    documents="documents",
+)
+def anchored_sections(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sections of each label's texts around the anchors of the five most frequent long words."""
+    words = documents.select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{6,})"), 1)).alias("name")).groupBy("name").count()
+    names = words.orderBy(F.desc("count"), "name").limit(5).select("name")
+    rows = embeddings.join(documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    return semantic.anchored_sections(rows, names, "label", "vec_id", 0.1)
