@@ -46,7 +46,7 @@ from foliate.llm.suffix_dedup import BITS, SELECTIVE, bitmap, keyed
 _U = np.uint64
 WINDOW, GRAM = 35, 12
 #: Words of a shard's segments, and different segments of a gram, beyond which it is a crowd.
-SHARD, CROWD = 600_000, 2_048
+SHARD, CROWD = 250_000, 2_048
 _BATCH = 1 << 20
 
 
