@@ -10,8 +10,18 @@ on a page is the mean of its features' over all elements below it, by length; br
 low importance are removed whole, a menu with its one item that no other page has too.
 Pages of a host with the same places, presentations and features count once.
 
-What HTML itself marks as no part of an article (menus, forms, scripts and the like, or
-class names that say so) goes as well. Where a page marks its
+Menus, adverts and footers often have other words on each page, so words cannot tell them
+from an article; their shape can. From the root on, the branch that holds half of a page's
+text or more is the main one; it and the branches beside it have a shape on each page
+(child tags, how much of the text is linked, how long it is, in four classes); this goes on
+into the main branch up to the first heading or paragraph. Over the
+pages of a host the shape of a template's part hardly varies, an article's does: where the
+main branch's shape has high entropy, branches beside it whose shape has low entropy are
+removed, whatever their names are.
+
+What is left is judged by what HTML itself marks as no part of an article (menus, forms,
+scripts and the like, or class names that say so): this decides where a host has too few
+pages, or a page no main branch. Where a page marks its
 article or main part, that is the text, less such parts and branches inside; it is kept
 whole if more of its text would be removed than kept (pages that are near copies of each
 other), as is a page without such a part of which nothing would be left.
@@ -48,6 +58,10 @@ from foliate.llm.common import read, slices, store
 
 #: Places seen on at least so many pages of a host are judged; what is below the limit is of low importance.
 MIN_PAGES, LEAST, PRESENTATION = 8, 0.2, 0.1
+#: Entropy (in nats, so that it does not fall with the pages of a host) below which a shape hardly varies.
+SHAPE = 0.3
+#: Words from which the text of a branch is in the next class of length.
+LENGTHS = (32, 256, 2048)
 BROADCAST_ROWS = 200_000
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -120,10 +134,14 @@ class Page:
 
     def __init__(self, host: str, source: str):
         self.blocks: list[tuple[int, int, str]] = []
+        #: Characters, characters in links and words of all blocks of an element, also of those that are no article.
+        self.sizes: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
         self.nodes: list[tuple[int, int]] = [(-1, _hash(host))]
+        self.prose = [False]
         self.styles: dict[int, list[str]] = {}
         self.features: dict[int, set[int]] = {}
         self.pending: list[str] = []
+        self.in_link = 0
         self.open = [Node("", self.nodes[0][1], False, False, 0, 0)]
         #: Places in ``open`` of the open elements of each tag, and of the open blocks.
         self.of_tag: dict[str, list[int]] = defaultdict(list)
@@ -151,6 +169,8 @@ class Page:
     def characters(self, text: str) -> None:
         if text:
             self.pending.append(entities.unescape(text))
+            if self.of_tag.get("a"):
+                self.in_link += len(text)
 
     def flush(self) -> None:
         text = " ".join("".join(self.pending).split())
@@ -161,6 +181,11 @@ class Page:
             self.features.setdefault(place, set()).add(feature(place, text))
             if not top.noise:
                 self.blocks.append((top.zone, top.index, text))
+            size = self.sizes[top.index]
+            size[0] += len(text)
+            size[1] += min(self.in_link, len(text))
+            size[2] += text.count(" ") + 1
+        self.in_link = 0
 
     def pop(self) -> None:
         node = self.open.pop()
@@ -221,6 +246,7 @@ class Page:
         if tag in BLOCKS and tag not in ("html", "body"):
             index = len(self.nodes)
             self.nodes.append((parent.index, place))
+            self.prose.append(tag in PROSE and tag != "section")
         self.open.append(Node(tag, place, noise, parent.hard or (noise and tag not in ("p", "span", "div")), zone, index))
         self.of_tag[tag].append(len(self.open) - 1)
         if tag in BLOCKS:
@@ -234,8 +260,36 @@ class Page:
         if i and (tag in BLOCKS or not self.open_blocks or self.open_blocks[-1] < i):
             self.close_to(i)
 
-    def result(self) -> tuple[list[dict], list[dict], list[dict], bool]:
-        """Blocks of the main part, all elements, the statistics of all places with text, and whether the page marks its main part."""
+    def levels(self) -> tuple[list[tuple[int, list[int]]], dict[int, int]]:
+        """(main branch, branches beside it) from the root on, and the shape of the place of each of these."""
+        n, children = len(self.nodes), defaultdict(list)
+        chars, linked, words = ([self.sizes[i][k] if i in self.sizes else 0 for i in range(n)] for k in range(3))
+        for i in range(n - 1, 0, -1):
+            parent = self.nodes[i][0]
+            if chars[i]:
+                children[parent].append(i)
+            for own in (chars, linked, words):
+                own[parent] += own[i]
+        out, of_place, at = [], defaultdict(list), 0
+        while own := children.get(at):
+            top = max(own, key=lambda i: chars[i])
+            # headings and paragraphs stand beside each other in an article, not in a template
+            if 2 * chars[top] < chars[0] or any(self.prose[i] for i in own):
+                break
+            out.append((top, [i for i in own if i != top]))
+            for i in own:
+                of_place[self.nodes[i][1]].append(i)
+            at = top
+        shapes = {}
+        for place, own in of_place.items():
+            size = sum(chars[i] for i in own)
+            link = round(2 * min(1.0, sum(linked[i] for i in own) / size))
+            length = sum(sum(words[i] for i in own) >= x for x in LENGTHS)
+            shapes[place] = _hash(*self.styles.get(place, ()), str(link), str(length))
+        return out, shapes
+
+    def result(self) -> tuple[list[dict], list[dict], list[dict], bool, list[dict], list[dict]]:
+        """Blocks of the main part, all elements, the statistics of all places with text, whether the page marks its main part, its levels and their shapes."""
         size = [0, 0, 0]
         for zone, _, text in self.blocks:
             size[zone] += len(text)
@@ -245,7 +299,8 @@ class Page:
         nodes = [{"parent": a, "place": p} for a, p in self.nodes]
         stats = [{"place": p, "kind": 0, "v": _hash(*self.styles.get(p, ()))} for p in self.features]
         stats += [{"place": p, "kind": 1, "v": f} for p, own in self.features.items() for f in sorted(own)]
-        return kept, nodes, stats, marked
+        levels, shapes = self.levels()
+        return kept, nodes, stats, marked, [{"main": m, "beside": b} for m, b in levels], [{"place": p, "v": v} for p, v in shapes.items()]
 
 
 def feature(place: int, text: str) -> int:
@@ -253,13 +308,15 @@ def feature(place: int, text: str) -> int:
 
 
 _BLOCK = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
+_SHAPE = pa.list_(pa.struct([("place", pa.int64()), ("v", pa.int64())]))
+_LEVEL = pa.list_(pa.struct([("main", pa.int32()), ("beside", pa.list_(pa.int32()))]))
 _NODE = pa.list_(pa.struct([("parent", pa.int32()), ("place", pa.int64())]))
 _STAT = pa.list_(pa.struct([("place", pa.int64()), ("kind", pa.int32()), ("v", pa.int64())]))
-_SCHEMA = "row long, page long, page_id long, url string, blocks array<struct<node:int,text:string>>, nodes array<struct<parent:int,place:long>>, stats array<struct<place:long,kind:int,v:long>>, marked boolean"
+_SCHEMA = "row long, page long, page_id long, url string, blocks array<struct<node:int,text:string>>, nodes array<struct<parent:int,place:long>>, stats array<struct<place:long,kind:int,v:long>>, marked boolean, levels array<struct<main:int,beside:array<int>>>, shapes array<struct<place:long,v:long>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``row, page_id, url, blocks, nodes, stats, marked`` of ``pages(page_id, url, html)``."""
+    """``row, page_id, url, blocks, nodes, stats, marked, levels, shapes`` of ``pages(page_id, url, html)``."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
@@ -267,8 +324,8 @@ def parsed(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html"):
             done = [Page(h, s).result() for h, s in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array([_hash(*(f"{s['place']} {s['v']}" for s in d[2])) for d in done], pa.int64()), batch.column("page_id"), batch.column("url"), pa.array([d[0] for d in done], _BLOCK), pa.array([d[1] for d in done], _NODE), pa.array([d[2] for d in done], _STAT), pa.array([d[3] for d in done], pa.bool_())],
-                ["row", "page", "page_id", "url", "blocks", "nodes", "stats", "marked"],
+                [batch.column("row"), pa.array([_hash(*(f"{s['place']} {s['v']}" for s in d[2])) for d in done], pa.int64()), batch.column("page_id"), batch.column("url"), pa.array([d[0] for d in done], _BLOCK), pa.array([d[1] for d in done], _NODE), pa.array([d[2] for d in done], _STAT), pa.array([d[3] for d in done], pa.bool_()), pa.array([d[4] for d in done], _LEVEL), pa.array([d[5] for d in done], _SHAPE)],
+                ["row", "page", "page_id", "url", "blocks", "nodes", "stats", "marked", "levels", "shapes"],
             )
 
     return rows.mapInArrow(run, _SCHEMA)
@@ -281,10 +338,10 @@ def value_counts(pages: DataFrame) -> DataFrame:
 
 
 def presentations(counts: DataFrame) -> DataFrame:
-    """``place, pages, entropy``: on how many pages a place is, and the entropy of its presentations in units of them."""
+    """``place, pages, nats, entropy``: on how many pages a place is, and the entropy of its presentations, also in units of them."""
     c = F.col("c")
     sums = counts.where("kind = 0").groupBy("place").agg(F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("s"))
-    return sums.select("place", F.col("m").alias("pages"), F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias("entropy"))
+    return sums.select("place", F.col("m").alias("pages"), (F.log("m") - F.col("s") / F.col("m")).alias("nats"), F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias("entropy"))
 
 
 def features(counts: DataFrame) -> DataFrame:
@@ -306,8 +363,32 @@ def low_features(pages: DataFrame) -> DataFrame:
     return judged.where((F.col("pages") >= MIN_PAGES) & (F.col("c") > 1) & (F.col("importance") < LEAST)).select("v")
 
 
-def left_over(blocks: list[dict], nodes: list[dict], low: set[int], marked: bool) -> str:
-    """Text of the blocks outside branches of low importance; no page is removed altogether, and of a marked main part less than what is kept."""
+def low_shapes(pages: DataFrame) -> DataFrame:
+    """``v``: places whose shape hardly varies."""
+    own = pages.select("page", F.explode("shapes").alias("s")).select("page", "s.*").distinct()
+    counts = own.groupBy("place", F.lit(0).alias("kind"), "v").agg(F.count("*").cast("double").alias("c"))
+    return presentations(counts).where((F.col("pages") >= MIN_PAGES) & (F.col("nats") < SHAPE)).select(F.col("place").alias("v"))
+
+
+def beside_main(nodes: list[dict], levels: list[dict], low: set[int]) -> set[int]:
+    """Branches of a template: their shape hardly varies, that of the main branch beside them does."""
+    out: set[int] = set()
+    for level in levels:
+        if nodes[level["main"]]["place"] not in low:
+            out.update(i for i in level["beside"] if nodes[i]["place"] in low)
+    return out
+
+
+def left_over(blocks: list[dict], nodes: list[dict], low: set[int], marked: bool, levels: list[dict]) -> str:
+    """Text of the blocks outside a template's branches and branches of low importance; low: features and places.
+
+    By importance no page is removed altogether, and of a marked main part less than what is kept.
+    """
+    if low and (template := beside_main(nodes, levels, low)):
+        inside = [i in template for i in range(len(nodes))]
+        for i in range(1, len(nodes)):
+            inside[i] = inside[i] or inside[nodes[i]["parent"]]
+        blocks = [b for b in blocks if not inside[b["node"]]]
     if not low:
         return "\n".join(b["text"] for b in blocks)
     chars, repeated = [0] * len(nodes), [0] * len(nodes)
@@ -332,18 +413,19 @@ def removed(table: DataFrame, low: DataFrame) -> DataFrame:
     few = low.count() <= BROADCAST_ROWS
     if few:
         held = table.sparkSession.sparkContext.broadcast({r["v"] for r in low.collect()})
-        rows = table.select("page_id", "url", "blocks", "nodes", "marked", F.array().cast("array<long>").alias("low"))
+        rows = table.select("page_id", "url", "blocks", "nodes", "marked", "levels", F.array().cast("array<long>").alias("low"))
     else:
         held = table.sparkSession.sparkContext.broadcast(set())
-        own = table.select("row", F.explode("stats").alias("s")).where("s.kind = 1").select("row", "s.v").join(low, "v")
-        rows = table.join(own.groupBy("row").agg(F.collect_set("v").alias("low")), "row", "left").select("page_id", "url", "blocks", "nodes", "marked", "low")
+        own = table.select("row", F.explode("stats").alias("s")).where("s.kind = 1").select("row", "s.v")
+        own = own.union(table.select("row", F.explode("shapes").alias("s")).select("row", "s.place")).join(low, "v")
+        rows = table.join(own.groupBy("row").agg(F.collect_set("v").alias("low")), "row", "left").select("page_id", "url", "blocks", "nodes", "marked", "levels", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                columns = [batch.column(c).to_pylist() for c in ("blocks", "nodes", "low", "marked")]
-                text = [left_over(b, n, held.value.union(own) if own else held.value, m) for b, n, own, m in zip(*columns)]
+                columns = [batch.column(c).to_pylist() for c in ("blocks", "nodes", "low", "marked", "levels")]
+                text = [left_over(b, n, set(own) if own else held.value, m, at) for b, n, own, m, at in zip(*columns)]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")
@@ -352,7 +434,7 @@ def removed(table: DataFrame, low: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages(page_id, url, html)``."""
     table = store(parsed(pages), "parsed")
-    low = store(low_features(table), "low")
+    low = store(low_features(table).union(low_shapes(table)), "low")
     return removed(table, low).withColumn("n_chars", F.length("text").cast("long"))
 
 

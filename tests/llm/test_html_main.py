@@ -4,6 +4,8 @@ import re
 import time
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from foliate.llm import html_main
 from foliate.llm.html_main import Page, importance, main_text, parsed
@@ -134,6 +136,69 @@ def test_the_tree_s_part_on_the_given_table(spark):
     assert html_main.low_features(pages).count() == 0
 
 
+def test_the_tree_alone_finds_the_articles_of_the_given_table(spark):
+    """All elements whose names say something are divs of a class that says nothing; only hosts of few pages need names."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    low = {r["v"] for r in html_main.low_shapes(parsed(pages)).collect()}
+    template = [html_main.beside_main(r["nodes"], r["levels"], low) for r in parsed(pages).collect()]
+    assert sum(len(t) == 3 for t in template) > 0.95 * len(template)  # menu, advert and footer
+    want = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    for i, name in enumerate(("nav", "article", "footer")):
+        pages = pages.withColumn("html", F.regexp_replace("html", f"<{name}>", f"<div class=x{i}>")).withColumn("html", F.replace("html", F.lit(f"</{name}>"), F.lit("</div>")))
+    pages = pages.withColumn("html", F.replace("html", F.lit(' class="ad"'), F.lit(" class=x4")))
+    got = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    same = {i for i in want if got[i] == want[i]}
+    assert len(same) > 0.95 * len(want)
+    large = pages.select("page_id", F.split("url", "/")[2].alias("host"), F.count("*").over(Window.partitionBy(F.split("url", "/")[2])).alias("n"))
+    assert all(want[r["page_id"]] in got[r["page_id"]] for r in large.collect())  # no text of an article is lost
+
+
+def test_a_template_s_parts_go_by_their_shape(spark):
+    """Other words on each page, no telling name: menus, teasers and footers keep their shape, stories do not."""
+    import random
+
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    pages, want = [], []
+    for i in range(60):
+        story = [words(rng.choice([40, 90, 300])) for _ in range(rng.randrange(1, 6))]
+        body = "".join(f"<p>{x}</p>" if k % 3 != i % 3 else f"<blockquote>{x}</blockquote>" for k, x in enumerate(story))
+        menu = "".join(f"<li><a href=x>{words(1)}</a></li>" for _ in range(6))
+        pages.append(("http://h.example/", f"<body><div class=x1><ul>{menu}</ul></div><div class=x2>{words(8)}</div><div class=x3>{body}</div><div class=x4><p>{words(9)}</p></div></body>"))
+        want.append("\n".join(story))
+    got = texts(spark, pages)
+    assert [got[i] for i in range(60)] == want
+    few = texts(spark, pages[:5])  # too few pages to tell
+    assert all(want[i] in few[i] and few[i] != want[i] for i in range(5))
+
+
+def test_left_over_by_brute_force():
+    """Every branch spelled out: template parts, then branches of repeated text from the top down."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(400):
+        n = rng.randrange(1, 9)
+        nodes = [{"parent": -1, "place": 100}] + [{"parent": rng.randrange(i), "place": 100 + rng.randrange(6)} for i in range(1, n)]
+        blocks = [{"node": rng.randrange(n), "text": rng.choice("abcdef") * rng.randrange(1, 9)} for _ in range(rng.randrange(0, 9))]
+        low = {html_main.feature(nodes[b["node"]]["place"], b["text"]) for b in blocks if rng.random() < 0.5} | {p for p in range(100, 106) if rng.random() < 0.3}
+        levels = [{"main": 1, "beside": list(range(2, n))}] if n > 1 else []
+        marked = rng.random() < 0.5
+
+        def above(i):
+            return [i, *above(nodes[i]["parent"])] if i >= 0 else []
+
+        template = {i for lv in levels if nodes[lv["main"]]["place"] not in low for i in lv["beside"] if nodes[i]["place"] in low}
+        left = [b for b in blocks if not template & set(above(b["node"]))]
+        total = lambda i, of: sum(len(b["text"]) for b in of if i in above(b["node"]))
+        repeated = [b for b in left if html_main.feature(nodes[b["node"]]["place"], b["text"]) in low]
+        gone = {i for i in range(1, n) if 0 < (1 - html_main.LEAST) * total(i, left) <= total(i, repeated)}
+        kept = [b for b in left if not gone & set(above(b["node"]))]
+        if not low or not kept or (marked and 2 * sum(len(b["text"]) for b in kept) < total(0, left)):
+            kept = left
+        assert html_main.left_over(blocks, nodes, low, marked, levels) == "\n".join(b["text"] for b in kept)
+
+
 def test_hostile_pages_take_time_in_proportion():
     def seconds(source):
         start = time.process_time()
