@@ -116,7 +116,7 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
