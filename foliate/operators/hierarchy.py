@@ -184,10 +184,23 @@ def copies(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_no", "heading", "fingerprint", role.alias("role"), F.first("block_no").over(name).alias("first_block"))
 
 
-def paged(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """First and last page of each block; ``pages(doc_id, starts)`` has the starts of a volume's pages in order."""
-    page = lambda pos: F.greatest(F.lit(1), F.size(F.filter("starts", lambda s: s <= pos)))
-    return found.join(pages, "doc_id").select("doc_id", "block_no", page(F.col("start_pos")).alias("first_page"), page(F.greatest(F.col("end_pos") - 1, F.lit(0))).alias("last_page"))
+def paged(found: DataFrame, pages: DataFrame, *key: str) -> DataFrame:
+    """``found`` with ``first_page, last_page``, the pages of its first and last character; ``pages`` is ``doc_id, start, page``.
+
+    ``key`` tells rows of a volume apart. What stands before the first page is on it; without pages, or places, both are null.
+    An as-of join in one window a volume: pages are carried over the places after them.
+    """
+    own = F.struct(*found.columns)
+    asked = found.select("doc_id", *key, own.alias("row"), F.explode(F.array(F.lit(True), F.lit(False))).alias("opens"))
+    at = F.when(F.col("opens"), F.col("row.start_pos")).when(F.col("row.end_pos") > 0, F.col("row.end_pos") - 1).otherwise(F.col("row.end_pos")).cast("long")
+    asked = asked.select("doc_id", *key, F.when(F.col("opens"), F.col("row")).alias("row"), "opens", at.alias("at"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) == 1
+    starts = pages.select("doc_id", F.when(first, F.least(F.col("start"), F.lit(0))).otherwise(F.col("start")).cast("long").alias("at"), "page")
+    upto = Window.partitionBy("doc_id").orderBy(F.col("at").asc_nulls_first(), F.col("page").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = asked.unionByName(starts, allowMissingColumns=True).withColumn("page", F.last("page", ignorenulls=True).over(upto)).where("opens is not null")
+    page = lambda opens: F.max(F.when(F.col("opens") == opens, F.col("page")))
+    out = rows.groupBy("doc_id", *key).agg(F.any_value("row", F.lit(True)).alias("row"), page(True).alias("first_page"), page(False).alias("last_page"))
+    return out.select("row.*", "first_page", "last_page")
 
 
 def boundaries(volumes: DataFrame, end: str, start: str, gap: int) -> DataFrame:
@@ -196,8 +209,8 @@ def boundaries(volumes: DataFrame, end: str, start: str, gap: int) -> DataFrame:
     An as-of join as one window: starts are carried back over the ends before them.
     """
     rows = line_table(volumes).select("doc_id", "start", F.col("line").rlike(end).alias("is_end"), F.col("line").rlike(start).alias("is_start")).where("is_end or is_start")
-    after = Window.partitionBy("doc_id").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("next_start", F.first(F.when(F.col("is_start"), F.col("start")), ignorenulls=True).over(after))
+    after = Window.partitionBy("doc_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("next_start", F.last(F.when(F.col("is_start"), F.col("start")), ignorenulls=True).over(after))
     return rows.where(F.col("is_end") & (F.col("next_start") - F.col("start") < gap)).select("doc_id", F.col("start").alias("end_pos"), F.col("next_start").alias("start_pos"))
 
 
@@ -227,12 +240,17 @@ DISCOURSE = {
 PERSON = r"\b[A-Z][A-Za-z'’\-]+(?:\s+[A-Z][A-Za-z'’\-]+)*,\s+(?:Sir\s+)?[A-Z][^\n,]*\."
 
 
+def standard_kind(line: Column) -> Column:
+    """Type of the standard section that a line begins, or null."""
+    kind = F.lit(None).cast("string")
+    for name, titles in reversed(STANDARD.items()):
+        kind = F.when(line.rlike(f"(?i)^(?:{titles})"), name).otherwise(kind)
+    return kind
+
+
 def standard_sections(found: DataFrame) -> DataFrame:
     """Runs of a block's lines from one standard title to the next; before the first it is the introduction."""
-    kind = None
-    for name, titles in STANDARD.items():
-        test = F.col("line").rlike(f"(?i)^(?:{titles})")
-        kind = F.when(test, name) if kind is None else kind.when(test, name)
+    kind = standard_kind(F.col("line"))
     rows = found.select("doc_id", "block_no", F.posexplode(tx.lines(F.col("body"))).alias("line_no", "line")).withColumn("kind", kind)
     upto = Window.partitionBy("doc_id", "block_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("section_no", F.count("kind").over(upto).cast("int"))
@@ -292,8 +310,8 @@ NO_TERRITORY = (
 PREFIXES = ["PROVINCE OF", "COLONY OF", "DOMINION OF", "PRESIDENCY OF", "TERRITORY OF"]
 
 
-def header_segments(volumes: DataFrame) -> DataFrame:
-    """Lines in capitals with a full stop that can be a territory's heading: ``doc_id, start, name, end, has_geography``.
+def header_segments(volumes: DataFrame, text: bool = False) -> DataFrame:
+    """Lines in capitals with a full stop that can be a territory's heading: ``doc_id, start, name, end, has_geography``, and on request the stripped ``text`` from there on.
 
     The end is the next one's start, or the text's; geography: a line to there opens the description of a territory.
     """
@@ -301,9 +319,11 @@ def header_segments(volumes: DataFrame) -> DataFrame:
     head = tx.is_upper(F.col("s")) & F.col("s").endswith(".") & (F.length("s") >= 6) & ~contains_any(F.col("s"), NO_TERRITORY)
     rows = islands(rows.withColumn("head", head), F.col("head"), "no", "start").where("no > 0")
     opening = F.lower("line").contains(OPENING)
-    out = rows.groupBy("doc_id", "no").agg(F.min("start").alias("start"), F.max(F.when(F.col("head"), F.col("s"))).alias("s"), F.max(F.col("start") + F.length("line")).alias("last"), F.max(opening).alias("has_geography"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "line"))), lambda x: x["line"]), "\n")
+    texts = [tx.strip(body).alias("text")] if text else []
+    out = rows.groupBy("doc_id", "no").agg(F.min("start").alias("start"), F.max(F.when(F.col("head"), F.col("s"))).alias("s"), F.max(F.col("start") + F.length("line")).alias("last"), F.max(opening).alias("has_geography"), *texts)
     after = F.lead("start").over(Window.partitionBy("doc_id").orderBy("no"))
-    return out.select("doc_id", "start", F.replace("s", F.lit("."), F.lit("")).alias("name"), F.coalesce(after, F.col("last")).cast("long").alias("end"), "has_geography")
+    return out.select("doc_id", "start", F.replace("s", F.lit("."), F.lit("")).alias("name"), F.coalesce(after, F.col("last")).cast("long").alias("end"), "has_geography", *(["text"] if text else []))
 
 
 def major_headers(volumes: DataFrame) -> DataFrame:
@@ -338,8 +358,8 @@ def folded(found: DataFrame, short: int = 160) -> DataFrame:
     for p in PREFIXES:
         intro = intro | F.col("heading").startswith(p)
     stays = (F.length("body") > 0) & ~((F.length("body") < short) & intro)
-    after = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = found.withColumn("stays", stays).withColumn("to", F.first(F.when(F.col("stays"), F.col("block_no")), ignorenulls=True).over(after)).where("to is not null")
+    after = Window.partitionBy("doc_id").orderBy(F.desc("block_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = found.withColumn("stays", stays).withColumn("to", F.last(F.when(F.col("stays"), F.col("block_no")), ignorenulls=True).over(after)).where("to is not null")
     given = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("stays"), F.struct("block_no", "heading")))), lambda x: x["heading"]), "|")
     return rows.groupBy("doc_id", F.col("to").alias("block_no")).agg(F.max(F.when(F.col("stays"), F.col("heading"))).alias("heading"), given.alias("prefix_headings"))
 

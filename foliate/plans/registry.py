@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, **tables: str) -> Callable[[Callabl
 
 
 def load() -> None:
-    from foliate.plans import acceptance, analysis, chunking, embeddings, identities, matching, retrieval, rosters, volumes  # noqa: F401
+    from foliate.plans import acceptance, analysis, chunking, embeddings, identities, matching, retrieval, rosters, tree, volumes  # noqa: F401
 
 
 load()

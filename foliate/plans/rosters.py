@@ -9,7 +9,7 @@ from foliate.operators import hierarchy, rosters
 from foliate.plans.analysis import WORDED
 from foliate.plans.chunking import UPPER, rounded
 from foliate.plans.registry import query
-from foliate.plans.volumes import RANGE, _FILLED, _TOC, in_sql
+from foliate.plans.volumes import _FILLED, _PAGES_SQL, _TOC, RANGE, in_sql, pages
 
 _HEADS = ["INDIA OFFICE", "**CHAPTER I.**", "BENGAL", "ROADS AND CANALS:", "CONTENTS", "CHAPTER II", "BOMBAY PRESIDENCY", "LIST (OF) 1889", "MILITARY", "BURMA DIVISION", "NOTES"]
 _HEAD = "CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_HEADS)) + " END"
@@ -52,11 +52,12 @@ def volumes(documents: DataFrame) -> DataFrame:
 @query(
     "c10_roster_chunks",
     f"""WITH {JUDGED} SELECT doc_id, block_no::INT AS block_no, heading AS title, array_to_string(path, ' / ') AS section_path, kind AS chunk_type, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos,
- length(body)::INT AS chars, names::INT AS name_hits, tab AS has_table, round(density, 6) AS density, sha256(body) AS text_sha256 FROM judged WHERE outcome IN ('roster', 'narrative')""",
+ length(body)::INT AS chars, names::INT AS name_hits, tab AS has_table, round(density, 6) AS density, sha256(body) AS text_sha256, {_PAGES_SQL} FROM judged WHERE outcome IN ('roster', 'narrative')""",
     documents="documents",
 )
 def roster_chunks(documents: DataFrame) -> DataFrame:
-    rows = rosters.chunks(volumes(documents)).withColumns({"section_path": F.array_join("section_path", " / "), "text_sha256": F.sha2("text", 256)})
+    v = volumes(documents)
+    rows = hierarchy.paged(rosters.chunks(v), pages(v), "block_no").withColumns({"section_path": F.array_join("section_path", " / "), "text_sha256": F.sha2("text", 256)})
     return rounded(rows.drop("text"))
 
 

@@ -63,7 +63,14 @@ def volumes(documents: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("volume").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "\n\n").alias("text"))
 
 
+def pages(volumes: DataFrame, size: int = 2000) -> DataFrame:
+    """``doc_id, start, page``: pages of the same size."""
+    n = F.floor(F.length("text") / size).cast("int")
+    return volumes.select("doc_id", F.explode(F.sequence(F.lit(0), n)).alias("i")).select("doc_id", (F.col("i") * size).alias("start"), (F.col("i") + 1).alias("page"))
+
+
 T = {"documents": "documents"}
+_PAGES_SQL = "(start_pos // 2000 + 1)::INT AS first_page, (greatest(end_pos - 1, 0) // 2000 + 1)::INT AS last_page"
 _WORDED_BODY = WORDED.replace("text", "body")
 
 
@@ -106,11 +113,13 @@ tr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY tn) AS nu
 @query(
     "c9_merged_territories",
     f"""WITH {TERRITORIES} SELECT doc_id, tn::INT AS territory_no, name, tkind AS kind, merged, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos, chars::BIGINT AS chars, round(conf, 6) AS confidence,
- array_to_string(hits, ',') AS keyword_hits, candidates, number::INT AS number, dup AS is_duplicate, CASE WHEN number = 1 THEN 'primary' ELSE 'appendix' END AS role FROM tr""",
+ array_to_string(hits, ',') AS keyword_hits, candidates, number::INT AS number, dup AS is_duplicate, CASE WHEN number = 1 THEN 'primary' ELSE 'appendix' END AS role, {_PAGES_SQL} FROM tr""",
     **T,
 )
 def merged_territories(documents: DataFrame) -> DataFrame:
-    return rounded(h.territories(h.classified(h.blocks(volumes(documents)))).withColumn("keyword_hits", F.array_join("keyword_hits", ",")))
+    v = volumes(documents)
+    rows = h.paged(h.territories(h.classified(h.blocks(v))), pages(v), "territory_no")
+    return rounded(rows.withColumn("keyword_hits", F.array_join("keyword_hits", ",")))
 
 
 @query(
@@ -153,8 +162,7 @@ def copies(documents: DataFrame) -> DataFrame:
 @query("j4_block_pages", f"WITH {BLOCKS} SELECT doc_id, block_no::INT AS block_no, (start_pos // 2000 + 1)::INT AS first_page, (greatest(end_pos - 1, 0) // 2000 + 1)::INT AS last_page FROM blocks", **T)
 def block_pages(documents: DataFrame) -> DataFrame:
     v = volumes(documents)
-    starts = v.select("doc_id", F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 2000).cast("int")), lambda i: i * 2000).alias("starts"))
-    return h.paged(h.blocks(v), starts)
+    return h.paged(h.blocks(v).select("doc_id", "block_no", "start_pos", "end_pos"), pages(v), "block_no").drop("start_pos", "end_pos")
 
 
 @query(
