@@ -22,15 +22,15 @@ def in_register(u: Column) -> Column:
     return u.contains("|") | u.contains("\t")
 
 
-def chunks(docs: DataFrame, mark: str = "\n") -> DataFrame:
-    """``doc_id, document_type, confidence, strategy, markers, chunk_index, units, size, text``; blank chunks are left out.
+def chunks(docs: DataFrame, mark: str = "\n", *keep: str, isolate: bool = False) -> DataFrame:
+    """``doc_id, keep, document_type, confidence, strategy, markers, chunk_index, units, size, text``; blank chunks are left out.
 
-    markers: how many phrases of colonial discourse a chunk has.
+    markers: how many phrases of colonial discourse a chunk has. isolate: with ``error``, see ``packing.pack``.
     """
     strategy = F.lit("sentences")
     for kind, name in STRATEGIES.items():
         strategy = F.when(F.col("document_type") == kind, name).otherwise(strategy)
-    rows = bound(profile.typed(docs, "text").withColumn("strategy", strategy))
+    rows = bound(profile.typed(docs, "text", *keep).withColumn("strategy", strategy))
     text, low, high = F.col("text"), F.col("min_size"), F.col("max_size")
 
     def chosen(entries, registers, paragraphs, sentences) -> Column:
@@ -43,10 +43,26 @@ def chunks(docs: DataFrame, mark: str = "\n") -> DataFrame:
     separator = chosen(*map(F.lit, ("\n", "\n", "\n\n", " ")))
     marked = lambda u: chosen(is_entry(u), in_register(u), F.lit(False), F.lit(False))
     rule = packing.by_number(chosen(*map(F.lit, range(4))), rules)
-    out = packing.pack(rows, units, rule, separator, marked, "document_type", "confidence", "strategy", blank=False)
+    out = packing.pack(rows, units, rule, separator, marked, *keep, "document_type", "confidence", "strategy", blank=False, isolate=isolate)
     return out.withColumn("markers", sum(profile.markers(F.col("text")).values(), F.lit(0)))
 
 
+def with_metadata(docs: DataFrame, mark: str = "\n") -> DataFrame:
+    """Chunks with the metadata of their document: ``colonial_discourse_detected`` and ``markers_detected``, the phrases that flag its bias.
+
+    A document's phrases are looked for once, in its own row, and kept on each of its chunks.
+    """
+    rows = bound(docs.select("doc_id", "text", profile.marker_names(F.col("text")).alias("markers_detected")))
+    made = chunks(rows, mark, "markers_detected")
+    return made.withColumnRenamed("confidence", "document_confidence").withColumn("colonial_discourse_detected", F.size("markers_detected") > 0)
+
+
+def results_or_errors(docs: DataFrame, mark: str = "\n") -> tuple[DataFrame, DataFrame]:
+    """Chunks of all documents that can be chunked, and the quarantine: ``doc_id, error`` of the others. A document's fault touches no other."""
+    made = chunks(docs, mark, isolate=True)
+    return made.where("error is null").drop("error"), made.where("error is not null").select("doc_id", "error")
+
+
 def summary(docs: DataFrame, made: DataFrame) -> DataFrame:
     """A row for each document, also of those without chunks."""
     per = made.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.sum("size").alias("total_chars"), F.avg("size").alias("avg_chunk_size"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
+from foliate.operators.profile import bound
 from foliate.operators.splitting import line_table
 from foliate.operators.structure import islands
 
@@ -263,8 +264,8 @@ def described(found: DataFrame) -> DataFrame:
     return found.where((F.length("body") >= 500) & ~contains_any(F.upper("heading"), ADVERT_NAMES)).withColumn("hits", hits).where("hits >= 2")
 
 
-def body_class(found: DataFrame) -> DataFrame:
-    """Contents, roster, noise or narrative, from a block's lines."""
+def body_class(found: DataFrame, *keep: str) -> DataFrame:
+    """Contents, roster, noise or narrative, from a block's lines; ``keep`` names columns that stay."""
     s = F.filter(F.transform(tx.lines(F.col("body")), tx.strip), lambda x: x != "")
     rows = found.withColumn("s", s)
     n = F.size("s")
@@ -277,7 +278,7 @@ def body_class(found: DataFrame) -> DataFrame:
         .when((F.length("body") < 120) & (upper / F.greatest(n, F.lit(1)) > 0.5), "noise").otherwise("narrative")
     )
     density = F.size(F.filter("s", lambda x: x.rlike("[a-z]{3,}"))) / F.greatest(n, F.lit(1))
-    return rows.select("doc_id", "block_no", kind.alias("kind"), names.alias("name_hits"), table.alias("has_table"), density.alias("density"))
+    return rows.select("doc_id", "block_no", *keep, kind.alias("kind"), names.alias("name_hits"), table.alias("has_table"), density.alias("density"))
 
 
 def cross_references(text: Column) -> Column:
@@ -381,13 +382,15 @@ def transitions(volumes: DataFrame) -> DataFrame:
     A start is a heading in capitals with the opening words within its next ten lines; it
     is sure if geography makes more than 2 % of the text of the next twenty.
     """
-    rows = line_table(volumes).select("doc_id", "line_no", "start", "line", tx.strip(F.col("line")).alias("s"))
-    seq = Window.partitionBy("doc_id").orderBy("line_no")
-    ahead = lambda n: F.array_join(F.collect_list("line").over(seq.rowsBetween(0, n - 1)), "\n")
-    rows = rows.withColumns({"ten": ahead(10), "twenty": ahead(20)})
-    end = F.lit(False)
+    end, s = F.lit(False), tx.strip(F.col("line"))
     for p in ENDS:
-        end = end | F.col("s").rlike(p)
+        end = end | s.rlike(p)
+    rows = bound(volumes.select("doc_id", tx.lines(F.col("text")).alias("lines")))
+    # what stands ahead is cut out for the lines that can begin a territory alone
+    ahead = lambda n: F.when(F.col("line").rlike(HEADING), F.call_function("array_join", F.slice("lines", F.col("line_no") + 1, n), F.lit("\n")))
+    rows = rows.select("doc_id", "lines", F.posexplode("lines").alias("line_no", "line")).select("doc_id", "line_no", "line", ahead(10).alias("ten"), ahead(20).alias("twenty"))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"start": F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long"), "s": s})
     density = sum((F.regexp_count("twenty", F.lit(f"(?iU){p}")) for p in GEOGRAPHY), F.lit(0)) / F.length("twenty")
     start = F.col("line").rlike(HEADING) & F.lower("ten").contains(OPENING)
     ends = rows.where(end).select("doc_id", F.col("start").alias("pos"), F.lit("end").alias("signal"), F.col("s").alias("name"), F.lit(0.8).alias("confidence"))
@@ -395,6 +398,45 @@ def transitions(volumes: DataFrame) -> DataFrame:
     return ends.union(starts)
 
 
+def container_named(name: Column) -> Column:
+    """The first container that a heading names: whole, or by one of its words of more than three letters; else null."""
+    out = F.lit(None).cast("string")
+    for c in reversed(CONTAINERS):
+        out = F.when(name.contains(c) | contains_any(name, tuple(w for w in c.split() if len(w) > 3)), c).otherwise(out)
+    return out
+
+
+# Phrases of a territory's sections, and what they show.
+SUBSECTIONS = (
+    r"Situation,?\s+Area,?\s+and\s+Native\s+Tribes", r"Relations\s+with\s+Ashanti", "Climate", r"Revenue\s+and\s+Expenditure", r"Judicial\s+Department",
+    r"Public\s+Works\s+Department", r"Education\s+Department", r"Medical\s+Department",
+)
+SHOWN = {
+    "Situation, Area, and Native Tribes": "Geography & Demographics", "Relations with Ashanti": "Ashanti Relations", "Climate": "Climate", "Revenue and Expenditure": "Finance",
+    "Judicial Department": "Legal System",
+}
+
+
+def presence(text: Column, patterns: tuple[str, ...], flags: str = "(?iU)") -> Column:
+    """Those patterns that a text has, in their order."""
+    return F.array_compact(F.array(*[F.when(text.rlike(flags + p), p) for p in patterns]))
+
+
+def analysed(found: DataFrame, patterns: tuple[str, ...] = SUBSECTIONS, shown: dict[str, str] | None = None, sample: int = 1000) -> DataFrame:
+    """``doc_id, heading, total_chunks, total_characters, subsections_found, sections, opening, ending`` of all blocks of a heading, joined in order.
+
+    Each block counts one more character, the line feed after it; opening and ending are the first and last ``sample`` characters. Phrases may
+    run over the border of two blocks. The text of a heading is a part of its volume.
+    """
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "body"))), lambda x: x["body"]), "\n"), F.lit("\n"))
+    rows = bound(found.groupBy("doc_id", "heading").agg(F.count("*").alias("total_chunks"), text.alias("text")))
+    names = F.array_compact(F.array(*[F.when(F.col("text").contains(p), name) for p, name in (shown or SHOWN).items()]))
+    return rows.select(
+        "doc_id", "heading", "total_chunks", F.length("text").cast("long").alias("total_characters"), presence(F.col("text"), patterns).alias("subsections_found"), names.alias("sections"),
+        F.substring("text", 1, sample).alias("opening"), F.substring("text", -sample, sample).alias("ending"),
+    )
+
+
 def container_kind(heading: Column, container: Column) -> Column:
     """Of a section in a container: province (a unit of it), administration or other."""
     unit = F.lit(False)

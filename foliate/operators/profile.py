@@ -69,6 +69,11 @@ def markers(text: Column) -> dict[str, Column]:
     return {k: sum((text.rlike(f"(?iU){p}").cast("int") for p in ps), F.lit(0)) for k, ps in MARKERS.items()}
 
 
+def marker_names(text: Column) -> Column:
+    """``category: pattern`` of each phrase of discourse that a text has."""
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?iU){p}"), f"{k}: {p}") for k, ps in MARKERS.items() for p in ps]))
+
+
 def feature_columns(t: Column) -> dict[str, Column]:
     """Features of a text; an empty one has one empty line. Letters, white space and case follow Unicode."""
     lines, words = tx.lines(t), tx.words(t)

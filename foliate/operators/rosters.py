@@ -62,7 +62,7 @@ def classified(found: DataFrame) -> DataFrame:
         for text in (F.upper("heading"), F.upper("body")):
             adverts = adverts + text.rlike(rf"(?U)\b{w}\b").cast("int")
     money = F.col("body").contains("£") | F.col("body").rlike(r"(?U)\bRs?\.\s*\d")
-    judged = hierarchy.body_class(found).join(found.select("doc_id", "block_no", "heading", "start_pos", "end_pos", "body", adverts.alias("adverts"), money.alias("money")), ["doc_id", "block_no"])
+    judged = hierarchy.body_class(found.withColumns({"adverts": adverts, "money": money}), "heading", "start_pos", "end_pos", "body", "adverts", "money")
     advert = ((F.col("adverts") >= 3) & (F.col("density") < 0.5)) | ((F.col("adverts") >= 1) & F.col("money") & (F.col("density") < 0.3) & (F.col("name_hits") == 0))
     return judged.withColumn("kind", F.when((F.col("kind") != "toc") & advert, "advertisement").otherwise(F.col("kind"))).drop("adverts", "money")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliate.functions import text as tx
 from foliate.operators import adaptive, profile, splitting, structure
 from foliate.plans.chunking import LINES, UPPER, _ENTRY_LINE, _PIPES, fold_sql, rounded
-from foliate.plans.registry import query
+from foliate.plans.registry import ORACLE_SQL, query
 
 
 def count_sql(patterns: list[str], flags: str, column: str = "text") -> str:
@@ -298,6 +298,27 @@ def conversation_scores(conversations: DataFrame) -> DataFrame:
     return rounded(sizes.join(pairs, "conv_id", "left").join(steps, "conv_id", "left").select("conv_id", "turns", "avg_length", "variance", score.alias("score")))
 
 
+_GROUPS = {"turns": 1, "pairs": 2, "triples": 3}
+_SCORED = " UNION ALL ".join(f"SELECT '{name}' AS strategy, score FROM ({ORACLE_SQL['a25_conversation_scores'].replace('conversations', f'grouped_{k}')})" for name, k in _GROUPS.items())
+
+
+@query(
+    "a24_strategy_scores",
+    "WITH " + ", ".join(f"grouped_{k} AS MATERIALIZED (SELECT conv_id, turn // {k} AS turn, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id, turn // {k})" for k in _GROUPS.values())
+    + f" SELECT strategy, round(avg(score), 5) AS avg_score, count(*) AS tested FROM ({_SCORED}) GROUP BY strategy",
+    conversations="conversations",
+)
+def strategy_scores(conversations: DataFrame) -> DataFrame:
+    """Mean score of the ways to chunk a conversation, by one, two or three turns, over all that have two chunks."""
+    out = None
+    for name, k in _GROUPS.items():
+        turns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+        made = conversations.groupBy("conv_id", F.floor(F.col("turn") / k).alias("no")).agg(turns.alias("text")).withColumnRenamed("no", "turn")
+        scores = conversation_scores(made).select(F.lit(name).alias("strategy"), "score")
+        out = scores if out is None else out.union(scores)
+    return out.groupBy("strategy").agg(F.round(F.avg("score"), 5).alias("avg_score"), F.count("*").alias("tested"))
+
+
 @query(
     "a28_term_counts",
     f"WITH d AS (SELECT doc_id, {WORDED} AS m FROM documents) SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(m, '(?i){p}'))::INT AS {k}" for k, p in profile.TERMS.items()) + " FROM d",
@@ -378,6 +399,21 @@ def type_statistics(documents: DataFrame) -> DataFrame:
     return rounded(adaptive.chunks(documents).groupBy("document_type").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), *sizes))
 
 
+_NAMED = ", ".join(f"CASE WHEN regexp_matches(m, '(?i){p}') THEN '{k}: {p}' END".replace("['’]", "[''’]") for k, ps in profile.MARKERS.items() for p in ps)
+
+
+@query(
+    "c8d_chunk_metadata",
+    f"""WITH RECURSIVE {ADAPTIVE}, nm AS (SELECT doc_id, array_to_string(list_filter([{_NAMED}], lambda x: x IS NOT NULL), ',') AS markers_detected FROM (SELECT doc_id, {WORDED} AS m FROM documents))
+SELECT doc_id, chunk_index, document_type, round(confidence, 6) AS document_confidence, size, markers_detected <> '' AS colonial_discourse_detected, markers_detected FROM made JOIN (SELECT doc_id, confidence FROM types) USING (doc_id) JOIN nm USING (doc_id)""",
+    documents="documents",
+)
+def chunk_metadata(documents: DataFrame) -> DataFrame:
+    """Type, confidence, index and bias flags of the document on each of its chunks."""
+    rows = adaptive.with_metadata(documents).withColumn("markers_detected", F.array_join("markers_detected", ","))
+    return rounded(rows.select("doc_id", "chunk_index", "document_type", "document_confidence", "size", "colonial_discourse_detected", "markers_detected"))
+
+
 @query(
     "c8e_results_or_errors",
     f"""WITH RECURSIVE {ADAPTIVE} SELECT d.doc_id, count(m.doc_id) AS chunk_count, any_value(CASE WHEN d.text IS NULL THEN 'no text' END) AS error
@@ -386,9 +422,8 @@ FROM documents d LEFT JOIN made m USING (doc_id) GROUP BY d.doc_id""",
 )
 def results_or_errors(documents: DataFrame) -> DataFrame:
     """A row for each document, with what kept it from being chunked; a document's fault touches no other."""
-    made = adaptive.chunks(documents).groupBy("doc_id").agg(F.count("*").alias("n"))
-    error = F.when(F.col("text").isNull(), "no text")
-    return documents.select("doc_id", error.alias("error")).join(made, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("chunk_count"), "error")
+    made = adaptive.chunks(documents, isolate=True).groupBy("doc_id").agg(F.count("chunk_index").alias("n"), F.max("error").alias("error"))
+    return documents.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("chunk_count"), "error")
 
 
 @query(

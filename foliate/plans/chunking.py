@@ -177,6 +177,23 @@ def reference_entries(documents: DataFrame) -> DataFrame:
     return packed_lines(documents, packing.at_marks(400, 3, 800), structure.is_entry)
 
 
+_CUT = f"list_filter(range(greatest(n // 2 - 5, 0), least(n, n // 2 + 5)), lambda i: {_ENTRY_LINE.replace('(s,', '(l[i + 1],')})[1]"
+
+
+@query(
+    "c4b_forced_splits",
+    f"""WITH RECURSIVE {LINE_UNITS}, {fold_sql('units', 'r.n > 0 AND ((mk AND (r.len >= 400 OR r.m >= 3)) OR r.len > 800)', 1, _ENTRY_LINE, joint='chr(10)')},
+x AS (SELECT doc_id, chunk_index, text, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM packed), y AS (SELECT *, CASE WHEN length(text) > 800 THEN nullif(coalesce({_CUT}, n // 2), 0) END AS cut FROM x),
+z AS (SELECT doc_id, chunk_index, unnest(CASE WHEN cut IS NULL THEN [{{'part': 0, 'p': l}}] ELSE [{{'part': 0, 'p': l[1:cut]}}, {{'part': 1, 'p': l[cut + 1:]}}] END) AS h FROM y)
+SELECT doc_id, chunk_index, h.part::INT AS part, len(h.p) AS units, length(array_to_string(h.p, chr(10))) AS size, sha256(array_to_string(h.p, chr(10))) AS text_sha256 FROM z""",
+    documents="documents",
+)
+def forced_splits(documents: DataFrame) -> DataFrame:
+    """Entry chunks beyond the limit are cut before an entry near their middle; both halves stay."""
+    made = packing.pack(documents.where("text is not null"), line_units(), packing.at_marks(400, 3, 800), "\n", structure.is_entry)
+    return packing.forced_splits(made, 800, structure.is_entry).withColumn("text_sha256", digest()).drop("text")
+
+
 @query("c3c_headed_lines", packed_lines_sql("(mk AND r.n > 5) OR r.len > 1500", f"({_UPPER_LINE} AND length(s) > 15 AND NOT starts_with(s, '|'))"), documents="documents")
 def headed_lines(documents: DataFrame) -> DataFrame:
     def mark(u: F.Column) -> F.Column:

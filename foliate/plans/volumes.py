@@ -351,6 +351,34 @@ def known_names(documents: DataFrame) -> DataFrame:
     return names.join(counts, "name", "left").fillna(0, ["found"])
 
 
+_NAMED = "CASE " + " ".join(f"WHEN contains(heading, '{c}') OR {any_sql('heading', tuple(w for w in c.split() if len(w) > 3))} THEN '{c}'" for c in h.CONTAINERS) + " END"
+
+
+@query("p23_container_names", f"WITH {BLOCKS} SELECT doc_id, block_no::INT AS block_no, heading, {_NAMED} AS container FROM blocks WHERE {_NAMED} IS NOT NULL", **T)
+def container_names(documents: DataFrame) -> DataFrame:
+    """Headings that name a container, whole or by a word."""
+    return h.blocks(volumes(documents)).select("doc_id", "block_no", "heading", h.container_named(F.col("heading")).alias("container")).where("container is not null")
+
+
+_FOUND = ", ".join(f"CASE WHEN regexp_matches(m, '(?i){p}') THEN '{p}' END" for p in h.SUBSECTIONS)
+_SHOWN = ", ".join(f"CASE WHEN contains(t, '{p}') THEN '{n}' END" for p, n in h.SHOWN.items())
+
+
+@query(
+    "a21_section_analysis",
+    f"""WITH {BLOCKS}, t AS (SELECT doc_id, heading, count(*) AS total_chunks, string_agg(coalesce(body, ''), chr(10) ORDER BY block_no) || chr(10) AS t FROM blocks GROUP BY doc_id, heading),
+w AS (SELECT *, {WORDED.replace('text', 't')} AS m FROM t)
+SELECT doc_id, heading, total_chunks, length(t)::BIGINT AS total_characters, array_to_string(list_filter([{_FOUND}], lambda x: x IS NOT NULL), ',') AS subsections_found, array_to_string(list_filter([{_SHOWN}], lambda x: x IS NOT NULL), ',') AS sections,
+ sha256(substring(t, 1, 1000)) AS opening_sha256, sha256(right(t, 1000)) AS ending_sha256 FROM w""",
+    **T,
+)
+def section_analysis(documents: DataFrame) -> DataFrame:
+    """Size, phrases present, opening and ending of the text below each heading of a volume."""
+    rows = h.analysed(h.blocks(volumes(documents)))
+    rows = rows.withColumns({"subsections_found": F.array_join("subsections_found", ","), "sections": F.array_join("sections", ","), "opening_sha256": F.sha2("opening", 256), "ending_sha256": F.sha2("ending", 256)})
+    return rows.drop("opening", "ending")
+
+
 _CONTAINER = " ".join(f"WHEN m.heading = '{c}' AND {any_sql('heading', v)} THEN 'province'" for c, v in h.CONTAINERS.items())
 
 
