@@ -73,10 +73,16 @@ def signed(sorted_terms: Column) -> Column:
 
 
 def in_lexicon(split: DataFrame, words: DataFrame) -> DataFrame:
-    """Rows of ``split`` with a lexicon term, or none at all."""
-    few = words.count() <= BROADCAST_ROWS
+    """Rows of ``split(id, h, term)`` with a lexicon term, or none at all.
+
+    Beyond the broadcast, rows without a term meet the lexicon under a hash of their document, so that they are no hot key; one that
+    meets a term by chance is kept once, as the others are.
+    """
     known = words.select("term", F.lit(True).alias("known"))
-    return split.join(F.broadcast(known) if few else known, "term", "left").where("known or term is null")
+    if words.count() <= BROADCAST_ROWS:
+        return split.join(F.broadcast(known), "term", "left").where("known or term is null")
+    dealt = split.withColumn("key", F.coalesce("term", F.xxhash64("id", "h")))
+    return dealt.join(known.withColumnRenamed("term", "key"), "key", "left").where("known or term is null").drop("key")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -116,3 +116,23 @@ def test_a_very_long_text(spark):
     text = " ".join(f"t{i % 5000}" for i in range(200_000))
     got = {r["doc_id"]: r for r in with_edited(spark.createDataFrame([(1, text), (2, "t1 t2"), (3, text)], "doc_id long, text string")).collect()}
     assert got[1]["n_chars"] == len(text) and got[1]["fingerprint"] == got[3]["fingerprint"] != got[2]["fingerprint"]
+
+
+def test_the_shuffled_way_beyond_the_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).union(docs.limit(2))
+    want = sorted(map(str, imatch.with_edited(docs).collect()))
+    monkeypatch.setattr(imatch, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, imatch.with_edited(docs).collect())) == want and len(want) == docs.count()
+
+
+def test_rows_without_a_term_share_no_key(spark, monkeypatch, capsys):
+    monkeypatch.setattr(imatch, "BROADCAST_ROWS", -1)
+    n = 2_000
+    split = spark.range(n).select("id", F.lit(1).alias("h"), F.explode(F.array(F.col("id") % 7, F.lit(None).cast("long"))).alias("term"))
+    words = spark.createDataFrame([(1,), (2,)], "term long")
+    rows = imatch.in_lexicon(split, words)
+    got = rows.groupBy("term").count().collect()
+    assert {r["term"]: r["count"] for r in got} == {None: n, 1: len(range(1, n, 7)), 2: len(range(2, n, 7))}
+    rows.explain()
+    assert "coalesce(term" in capsys.readouterr().out
