@@ -38,7 +38,7 @@ _FLAT = "replace({0}, chr(10), ' ')"
     "c11_tree",
     f"""WITH {NODES} SELECT doc_id, chunk_id, parent_id, level::INT AS level, type, name, parent_territory, section_type, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos, length(txt)::INT AS size, sha256(txt) AS text_sha256,
  {_FLAT.format('substring(txt, 1, 200)')} AS preview, {_FLAT.format('right(txt, 200)')} AS ending, len(kinds)::INT AS section_count, len(names)::INT AS province_count, list_contains(kinds, 'geography') AS has_geography,
- array_to_string(kinds, ',') AS section_types, array_to_string(names, ',') AS province_names, (start_pos // 2000 + 1)::INT AS first_page, (greatest(end_pos - 1, 0) // 2000 + 1)::INT AS last_page FROM nodes""",
+ array_to_string(kinds, ',') AS section_types, array_to_string(names, ',') AS province_names, (start_pos // 2000 + 1)::INT AS first_page, CASE WHEN end_pos IS NOT NULL THEN (greatest(end_pos - 1, 0) // 2000 + 1)::INT END AS last_page FROM nodes""",
     **T,
 )
 def chunk_tree(documents: DataFrame) -> DataFrame:
