@@ -399,7 +399,7 @@ _MENTIONS = " UNION ALL ".join(f"SELECT doc_id, block_no, '{n}' AS name, regexp_
 
 @query("p31_mentions", f"WITH {BLOCKS}, mt AS (SELECT doc_id, block_no::INT AS block_no, heading || chr(10) || {_WORDED_BODY} AS x FROM blocks) {_MENTIONS}", **T)
 def mentions(documents: DataFrame) -> DataFrame:
-    return h.mentions(h.blocks(volumes(documents)), _NAMES)
+    return h.mentions(h.blocks(volumes(documents)).where("body is not null"), _NAMES)
 
 
 @query(

@@ -1,7 +1,10 @@
 import re
 
+import pytest
+
 from foliate.plans.registry import ORACLE_SQL, QUERIES
 from foliate.plans import volumes as v  # noqa: I001 (the registry loads the plans)
+from tests.oracle import compare, connect
 
 NAMES = {**v._HEADS}
 
@@ -56,3 +59,38 @@ def test_folding_below_160_characters(spark):
 
 def test_no_query_reads_a_part_of_the_documents():
     assert not [n for n, q in ORACLE_SQL.items() if "n_nationkey" in q] and "t6_blocks" in QUERIES
+
+
+ODD = [
+    "plain words here",
+    "ABLE, BAKER.\nCROWN.\nDELTA, EAST.\nmore words",  # headings without a line below
+    "ABLE, BAKER.\n\nCROWN.\nABLE, BAKER.\nONTARIO.\nONTARIO.\nEXPORTS.\nlast",
+    "GOLD COAST.\r\nA heading ends with its line.\r\nTHIRD PART.\r",
+    "TERRITORY A.\nDOMINION OF CANADA.\nNOVA SCOTIA.\nPROVINCE OF\nMORE.\n" + v._RICH * 12,
+    None,
+]
+
+
+def odd_tables(folder, spark):
+    docs = [(i, ODD[i % len(ODD)]) for i in range(48)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/parts")
+    (part,) = folder.glob("parts/*.parquet")
+    part.rename(folder / "documents.parquet")
+    return str(folder)
+
+
+BLOCK_QUERIES = [
+    "a20_topic_counts", "a21_section_analysis", "a22_hierarchy_counts", "a4_territory_statistics", "c9_merged_territories", "c9_territories", "g6_copies", "p25_container_sections", "p31_mentions",
+    "t10_standard_sections", "t13_last_of_name", "t6_blocks", "t7_folded_prefixes", "t9_sections", "w13_until_next_territory", "x7_block_classes", "x9_body_classes",
+]
+
+
+@pytest.mark.parametrize("name", BLOCK_QUERIES)
+def test_headings_without_lines_below_equal_sql(spark, tmp_path, name):
+    folder = odd_tables(tmp_path, spark)
+    assert compare(spark, connect(folder), QUERIES[name], ORACLE_SQL[name], folder) == ""
+
+
+def test_a_heading_right_before_the_next_has_no_body(spark):
+    rows = v.h.blocks(spark.createDataFrame([(1, "ABLE.\nBAKER.\n\nCROWN.\nwords")], "doc_id long, text string")).orderBy("block_no").collect()
+    assert [(r["heading"], r["body"]) for r in rows] == [("ABLE", None), ("BAKER", ""), ("CROWN", "words")]
