@@ -63,12 +63,12 @@ def expand_from_middle(df: DataFrame, group: str, order: str, least: float) -> D
     return rows.groupBy(group).agg(F.max("anchor").alias("anchor"), (F.coalesce(lo, F.lit(0)) + 1).alias("first"), (F.coalesce(hi, F.max("n") + 1) - 1).alias("last"))
 
 
-def nearest(df: DataFrame, queries: DataFrame, top: int, part: int = 8192, block: int = 1024) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, top: int, part: int = 8192, block: int = 8192, strip: int = 512) -> DataFrame:
     """``query_id, vec_id, similarity, rank``: the ``top`` rows with the highest cosine for each row of ``queries(vec_id, embedding)``, ties by id.
 
     An exact search in blocks: every part of the rows meets every block of queries in one
-    task, which keeps the best of each query; only these are ranked. Vectors of length 0
-    are like nothing.
+    task, ``strip`` queries at a time, which keeps the best of each query; only these are
+    sorted and ranked. Vectors of length 0 are like nothing.
     """
     parts, blocks = max(1, -(-df.count() // part)), max(1, -(-queries.count() // block))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
@@ -77,19 +77,27 @@ def nearest(df: DataFrame, queries: DataFrame, top: int, part: int = 8192, block
     asked = queries.select(every(parts).alias("p"), deal(blocks).alias("b"), F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query"))
 
     def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-        m = np.array(column.to_pylist(), np.float64)
+        m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(length > 0, length, np.nan)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
             ids, asked_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
-            sim = unit_rows(right.column("query")) @ unit_rows(left.column("embedding")).T
-            order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim))[:, :top]
-            found = np.take_along_axis(sim, order, 1)
-            out = [np.repeat(asked_ids, order.shape[1]), ids[order].reshape(-1), found.reshape(-1)]
-        return pa.table(out, ["query_id", "vec_id", "similarity"]).filter(pa.array(~np.isnan(out[2])))
+            own, q = unit_rows(left.column("embedding")).T, unit_rows(right.column("query"))
+            for at in range(0, len(q), strip):
+                sim = q[at : at + strip] @ own
+                sim[np.isnan(sim)] = -np.inf
+                k = min(top, sim.shape[1])
+                least = np.partition(sim, -k, axis=1)[:, -k]  # the k-th best of each query; those equal to it are compared by id
+                i, j = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+                order = np.lexsort((ids[j], -sim[i, j], i))
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                for found, x in zip(out, (asked_ids[at + i[keep]], ids[j[keep]], sim[i[keep], j[keep]])):
+                    found.append(x)
+        return pa.table([np.concatenate(x) for x in out], ["query_id", "vec_id", "similarity"])
 
     best = rows.groupBy("p", "b").cogroup(asked.groupBy("p", "b")).applyInArrow(run, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))

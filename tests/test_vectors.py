@@ -54,3 +54,20 @@ def test_page_breaks_and_headers(spark):
     assert got == [(i, m.start()) for i, t in enumerate(texts) for m in re.finditer(r"\n\s*\n\s*\n", t)]
     heads = {(r["text"], r["kind"]) for r in structure.header_positions(docs).where(F.col("doc_id") == 7).collect()}
     assert heads == {("CHAPTER IV", "title"), ("CHAPTER IV", "chapter"), ("TITLE OF IT ALL", "title"), ("1. one", "header"), ("May, 1890", "date")}
+
+
+def test_nearest_sorts_only_what_can_be_best(spark):
+    # many equal vectors, one of length 0, queries in several strips
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.integers(-2, 3, (9, 4)), 40, 0), rng.integers(-2, 3, (90, 4)), np.zeros((1, 4))]).astype(float)
+    x[:-1][~x[:-1].any(1)] = 1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.nearest(rows, rows.where("vec_id % 7 = 0"), 6, part=100, block=30, strip=8).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["similarity"], r["vec_id"]
+    u = x[:-1] / np.linalg.norm(x[:-1], axis=1, keepdims=True)
+    for q in range(0, len(u), 7):
+        sim = (u @ u[q]).round(9)
+        own = [(round(s, 9), i) for _, (s, i) in sorted(got[q].items())]
+        assert [s for s, _ in own] == sorted(sim, reverse=True)[:6] and all(sim[i] == s for s, i in own) and len({i for _, i in own}) == 6
+    assert len(x) - 1 not in got
