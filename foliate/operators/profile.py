@@ -53,25 +53,53 @@ TOPICS = {
     "geographical": "Situation|Area|Native Tribes|Climate|bounded", "historical": "history|expedition|treaty|company|1672|1874",
     "administrative": "administration|commissioner|government|colonial secretary", "judicial": "judge|court|justice|attorney", "financial": "revenue|expenditure|£|salary",
 }
+#: Words in small letters of which a text has one wherever it meets a pattern, in any case. Such patterns are only tried on texts with one.
+LITERALS = {
+    REFERENCE[1]: ("see",), REFERENCE[3]: ("botany", "medicine", "theology", "geography"),
+    ADMINISTRATIVE[0]: ("colonial",), ADMINISTRATIVE[1]: ("secretary",), ADMINISTRATIVE[2]: ("government",), ADMINISTRATIVE[3]: ("commander",), ADMINISTRATIVE[4]: ("commissioner", "secretary"),
+    ADMINISTRATIVE[5]: ("£", "$"), ADMINISTRATIVE[6]: ("|",),
+    REPORT[0]: ("report",), REPORT[1]: ("reports",), REPORT[2]: ("revenue", "expenditure", "financial"), REPORT[3]: ("majesty",), REPORT[4]: ("i.—",), REPORT[5]: ("administration", "establishment"),
+    MARKERS["administrative_colonial"][2]: ("majesty",), MARKERS["administrative_colonial"][3]: ("british",),
+    **dict(zip(MARKERS["hierarchical_language"], (("native",), ("tribal",), ("barbarous",), ("mission",)))), **dict(zip(MARKERS["territorial_control"], (("protectorate",), ("crown",), ("dependencies",), ("british",)))),
+}
 #: Smallest and largest chunk of each type.
 SIZES = {"reference": (400, 800), "administrative": (800, 1200), "government_report": (600, 1000), "narrative": (800, 1200), "legal": (600, 1000), "hybrid": (600, 1000)}
 
 
+def possible(text: Column, pattern: str) -> Column | None:
+    """Whether a text has one of the words of a pattern, in any case that Java's folding knows; None for a pattern without words. Null for null."""
+    low = text
+    for a, b in (("ſ", "s"), ("ı", "i"), ("İ", "i")):  # equal to these letters in a pattern that ignores case; lower() leaves them
+        low = F.replace(low, F.lit(a), F.lit(b))
+    out = None
+    for w in LITERALS.get(pattern, ()):
+        has = F.lower(low).contains(w)
+        out = has if out is None else out | has
+    return out
+
+
 def matches(text: Column, patterns: list[str], flags: str) -> Column:
     total = F.lit(0)
     for p in patterns:
-        total = total + F.regexp_count(text, F.lit(flags + p))
+        n, some = F.regexp_count(text, F.lit(flags + p)), possible(text, p)
+        total = total + (n if some is None else F.when(some | text.isNull(), n).otherwise(0))
     return total
 
 
+def has(text: Column, pattern: str) -> Column:
+    """Whether a text has a phrase, in any case."""
+    met, some = text.rlike(f"(?iU){pattern}"), possible(text, pattern)
+    return met if some is None else some & met
+
+
 def markers(text: Column) -> dict[str, Column]:
     """How many phrases of each category of discourse a text has."""
-    return {k: sum((text.rlike(f"(?iU){p}").cast("int") for p in ps), F.lit(0)) for k, ps in MARKERS.items()}
+    return {k: sum((has(text, p).cast("int") for p in ps), F.lit(0)) for k, ps in MARKERS.items()}
 
 
 def marker_names(text: Column) -> Column:
     """``category: pattern`` of each phrase of discourse that a text has."""
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?iU){p}"), f"{k}: {p}") for k, ps in MARKERS.items() for p in ps]))
+    return F.array_compact(F.array(*[F.when(has(text, p), f"{k}: {p}") for k, ps in MARKERS.items() for p in ps]))
 
 
 def feature_columns(t: Column) -> dict[str, Column]:
@@ -82,7 +110,7 @@ def feature_columns(t: Column) -> dict[str, Column]:
         "avg_line": F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x)) / n_lines,
         "short_lines": F.size(F.filter(lines, lambda x: F.length(tx.strip(x)) < 50)) / n_lines,
         "table_density": F.size(F.filter(lines, lambda x: x.contains("|") | x.contains("\t"))) / n_lines,
-        "caps_density": tx.share(F.size(F.filter(words, lambda w: tx.is_upper(w) & (F.length(w) > 2))), n_words),
+        "caps_density": tx.share(F.size(F.filter(words, lambda w: (F.length(w) > 2) & tx.is_upper(w))), n_words),
         "reference_signals": matches(t, REFERENCE, "(?imU)"),
         "administrative_signals": matches(t, ADMINISTRATIVE, "(?imU)"),
         "report_signals": matches(t, REPORT, "(?imU)"),

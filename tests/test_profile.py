@@ -114,3 +114,30 @@ def test_merged_territories_and_their_statistics(spark):
     # the second entry of Jamaica begins with the text of the first; Malta is a copy
     assert got == [("JAMAICA", 2, 1, "primary", False), ("MALTA", 1, 1, "primary", False), ("JAMAICA", 2, 2, "appendix", True), ("MALTA", 1, 2, "appendix", True)]
     assert [tuple(r)[1:] for r in h.territory_statistics(found).collect()] == [(6, 4, 2, 2)]
+
+
+ODD_CASES = [
+    "ColonIal  Office, secretary\nof State. H. M. GOVERNMENT h.m.government Governor and Commander", "COLONİAL OFFICE Colonıal office Britiſh Empire BRITİSH JURISDICTION",
+    "chief commiſſioner; Deputy Secretary $ 12,5 £3 |a|\n |b| c|", "Report for 1899 colonial reports REVENUE expendıture Fınancial His Majeſty’s Government", "I.—One\nII.—Two ııı.—three ADMİNISTRATION eſtabliſhment",
+    "ſee Alpha. See Beta. in  botany in\nmedicıne", "native administratıon tribal authority barbarous cuſtoms civilizing mission PROTECTORATE crown colony dependencıes Her Majestys Government", "", None,
+    "ABC A-B \u00a0ÀÉÎ\u2003x1Y 12345 A1 ΣΣΣ aBC ABC.\u0085DEF THE\u001fEND", "plain words without any", "\u212aEE see \u212a",
+]
+
+
+def test_features_equal_those_without_a_first_look_at_words(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD_CASES)), "doc_id long, text string")
+    t, words = F.col("text"), tx.words(F.col("text"))
+    count = lambda patterns: sum((F.regexp_count(t, F.lit("(?imU)" + p)) for p in patterns), F.lit(0))
+    plain = {
+        "caps_density": tx.share(F.size(F.filter(words, lambda w: tx.is_upper(w) & (F.length(w) > 2))), F.size(words)), "reference_signals": count(profile.REFERENCE),
+        "administrative_signals": count(profile.ADMINISTRATIVE), "report_signals": count(profile.REPORT),
+        "discourse_markers": sum((t.rlike(f"(?iU){p}").cast("int") for ps in profile.MARKERS.values() for p in ps), F.lit(0)),
+    }
+    want = docs.select("doc_id", *[c.alias(k) for k, c in plain.items()]).orderBy("doc_id").collect()
+    got = profile.features(docs).select("doc_id", *plain).orderBy("doc_id").collect()
+    assert got == want and sum(r["discourse_markers"] or 0 for r in want) > 8 and want[1]["administrative_signals"] > 0
+
+
+def test_every_pattern_of_phrases_has_words(spark):
+    free = {profile.REFERENCE[0], profile.REFERENCE[2], *(p for ps in profile.MARKERS.values() for p in ps), *profile.ADMINISTRATIVE, *profile.REPORT} - set(profile.LITERALS)
+    assert free == {profile.REFERENCE[0], profile.REFERENCE[2]}
