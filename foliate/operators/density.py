@@ -29,7 +29,16 @@ from foliate.operators.graphs import components, cut
 
 #: Points of a block, visitors that meet it in one task, and pivots at most (sent to all tasks).
 BLOCK, VISITORS, PIVOTS = 2048, 8192, 2048
-_ROWS = 1024
+#: Blocks grow with the points to the size for which there are so many, up to so many times the points and visitors above: fewer copies are sent.
+BLOCKS, LARGEST = 32, 8
+#: Visitors and pairs of a matrix at most, points that choose their visits together, and rows of a batch that is sent.
+_ROWS, _PAIRS, _POINTS, _SENT = 1024, 2_000_000, 2048, 8192
+
+
+def block_sizes(count: int) -> tuple[int, int]:
+    """Points of a block and visitors of a task for so many points."""
+    times = min(LARGEST, max(1, -(-count // (BLOCK * BLOCKS))))
+    return BLOCK * times, VISITORS * times
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -58,7 +67,8 @@ def in_cells(points: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
     if len(dims) > 1:
         raise ValueError("vectors of several lengths")
     count = dims[0]["count"] if dims else 0
-    wanted = min(PIVOTS, max(1, -(-count // BLOCK)))
+    block, most = block_sizes(count)
+    wanted = min(PIVOTS, max(1, -(-count // block)))
     pivots = np.array([r["u"] for r in points.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], np.float64)
     chord = float(np.sqrt(2 * eps))
 
@@ -72,16 +82,14 @@ def in_cells(points: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
 
     placed = cut(points.select("id", "n", "u").mapInArrow(homes, "id long, n long, u array<double>, cell int, far double"))
     sizes = {r["cell"]: (r["size"], r["radius"]) for r in placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("far").alias("radius")).collect()}
-    slices = np.array([max(1, -(-sizes.get(c, (0, 0))[0] // BLOCK)) for c in range(len(pivots))])
+    slices = np.array([max(1, -(-sizes.get(c, (0, 0))[0] // block)) for c in range(len(pivots))])
     radius = np.array([sizes.get(c, (0, -9.0))[1] for c in range(len(pivots))])
     between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T)) if len(pivots) else np.zeros((0, 0))
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("id"), F.element_at(F.array(*map(F.lit, slices.tolist() or [1])), F.col("cell") + 1)).cast("int"))
 
     def visits(batches):
         slack = 1e-9
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, _POINTS) for b in batches for at in range(0, b.num_rows, _POINTS)):
             u, home, own_slice = _matrix(batch.column("u")), batch.column("cell").to_numpy(), batch.column("slice").to_numpy()
             d = np.sqrt(np.maximum(0, 2 - 2 * u @ pivots.T))
             near = d[np.arange(len(d)), home][:, None]
@@ -99,11 +107,13 @@ def in_cells(points: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
             row, cell = np.concatenate([row, mine]), np.concatenate([cell, home[mine]])
             number = np.concatenate([number, number_mine])
             own = (cell == home[row]) & (number == own_slice[row])
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(own), *(batch.column(c).take(take) for c in ("id", "n", "u"))], ["cell", "slice", "own", "id", "n", "u"])
+            for at in range(0, len(row), _SENT):
+                some = slice(at, at + _SENT)
+                take = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[some].astype(np.int32)), pa.array(number[some].astype(np.int32)), pa.array(own[some]), *(batch.column(c).take(take) for c in ("id", "n", "u"))], ["cell", "slice", "own", "id", "n", "u"])
 
     going = placed.select("id", "n", "u", "cell", "slice").mapInArrow(visits, "cell int, slice int, own boolean, id long, n long, u array<double>")
-    parts = {(r["cell"], r["slice"]): -(-r["count"] // VISITORS) for r in going.groupBy("cell", "slice").count().collect()} if count > VISITORS else {}
+    parts = {(r["cell"], r["slice"]): -(-r["count"] // most) for r in going.groupBy("cell", "slice").count().collect()} if count > most else {}
     widest = max(parts.values(), default=1)
     number_of = F.lit(1)
     if widest > 1:
@@ -119,9 +129,11 @@ def near_in_block(home: pa.Table, visitors: pa.Table, eps: float):
     """(first visitor, neighbours) for some visitors at a time: a matrix of booleans, visitors x home, each pair of points once."""
     h, ids = _matrix(home.column("u")), home.column("id").to_numpy()
     v, visitor_ids, own = _matrix(visitors.column("u")), visitors.column("id").to_numpy(), visitors.column("own").to_numpy(zero_copy_only=False)
-    for at in range(0, len(v), _ROWS):
-        near = v[at : at + _ROWS] @ h.T >= 1 - eps
-        near &= ~own[at : at + _ROWS, None] | (visitor_ids[at : at + _ROWS, None] < ids)
+    rows = min(_ROWS, max(1, _PAIRS // len(h)))
+    for at in range(0, len(v), rows):
+        near = v[at : at + rows] @ h.T >= 1 - eps
+        here = np.flatnonzero(own[at : at + rows])
+        near[here] &= visitor_ids[at + here, None] < ids
         yield at, near
 
 
@@ -134,8 +146,9 @@ def neighbour_weights(home: DataFrame, visitors: DataFrame, eps: float) -> DataF
         n, m = left.column("n").to_numpy(), right.column("n").to_numpy()
         of_home, of_visitors = np.zeros(len(n), np.int64), np.zeros(len(m), np.int64)
         for at, near in near_in_block(left, right, eps):
-            of_visitors[at : at + len(near)] = near @ n
-            of_home += m[at : at + len(near)] @ near
+            i, j = np.nonzero(near)
+            np.add.at(of_visitors, at + i, n[j])
+            np.add.at(of_home, j, m[at + i])
         ids, near = np.concatenate([left.column("id").to_numpy(), right.column("id").to_numpy()]), np.concatenate([of_home, of_visitors])
         return pa.table({"id": ids[near > 0], "near": near[near > 0]})
 
@@ -170,11 +183,12 @@ def core_links(home: DataFrame, visitors: DataFrame, eps: float) -> DataFrame:
                     if (now == root).all():
                         break
                     root = now
-                for x, y in ((here, low), (ids, root), (start, root)):
+                for x, y in ((here, low), (start, root)):  # each root was once the point itself: the links of roots hold all home points
                     on = x != y
-                    a.append(x[on])
-                    b.append(y[on])
-                    both.append(np.ones(on.sum(), bool))
+                    x, y = np.unique(np.stack([x[on], y[on]]), axis=1)
+                    a.append(x)
+                    b.append(y)
+                    both.append(np.ones(len(x), bool))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "core": np.concatenate(both)})
 
     key = ("cell", "slice", "part")

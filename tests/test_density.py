@@ -62,3 +62,16 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 200), (41, 300), (60, 41)]
     got = {r["id"]: r["component"] for r in graphs.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 41: 41, 300: 41, 60: 41}
+
+
+def test_blocks_grow_and_batches_are_bounded(spark, monkeypatch):
+    # 3,000 points are near each other: with blocks of a fixed size the rows sent would grow with the square
+    monkeypatch.setattr(density, "BLOCK", 10)
+    monkeypatch.setattr(density, "VISITORS", 40)
+    monkeypatch.setattr(density, "_SENT", 100)
+    rng = np.random.default_rng(1)
+    sent = []
+    for n in (300, 2400):
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(n, 8)))], "vec_id long, embedding array<double>")
+        sent.append(density.visits(rows, 1.0) / n)
+    assert sent[1] < 1.5 * sent[0] and density.block_sizes(300) == (10, 40) and density.block_sizes(2400) == (80, 320)
