@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -110,31 +112,106 @@ def low_similarities(df: DataFrame, group: str, order: str, below: float, most:
     return adjacent(df, group, order).where(F.col("similarity") < below).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def kmeans(rows: DataFrame, k: int, starts: int = 10) -> DataFrame:
-    """``rows`` with ``prediction``, from the start with the least cost."""
-    models = [KMeans(k=k, seed=seed, maxIter=30).fit(rows) for seed in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(rows)
+def _unlike(x: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
+    """Squared distances of rows and centres, an array for each set of centres; the sets share one product."""
+    every = np.concatenate(centres)
+    d = np.maximum((x * x).sum(1)[:, None] + (every * every).sum(1) - 2.0 * (x @ every.T), 0.0)
+    return np.split(d, np.cumsum([len(c) for c in centres])[:-1], axis=1)
+
+
+def _doubles(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+
+
+def summed(rows: DataFrame, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each set of centres: how many ``rows(embedding)`` are nearest to each centre, their sum, and the squared distances of the whole set; one pass for all sets."""
+    sizes = [len(c) for c in centres]
+    first, wide = np.cumsum([0, *sizes]), centres[0].shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((first[-1], wide + 2))  # sums, then number and cost
+        for batch in batches:
+            if batch.num_rows:
+                x = _doubles(batch)
+                own = np.concatenate([x, np.ones((len(x), 1)), np.zeros((len(x), 1))], axis=1)
+                for at, d in zip(first, _unlike(x, centres)):
+                    near = d.argmin(1)
+                    own[:, -1] = d[np.arange(len(x)), near]
+                    one = (near[:, None] == np.arange(d.shape[1])).astype(np.float64)
+                    total[at : at + d.shape[1]] += one.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.tolist(), pa.list_(pa.float64()))], ["centre", "total"])
+
+    parts = rows.select("embedding").mapInArrow(run, "centre long, total array<double>")
+    flat = parts.select("centre", F.posexplode("total").alias("d", "x")).groupBy("centre", "d").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros((first[-1], wide + 2))
+    out[flat.column("centre").to_numpy(), flat.column("d").to_numpy()] = flat.column("x").to_numpy()
+    return [(o[:, -2], o[:, :-2], float(o[:, -1].sum())) for o in np.split(out, first[1:-1])]
+
+
+def lloyd(rows: DataFrame, starts: list[np.ndarray], rounds: int = 30, still: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """The centres that each set of ``starts`` comes to and the cost before its last move, as Spark's ``KMeans`` counts it.
+
+    All sets that still move share a pass, so the passes over the vectors are ``rounds`` at most, however many sets there are.
+    """
+    out, moving = [(c, float("inf")) for c in starts], list(range(len(starts)))
+    for _ in range(rounds):
+        if not moving:
+            break
+        left = []
+        for i, (n, total, cost) in zip(moving, summed(rows, [out[i][0] for i in moving])):
+            before = out[i][0]
+            after = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], before)
+            out[i] = after, cost
+            if ((after - before) ** 2).sum(1).max() > still**2:
+                left.append(i)
+        moving = left
+    return out
+
+
+def kmeans(rows: DataFrame, sizes: list[int], starts: int = 10) -> dict[int, np.ndarray]:
+    """For each k of ``sizes`` the centres from the start with the least cost; ``rows(embedding, features)``. Starts are those of Spark's ``KMeans`` with the seeds from 0."""
+    first = [np.array(KMeans(k=k, seed=seed, maxIter=0).fit(rows).clusterCenters()) for k in sizes for seed in range(starts)]
+    ends = lloyd(rows, first)
+    return {k: min(ends[i * starts : (i + 1) * starts], key=lambda e: e[1])[0] for i, k in enumerate(sizes)}
+
+
+def predicted(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``vec_id, embedding`` and a column ``k`` and the number of each set of centres: the nearest of them."""
+    names, sets = [f"k{k}" for k in centres], list(centres.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = [pa.array(d.argmin(1).astype(np.int32)) for d in _unlike(_doubles(batch), sets)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *near], [*batch.schema.names, *names])
+
+    rows = rows.select("vec_id", "embedding")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, ", ".join([kinds, *(f"{n} int" for n in names)]))
+
+
+def _with_features(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", "embedding", array_to_vector("embedding").alias("features"))
 
 
 def cluster_labels(df: DataFrame, k: int) -> DataFrame:
     """``vec_id, cluster`` of k clusters."""
-    rows = df.select("vec_id", array_to_vector("embedding").alias("features")).persist()
-    out = kmeans(rows, k).select("vec_id", F.col("prediction").alias("cluster"))
+    rows = _with_features(df).persist()
+    out = predicted(rows, kmeans(rows, [k])).select("vec_id", F.col(f"k{k}").alias("cluster"))
     rows.unpersist()
     return out
 
 
 def best_kmeans(df: DataFrame) -> DataFrame:
     """``vec_id, cluster, k, silhouette`` of the k from 2 to 7 with the highest silhouette (squared Euclidean), the last of equals."""
-    rows = df.select("vec_id", array_to_vector("embedding").alias("features")).persist()
-    best, score, of = None, float("-inf"), 0
-    for k in range(2, 8):
-        found = kmeans(rows, k)
-        now = ClusteringEvaluator().evaluate(found)
-        if now >= score:
-            best, score, of = found, now, k
+    rows = _with_features(df).persist()
+    centres = kmeans(rows, list(range(2, 8)))
+    found = predicted(rows, centres)
+    judged = found.withColumn("features", array_to_vector("embedding")).persist()
+    score, of = max((ClusteringEvaluator(predictionCol=f"k{k}").evaluate(judged), k) for k in centres)
+    judged.unpersist()
     rows.unpersist()
-    return best.select("vec_id", F.col("prediction").alias("cluster"), F.lit(of).alias("k"), F.lit(float(score)).alias("silhouette"))
+    return found.select("vec_id", F.col(f"k{of}").alias("cluster"), F.lit(of).alias("k"), F.lit(float(score)).alias("silhouette"))
 
 
 def components(df: DataFrame) -> DataFrame:

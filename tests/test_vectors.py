@@ -1,6 +1,8 @@
 """Clusters, coordinates and searches against brute force."""
 
 import numpy as np
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from foliate.operators import structure, vectors
@@ -71,3 +73,30 @@ def test_nearest_sorts_only_what_can_be_best(spark):
         own = [(round(s, 9), i) for _, (s, i) in sorted(got[q].items())]
         assert [s for s, _ in own] == sorted(sim, reverse=True)[:6] and all(sim[i] == s for s, i in own) and len({i for _, i in own}) == 6
     assert len(x) - 1 not in got
+
+
+def test_all_starts_share_the_passes(spark, sf):
+    df, ids, x = table(spark, sf)
+    context = spark.sparkContext
+
+    def jobs(name, run):
+        context.setJobGroup(name, name)
+        out = run()
+        context.setJobGroup("", "")
+        return out, len(context.statusTracker().getJobIdsForGroup(name))
+
+    rows = df.select("vec_id", "embedding", array_to_vector("embedding").alias("features")).persist()
+    rows.count()
+    models, of_models = jobs("models", lambda: [KMeans(k=4, seed=s, maxIter=30).fit(rows) for s in range(10)])
+    _, of_starts = jobs("starts", lambda: [KMeans(k=4, seed=s, maxIter=0).fit(rows) for s in range(10)])
+    found, of_all = jobs("all", lambda: vectors.cluster_labels(df, 4))
+    assert of_all < (of_models + of_starts) / 2
+    # the same centres as Spark's from each start, so the same clusters from the best
+    least = min(m.summary.trainingCost for m in models)
+    own = {r["vec_id"]: r["cluster"] for r in found.collect()}
+    best = [{r["vec_id"]: r["prediction"] for r in m.transform(rows).collect()} for m in models if m.summary.trainingCost <= least * (1 + 1e-9)]
+    assert own in best
+    ends = vectors.lloyd(rows, [np.array(KMeans(k=4, seed=s, maxIter=0).fit(rows).clusterCenters()) for s in range(3)])
+    for m, (centres, cost) in zip(models, ends):
+        assert np.allclose(np.array(m.clusterCenters()), centres, atol=1e-9) and np.isclose(m.summary.trainingCost, cost, rtol=1e-9)
+    rows.unpersist()
