@@ -48,7 +48,7 @@ def with_sections(rows: DataFrame) -> DataFrame:
 
 
 def parts(volumes: DataFrame) -> DataFrame:
-    """Headed segments that stay: ``doc_id, territory_no, part_no, container, name, first, start, end, text, sections``.
+    """Headed segments that stay: ``doc_id, territory_no, part_no, container, name, first, start, end, text``.
 
     Segments of one container are one territory, wherever they stand; numbers are in the order of first headings, from 1.
     """
@@ -59,7 +59,7 @@ def parts(volumes: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", first).where(stays)
     rows = rows.withColumn("territory_no", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")))
     rows = rows.withColumn("part_no", F.row_number().over(Window.partitionBy("doc_id", "first").orderBy("start")))
-    return bound(with_sections(rows.select("doc_id", "territory_no", "part_no", "container", "name", "first", "start", "end", "text")))
+    return rows.select("doc_id", "territory_no", "part_no", "container", "name", "first", "start", "end", "text")
 
 
 def titled(kind: Column) -> Column:
@@ -73,7 +73,8 @@ def tree(volumes: DataFrame) -> DataFrame:
     province. ``section_types`` are those of a node's sections, ``province_names`` those of a dominion. Places are the volume's; sections have none.
     A volume without headings has no rows. Repeated headings are nodes of their own.
     """
-    base = parts(volumes)
+    headed = parts(volumes)
+    base = bound(with_sections(headed))
     null, inside = F.lit(None), F.col("container").isNotNull()
     one, two = F.format_string("L1_%03d", "territory_no"), F.format_string("L2_%03d_%02d", "territory_no", "part_no")
     own = F.struct(
@@ -91,7 +92,7 @@ def tree(volumes: DataFrame) -> DataFrame:
 
     nodes = F.concat(F.array(own).cast(_NODE), F.transform("sections", child).cast(_NODE))
     rows = base.select("doc_id", F.inline(nodes))
-    of = base.where(inside).groupBy("doc_id", "territory_no").agg(
+    of = headed.where(inside).groupBy("doc_id", "territory_no").agg(
         F.max("container").alias("name"), F.min("first").alias("first"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("start", "name"))).alias("names")
     )
     text = tx.strip(F.substring("text", F.col("first") + 1, F.col("end") - F.col("first")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliate.operators import hierarchy as h
 from foliate.operators import tree
+from foliate.operators.graphs import cut
 from foliate.plans.registry import query
 from foliate.plans.volumes import _HEADERS, T, any_sql, pages, volumes
 
@@ -66,7 +67,9 @@ SELECT doc_id, territories, parents, depth::INT AS depth, coalesce(chars, 0)::BI
 )
 def tree_shape(documents: DataFrame) -> DataFrame:
     """What the nested form holds: territories, those with children, depth, characters at the third level."""
-    rows = tree.nested(tree.described(tree.tree(volumes(documents))))
+    nodes = tree.described(tree.tree(volumes(documents)))
+    # each level reads the nodes: they are made once, without their texts
+    rows = tree.nested(cut(nodes.select("doc_id", "chunk_id", "parent_id", "level", "type", "size")))
     t = F.col("territories")
     second = F.flatten(F.transform(t, lambda x: x["children"]))
     third = F.flatten(F.transform(second, lambda x: x["children"]))

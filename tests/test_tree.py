@@ -119,3 +119,13 @@ def test_files_of_any_shape(spark, tmp_path):
     assert got == [("a.json", 0, "x", 3, False), ("a.json", 1, "4", None, False), ("b.json", 0, None, None, True)]
     assert "chunks" in result_shape(spark, str(tmp_path / "a.json")).first()["shape"]
     assert read_result_items(spark, str(tmp_path / "a.json"), "$.chunks", {}).where(F.col("rest").isNotNull()).count() == 2
+
+
+def test_shape_reads_nodes_that_are_made_once(spark, sf):
+    from foliate.plans import registry
+
+    out = registry.QUERIES["c11_tree_shape"](spark, sf)
+    assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()  # sections are not found anew for each level
+    lines = [("HISTORY. x", "history"), ("finances.", "finance"), ("Postal.", "communications"), ("A Climate.", None), ("", None), (None, None)]
+    got = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(lines)], "i int, line string").select("i", hierarchy.standard_kind(F.col("line")).alias("k"))
+    assert [r["k"] for r in got.orderBy("i").collect()] == [k for _, k in lines]
