@@ -69,8 +69,14 @@ def headings(volumes: DataFrame) -> DataFrame:
 
 def named_parts(volumes: DataFrame) -> DataFrame:
     """``doc_id, name, start, seen, text``: every name in capitals with the text to the next, separators between pages left out; of equal names the last stays, ``seen`` counts them."""
-    clean = volumes.select("doc_id", F.replace("text", F.lit(SEPARATOR), F.lit("\n\n")).alias("text"))
-    rows = matches(clean, NAMED, 2).select("doc_id", trimmed(F.col("g1")).alias("name"), "start", F.col("g2").alias("body"))
+    # Matches touch: each but the last ends where a next one begins, the last with the text. So lengths give all places, the first full stop
+    # parts name and body, and a text is searched once.
+    clean = volumes.where("text is not null").select("doc_id", F.replace("text", F.lit(SEPARATOR), F.lit("\n\n")).alias("text"))
+    rows = clean.select("doc_id", F.length("text").alias("n"), F.posexplode(F.regexp_extract_all("text", F.lit(NAMED), F.lit(0))).alias("no", "m"))
+    onward = Window.partitionBy("doc_id").orderBy(F.desc("no")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("start", F.col("n") - F.sum(F.length("m")).over(onward))
+    name = F.substring_index("m", ".", 1)
+    rows = rows.select("doc_id", trimmed(name).alias("name"), "start", F.substring(F.col("m"), F.length(name) + 2, F.length("m")).alias("body"))
     last = rows.groupBy("doc_id", "name").agg(F.max("start").alias("start"), F.count("*").alias("seen"), F.max_by("body", "start").alias("body"))
     return last.select("doc_id", "name", "start", "seen", F.concat(F.col("name"), F.lit(".\n\n"), trimmed(F.col("body"))).alias("text"))
 

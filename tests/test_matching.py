@@ -62,3 +62,19 @@ def test_long_text_and_section(spark):
     assert [r["name"] for r in m.named_parts(docs(spark, [text])).orderBy("start").collect()] == ["HONG KONG", "FIJI"]
     cut = lambda *a: m.section(docs(spark, ["abcdef", None]), *a).orderBy(F.desc("text")).first()["text"]
     assert (cut(), cut(2), cut(2, 4), cut(9, 12)) == ("abcdef", "cdef", "cd", "")
+
+
+def test_named_parts_search_a_text_once(spark):
+    rng = random.Random(3)
+    pieces = ["A", "GOLD COAST", "B, C", ".", ". ", ".\n", " ", "\n\n", "\n\n---\n\n", "text", "x.", "É", "\t", "D.\n\n", "𝄞 "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 40))) for _ in range(300)] + [None, "", "A. ", " . ", "A.", "A. b\nC. "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = m.named_parts(docs)
+    want = {}
+    for i, t in enumerate(texts):
+        for x in re.finditer(r"(?s)([A-Z\t-\r ,]+)\.[\t-\r ]+(.*?)(?=[\t-\r ]+[A-Z\t-\r ,]+\.[\t-\r ]+|\Z)", (t or "").replace("\n\n---\n\n", "\n\n")):
+            name = x[1].strip("\t\n\v\f\r ")
+            seen = want.get((i, name), (0, 0, 0))[1]
+            want[i, name] = x.start(), seen + 1, name + ".\n\n" + x[2].strip("\t\n\v\f\r ")
+    assert {(r["doc_id"], r["name"]): (r["start"], r["seen"], r["text"]) for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
