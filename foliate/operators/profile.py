@@ -185,8 +185,12 @@ def content_counts(paragraphs: Column, first: int = 100) -> dict[str, Column]:
 
 
 def keywords(docs: DataFrame, top: int = 20, *key: str) -> DataFrame:
-    """``key, keyword, tf, rank``: the most frequent words of letters longer than 3, ties by first place."""
+    """``key, keyword, tf, rank``: the most frequent words of letters longer than 3, ties by first place.
+
+    Texts are dealt by their key once; words are counted and ranked where their text is.
+    """
     key = key or ("doc_id",)
+    docs = docs.select(*key, "text").repartition(*key)
     words = F.split(F.regexp_replace(F.lower("text"), r"[^a-zA-Z\s]", " "), r"\s+")
     rows = docs.select(*key, F.posexplode(words).alias("at", "keyword")).where((F.length("keyword") > 3) & ~F.col("keyword").isin(STOPWORDS))
     counts = rows.groupBy(*key, "keyword").agg(F.count("*").alias("n"), F.min("at").alias("first"))

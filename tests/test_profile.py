@@ -141,3 +141,11 @@ def test_features_equal_those_without_a_first_look_at_words(spark):
 def test_every_pattern_of_phrases_has_words(spark):
     free = {profile.REFERENCE[0], profile.REFERENCE[2], *(p for ps in profile.MARKERS.values() for p in ps), *profile.ADMINISTRATIVE, *profile.REPORT} - set(profile.LITERALS)
     assert free == {profile.REFERENCE[0], profile.REFERENCE[2]}
+
+
+def test_keywords_deal_texts_once(spark):
+    rows = [(1, "Lorem ipsum lorem dolor"), (1, "dolor dolor amet"), (2, None), (3, ""), (4, "zeta alpha zeta alpha beta")]
+    out = profile.keywords(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    # rows that share an id are counted together; ties by first place
+    assert {tuple(r) for r in out.select("doc_id", "keyword", "n", "rank").collect()} == {(1, "dolor", 3, 1), (1, "lorem", 2, 2), (4, "zeta", 2, 1), (4, "alpha", 2, 2)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
