@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions import text as tx
-from foliate.operators import adaptive, profile, splitting, structure
+from foliate.operators import adaptive, profile, recognition, splitting, structure
 from foliate.plans.chunking import LINES, UPPER, _ENTRY_LINE, _PIPES, fold_sql, rounded
 from foliate.plans.registry import ORACLE_SQL, query
 
@@ -101,7 +101,7 @@ def _counts_sql(groups: dict[str, list[str]], flags: str) -> str:
 
 @query("a11_ocr_errors", _counts_sql(profile.OCR_ERRORS, "(?i)"), documents="documents")
 def ocr_errors(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", *[profile.matches(F.col("text"), p, "(?iU)").alias(k) for k, p in profile.OCR_ERRORS.items()])
+    return documents.select("doc_id", recognition.counts(F.col("text")).alias("_n")).select("doc_id", *[f"_n.{k}" for k in profile.OCR_ERRORS])
 
 
 _EXAMPLES = {"repeated_stops": "[.]{2,}", "missing_spaces": "[a-zA-Z][.,:;][a-zA-Z]", "doubled_strokes": "[il1|]{2,}"}
@@ -119,7 +119,7 @@ def error_examples(documents: DataFrame) -> DataFrame:
 
 @query("a18_historical_features", _counts_sql(profile.HISTORICAL, ""), documents="documents")
 def historical_features(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", *[profile.matches(F.col("text"), p, "(?U)").alias(k) for k, p in profile.HISTORICAL.items()])
+    return documents.select("doc_id", recognition.counts(F.col("text")).alias("_n")).select("doc_id", *[f"_n.{k}" for k in profile.HISTORICAL])
 
 
 @query(
@@ -129,8 +129,8 @@ SELECT source, count(*) AS docs, round(sum({' + '.join(count_sql(p, '(?i)', 'm')
     documents="documents",
 )
 def corpus_error_rate(documents: DataFrame) -> DataFrame:
-    errors = sum((profile.matches(F.col("text"), p, "(?iU)") for p in profile.OCR_ERRORS.values()), F.lit(0))
-    rows = documents.select("source", F.size(tx.words(F.col("text"))).alias("words"), errors.alias("errors"))
+    errors = sum((F.col(f"_n.{k}") for k in profile.OCR_ERRORS), F.lit(0))
+    rows = documents.select("source", recognition.counts(F.col("text")).alias("_n")).select("source", "_n.words", errors.alias("errors"))
     return rounded(rows.groupBy("source").agg(F.count("*").alias("docs"), (F.sum("errors") / F.sum("words")).alias("error_rate")))
 
 
@@ -436,8 +436,8 @@ SELECT doc_id, len(w)::INT AS words, ({' + '.join(count_sql(p, '(?i)', 'm') for
 def quality_bundle(documents: DataFrame) -> DataFrame:
     """The counts of a document's quality in one row, from one scan."""
     t = F.col("text")
-    errors = sum((profile.matches(t, p, "(?iU)") for p in profile.OCR_ERRORS.values()), F.lit(0))
-    old = sum((profile.matches(t, p, "(?U)") for p in profile.HISTORICAL.values()), F.lit(0))
+    errors, old = (sum((F.col(f"_n.{k}") for k in group), F.lit(0)) for group in (profile.OCR_ERRORS, profile.HISTORICAL))
     tables = F.size(F.filter(tx.lines(t), lambda x: x.contains("|")))
     headers = F.size(F.filter(tx.lines(t), lambda x: tx.is_upper(x) & (F.length(tx.strip(x)) > 5)))
-    return documents.select("doc_id", F.size(tx.words(t)).alias("words"), errors.alias("errors"), old.alias("historical"), tables.alias("table_lines"), headers.alias("headers"))
+    rows = documents.select("doc_id", recognition.counts(t).alias("_n"), tables.alias("table_lines"), headers.alias("headers"))
+    return rows.select("doc_id", "_n.words", errors.alias("errors"), old.alias("historical"), "table_lines", "headers")
