@@ -4,7 +4,7 @@ The counts are those of the patterns in ``profile.OCR_ERRORS`` and ``profile.HIS
 (matches without overlaps, from the left, with ``(?iU)`` and ``(?U)``). One search a pattern reads
 a text some twenty times, character by character; here the texts of a slice lie in one numpy array,
 a byte for each code point, and a pattern is a few comparisons of that array with itself, shifted.
-Texts are never cut, and a slice ends with a text.
+A text longer than two slices is counted in pieces, cut only where the sum of their counts is that of the text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from foliate.operators import profile
 
-#: Characters of a slice; a longer text is a slice of its own.
+#: Characters of a slice. A text with no place to cut it is a slice of its own, however long.
 SLICE = 1 << 18
 NAMES = ("words", *profile.OCR_ERRORS, *profile.HISTORICAL)
 #: Letters beyond ASCII that equal one in ASCII where case is ignored, the byte that stands for them, and the byte between texts.
@@ -31,6 +31,7 @@ WORD, SPACE, LETTER, CAPITAL, SMALL, STROKE, STOP = (1 << i for i in range(7))
 _HUMP = re.compile(rb"[a-zA-Z\x80\x82][a-zA-Z\x80-\x83]+[a-zA-Z\x80\x82][a-zA-Z\x80-\x83]+")
 _JOINED = re.compile(rb"[a-zA-Z\x80-\x83]+[a-zA-Z\x80\x82]")
 _LONG_S = re.compile(rb"[A-Z][a-z]*\x80[a-z]*")
+_CUT = re.compile(r"[a-zA-Z]{3}(?=[ \n][a-zA-Z]{3})")
 
 
 def _is_word(c: str) -> bool:
@@ -84,8 +85,23 @@ def _odd_words(u: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield int(first[k]), u[first[k] : last[k] + 1].tobytes()
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces that begin with the white space between two words of three letters or more.
+
+    No match lies across such a place but that of a bar and the 100 characters behind it: there are none before the cut that lack some of these.
+    """
+    start = 0
+    while len(text) - start > 2 * SLICE:
+        cut = next((m.end() for m in _CUT.finditer(text, start + SLICE) if "|" not in text[max(0, m.end() - 100) : m.end()]), None)
+        if cut is None:
+            break
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
 def count_slice(texts: list[str]) -> np.ndarray:
-    """A row for each text with its counts in the order of ``NAMES``."""
+    """A row for each text with its counts in the order of ``NAMES``, but for the match of a whole text that has one bar."""
     joined = "\n" + "\n".join(texts) + "\n\n\n"
     if joined.isascii():
         u = np.frombuffer(joined.encode(), np.uint8).copy()
@@ -150,8 +166,7 @@ def count_slice(texts: list[str]) -> np.ndarray:
         linked = np.diff(np.searchsorted(np.flatnonzero(~space), bars)) == 1
         halts = np.flatnonzero(bar | (u == ord("\n")) | (u == END))
         room = halts[np.searchsorted(halts, bars, "right")] - bars - 1
-        per_text = np.bincount(np.searchsorted(starts, bars, "right") - 1, minlength=len(texts))
-        add("table_structure", bars[:-1][_alternate(linked)], bars[room >= 100], starts[per_text == 1])
+        add("table_structure", bars[:-1][_alternate(linked)], bars[room >= 100])
 
     ends_word = at(word) & ~at(word, 1)
     e, y, a = (at(u == ord(c)) & ends_word for c in "eya")
@@ -170,16 +185,22 @@ def count_slice(texts: list[str]) -> np.ndarray:
 
 def count_texts(texts: pa.Array) -> pa.Array:
     """Structs of counts; null for null."""
-    out, part, size = [np.zeros((0, len(NAMES)), np.int64)], [], 0
-    for t in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()):
-        part.append((t.as_py() or b"").decode("utf-8", "replace"))
-        size += len(part[-1])
-        if size >= SLICE:
-            out.append(count_slice(part))
-            part, size = [], 0
+    out, part, owner, size = [np.zeros((0, len(NAMES)), np.int64)], [], [], 0
+    total = np.zeros((len(texts), len(NAMES)), np.int64)
+    for i, t in enumerate(texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())):
+        text = (t.as_py() or b"").decode("utf-8", "replace")
+        total[i, NAMES.index("table_structure")] = text.count("|") == 1
+        for piece in _pieces(text):
+            part.append(piece)
+            owner.append(i)
+            size += len(piece)
+            if size >= SLICE:
+                out.append(count_slice(part))
+                part, size = [], 0
     if part:
         out.append(count_slice(part))
-    columns = np.concatenate(out).astype(np.int32).T
+    np.add.at(total, owner, np.concatenate(out))
+    columns = total.astype(np.int32).T
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], list(NAMES), mask=texts.is_null())
 
 

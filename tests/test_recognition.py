@@ -47,6 +47,18 @@ def test_counts_by_hand_across_slices(monkeypatch):
     assert recognition.count_texts(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    rng = random.Random(7)
+    parts = [*PARTS, "plain words here", "three\nlines", "and the rest", "|", "some text behind a bar " * 4]
+    texts = [rng.choice([" ", "", "\n"]).join(rng.choice(parts) for _ in range(rng.randrange(200))) for _ in range(300)] + ["one | bar and then many more words", "| " + "word " * 300]
+    want = recognition.count_texts(pa.array(texts)).to_pylist()
+    for size in (1, 10, 60, 500):
+        monkeypatch.setattr(recognition, "SLICE", size)
+        assert sum(len(list(recognition._pieces(t))) for t in texts) > len(texts)
+        assert all("".join(recognition._pieces(t)) == t for t in texts)
+        assert recognition.count_texts(pa.array(texts)).to_pylist() == want
+
+
 def test_texts_are_not_searched_for_each_pattern(spark, sf):
     for name in ("a11_ocr_errors", "a18_historical_features", "a18b_quality_bundle", "a19_corpus_error_rate"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()
